@@ -1,0 +1,67 @@
+"""Connected components of links between 64-bit keys, in Spark, by alternating star contraction."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import staged, unstage
+
+
+def local_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Smallest index of each one's component among 0 .. n - 1, for links a[i] - b[i]."""
+    label = np.arange(n)
+    while len(a):
+        low = np.minimum(label[a], label[b])
+        np.minimum.at(label, label[a], low)
+        np.minimum.at(label, label[b], low)
+        while True:
+            up = label[label]
+            if np.array_equal(up, label):
+                break
+            label = up
+        open_ = label[a] != label[b]
+        a, b = a[open_], b[open_]
+    return label
+
+
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of each batch as stars: as many links as keys at most, with the same components."""
+    for batch in batches:
+        a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        keys, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+        label = local_labels(len(keys), at[: len(a)], at[len(a) :])
+        moved = np.flatnonzero(label != np.arange(len(keys)))
+        yield pa.RecordBatch.from_arrays([pa.array(keys[moved]), pa.array(keys[label[moved]])], names=["a", "b"])
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(key, root) of every key that has a link, from `links` (a long, b long); root is the smallest key reachable.
+
+    Large-star and small-star steps alternate until nothing changes.  Minimums are aggregated before the shuffle, and the
+    join that hands them back is an ordinary one, which adaptive execution splits where a key is hot.  Self-links and
+    repeated links are allowed; null keys are dropped with their links.  No links: no rows.
+    """
+    schema = "a long, b long"
+    links = links.select("a", "b").dropna().filter("a != b").mapInArrow(_contract, schema)
+    links = staged(links.distinct(), "links")
+    last = None
+    while True:
+        # Large star: every neighbour above u hangs on u's smallest neighbour.
+        both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        # Small star: u and every neighbour below it hang on the smallest of these.
+        down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b")
+        least = down.groupBy("a").agg(F.min("b").alias("m"))
+        hung = down.join(least, "a").filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        small = staged(hung.union(least.select("a", F.col("m").alias("b"))).distinct(), "links")
+        seen = small.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        unstage(links)
+        if seen == last:
+            return small.select(F.col("a").alias("key"), F.col("b").alias("root")).union(small.select(F.col("b").alias("key"), F.col("b").alias("root")).distinct())
+        links, last = small, seen
