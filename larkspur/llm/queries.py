@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, mixing, pii, rules, secrets, sharding, simhash
+from . import decontamination, licenses, mixing, pii, rules, secrets, sharding, simhash
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -120,3 +120,33 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(table(spark, sf_dir, "documents"))
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
     return found.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(secrets.listed("base"), 256).alias("base_sha256"), secrets.listed("found").alias("spans"))
+
+
+OP7_SQL = (
+    "WITH templates AS (SELECT id, license, regexp_extract_all(lower(t), '[a-z0-9]+') AS ws FROM (VALUES "
+    + ", ".join("({}, '{}', '{}')".format(i, n, t.replace("'", "''")) for i, (n, t) in enumerate(licenses.TEMPLATES))
+    + r""") v(id, license, t)),
+tgrams AS (SELECT id, license, len(ws) - 1 AS size, g, count(*) AS n FROM (SELECT id, license, ws, unnest(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) AS g FROM templates) GROUP BY ALL),
+texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+units AS (SELECT DISTINCT doc_id, string_split(trim(regexp_replace(translate(u, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g')), ' ') AS ws
+    FROM (SELECT doc_id, unnest([t] || string_split_regex(t, '\n[\x20\t\r]*\n') || string_split(t, chr(10))) AS u FROM texts)),
+fitting AS (SELECT row_number() OVER () AS k, doc_id, ws FROM units WHERE len(ws) BETWEEN 2 AND 200),
+ugrams AS (SELECT k, doc_id, len(ws) - 1 AS size, g, count(*) AS n FROM (SELECT k, doc_id, ws, unnest(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) AS g FROM fitting) GROUP BY ALL),
+dices AS (SELECT u.k, u.doc_id, t.license, 2.0::DOUBLE * sum(least(u.n, t.n)) / (any_value(t.size) + any_value(u.size)) AS dice FROM ugrams u JOIN tgrams t USING (g) GROUP BY u.k, u.doc_id, t.id, t.license),
+best AS (SELECT doc_id, count(*)::BIGINT AS n_matches, string_agg(DISTINCT license, ',' ORDER BY license) AS licenses, max(dice) AS best_dice FROM dices WHERE dice >= 0.8 GROUP BY doc_id),
+first AS (SELECT doc_id, min(license) AS best_license FROM dices JOIN best USING (doc_id) WHERE dice = best_dice GROUP BY doc_id)
+SELECT doc_id, coalesce(n_matches, 0)::BIGINT AS n_matches, coalesce(licenses, '') AS licenses, best_license, best_dice FROM documents LEFT JOIN best USING (doc_id) LEFT JOIN first USING (doc_id)
+"""
+)
+
+
+@query("op7_licenses", OP7_SQL)
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        F.size("matches").cast("long").alias("n_matches"),
+        F.array_join(F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["license"]))), ",").alias("licenses"),
+        F.get("matches", F.lit(0))["license"].alias("best_license"),
+        F.get("matches", F.lit(0))["dice"].alias("best_dice"),
+    )
