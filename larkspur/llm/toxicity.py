@@ -18,8 +18,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_name
-
 #: Most confirmed toxic and unlabelled texts that a fit takes (chosen by a hash of doc_id; about, not exactly, so many).
 MOST_POSITIVE, MOST_UNLABELLED = 3000, 9000
 FOLDS = 5
@@ -177,12 +175,12 @@ def fit(docs: DataFrame, labels: DataFrame, most_positive: int = MOST_POSITIVE,
     return Model(dict(zip(kept.tolist(), w.tolist(), strict=True)), b, prior)
 
 
-def _scored(model):
+def _scored(model, own: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = model.value.scorer()
         for batch in batches:
-            got = pa.array([score(t) for t in batch.column(batch.num_columns - 1).to_pylist()], pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], got], names=[*batch.schema.names[:-1], "score"])
+            got = pa.array([score(t) for t in batch.column("text").to_pylist()], pa.float64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:own], got], names=[*batch.schema.names[:own], "score"])
 
     return run
 
@@ -194,7 +192,7 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataF
     score is replaced.  No rows: no rows.
     """
     own = [c for c in (keep or docs.columns) if c.lower() != "score"]
-    last = fresh_name(own, "scored_text")
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in own), "score double"])
     sent = docs.sparkSession.sparkContext.broadcast(model)  # a few thousand weights
-    return docs.select(*[F.col(f"`{c}`") for c in own], F.col("text").alias(last)).mapInArrow(_scored(sent), schema)
+    carried = own + [c for c in ("text",) if c not in own]
+    return docs.select(*[F.col(f"`{c}`") for c in carried]).mapInArrow(_scored(sent, len(own)), schema)
