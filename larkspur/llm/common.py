@@ -69,3 +69,13 @@ def portable_uniform(seed: int, key: Column) -> Column:
     """A number in [0, 1) from the first 13 hex digits of md5(seed:key); any engine with md5 gets the same."""
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit(""))).cast("binary"))
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") / F.lit(float(16**13))
+
+
+def shielded(df: DataFrame, added: tuple[str, ...]) -> tuple[DataFrame, list[Column]]:
+    """`df` with columns named like one of `added` under other names, and what selects all columns as they were."""
+    names = {c: c for c in df.columns}
+    for c in df.columns:
+        if c.lower() in {a.lower() for a in added}:
+            names[c] = fresh_name([*names.values(), *df.columns, *added], f"own_{c}")
+    renamed = df.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
+    return renamed, [F.col(f"`{n}`").alias(c) for c, n in names.items()]

@@ -1,7 +1,7 @@
 """Secret scan (native): fixed patterns, and a battery of randomness tests under false-discovery control.
 
 Every token of 20 or more characters of the base64 alphabets is a candidate.  Its encoding is inferred from the characters it
-uses, which fixes an alphabet; three tests follow: chi-squared uniformity over the alphabet, runs of low and high symbols,
+uses, which fixes an alphabet; three tests follow: chi-squared uniformity over the alphabet, runs of one class of symbols,
 and the serial correlation of neighbours.  The null hypothesis is that a token is structured, by an effect of stated
 size, in at least one of these ways; how far such an effect shifts a statistic depends on the token's length, so short tokens
 need to look more random than long ones.  The largest of the three p-values rejects it (intersection-union), and the
@@ -36,8 +36,10 @@ ENCODINGS = (
 )
 #: Effects of structure: the excess of the collision rate over that of the uniform alphabet, per encoding, and the drift
 #: of the runs and serial statistics per square root of a symbol.
-EXCESS = {"hex": 0.8, "base32": 1.0, "base36": 1.3, "base64": 3.0, "base64url": 3.0}
+EXCESS = {"hex": 0.8, "base32": 0.8, "base36": 1.0, "base64": 1.5, "base64url": 1.5}
 DRIFT = 0.75
+#: The runs test tells symbols from this place of the alphabet up to below the other from the rest: a class of characters.
+CLASS = {"hex": (10, 16), "base32": (26, 32), "base36": (10, 36), "base64": (26, 52), "base64url": (26, 52)}
 #: Longest length of each stratum but the last; bins of p-values, BINS_A_TEN for a factor of ten.
 BANDS = (24, 32, 40, 64, 128)
 BINS_A_TEN, LAST_BIN = 20, 200
@@ -101,19 +103,20 @@ def ordinals(token: Column, code: Column) -> Column:
     return F.transform(F.filter(F.split(shown, ""), lambda c: c != ""), lambda c: F.position(c, letters) - 1)
 
 
-def battery(x: Column, k: Column, excess: Column) -> Column:
+def battery(x: Column, k: Column, excess: Column, class_: Column) -> Column:
     """Largest z of the three tests, each against the structured null; low values speak for randomness.
 
-    x: ordinals of the symbols, k: size of the alphabet.
+    x: ordinals of the symbols, k: size of the alphabet, class_: first ordinal of a class of characters, and that after its last.
     """
+    inside = lambda y: (y >= class_["lo"]) & (y < class_["hi"])
     n = F.size(x).cast("double")
     squares = F.aggregate(F.array_distinct(x), F.lit(0.0), lambda acc, s: acc + F.pow(F.size(F.filter(x, lambda y: y == s)).cast("double"), F.lit(2.0)))
     chi = k / n * squares - n
     shift = n * excess
     z_chi = (chi - (k - 1) - shift) / F.sqrt(2 * (k - 1) + 4 * shift)
     pairs = F.zip_with(F.slice(x, F.lit(1), F.size(x) - 1), F.slice(x, F.lit(2), F.size(x) - 1), lambda a, b: F.struct(a.cast("double").alias("a"), b.cast("double").alias("b")))
-    high = F.size(F.filter(x, lambda y: y >= k / 2)).cast("double")
-    runs = 1 + F.size(F.filter(pairs, lambda p: (p["a"] >= k / 2) != (p["b"] >= k / 2))).cast("double")
+    high = F.size(F.filter(x, inside)).cast("double")
+    runs = 1 + F.size(F.filter(pairs, lambda p: inside(p["a"]) != inside(p["b"]))).cast("double")
     mean_runs = 1 + 2 * high * (n - high) / n
     var_runs = F.greatest(F.lit(1e-9), (mean_runs - 1) * (mean_runs - 2) / (n - 1))
     z_runs = F.abs(runs - mean_runs) / F.sqrt(var_runs) - DRIFT * F.sqrt(n)
@@ -131,8 +134,10 @@ def tested(candidates: Column) -> Column:
     sizes = F.array(*[F.lit(float(len(a))) for _, _, _, a in ENCODINGS])
     excesses = F.array(*[F.lit(EXCESS[name]) for name, _, _, _ in ENCODINGS])
 
+    classes = F.array(*[F.struct(F.lit(CLASS[name][0]).alias("lo"), F.lit(CLASS[name][1]).alias("hi")) for name, _, _, _ in ENCODINGS])
+
     def score(c: Column) -> Column:
-        p = normal_cdf(battery(c["x"], F.element_at(sizes, c["code"] + 1), F.element_at(excesses, c["code"] + 1)))
+        p = normal_cdf(battery(c["x"], *(F.element_at(of, c["code"] + 1) for of in (sizes, excesses, classes))))
         bin_ = F.greatest(F.lit(0), F.least(F.lit(LAST_BIN), F.floor(-F.log10(p) * BINS_A_TEN))).cast("int")
         band = sum((F.when(F.size(c["x"]) > b, F.lit(1)).otherwise(F.lit(0)) for b in BANDS), F.lit(0))
         return F.struct(c["start"].alias("start"), c["end"].alias("end"), (c["code"] * (len(BANDS) + 1) + band).cast("int").alias("stratum"), bin_.alias("bin"))

@@ -201,11 +201,12 @@ class RunLengthIndex:
         self.text, n = text, len(text)
         self.rest = np.repeat(separators, np.diff(np.append(self.starts, n))) - np.arange(n)  # bytes to the end of the string
         longest = max(map(len, strings), default=0)
-        # Suffixes in order, by doubling: seven symbols at once, then ranks of 7, 14, 28, ... symbols.
+        # Suffixes in order, by doubling: seven symbols at once, then ranks of 7, 14, 28, ... symbols.  Each is compared to
+        # the end of its string only, and equal ones stand in the order of their strings, as if separators rose.
         padded = np.concatenate([text, np.zeros(8, np.int64)])
         key = np.zeros(n, np.int64)
         for k in range(7):
-            key = (key << 9) | padded[k : n + k]
+            key = (key << 9) | np.where(self.rest >= k, padded[k : n + k], 0)
         self.ranks, depth = [], 7
         while True:
             order = np.argsort(key, kind="stable")
@@ -216,7 +217,8 @@ class RunLengthIndex:
             if depth > longest or rank[order[-1]] == n - 1:
                 break
             key = rank * (n + 1)
-            key[: n - depth] += rank[depth:] + 1 if depth < n else 0
+            if depth < n:
+                key[: n - depth] += np.where(self.rest[: n - depth] >= depth, rank[depth:] + 1, 0)
             depth *= 2
         self.order = order
         bwt = text[order - 1]
