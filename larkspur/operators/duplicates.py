@@ -75,16 +75,17 @@ def held(planned: DataFrame) -> DataFrame:
 def allocate(planned: DataFrame, approvals: DataFrame) -> DataFrame:
     """(approval_id, victim, keeper): unused approvals, by id, each take the next `cap` victims of their rule by path.
 
-    Approvals of a rule cover consecutive ranks.  Ranks are counted in blocks (by the leading bits of nothing but order):
-    only victims of approved rules are ranked, and a rule's ranks beyond its summed caps are cut off before any sort output.
+    Approvals of a rule cover consecutive ranks of its victims.  No rank beyond the largest sum of caps is needed, and Spark
+    drops such rows in every task before the shuffle (window group limit), so a rule with very many victims is no burden.
     """
     rule = ["keep_src", "remove_src"]
     before = Window.partitionBy(*rule).orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
     spans = approvals.filter("used_batch is null").withColumn("lo", F.coalesce(F.sum("cap").over(before), F.lit(0))).withColumn("hi", F.col("lo") + F.col("cap"))
-    spans = spans.select(*rule, F.col("id").alias("approval_id"), "lo", "hi")
+    spans = small(spans.select(*rule, F.col("id").alias("approval_id"), "lo", "hi"))
+    most = spans.agg(F.max("hi")).first()[0] or 0
     free = planned.filter("reason is null").join(small(spans.select(*rule).distinct()), rule, "left_semi")
-    ranked = free.withColumn("rank", F.row_number().over(Window.partitionBy(*rule).orderBy("victim")) - 1)
-    return ranked.join(small(spans), rule).filter("rank >= lo and rank < hi").select("approval_id", "victim", "keeper")
+    ranked = free.withColumn("rank", F.row_number().over(Window.partitionBy(*rule).orderBy("victim"))).filter(F.col("rank") <= most)
+    return ranked.join(spans, rule).filter("rank > lo and rank <= hi").select("approval_id", "victim", "keeper")
 
 
 def pending_by_rule(planned: DataFrame, approvals: DataFrame) -> DataFrame:
