@@ -1,13 +1,14 @@
-"""Helpers that the corpus operators share: tables, words, and staged tables in the shared folder."""
+"""Helpers that the corpus operators share: tables, words, and columns that clash."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larkspur.sources.staging import staged, unstage
+
+__all__ = ["ASCII_LOWER", "WORD", "fresh_name", "portable_uniform", "shielded", "staged", "table", "text_bytes", "unstage", "word_count"]
+
 #: Words are maximal runs of anything but ASCII white space (Java and RE2 read this pattern alike).
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -19,34 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one is set only where the session names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        named = tempfile.mkdtemp(prefix="larkspur-")
-        spark.sparkContext.setCheckpointDir(named)
-    return named.rstrip("/")
-
-
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """`df` written once to the shared folder and read again: cuts lineage and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/larkspur/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out.staged_path = path
-    return out
-
-
-def unstage(*frames: DataFrame) -> None:
-    """Delete staged tables that nothing reads any more (intermediate rounds of a loop)."""
-    for df in frames:
-        path = getattr(df, "staged_path", None)
-        if path:
-            jvm = df.sparkSession._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
-
-
 def fresh_name(columns: list[str], stem: str) -> str:
     """`stem`, with underscores appended until no column of that name exists (names compare without case)."""
     taken = {c.lower() for c in columns}

@@ -18,8 +18,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from larkspur.operators.graph import components, local_labels
+
 from .common import ASCII_LOWER, fresh_name, staged
-from .components import components, local_labels
 
 #: Buckets expected to hold more than CROWDED fingerprints are split into chunks of about CROWDED / 2.
 CROWDED, SAMPLE = 4096, 16

@@ -11,8 +11,9 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from larkspur.llm import components, decontamination, licenses, mixing, pii, queries, rules, secrets, sharding, simhash, suffix_dedup, toxicity
+from larkspur.llm import decontamination, licenses, mixing, pii, queries, rules, secrets, sharding, simhash, suffix_dedup, toxicity
 from larkspur.llm.common import staged
+from larkspur.operators import graph
 
 WS = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -458,11 +459,11 @@ def test_bucket_links_connect_what_is_near(values):
     a, b = simhash.bucket_links(np.zeros(len(prints), int), prints, 2)
     near = [(i, j) for i in range(len(values)) for j in range(i) if int(prints[i] ^ prints[j]).bit_count() <= 2]
     i, j = (np.array([p[k] for p in near], int) for k in (0, 1))
-    assert components.local_labels(len(values), a, b).tolist() == components.local_labels(len(values), i, j).tolist()
+    assert graph.local_labels(len(values), a, b).tolist() == graph.local_labels(len(values), i, j).tolist()
 
 
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(0, 300)] + [(1000, 1001), (5, 5), (None, 3)], "a long, b long").repartition(7)
-    got = {r.key: r.root for r in components.components(links).collect()}
+    got = {r.key: r.root for r in graph.components(links).collect()}
     assert got == {i: 0 for i in range(301)} | {1000: 1000, 1001: 1000}
-    assert components.components(links.limit(0)).count() == 0
+    assert graph.components(links.limit(0)).count() == 0
