@@ -76,7 +76,7 @@ measured AS (SELECT w.doc_id, len(ws)::BIGINT AS n_words, len(array_to_string(ws
     len(list_distinct(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))))::BIGINT AS n_kinds,
     coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN repeats USING (doc_id)),
 bits AS (SELECT *, n_lines - n_kinds AS n_dup_lines, (n_words < 50)::INT + 2 * (100 * n_repeat_words > 50 * n_words)::INT + 4 * (10 * n_symbols > n_words)::INT
-    + 8 * (word_chars < 2 * n_words)::INT + 16 * (word_chars > 15 * n_words)::INT + 32 * (100 * (n_lines - n_kinds) > 30 * n_lines)::INT AS b FROM measured)
+    + 8 * (word_chars < 2 * n_words)::INT + 16 * (word_chars > 15 * n_words)::INT + 32 * (100 * (n_lines - n_kinds) > 50 * n_lines)::INT AS b FROM measured)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (b & 3) <> 0 AS base_failed, b = 0 AS kept, b::BIGINT AS fail_bits FROM bits
 """
 

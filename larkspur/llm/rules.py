@@ -34,7 +34,7 @@ RULES = (
     Rule("many_symbols", 2, "10 * n_symbols > n_words"),
     Rule("short_words", 3, "word_chars < 2 * n_words"),
     Rule("long_words", 4, "word_chars > 15 * n_words"),
-    Rule("repeated_lines", 5, "100 * n_dup_lines > 30 * n_lines"),
+    Rule("repeated_lines", 5, "100 * n_dup_lines > 50 * n_lines"),
 )
 
 #: Versions are never edited: a change of policy is a new version.
