@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import datetime
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from larkspur.functions import expressions as X
 from larkspur.operators import browse, decisions, duplicates, reconcile, sidecars, similar, vision
 from larkspur.sources import files as sources
 from larkspur.sources import sinks
+from larkspur.sources.shipping import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -95,8 +97,12 @@ def base(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def query(name: str, sql: str | None, *frames: str):
     """Register a query over named frames; a function without frames takes (spark, sf_dir)."""
 
+    def run(f, spark, sf_dir):
+        ship(spark)
+        return f(*[base(spark, sf_dir, n) for n in frames]) if frames else f(spark, sf_dir)
+
     def add(f):
-        QUERIES[name] = (lambda spark, sf_dir: f(*[base(spark, sf_dir, n) for n in frames])) if frames else f
+        QUERIES[name] = partial(run, f)
         if sql:
             SQL[name] = sql
         return f
