@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larkspur.sources.shipping import ship
+
 from . import decontamination, licenses, mixing, pii, rules, secrets, sharding, simhash, suffix_dedup, toxicity
 from .common import table
 
@@ -15,8 +18,12 @@ SQL: dict[str, str] = {}
 
 
 def query(name: str, sql: str | None = None):
+    def run(f, spark, sf_dir):
+        ship(spark)
+        return f(spark, sf_dir)
+
     def add(f):
-        QUERIES[name] = f
+        QUERIES[name] = partial(run, f)
         if sql:
             SQL[name] = sql
         return f
