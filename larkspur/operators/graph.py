@@ -42,8 +42,8 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def components(links: DataFrame) -> DataFrame:
     """(key, root) of every key that has a link, from `links` (a long, b long); root is the smallest key reachable.
 
-    Large-star and small-star steps alternate until nothing changes.  Minimums are aggregated before the shuffle, and the
-    join that hands them back is an ordinary one, which adaptive execution splits where a key is hot.  Self-links and
+    Large-star and small-star steps alternate until nothing changes.  Minimums are aggregated before the shuffle and staged, so
+    that the join which hands them back has nothing but its two shuffles below it: adaptive execution splits it where a key is hot.  Self-links and
     repeated links are allowed; null keys are dropped with their links.  No links: no rows.
     """
     schema = "a long, b long"
@@ -53,15 +53,16 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         # Large star: every neighbour above u hangs on u's smallest neighbour.
         both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        least = staged(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
         large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         # Small star: u and every neighbour below it hang on the smallest of these.
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b")
-        least = down.groupBy("a").agg(F.min("b").alias("m"))
-        hung = down.join(least, "a").filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        small = staged(hung.union(least.select("a", F.col("m").alias("b"))).distinct(), "links")
+        down = staged(down, "down")
+        lower = staged(down.groupBy("a").agg(F.min("b").alias("m")), "least")
+        hung = down.join(lower, "a").filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        small = staged(hung.union(lower.select("a", F.col("m").alias("b"))).distinct(), "links")
         seen = small.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        unstage(links)
+        unstage(links, least, down, lower)
         if seen == last:
             return small.select(F.col("a").alias("key"), F.col("b").alias("root")).union(small.select(F.col("b").alias("key"), F.col("b").alias("root")).distinct())
         links, last = small, seen

@@ -1032,6 +1032,34 @@ def _(files):
     return browse.count_by(files, X.one_level_source(F.col("path")), "source").orderBy(F.desc("n"), "source").limit(5)
 
 
+@query("fl9_dated_timeline", with_("files") + f", c AS (SELECT substr(taken_at, 1, 4)::INT AS year, count(*) AS total FROM files WHERE {VISIBLE} AND date_source <> 'mtime' AND taken_at IS NOT NULL GROUP BY 1), y AS (SELECT unnest(range(min(year), max(year) + 1)) AS year FROM c) SELECT year::INT AS year, coalesce(total, 0)::BIGINT AS total FROM y LEFT JOIN c USING (year)", "files")
+def _(files):
+    rows = files.filter(X.visible(F.col("kind"), F.col("pair_key"))).filter("date_source != 'mtime'")
+    return browse.timeline(rows, 2024).select("year", "total")
+
+
+@query("fl6_kinds", with_("files") + "SELECT kind, ext, count(*) AS n FROM files GROUP BY 1, 2", "files")
+def _(files):
+    again = X.kind_of(F.upper("ext"), sources.PHOTO, sources.VIDEO)
+    return files.groupBy(again.alias("kind"), "ext").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("a29_status", with_("vision") + "SELECT status, count(*) AS n FROM vision GROUP BY 1", "vision")
+def _(seen):
+    return browse.count_by(seen, F.col("status"), "status")
+
+
+@query("j6_scalar_in", with_("files") + "SELECT id FROM files WHERE content_id IN (SELECT content_id FROM files WHERE content_id IS NOT NULL GROUP BY 1 HAVING count(*) >= 2)", "files")
+def _(files):
+    shared = files.filter("content_id is not null").groupBy("content_id").agg(F.count(F.lit(1)).alias("n")).filter("n >= 2")
+    return files.join(shared.select("content_id"), "content_id", "left_semi").select("id")
+
+
+@query("j8_whole_group", with_("grouped") + "SELECT path, (SELECT count(*) FROM grouped b WHERE b.group_id = a.group_id) AS whole FROM grouped a", "grouped")
+def _(grouped):
+    return grouped.join(grouped.groupBy("group_id").agg(F.count(F.lit(1)).alias("whole")), "group_id").select("path", "whole")
+
+
 @query("fl22_skipped", with_("files") + "SELECT id FROM files WHERE NOT (split_part(path, '/', 1) IN ('src1', 'fr') OR split_part(path, '/', 2) IN ('src1', 'fr'))", "files")
 def _(files):
     return files.filter(~X.skipped(F.col("path"), ["src1", "fr"])).select("id")

@@ -160,3 +160,12 @@ def staging(listing: DataFrame) -> DataFrame:
     kind = X.kind_of(X.extension(F.col("name")), PHOTO, VIDEO)
     out = rows.groupBy("folder").agg(F.sort_array(F.collect_set(F.when(kind.isNotNull(), F.col("name")))).alias("media"), F.sort_array(F.collect_set(F.when(is_json, F.col("name")))).alias("jsons"))
     return out.withColumn("is_primary", F.substring_index("folder", "/", -1).rlike(r"^(Photos from \d{4}|Archive)$"))
+
+
+TAGS = ("DateTimeOriginal", "CreateDate", "MediaCreateDate", "GPSLatitude", "GPSLongitude", "ImageWidth", "ImageHeight", "Make", "Model", "ContentIdentifier")
+
+
+def tags(spark: SparkSession, path: str) -> DataFrame:
+    """(path and TAGS, all text) from an extractor's JSON arrays, one object for each file; what is missing is null."""
+    schema = ", ".join(f"`{t}` string" for t in ("SourceFile", *TAGS))
+    return spark.read.schema(schema).option("multiLine", "true").json(path).withColumnRenamed("SourceFile", "path").filter("path is not null")
