@@ -23,16 +23,15 @@ MOST_POSITIVE, MOST_UNLABELLED = 3000, 9000
 FOLDS = 5
 WORDS = re.compile(r"[^\W\d_]+")
 BEGINNINGS = range(4, 8)
-HASH_BITS = 22
 CACHED_WORDS = 400_000
 #: The prior where no labelled row gives one, and the bounds it is held within.
 PRIOR, PRIOR_BOUNDS = 0.1, (0.005, 0.5)
 
 
 def word_features(word: str) -> list[int]:
-    """Hashed features of a word: itself, and its beginnings of 4 to 7 letters."""
+    """Features of a word, as signed 32-bit hashes: itself, and its beginnings of 4 to 7 letters."""
     parts = ["=" + word, *("^" + word[:k] for k in BEGINNINGS if k <= len(word))]
-    return [zlib.crc32(p.encode()) & ((1 << HASH_BITS) - 1) for p in parts]
+    return [(zlib.crc32(p.encode("utf-8", "replace")) ^ 0x80000000) - 0x80000000 for p in parts]
 
 
 def features(text: str | None) -> list[int]:
@@ -51,13 +50,8 @@ class Sparse:
     n: int
 
     @classmethod
-    def of(cls, lists: list[np.ndarray], place: np.ndarray | None = None) -> Sparse:
-        row = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-        ids = np.concatenate([*lists, np.empty(0, np.int64)]).astype(np.int64)
-        if place is not None:
-            ids = place[ids]
-            row, ids = row[ids >= 0], ids[ids >= 0]
-        return cls(ids, row, len(lists))
+    def of(cls, lists: list[np.ndarray]) -> Sparse:
+        return cls(np.concatenate([*lists, np.empty(0, np.int64)]).astype(np.int64), np.repeat(np.arange(len(lists)), [len(x) for x in lists]), len(lists))
 
     def times(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, w[self.ids], self.n)
@@ -66,14 +60,31 @@ class Sparse:
         return np.bincount(self.ids, g[self.row], size)
 
 
-def select(positive: list[np.ndarray], unlabelled: list[np.ndarray], most: int = 4000, least: int = 3, noise: float = 4.0) -> np.ndarray:
-    """Features more frequent among the positives: by the log ratio of document frequencies, in multiples of its noise."""
-    size = 1 << HASH_BITS
-    p, u = (np.bincount(np.concatenate([*x, np.empty(0, np.int64)]).astype(np.int64), minlength=size) for x in (positive, unlabelled))
-    a, b = (p + 0.5) / (len(positive) + 1), (u + 0.5) / (len(unlabelled) + 1)
+def places(keys: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Place of each id among the sorted keys, or -1."""
+    if not len(keys):
+        return np.full(len(ids), -1)
+    at = np.minimum(np.searchsorted(keys, ids), len(keys) - 1)
+    return np.where(keys[at] == ids, at, -1)
+
+
+def select(ids: np.ndarray, toxic: np.ndarray, sizes: tuple[int, int], most: int = 4000, least: int = 3, noise: float = 4.0) -> np.ndarray:
+    """Features more frequent among the positives: by the log ratio of document frequencies, in multiples of its noise.
+
+    ids: features of all texts one after the other, toxic: whether they are of a positive one, sizes: how many texts there
+    are of both kinds.  Works in pieces, so that it takes little more memory than `ids` itself.
+    """
+    keys, p = np.unique(ids[toxic], return_counts=True)
+    keys, p = keys[p >= least], p[p >= least]
+    u = np.zeros(len(keys), np.int64)
+    for at in range(0, len(ids), 1 << 20):
+        piece = ids[at : at + (1 << 20)][~toxic[at : at + (1 << 20)]]
+        found = places(keys, piece)
+        u += np.bincount(found[found >= 0], minlength=len(keys))
+    a, b = (p + 0.5) / (sizes[0] + 1), (u + 0.5) / (sizes[1] + 1)
     z = (np.log(a) - np.log(b)) / np.sqrt(1 / (p + 0.5) + 1 / (u + 0.5))
-    some = np.flatnonzero((z > noise) & (p >= least))
-    return np.sort(some[np.argsort(-z[some], kind="stable")][:most])
+    some = np.flatnonzero(z > noise)
+    return np.sort(keys[some[np.lexsort((keys[some], -z[some]))][:most]])
 
 
 def nnpu_fit(p: Sparse, u: Sparse, size: int, prior: float, steps: int = 400, rate: float = 0.05, ridge: float = 2e-3) -> tuple[np.ndarray, float, list[float]]:
@@ -162,17 +173,23 @@ def fit(docs: DataFrame, labels: DataFrame, most_positive: int = MOST_POSITIVE,
     kind = docs.schema["doc_id"].dataType.simpleString()
     picked = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("doc_id", "y", "text")
     got = picked.select(F.col("y").cast(kind).alias("doc_id"), "text").mapInArrow(_featured, f"doc_id {kind}, ids array<int>").toArrow()
-    lists = [np.asarray(x.values, np.int64) for x in got["ids"]]
     y = np.array([int(v) for v in got["doc_id"].to_pylist()], int)
-    order = sorted(range(len(lists)), key=lambda i: (len(lists[i]), lists[i].tobytes()))  # the order of rows mustn't matter
-    positive, unlabelled = ([lists[i] for i in order if y[i] == k] for k in (1, 0))
-    if not positive or not unlabelled:
-        return Model({}, float(np.log(prior / (1 - prior))), prior)
-    kept = select(positive, unlabelled)
-    place = np.full(1 << HASH_BITS, -1)
-    place[kept] = np.arange(len(kept))
-    w, b, _ = nnpu_fit(Sparse.of(positive, place), Sparse.of(unlabelled, place), len(kept), prior)
-    return Model(dict(zip(kept.tolist(), w.tolist(), strict=True)), b, prior)
+    column = got["ids"].combine_chunks() if got.num_rows else pa.array([], pa.list_(pa.int32()))
+    ids, lengths = np.asarray(column.flatten()), np.asarray(column.value_lengths(), np.int64)
+    model = Model({}, float(np.log(prior / (1 - prior))), prior)
+    if 0 < y.sum() < len(y):
+        kept = select(ids, np.repeat(y == 1, lengths), (int(y.sum()), int((y == 0).sum())))
+        rows, ends = [], np.cumsum(lengths)
+        for end, n in zip(ends.tolist(), lengths.tolist(), strict=True):
+            found = places(kept, ids[end - n : end])
+            rows.append(found[found >= 0])
+        order = sorted(range(len(rows)), key=lambda i: (len(rows[i]), rows[i].tobytes()))  # the order of rows mustn't matter
+        positive, unlabelled = (Sparse.of([rows[i] for i in order if y[i] == k]) for k in (1, 0))
+        w, b, _ = nnpu_fit(positive, unlabelled, len(kept), prior)
+        model = Model(dict(zip(kept.tolist(), w.tolist(), strict=True)), b, prior)
+    del got, column, ids
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def _scored(model, own: int):
