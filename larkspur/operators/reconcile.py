@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from larkspur.functions import expressions as X
 
+#: Fixed value: the export's own folders.
 PRIMARY = r"^(Photos from \d{4}|Archive)$"
 
 

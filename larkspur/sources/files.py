@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from larkspur.functions import expressions as X
 
+#: Extensions of photos and videos.
 PHOTO = [".jpg", ".jpeg", ".heic", ".png", ".gif", ".tif", ".tiff", ".bmp", ".webp", ".dng", ".cr2", ".nef", ".arw"]
 VIDEO = [".mov", ".mp4", ".m4v", ".avi", ".mts", ".3gp", ".mp"]
 ZIP_SCHEMA = "zip string, name string, size long, crc long"
@@ -122,6 +123,7 @@ def zip_directories(spark: SparkSession, paths: list[str]) -> DataFrame:
     return spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, len(paths))).mapInPandas(run, ZIP_SCHEMA)
 
 
+#: Fixed value: the fields of a sidecar that are read.
 SIDECAR = "title string, photoTakenTime struct<timestamp: string>, geoData struct<latitude: double, longitude: double>, geoDataExif struct<latitude: double, longitude: double>"
 
 
@@ -162,6 +164,7 @@ def staging(listing: DataFrame) -> DataFrame:
     return out.withColumn("is_primary", F.substring_index("folder", "/", -1).rlike(r"^(Photos from \d{4}|Archive)$"))
 
 
+#: Names of the extractor's tags.
 TAGS = ("DateTimeOriginal", "CreateDate", "MediaCreateDate", "GPSLatitude", "GPSLongitude", "ImageWidth", "ImageHeight", "Make", "Model", "ContentIdentifier")
 
 
