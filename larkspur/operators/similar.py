@@ -60,11 +60,11 @@ def groups(hashes: DataFrame, threshold: int = 5, slack: int = 3, most: int | No
     Merges never leave a connected component of the edges, so each is grouped by itself; a component is one task's work
     and is bounded by the bucket limit and the slack in practice, not in principle.
     """
+    hashes = staged(hashes.select("key", "hash"), "hashes")
     found = staged(edges(hashes, threshold, most), "edges")
     code = F.xxhash64
     roots = components(found.select(code("a").alias("a"), code("b").alias("b")))
-    h = hashes.select("key", "hash")
-    wide = found.join(h.select(F.col("key").alias("a"), F.col("hash").alias("ha")), "a").join(h.select(F.col("key").alias("b"), F.col("hash").alias("hb")), "b")
+    wide = found.join(hashes.select(F.col("key").alias("a"), F.col("hash").alias("ha")), "a").join(hashes.select(F.col("key").alias("b"), F.col("hash").alias("hb")), "b")
     wide = wide.withColumn("c", code("a")).join(roots.withColumnRenamed("key", "c"), "c")
     kind = hashes.schema["key"].dataType.simpleString()
     return wide.select("root", "a", "b", "ha", "hb", "d").groupBy("root").applyInPandas(_merge(threshold + slack), f"group_id {kind}, key {kind}")

@@ -18,6 +18,7 @@ from larkspur.operators import browse, decisions, duplicates, reconcile, sidecar
 from larkspur.sources import files as sources
 from larkspur.sources import sinks
 from larkspur.sources.shipping import ship
+from larkspur.sources.staging import staged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -340,13 +341,13 @@ def _(*frames):
     *PLANNED,
 )
 def _(*frames):
-    plan = planned(*frames)
-    return duplicates.allocate(plan, approved(plan))
+    plan = staged(planned(*frames), "plan")  # rules, approvals and allocation all read it
+    return duplicates.allocate(plan, staged(approved(plan), "approvals"))
 
 
 @query("a35_pending_rules", with_(*PLANNED) + f", {PLAN}, {APPROVALS} SELECT keep_src, remove_src, n, bytes, '1,2,3' AS approvals, 4::BIGINT AS caps FROM (SELECT keep_src, remove_src, count(*) AS n, sum(size)::BIGINT AS bytes FROM plan WHERE reason IS NULL GROUP BY 1, 2)", *PLANNED)
 def _(*frames):
-    plan = planned(*frames)
+    plan = staged(planned(*frames), "plan")
     return duplicates.pending_by_rule(plan, approved(plan)).withColumn("approvals", F.array_join(F.col("approvals").cast("array<string>"), ","))
 
 
@@ -414,7 +415,7 @@ def text_prints(spark: SparkSession, sf_dir: str) -> DataFrame:
     value = F.lit(0).cast("long")
     for b in range(64):
         value = value.bitwiseOR(F.when(F.col(f"b{b}") > 0, F.lit((1 << b) - (1 << 64) if b == 63 else 1 << b)).otherwise(F.lit(0)).cast("long"))
-    return bits.select("key", value.alias("hash"))
+    return staged(bits.select("key", value.alias("hash")), "prints")  # the joins below read it several times
 
 
 @query("nd6_simhash_edges", f"WITH {PRINTS} SELECT a.doc_id AS a, b.doc_id AS b, bit_count(xor(a.h, b.h))::INT AS d FROM prints a JOIN prints b ON a.doc_id < b.doc_id AND bit_count(xor(a.h, b.h)) <= 5")
