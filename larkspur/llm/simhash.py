@@ -186,9 +186,10 @@ def keep_one(docs: DataFrame, **settings) -> DataFrame:
     kept = staged(kept.groupBy(F.col("doc_id").alias(key)).agg(F.count(F.lit(1)).alias("n")), "kept")
     once, again = kept.filter("n = 1").select(key), kept.filter("n > 1").select(key)
     same = F.col("doc_id") == F.col(key)
-    out = docs.join(once, same, "left_semi").unionByName(docs.filter(F.col("doc_id").isNull()))
+    # The ids grow with the documents, so both sides are shuffled at any size: small tables get the plan that large ones need.
+    out = docs.join(once.hint("merge"), same, "left_semi").unionByName(docs.filter(F.col("doc_id").isNull()))
     if not again.isEmpty():
         whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
         first = F.min_by(whole, F.struct(F.col("text").isNull(), F.col("text"))).alias("row")
-        out = out.unionByName(docs.join(again, same, "left_semi").groupBy("doc_id").agg(first).select("row.*"))
+        out = out.unionByName(docs.join(again.hint("merge"), same, "left_semi").groupBy("doc_id").agg(first).select("row.*"))
     return out
