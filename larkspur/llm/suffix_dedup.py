@@ -12,7 +12,7 @@ Anchors with very many contexts have these cut into single windows, which collap
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +23,7 @@ from .common import staged, unstage
 
 K = 32
 #: Bytes hashed at a time, and of contexts indexed together; an anchor with more contexts than CROWDED is cut into windows.
-CHUNK, BLOCK, CROWDED = 480_000, 1 << 22, 4096  # two chunks have fewer bytes than 2 ** POSITION_BITS
+CHUNK, BLOCK, CROWDED = 480_000, 1 << 20, 4096  # two chunks have fewer bytes than 2 ** POSITION_BITS
 POSITION_BITS = 20
 NO_ID = -(1 << 63)
 MULTIPLIER = 0x9E3779B97F4A7C15
@@ -83,7 +83,7 @@ def contexts(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarra
     return kmers[anchor[first]], hashes.of(first, last + length), first, last
 
 
-def pieces(ids: list[int], texts: list[bytes], length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def pieces(ids: list[int], texts: Iterable[bytes], length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Buffers of about CHUNK bytes of whole texts; longer texts in pieces that overlap by length - 1 bytes.
 
     Yields the bytes, and the end in them, the id and the offset in its text of each part.
@@ -133,7 +133,7 @@ def _read(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = [NO_ID if x is None else x for x in batch.column(0).to_pylist()]
-            texts = [x.encode("utf-8", "replace") if x else b"" for x in batch.column(1).to_pylist()]
+            texts = ((x.as_py() or "").encode("utf-8", "replace") for x in batch.column(1))  # one at a time
             found = []
             for data, ends, of, offset in pieces(ids, texts, length):
                 h, c, first, last = contexts(data, ends, length)
@@ -213,7 +213,7 @@ class RunLengthIndex:
             change = np.concatenate([[0], key[order][1:] != key[order][:-1]])
             rank = np.empty(n, np.int64)
             rank[order] = np.cumsum(change)
-            self.ranks.append((depth, rank))
+            self.ranks.append((depth, rank.astype(np.int32)))
             if depth > longest or rank[order[-1]] == n - 1:
                 break
             key = rank * (n + 1)
