@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+from math import comb
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,26 +15,81 @@ from larkspur.sources.staging import staged
 from .graph import components
 
 
+#: Buckets of more than CROWDED different hashes are split into chunks of about CROWDED / 2; keys of one hash into parts of about PART.
+CROWDED, PART = 4096, 256
+
+
 def dealt(hashes: DataFrame, threshold: int = 5) -> DataFrame:
     """(key, hash, band, value): every hash in each of its bands."""
     return hashes.select("key", "hash", F.explode(X.bands(F.col("hash"), threshold)).alias("b")).select("key", "hash", "b.band", "b.value")
 
 
 def crowded(hashes: DataFrame, threshold: int = 5, most: int = 2500) -> DataFrame:
-    """(band, value, n) of the buckets that are skipped for holding more than `most` hashes."""
+    """(band, value, n) of the buckets that hold more than `most` hashes: a report, and what `edges` skips where told to."""
     return dealt(hashes, threshold).groupBy("band", "value").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most)
 
 
-def edges(hashes: DataFrame, threshold: int = 5, most: int | None = 2500) -> DataFrame:
-    """(a, b, d), a < b: pairs within `threshold` bits, from buckets of at most `most` hashes (None: all)."""
-    rows = dealt(hashes, threshold)
+def masks(count: int, threshold: int) -> list[int]:
+    """Signed masks such that two hashes within the threshold agree under one at least, and few of `count` do by chance."""
+    X.band_edges(threshold)
+    for blocks in range(threshold + 1, 17):
+        kept = blocks - threshold
+        if count * comb(blocks, kept) / 2 ** (64 * kept / blocks) <= 1024:
+            break
+    edges_ = [round(i * 64 / blocks) for i in range(blocks + 1)]
+    block = [(1 << hi) - (1 << lo) for lo, hi in zip(edges_, edges_[1:], strict=False)]
+    whole = [sum(block[i] for i in pick) for pick in combinations(range(blocks), kept)]
+    return [m - (1 << 64) if m >> 63 else m for m in whole]
+
+
+def close_hashes(unique: DataFrame, threshold: int) -> DataFrame:
+    """(x, y, d, px, py): pairs of different hashes within the threshold, each once, of `unique` (hash, parts), a staged table.
+
+    Pairs are compared within buckets of equal bits under a mask and counted under the first mask they agree in.  Crowded
+    buckets are split into chunks, and every pair of chunks is a bucket of its own; the result is the same.
+    """
+    spread = masks(unique.count(), threshold)
+    rows = unique.select("hash", "parts", F.posexplode(F.array(*[F.col("hash").bitwiseAND(F.lit(m)) for m in spread])).alias("pick", "bits"))
+    chunks = F.ceil(F.col("n") * 2 / CROWDED).cast("int").alias("chunks")
+    hot = staged(rows.groupBy("pick", "bits").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CROWDED).select("pick", "bits", chunks), "crowded")
+    if not hot.isEmpty():
+        rows = rows.join(hot, ["pick", "bits"], "left")
+    else:
+        rows = rows.withColumn("chunks", F.lit(None).cast("int"))
+    last = F.coalesce(F.col("chunks") - 1, F.lit(0))
+    rows = rows.withColumn("own", F.coalesce(F.pmod(F.xxhash64("hash"), F.col("chunks")).cast("int"), F.lit(0))).withColumn("last", last)
+    left = rows.select("pick", "bits", F.col("own").alias("lo"), F.explode(F.sequence("own", "last")).alias("hi"), F.col("hash").alias("x"), F.col("parts").alias("px"))
+    right = rows.select("pick", "bits", F.explode(F.sequence(F.lit(0), "own")).alias("lo"), F.col("own").alias("hi"), F.col("hash").alias("y"), F.col("parts").alias("py"))
+    d = X.hamming(F.col("x"), F.col("y"))
+    first = F.array_position(F.array(*[F.col("x").bitwiseAND(F.lit(m)) == F.col("y").bitwiseAND(F.lit(m)) for m in spread]), F.lit(True)) - 1
+    found = left.join(right, ["pick", "bits", "lo", "hi"]).filter(((F.col("lo") < F.col("hi")) | (F.col("x") < F.col("y"))) & (d <= threshold))
+    return found.filter(first == F.col("pick")).select("x", "y", d.alias("d"), "px", "py")
+
+
+def edges(hashes: DataFrame, threshold: int = 5, most: int | None = None) -> DataFrame:
+    """(a, b, d), a < b: all pairs of keys within `threshold` bits.
+
+    Equal hashes are collapsed before pairs are looked for, and the keys of one hash are dealt out in parts when pairs of hashes
+    become pairs of keys.  With `most`, hashes are left out of buckets that hold more rows than that, so pairs can be lost.
+    """
     if most is not None:
-        over = crowded(hashes, threshold, most)
-        rows = rows.join(over.select("band", "value"), ["band", "value"], "left_anti")
-    left = rows.select("band", "value", F.col("key").alias("a"), F.col("hash").alias("ha"))
-    right = rows.select("band", "value", F.col("key").alias("b"), F.col("hash").alias("hb"))
-    d = X.hamming(F.col("ha"), F.col("hb"))
-    return left.join(right, ["band", "value"]).filter((F.col("a") < F.col("b")) & (d <= threshold)).select("a", "b", d.alias("d")).distinct()
+        rows = dealt(hashes, threshold).join(crowded(hashes, threshold, most).select("band", "value"), ["band", "value"], "left_anti")
+        left = rows.select("band", "value", F.col("key").alias("a"), F.col("hash").alias("ha"))
+        right = rows.select("band", "value", F.col("key").alias("b"), F.col("hash").alias("hb"))
+        d = X.hamming(F.col("ha"), F.col("hb"))
+        return left.join(right, ["band", "value"]).filter((F.col("a") < F.col("b")) & (d <= threshold)).select("a", "b", d.alias("d")).distinct()
+    rows = hashes.select("key", "hash").dropna()
+    unique = staged(rows.groupBy("hash").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts"), (F.min("key") < F.max("key")).alias("again")), "unique")
+    same = unique.filter("again").select(F.col("hash").alias("x"), F.col("hash").alias("y"), F.lit(0).alias("d"), F.col("parts").alias("px"), F.col("parts").alias("py"))
+    pairs = close_hashes(unique.select("hash", "parts"), threshold).unionByName(same)
+    pairs = pairs.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("px") - 1))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("py") - 1)))
+    keys = rows.join(unique.select("hash", "parts"), "hash").select("hash", "key", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int").alias("part"))
+    keys = staged(keys, "keys")
+    left = keys.select(F.col("hash").alias("x"), F.col("part").alias("i"), F.col("key").alias("ka"))
+    right = keys.select(F.col("hash").alias("y"), F.col("part").alias("j"), F.col("key").alias("kb"))
+    out = pairs.select("x", "i", "y", "j", "d").join(left, ["x", "i"]).join(right, ["y", "j"])
+    out = out.filter((F.col("ka") < F.col("kb")) | ((F.col("x") != F.col("y")) & (F.col("ka") != F.col("kb"))))
+    return out.select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"), "d").distinct()
 
 
 def _merge(limit: int):
@@ -54,20 +112,24 @@ def _merge(limit: int):
     return run
 
 
-def groups(hashes: DataFrame, threshold: int = 5, slack: int = 3, most: int | None = 2500) -> DataFrame:
+def groups(hashes: DataFrame, threshold: int = 5, slack: int = 3, most: int | None = None) -> DataFrame:
     """(group_id, key): groups of near-duplicates, named after their smallest key.
 
-    Merges never leave a connected component of the edges, so each is grouped by itself; a component is one task's work
-    and is bounded by the bucket limit and the slack in practice, not in principle.
+    Keys of one hash always merge first, so the smallest stands for all of them until the groups are known.  Merges never
+    leave a connected component of the edges, so each is grouped by itself; a component's different hashes are one task's work.
+    `most` goes to `edges`, where it counts different hashes here.
     """
-    hashes = staged(hashes.select("key", "hash"), "hashes")
-    found = staged(edges(hashes, threshold, most), "edges")
+    hashes = hashes.select("key", "hash").dropna().distinct()
+    one = staged(hashes.groupBy("hash").agg(F.min("key").alias("key"), (F.min("key") < F.max("key")).alias("again")), "one")
+    found = staged(edges(one.select("key", "hash"), threshold, most), "edges")
     code = F.xxhash64
     roots = components(found.select(code("a").alias("a"), code("b").alias("b")))
-    wide = found.join(hashes.select(F.col("key").alias("a"), F.col("hash").alias("ha")), "a").join(hashes.select(F.col("key").alias("b"), F.col("hash").alias("hb")), "b")
+    wide = found.join(one.select(F.col("key").alias("a"), F.col("hash").alias("ha")), "a").join(one.select(F.col("key").alias("b"), F.col("hash").alias("hb")), "b")
     wide = wide.withColumn("c", code("a")).join(roots.withColumnRenamed("key", "c"), "c")
-    kind = hashes.schema["key"].dataType.simpleString()
-    return wide.select("root", "a", "b", "ha", "hb", "d").groupBy("root").applyInPandas(_merge(threshold + slack), f"group_id {kind}, key {kind}")
+    kind = one.schema["key"].dataType.simpleString()
+    merged = wide.select("root", "a", "b", "ha", "hb", "d").groupBy("root").applyInPandas(_merge(threshold + slack), f"group_id {kind}, key {kind}")
+    named = one.join(merged, "key", "left").filter(F.col("group_id").isNotNull() | F.col("again")).select("hash", F.coalesce("group_id", "key").alias("group_id"))
+    return hashes.join(named, "hash").select("group_id", "key")
 
 
 def without_copies(grouped: DataFrame, files: DataFrame) -> DataFrame:

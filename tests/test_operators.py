@@ -126,6 +126,21 @@ def test_crowded_buckets_are_told(spark):
     assert similar.edges(df, 5, 7).count() == 0
 
 
+def test_no_pair_is_lost_in_crowded_buckets(spark, monkeypatch):
+    # More equal hashes than the old limit of a bucket, and one that meets them only there.
+    equal = spark.range(2600).selectExpr("id AS key", "7L AS hash").union(spark.createDataFrame([(9000, 6), (9001, -1)], "key long, hash long"))
+    assert similar.edges(equal, 5).count() == 2600 * 2599 // 2 + 2600
+    assert {(r.group_id, r.key) for r in similar.groups(equal).collect()} == {(0, k) for k in [*range(2600), 9000]}
+    # Chunks and parts change nothing.
+    monkeypatch.setattr(similar, "CROWDED", 4)
+    monkeypatch.setattr(similar, "PART", 2)
+    r = random.Random(4)
+    values = [sum(1 << b for b in r.sample(range(12), r.randint(0, 5))) for _ in range(150)]
+    df = spark.createDataFrame(list(enumerate(values)), "key long, hash long")
+    near = {(i, j, (values[i] ^ values[j]).bit_count()) for i, j in itertools.combinations(range(150), 2) if (values[i] ^ values[j]).bit_count() <= 3}
+    assert sorted(map(tuple, similar.edges(df, 3).collect())) == sorted(near)
+
+
 def test_flags_and_spans(spark):
     g = spark.createDataFrame([(1, p) for p in "abcd"] + [(2, "e"), (2, "f")], "group_id int, path string")
     files = spark.createDataFrame([("a", 5, 10, 10, "exif", "2001-01-01T00:00:00"), ("b", 6, 10, 10, "exif", "2001-01-01T00:01:05"), ("c", 9, None, 10, "mtime", "2020-01-01T00:00:00"), ("d", 1, 1, 1, "exif", "nonsense"), ("e", 1, 1, 1, "exif", "2001-01-01T00:00:00"), ("f", 1, 1, 1, None, None)], "path string, size long, width int, height int, date_source string, taken_at string")
