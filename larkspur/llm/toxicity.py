@@ -151,8 +151,9 @@ def fit(docs: DataFrame, labels: DataFrame, most_positive: int = MOST_POSITIVE,
     """A model from rows that are not held out: toxic ones as positives, those without label as unlabelled text.
 
     Only whether a row is toxic, and the share of toxic among labelled rows (the prior), is learned from labels.  Null
-    labels count as none; of several labels for an id the largest counts.  Without any positive or unlabelled text the
-    model has no weights and scores every text with the prior.
+    labels count as none; of several labels for an id the largest counts.  Where rows without label are fewer than `most_unlabelled` and
+    than labelled ones, all rows, whatever their label, are the unlabelled text.  Without any positive or unlabelled text
+    the model has no weights and scores every text with the prior.
     """
     labels = labels.select("doc_id", "toxic").dropna().groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     labels = labels.filter(~held_out(labels))
@@ -167,7 +168,12 @@ def fit(docs: DataFrame, labels: DataFrame, most_positive: int = MOST_POSITIVE,
     ids = ids.filter(draw(ids) < share(most_positive, told.k or 0)).select("doc_id", F.lit(1).alias("y"))
     some = docs.select("doc_id").dropna()
     some = some.filter(~held_out(some))
-    few = some.filter(draw(some) < share(most_unlabelled, max(1, docs.count() - (told.n or 0)))).join(labels, "doc_id", "left_anti").select("doc_id", F.lit(0).alias("y"))
+    count = docs.count()
+    if some.join(labels, "doc_id", "left_anti").count() < min(most_unlabelled, told.n):
+        few = some.filter(draw(some) < share(most_unlabelled, count))
+    else:
+        few = some.filter(draw(some) < share(most_unlabelled, max(1, count - told.n))).join(labels, "doc_id", "left_anti")
+    few = few.select("doc_id", F.lit(0).alias("y"))
     # Both lists of ids are bounded by the parameters, so they can be broadcast.
     chosen = ids.unionByName(few).select(F.col("doc_id").alias("_id"), "y")
     kind = docs.schema["doc_id"].dataType.simpleString()

@@ -1,6 +1,7 @@
 """Each operator against a plain version of its definition, on hostile rows, empty tables and the small tables."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -101,6 +102,19 @@ def test_toxicity_takes_any_rows(spark, docs, empty):
     assert all(r.score == pytest.approx(none.prior) for r in toxicity.score(docs, none).collect())
 
 
+def test_toxicity_where_every_row_is_labelled(spark):
+    r = random.Random(3)
+    plain = [f"calm{k}" + "abcdefghij"[k % 10] for k in range(60)]
+    text = lambda toxic: " ".join(r.sample(plain, 15) + ["venomous", "wretched"] * toxic)
+    docs = spark.createDataFrame([(i, text(i % 5 == 0)) for i in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(400)], "doc_id long, toxic int")
+    labels = labels.filter("doc_id % 50 <> 49")  # a few rows without label are too few
+    rows = toxicity.score(docs, toxicity.fit(docs, labels)).collect()
+    assert np.mean([(x.score >= 0.5) == (x.doc_id % 5 == 0) for x in rows]) > 0.95
+    rows = toxicity.score(docs, toxicity.fit(docs, labels.unionByName(docs.selectExpr("doc_id", "0 AS toxic")))).collect()
+    assert np.mean([(x.score >= 0.5) == (x.doc_id % 5 == 0) for x in rows]) > 0.95
+
+
 # 3: mixing
 
 
