@@ -1,35 +1,44 @@
 """Suffix-array dedup of long repeats with a run-length index.
 
-Which strings can repeat at all is found by minimizers: of the k-mers of every window of `length` bytes the one with the least hash is
-its anchor, a function of the window's content alone, so equal windows have equal anchors at equal offsets.  Windows in a row
-that share an anchor form a context.  Contexts are brought together by anchor; equal ones collapse at once, first where they are
-read, then by anchor.  Where an anchor has different contexts, one text of each goes into a run-length index: the suffix array of
-the contexts gives a run-compressed Burrows-Wheeler transform with samples at the ends of its runs; matching statistics are
-computed at run heads alone and streamed along the text, and rows whose statistic reaches `length` are the long matches.
-Anchors with very many contexts have these cut into single windows, which collapse as whole contexts do.
+Windows of `length` bytes are brought together by anchors: of the k-mers of a window the one with the least hash, a function of
+the window's content alone, so equal windows have equal anchors at equal offsets.  Windows in a row that share an anchor form a
+context.  Contexts whose anchor occurs again go, with their bytes, to the task of the anchor.  There equal contexts
+collapse by their bytes, and where an anchor has different ones these make up a run-length index: a run-compressed
+Burrows-Wheeler transform with suffix samples at the ends of its runs.  The suffix array is dropped once that is built.
+Matching statistics are found by comparing bytes at run heads alone and streamed along the text; where they reach `length`, the
+samples also tell which place matches, so that chains of places lead to the earliest one of every long match.
+Anchors with very many contexts are anchored anew by longer k-mers, in the end by whole windows, and take the same path.
+Hashes only decide where bytes meet: nothing is removed but for equal bytes.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged, unstage
+from .common import staged
 
+#: Length of the first anchors.
 K = 32
-#: Bytes hashed at a time, and of contexts indexed together; an anchor with more contexts than CROWDED is cut into windows.
-CHUNK, BLOCK, CROWDED = 480_000, 1 << 20, 4096  # two chunks have fewer bytes than 2 ** POSITION_BITS
-POSITION_BITS = 20
-NO_ID = -(1 << 63)
+#: Bytes hashed at a time, bytes of contexts indexed and gathered together, and rows of one anchor above which it is anchored anew.
+CHUNK, BLOCK, GATHERED, CROWDED = 480_000, 1 << 20, 1 << 22, 2048
+#: A chunk has fewer bytes than 2 ** POSITION_BITS, a text fewer than 2 ** PLACE_BITS.
+POSITION_BITS, PLACE_BITS = 20, 40
 MULTIPLIER = 0x9E3779B97F4A7C15
 _tables: dict[str, np.ndarray] = {}
 
 
+def levels(length: int) -> list[int]:
+    """Lengths of anchors: for all windows, and for those whose anchors are crowded at the length before."""
+    return sorted({K, (K + length) // 2, length})
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Powers of an odd base and of its inverse modulo 2 ** 64, and a random word for each byte."""
     if len(_tables.get("up", ())) < n:
@@ -48,7 +57,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 class Hashes:
-    """Hashes of any substrings of a buffer."""
+    """Hashes of any substrings of a buffer; they decide where bytes are compared, not whether these are equal."""
 
     def __init__(self, data: np.ndarray):
         up, self.down, word = _powers(len(data) + 1)
@@ -58,344 +67,426 @@ class Hashes:
         return _mix((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(np.uint64))
 
 
-def contexts(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+def contexts(data: np.ndarray, ends: np.ndarray, length: int, k: int = K) -> tuple[np.ndarray, ...]:
     """(anchor hash, context hash, first window, last window) of a buffer of texts that end at `ends`."""
-    n, wide = len(data) - length + 1, length - K + 1
+    n, wide = len(data) - length + 1, length - k + 1
     none = np.empty(0, np.int64)
     if n <= 0:
         return none.view(np.uint64), none.view(np.uint64), none, none
     hashes = Hashes(data)
-    at = np.arange(len(data) - K + 1)
-    kmers = hashes.of(at, at + K)
+    at = np.arange(len(data) - k + 1)
+    kmers = hashes.of(at, at + k)
     least = (kmers >> np.uint64(POSITION_BITS) << np.uint64(POSITION_BITS)) | at.astype(np.uint64)
     width = 1
     while 2 * width <= wide:
         least = np.minimum(least[:-width], least[width:])
         width *= 2
-    least = np.minimum(least[: n + 0], least[wide - width : wide - width + n]) if wide > width else least[:n]
+    least = np.minimum(least[:n], least[wide - width : wide - width + n]) if wide > width else least[:n]
     anchor = (least & np.uint64((1 << POSITION_BITS) - 1)).astype(np.int64)
     start = np.arange(n)
-    inside = start + length <= ends[np.searchsorted(ends, start, "right")]
-    change = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | ~inside[:-1]]) & inside
-    first = np.flatnonzero(change)
-    stop = np.concatenate([[True], (anchor[:-1] != anchor[1:]) | ~inside[1:]])
-    last = np.flatnonzero(np.concatenate([stop[1:], [True]]) & inside)
+    text = np.searchsorted(ends, start, "right")
+    inside = (text < len(ends)) & (start + length <= ends[np.minimum(text, len(ends) - 1)])
+    first = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | ~inside[:-1]]) & inside)
+    last = np.flatnonzero(np.concatenate([(anchor[1:] != anchor[:-1]) | ~inside[1:], [True]]) & inside)
     return kmers[anchor[first]], hashes.of(first, last + length), first, last
 
 
-def pieces(ids: list[int], texts: Iterable[bytes], length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Buffers of about CHUNK bytes of whole texts; longer texts in pieces that overlap by length - 1 bytes.
+def chunked(data: np.ndarray, ends: np.ndarray, length: int, k: int) -> tuple[np.ndarray, ...]:
+    """`contexts` of a buffer of any size, CHUNK bytes at a time; chunks overlap by length - 1 bytes."""
+    found = []
+    for at in range(0, max(1, len(data) - length + 1), CHUNK):
+        h, c, first, last = contexts(data[at : at + CHUNK + length - 1], ends - at, length, k)
+        found.append((h, c, first + at, last + at))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
-    Yields the bytes, and the end in them, the id and the offset in its text of each part.
-    """
-    held: list[tuple[int, int, bytes]] = []
-    size = 0
 
-    def give():
-        ends = np.cumsum([len(t) for _, _, t in held])
-        return np.frombuffer(b"".join(t for _, _, t in held), np.uint8), ends, np.array([i for i, _, _ in held], np.int64), np.array([o for _, o, _ in held], np.int64)
+def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of a column of texts, and where each starts and ends in them; null is empty."""
+    wide = column.cast(pa.large_binary())
+    offsets = np.frombuffer(wide.buffers()[1], np.int64)[wide.offset : wide.offset + len(wide) + 1] if len(wide) else np.zeros(1, np.int64)
+    data = np.frombuffer(wide.buffers()[2], np.uint8) if wide.buffers()[2] is not None else np.empty(0, np.uint8)
+    start, end = offsets[:-1], offsets[1:]
+    return data, start, np.where(np.asarray(wide.is_null()), start, end) if wide.null_count else end
 
-    for i, t in zip(ids, texts, strict=True):
-        for offset in range(0, max(1, len(t) - length + 1), CHUNK):
-            part = t[offset : offset + CHUNK + length - 1]
-            if len(part) < length:
-                continue
-            held.append((i, offset, part))
-            size += len(part)
-            if size >= CHUNK:
-                yield give()
-                held, size = [], 0
-    if held:
-        yield give()
 
+def gathered(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pieces start to end of a buffer, one after the other, and their ends."""
+    ends = np.cumsum(end - start)
+    return data[np.repeat(start - (ends - (end - start)), end - start) + np.arange(ends[-1] if len(ends) else 0)], ends
 
-ROWS = ("kind", "h", "c", "id", "lo", "hi")
-#: Kinds of rows: windows lo to hi that are removed; a context; a context whose text is wanted.
-GONE, CONTEXT, WANTED = 0, 1, 2
 
+def ranked(ids: pa.Array, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Dense rank of each row by (id, hash of the text), null ids first, and a row of each rank."""
+    by_id = pc.rank(ids, null_placement="at_start", tiebreaker="dense").to_numpy() if len(ids) else np.empty(0, np.int64)
+    order = np.lexsort((t, by_id))
+    new = np.concatenate([[True], (by_id[order][1:] != by_id[order][:-1]) | (t[order][1:] != t[order][:-1])])[: len(order)]
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.cumsum(new) - 1
+    return rank, order[new]
 
-def _batch(kind, h, c, i, lo, hi) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x, np.int64)) for x in (np.broadcast_to(kind, len(i)), h, c, i, lo, hi)], names=ROWS)
 
-
-def merged(i: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def merged(key: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Ranges that follow each other in one text, joined."""
-    order = np.lexsort((lo, i))
-    i, lo, hi = i[order], lo[order], hi[order]
-    new = np.concatenate([[True], (i[1:] != i[:-1]) | (lo[1:] != hi[:-1] + 1)]) if len(i) else np.empty(0, bool)
+    order = np.lexsort((lo, key))
+    key, lo, hi = key[order], lo[order], hi[order]
+    new = np.concatenate([[True], (key[1:] != key[:-1]) | (lo[1:] != hi[:-1] + 1)]) if len(key) else np.empty(0, bool)
     at = np.flatnonzero(new)
-    return i[at], lo[at], hi[np.append(at[1:], len(i)) - 1] if len(i) else hi
+    return key[at], lo[at], hi[np.append(at[1:], len(key)) - 1] if len(key) else hi
+
+
+#: Kinds of rows: windows lo to hi that are removed; a context; a context whose bytes are wanted; one whose anchor is crowded.
+GONE, CONTEXT, WANTED, CROWD = 0, 1, 2, 3
+ROWS = ("kind", "h", "id", "t", "lo", "hi")
+
+
+def _rows(kind, h, ids: pa.Array, t, lo, hi) -> pa.RecordBatch:
+    numbers = [pa.array(np.ascontiguousarray(x, np.int64)) for x in (np.broadcast_to(kind, len(ids)), h, t, lo, hi)]
+    return pa.RecordBatch.from_arrays([*numbers[:2], ids, *numbers[2:]], names=ROWS)
+
+
+def _anchored(data: np.ndarray, ends: np.ndarray, length: int, k: int, ids: pa.Array, t: np.ndarray, shift: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Contexts of the pieces of a buffer that end at `ends`; those equal to an earlier one of the buffer are gone already.
+
+    ids, t: of the text that each piece belongs to; shift: what takes places of the buffer to places of that text.
+    """
+    h, c, first, last = chunked(data, ends, length, k)
+    piece = np.searchsorted(ends, first, "right")
+    rank, pick = ranked(ids, t)
+    key, lo, hi = rank[piece], first + shift[piece], last + shift[piece]
+    order = np.lexsort((lo, key, c, h))
+    h, c, key, lo, hi, first = (x[order] for x in (h, c, key, lo, hi, first))
+    alike = np.concatenate([[False], (h[1:] == h[:-1]) & (c[1:] == c[:-1]) & (hi[1:] - lo[1:] == hi[:-1] - lo[:-1])])[: len(h)]
+    head = np.maximum.accumulate(np.where(alike, 0, np.arange(len(h)))) if len(h) else np.empty(0, np.int64)
+    some = np.flatnonzero(alike)
+    raw, size = data.tobytes() if len(some) else b"", (hi - lo + length)[some]
+    same = [raw[a : a + n] == raw[b : b + n] for a, b, n in zip(first[some].tolist(), first[head[some]].tolist(), size.tolist(), strict=True)]
+    alike[some] = np.array(same, bool)
+    again = alike & ((key != key[head]) | (lo != lo[head]))  # a row that repeats brings the very same place: only once
+    gone = merged(key[again], lo[again], hi[again])
+    yield _rows(GONE, _mix(gone[0].view(np.uint64)), ids.take(pa.array(pick[gone[0]])), t[pick[gone[0]]], gone[1], gone[2])
+    key, lo, hi, h = (x[~alike] for x in (key, lo, hi, h))
+    yield _rows(CONTEXT, h.view(np.int64), ids.take(pa.array(pick[key])), t[pick[key]], lo, hi)
+
+
+def _read(length: int, k: int):
+    """Contexts of a batch of texts (id, t, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, start, end = buffers(batch.column(2))
+            if len(start):
+                yield from _anchored(data[start[0] : end[-1]], end - start[0], length, k, batch.column(0), batch.column(1).to_numpy(), start[0] - start)
+
+    return run
 
 
-def _read(length: int):
-    """Contexts of a batch of texts; those equal to an earlier one of the batch are gone already."""
+def _several(most: int, over: int):
+    """Of rows sorted by anchor those whose anchor has others, as the kind WANTED; of anchors with more than `most` rows as `over`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, flood = None, None  # rows of the last anchor, not given out yet; or that anchor, if they were for being over `most`
         for batch in batches:
-            ids = [NO_ID if x is None else x for x in batch.column(0).to_pylist()]
-            texts = ((x.as_py() or "").encode("utf-8", "replace") for x in batch.column(1))  # one at a time
-            found = []
-            for data, ends, of, offset in pieces(ids, texts, length):
-                h, c, first, last = contexts(data, ends, length)
-                part = np.searchsorted(ends, first, "right")
-                shift = offset[part] - np.concatenate([[0], ends[:-1]])[part]
-                found.append((h.view(np.int64), c.view(np.int64), of[part], first + shift, last + shift))
-            if not found:
+            kind = batch.column("kind").to_numpy()
+            if (kind == GONE).any():
+                yield batch.filter(pa.array(kind == GONE))
+                batch = batch.filter(pa.array(kind != GONE))
+            if flood is not None and batch.num_rows:
+                more = batch.column("h").to_numpy() == flood
+                yield _as(batch.filter(pa.array(more)), over)
+                batch = batch.filter(pa.array(~more))
+            if not batch.num_rows:
                 continue
-            h, c, i, lo, hi = (np.concatenate(x) for x in zip(*found, strict=True))
-            order = np.lexsort((lo, i, c, h))
-            h, c, i, lo, hi = h[order], c[order], i[order], lo[order], hi[order]
-            again = np.concatenate([[False], (h[1:] == h[:-1]) & (c[1:] == c[:-1]) & ((i[1:] != i[:-1]) | (lo[1:] != lo[:-1]))])
-            gi, glo, ghi = merged(i[again], lo[again], hi[again])
-            yield _batch(GONE, _mix(gi.view(np.uint64)).view(np.int64), np.zeros(len(gi)), gi, glo, ghi)
-            yield _batch(CONTEXT, *(x[~again] for x in (h, c, i, lo, hi)))
+            rows = pa.concat_batches([held, batch]) if held is not None else batch
+            h = rows.column("h").to_numpy()
+            starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+            sizes = np.diff(np.append(starts, len(h)))
+            whole = np.repeat(np.where(sizes > most, over, np.where(sizes > 1, WANTED, CONTEXT)), sizes)
+            flood = h[-1] if sizes[-1] > most else None
+            held = None if flood is not None else rows.slice(int(starts[-1]))
+            upto = len(h) if held is None else int(starts[-1])
+            for k in (WANTED, CROWD):
+                yield _as(rows.slice(0, upto).filter(pa.array(whole[:upto] == k)), k)
+        if held is not None and held.num_rows > 1:
+            yield _as(held, WANTED)
 
     return run
 
 
-def _collapse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by anchor, context and place: repeats are gone, and the first of each context is wanted if its anchor has several."""
-    before = None  # the first row of the anchor's first context if not given out, and anchor, context and place of the last row
-    for batch in batches:
-        kind, h, c, i, lo, hi = (x.to_numpy() for x in batch.columns)
-        passed = kind == GONE
-        if passed.any():
-            yield _batch(GONE, *(x[passed] for x in (h, c, i, lo, hi)))
-            h, c, i, lo, hi = (x[~passed] for x in (h, c, i, lo, hi))
-        if not len(h):
-            continue
-        ph, pc, pi, plo, held = before if before else (~h[0], c[0], i[0], lo[0], None)
-        lh, lc, li, llo = (np.concatenate([[p], x[:-1]]) for p, x in ((ph, h), (pc, c), (pi, i), (plo, lo)))
-        new_h, new_c = h != lh, (h != lh) | (c != lc)
-        more = new_c & ~new_h  # a further context of the same anchor
-        group = np.cumsum(new_h)  # 0: the anchor that the last batch ended with
-        several = np.zeros(group[-1] + 1, bool)
-        several[group[more]] = True
-        if held is not None and several[0]:
-            yield _batch(WANTED, *([x] for x in held))
-            held = None
-        want = more | (new_h & several[group])
-        again = ~new_c & ((i != li) | (lo != llo))
-        yield _batch(WANTED, *(x[want] for x in (h, c, i, lo, hi)))
-        yield _batch(GONE, *(x[again] for x in (h, c, i, lo, hi)))
-        firsts = np.flatnonzero(new_h)
-        if len(firsts):
-            at = firsts[-1]
-            held = None if want[at] else tuple(x[at] for x in (h, c, i, lo, hi))
-        before = (h[-1], c[-1], i[-1], lo[-1], held)
+def _as(rows: pa.RecordBatch, kind: int) -> pa.RecordBatch:
+    return rows.set_column(0, "kind", pa.array(np.full(rows.num_rows, kind, np.int64)))
+
+
+def _fetch(length: int, k: int | None, most: int):
+    """(h, id, t, lo, bytes) of the wanted contexts of (id, t, text, wanted); or with k their windows, anchored anew; about `most` bytes at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = None
+        for batch in batches:
+            ids, t, (data, start, _) = batch.column(0), batch.column(1).to_numpy(), buffers(batch.column(2))
+            wanted = batch.column(3)
+            # Rows of one id and text stand together: one of them is enough.
+            rank, _ = ranked(ids, t)
+            new = np.concatenate([[True], rank[1:] != rank[:-1]])[: len(rank)]
+            if len(rank):
+                new[0] = before != (ids[0], t[0])
+                before = (ids[-1], t[-1])
+            row = np.repeat(np.arange(len(wanted)), np.asarray(wanted.value_lengths()))
+            h, lo, hi = (np.asarray(wanted.flatten().field(x)) for x in ("h", "lo", "hi"))
+            row, h, lo, hi = (x[new[row]] for x in (row, h, lo, hi))
+            part = np.cumsum(hi - lo + length) // most
+            for cut in range(int(part[-1]) + 1 if len(part) else 0):
+                a, b = np.searchsorted(part, [cut, cut + 1])
+                if a == b:
+                    continue
+                r, x, y = row[a:b], lo[a:b], hi[a:b]
+                got, ends = gathered(data, start[r] + x, start[r] + y + length)
+                own, own_t = ids.take(pa.array(r)), t[r]
+                if k:
+                    yield from _anchored(got, ends, length, k, own, own_t, x - np.concatenate([[0], ends[:-1]]))
+                    continue
+                offsets = pa.py_buffer(np.concatenate([[0], ends]).astype(np.int32))
+                strings = pa.Array.from_buffers(pa.binary(), b - a, [None, offsets, pa.py_buffer(np.ascontiguousarray(got))])
+                yield pa.RecordBatch.from_arrays([pa.array(h[a:b]), own, pa.array(own_t), pa.array(x), strings], names=["h", "id", "t", "lo", "bytes"])
+
+    return run
 
 
 class RunLengthIndex:
-    """Run-compressed Burrows-Wheeler transform of a collection, sampled at run ends, with matching statistics.
+    """Run-compressed Burrows-Wheeler transform of a collection of strings, with samples at the ends of its runs.
 
-    Strings are told apart by a separator below all bytes; no match reaches over one.
+    data: the strings, each followed by one byte of any value that stands for a separator below all others; starts: where they
+    start.  No match reaches over a separator.  Kept are the runs' symbols and, for each run head, its place in the text and
+    the place of the suffix above it, which ends the run before; the suffix array itself isn't.
     """
 
-    def __init__(self, strings: list[bytes]):
-        self.starts = np.concatenate([[0], np.cumsum([len(s) + 1 for s in strings])])[:-1].astype(np.int64)
-        text = np.zeros(sum(map(len, strings)) + len(strings), np.int64)
-        joined = np.frombuffer(b"\x00".join(strings) + b"\x00", np.uint8)
-        text[: len(joined)] = joined.astype(np.int64) + 1
-        separators = self.starts + np.array([len(s) for s in strings], np.int64)
-        text[separators] = 0
-        self.text, n = text, len(text)
-        self.rest = np.repeat(separators, np.diff(np.append(self.starts, n))) - np.arange(n)  # bytes to the end of the string
-        longest = max(map(len, strings), default=0)
-        # Suffixes in order, by doubling: seven symbols at once, then ranks of 7, 14, 28, ... symbols.  Each is compared to
-        # the end of its string only, and equal ones stand in the order of their strings, as if separators rose.
-        padded = np.concatenate([text, np.zeros(8, np.int64)])
-        key = np.zeros(n, np.int64)
-        for k in range(7):
-            key = (key << 9) | np.where(self.rest >= k, padded[k : n + k], 0)
-        self.ranks, depth = [], 7
+    def __init__(self, data: np.ndarray, starts: np.ndarray):
+        n = len(data)
+        ends = np.append(starts[1:], n) - 1
+        self.rest = np.repeat(ends, ends + 1 - starts) - np.arange(n)  # bytes to the end of the string
+        self.word = np.zeros(n, np.uint64)  # eight bytes from each place on
+        padded = np.concatenate([data, np.zeros(8, np.uint8)])
+        for k in range(8):
+            self.word = (self.word << np.uint64(8)) | padded[k : n + k]
+        known = np.zeros(256, bool)
+        known[data] = True
+        code = np.cumsum(known)
+        symbol = code[data]
+        symbol[ends] = 0
+        order = self._sorted(symbol, int(code[-1]), np.repeat(np.arange(len(starts)), ends + 1 - starts), int((ends - starts).max(initial=0)))
+        bwt = symbol[order - 1]
+        # A row heads a run if its symbol differs from the one above; nothing runs on over a separator.
+        heads = np.flatnonzero(np.concatenate([[True], (bwt[1:] != bwt[:-1]) | (bwt[1:] == 0)]))[:n]
+        by_place = np.argsort(order[heads])
+        self.symbols = bwt[heads]
+        self.sample = order[heads][by_place]
+        self.above = np.where(heads > 0, order[heads - 1], -1)[by_place]
+        self.n = n
+
+    def _sorted(self, symbol: np.ndarray, largest: int, string: np.ndarray, longest: int) -> np.ndarray:
+        """Suffixes in order, each compared to the end of its string only, equal ones in the order of their strings.
+
+        As many symbols as fit a word are compared at first; then ranks of so many, as many as fit, and so on.
+        """
+        n, depth, value, top = len(symbol), 1, symbol, largest
         while True:
-            order = np.argsort(key, kind="stable")
-            change = np.concatenate([[0], key[order][1:] != key[order][:-1]])
+            bits = int(top + 1).bit_length()
+            terms = max(2, 63 // bits)
+            key = np.zeros(n, np.int64)
+            for k in range(terms):
+                at = k * depth
+                key <<= bits
+                if at < n:
+                    key[: n - at] += np.where(self.rest[: n - at] >= at, value[at:] + 1, 0)
+            order = np.argsort(key)
+            depth *= terms
             rank = np.empty(n, np.int64)
-            rank[order] = np.cumsum(change)
-            self.ranks.append((depth, rank.astype(np.int32)))
-            if depth > longest or rank[order[-1]] == n - 1:
-                break
-            key = rank * (n + 1)
-            if depth < n:
-                key[: n - depth] += np.where(self.rest[: n - depth] >= depth, rank[depth:] + 1, 0)
-            depth *= 2
-        self.order = order
-        bwt = text[order - 1]
-        bwt[order == 0] = 0
-        # A row heads a run if its symbol differs from the one above; nothing runs on over a separator.
-        self.heads = np.flatnonzero(np.concatenate([[True], (bwt[1:] != bwt[:-1]) | (bwt[1:] == 0)])) if n else np.empty(0, np.int64)
-        self.symbols = bwt[self.heads]
-        self.head_sample = order[self.heads]
-        self.end_above = np.where(self.heads > 0, order[self.heads - 1], -1)  # sample at the end of the run above
+            rank[order] = np.cumsum(np.concatenate([[0], key[order][1:] != key[order][:-1]]))
+            value, top = rank, int(rank[order[-1]])
+            if depth > longest or top == n - 1:
+                return order if top == n - 1 else np.argsort(rank * (int(string[-1]) + 1) + string)
 
     def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Length of the longest common prefix of the suffixes at a and b, within their strings."""
-        most, got, n = np.minimum(self.rest[a], self.rest[b]), np.zeros(len(a), np.int64), len(self.text)
-        for depth, rank in [self.ranks[-1], *reversed(self.ranks)]:
-            x, y = np.minimum(a + got, n - 1), np.minimum(b + got, n - 1)
-            got += depth * ((rank[x] == rank[y]) & (got < most))
-        for _ in range(6):
-            x, y = np.minimum(a + got, n - 1), np.minimum(b + got, n - 1)
-            got += (self.text[x] == self.text[y]) & (got < most)
+        """Length of the longest common prefix of the suffixes at a and b, within their strings, by comparing bytes."""
+        most = np.minimum(self.rest[a], self.rest[b])
+        got, open_ = np.zeros(len(a), np.int64), np.flatnonzero(most > 0)
+        while len(open_):
+            at = got[open_]
+            apart = self.word[a[open_] + at] ^ self.word[b[open_] + at]
+            got[open_] += sum((apart < np.uint64(1 << bits)).astype(np.int64) for bits in range(0, 64, 8))
+            open_ = open_[(apart == 0) & (got[open_] < most[open_])]
         return np.minimum(got, most)
 
-    def statistics(self) -> np.ndarray:
-        """For each place of the text the length of its longest match with the suffix above it in order.
-
-        Found at run heads; along the text every other place has one less than the place before it.
-        """
-        n = len(self.text)
-        length, source = np.zeros(n, np.int64), np.full(n, -1)
-        known = self.end_above >= 0
-        length[self.head_sample[known]] = self.common(self.head_sample[known], self.end_above[known])
-        source[self.head_sample] = self.head_sample
-        source = np.maximum.accumulate(source)
-        return np.maximum(0, length[source] - (np.arange(n) - source))
-
     def matches(self, length: int) -> tuple[np.ndarray, np.ndarray]:
-        """(class, place) of the places that share a string of `length` bytes with another place, class by class."""
-        class_ = np.cumsum(self.statistics()[self.order] < length)
-        times = np.bincount(class_)
-        some = times[class_] > 1
-        return class_[some], self.order[some]
-
-
-def block_repeats(strings: list[bytes], ids: np.ndarray, los: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(id, start) of the windows of these contexts (text `ids`, first byte `los`) that occur at an earlier place of them."""
-    index = RunLengthIndex(strings)
-    class_, place = index.matches(length)
-    of = np.searchsorted(index.starts, place, "right") - 1
-    i, start = ids[of], los[of] + place - index.starts[of]
-    order = np.lexsort((start, i, class_))
-    class_, i, start = class_[order], i[order], start[order]
-    again = np.concatenate([[False], (class_[1:] == class_[:-1])]) if len(class_) else np.empty(0, bool)
-    # The first of each class stays, and so do its repeats at the very same place (repeated rows).
-    head = np.maximum.accumulate(np.where(~again, np.arange(len(again)), 0)) if len(again) else np.empty(0, np.int64)
-    again &= (i != i[head]) | (start != start[head])
-    return i[again], start[again]
-
-
-def _fetch(length: int, windows: bool):
-    """Texts of the wanted contexts, or the hashes of their single windows."""
+        """(place, class) of the places that share a string of `length` bytes with another; a class is one of its places.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = []
-            for i, text, wanted in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                raw = text.encode("utf-8", "replace")
-                if windows:
-                    for w in wanted:
-                        data = np.frombuffer(raw[w["lo"] : w["hi"] + length], np.uint8)
-                        at = np.arange(w["hi"] - w["lo"] + 1)
-                        found.append((np.full(len(at), w["h"]), Hashes(data).of(at, at + length).view(np.int64), np.full(len(at), i), at + w["lo"]))
-                else:
-                    found += [(w["h"], i, w["lo"], raw[w["lo"] : w["hi"] + length]) for w in wanted]
-            if not found:
-                continue
-            if windows:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], names=["h", "c", "id", "lo"])
-            else:
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*found, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["h", "id", "lo", "bytes"])
-
-    return run
+        The statistic of a place is the length of its match with the suffix above it in order: it is found at run heads, and
+        along the text every other place has one less than the place before it, matching one further on.
+        """
+        head = np.searchsorted(self.sample, np.arange(self.n), "right") - 1
+        found = np.zeros(len(self.sample), np.int64)
+        known = np.flatnonzero(self.above >= 0)
+        found[known] = self.common(self.sample[known], self.above[known])
+        on = np.arange(self.n) - self.sample[head]
+        linked = np.flatnonzero(found[head] - on >= length)
+        parent = np.arange(self.n)
+        parent[linked] = self.above[head[linked]] + on[linked]
+        some = np.zeros(self.n, bool)
+        some[linked] = some[parent[linked]] = True
+        while True:
+            up = parent[parent]
+            if np.array_equal(up, parent):
+                break
+            parent = up
+        place = np.flatnonzero(some)
+        return place, parent[place]
 
 
-def _index(length: int):
-    """Windows gone, from contexts sorted by anchor: whole anchors are indexed together, up to about BLOCK bytes."""
+def block_repeats(code: np.ndarray, place: np.ndarray, anchor: np.ndarray, data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, first window, last window) of the windows that also start at an earlier place, for occurrences of strings.
 
-    def give(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
-        _, ids, los, strings = zip(*rows, strict=True)
-        i, start = block_repeats(list(strings), np.array(ids, np.int64), np.array(los, np.int64), length)
-        i, lo, hi = merged(i, start, start)
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (i, lo, hi)], names=["id", "lo", "hi"])
+    code: which string an occurrence is of, place: where it starts, a text and a place in it as one number, anchor: of
+    each occurrence; data, ends: the strings.
+    """
+    size = np.diff(ends, prepend=0)
+    first = np.full(len(ends), np.iinfo(np.int64).max)
+    np.minimum.at(first, code, place)
+    later = place > first[code]
+    gone = [(place[later], (size[code] - length)[later])]
+    # Strings of one anchor that has others make up the index.
+    of = np.zeros(len(ends), np.int64)
+    of[code] = anchor
+    order = np.argsort(of, kind="stable")
+    same = of[order][1:] == of[order][:-1]
+    some = np.sort(order[np.append(same, False) | np.append(False, same)]) if len(order) else order
+    if len(some):
+        text, stops = gathered(np.append(data, np.uint8(0)), ends[some] - size[some], ends[some] + 1)  # one byte more, for the separator
+        starts = np.append(0, stops[:-1])
+        at, class_ = RunLengthIndex(text, starts).matches(length)
+        string = np.searchsorted(starts, at, "right") - 1
+        window = first[some[string]] + at - starts[string]
+        least = np.full(len(text), np.iinfo(np.int64).max)
+        np.minimum.at(least, class_, window)
+        window = window[window != least[class_]]
+        gone.append((window, np.zeros(len(window), np.int64)))
+    start, width = (np.concatenate(x) for x in zip(*gone, strict=True))
+    lo = start & ((1 << PLACE_BITS) - 1)
+    return merged(start >> PLACE_BITS, lo, lo + width)
+
+
+def _index(length: int, block: int):
+    """Windows gone, of contexts sorted by anchor: whole anchors are indexed together, about `block` bytes and a batch at a time."""
+
+    def give(rows: pa.RecordBatch) -> pa.RecordBatch:
+        h, ids, t, lo, strings = rows.columns
+        coded, t = strings.dictionary_encode(), t.to_numpy()
+        rank, pick = ranked(ids, t)
+        data, start, end = buffers(coded.dictionary)
+        key, lo, hi = block_repeats(coded.indices.to_numpy(), (rank << PLACE_BITS) + lo.to_numpy(), h.to_numpy(), data[start[0] : end[-1]], end - start[0], length)
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(pick[key])), pa.array(t[pick[key]]), pa.array(lo), pa.array(hi)], names=["id", "t", "lo", "hi"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, int, int, bytes]] = []
+        held: list[pa.RecordBatch] = []
         size = 0
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if size >= BLOCK and row[0] != held[-1][0]:
-                    yield give(held)
-                    held, size = [], 0
-                held.append(row)
-                size += len(row[3])
+            held.append(batch)
+            size += batch.nbytes
+            if size < block:
+                continue
+            rows = pa.concat_batches(held)
+            h = rows.column(0).to_numpy()
+            cut = int(np.searchsorted(h, h[-1]))  # the last anchor may go on
+            if cut:
+                yield give(rows.slice(0, cut))
+            elif size >= 8 * block:
+                later, rows = _settled(rows, length)
+                yield later
+            held = [rows.take(pa.array(np.arange(cut, rows.num_rows)))]
+            size = held[0].nbytes if cut or size >= 8 * block else size
         if held:
-            yield give(held)
+            yield give(pa.concat_batches(held))
 
     return run
 
 
-def _cleaned(length: int):
-    """Each text without the removed bytes, and how much that is."""
+def _settled(rows: pa.RecordBatch, length: int) -> tuple[pa.RecordBatch, pa.RecordBatch]:
+    """Windows gone with contexts equal to an earlier one of these rows, and the rows of the first of each."""
+    _, ids, t, lo, strings = rows.columns
+    code, (rank, _) = strings.dictionary_encode().indices.to_numpy(), ranked(ids, t.to_numpy())
+    order = np.lexsort((lo.to_numpy(), rank, code))
+    again = np.concatenate([[False], code[order][1:] == code[order][:-1]])
+    head = order[np.maximum.accumulate(np.where(again, 0, np.arange(len(order))))]
+    other = again & ((rank[order] != rank[head]) | (lo.to_numpy()[order] != lo.to_numpy()[head]))
+    some = pa.array(order[other])
+    at = lo.take(some)
+    hi = pc.add(at, pc.subtract(pc.cast(pc.binary_length(strings.take(some)), pa.int64()), length))
+    return pa.RecordBatch.from_arrays([ids.take(some), t.take(some), at, hi], names=["id", "t", "lo", "hi"]), rows.take(pa.array(np.sort(order[~again])))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for text, ranges in zip(batch.column("text").to_pylist(), batch.column("ranges").to_pylist(), strict=True):
-                raw = text.encode("utf-8", "replace") if text else b""
-                if not ranges:
-                    out.append((len(raw), 0, 0, raw))
-                    continue
-                spans: list[list[int]] = []
-                for lo, hi in sorted((r["lo"], min(r["hi"] + length, len(raw))) for r in ranges):
-                    if spans and lo <= spans[-1][1]:
-                        spans[-1][1] = max(spans[-1][1], hi)
-                    elif lo < hi:
-                        spans.append([lo, hi])
-                kept, at = [], 0
-                for lo, hi in spans:
-                    kept.append(raw[at:lo])
-                    at = hi
-                out.append((len(raw), sum(b - a for a, b in spans), len(spans), b"".join([*kept, raw[at:]])))
-            n, gone, spans_, kept_ = zip(*out, strict=True) if out else ((), (), (), ())
-            sha = pa.array([hashlib.sha256(k).hexdigest() for k in kept_], pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], *(pa.array(x, pa.int64()) for x in (n, gone, spans_)), sha, pa.array(kept_, pa.binary())], names=[*batch.schema.names[:-2], "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    return run
+def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each text without the bytes of its ranges (lo, end), and how much that is."""
+    for batch in batches:
+        out = []
+        for text, ranges in zip(batch.column("text"), batch.column("ranges").to_pylist(), strict=True):
+            raw = text.as_buffer().to_pybytes() if text.is_valid else b""  # one text at a time
+            kept, at, n, spans = [], 0, 0, 0
+            for lo, end in sorted((r["lo"], r["end"]) for r in ranges or ()):
+                if lo > at or not spans:
+                    kept.append(raw[at:lo])
+                    spans += 1
+                    at = lo
+                n += max(0, end - at)
+                at = max(at, end)
+            kept.append(raw[at:])
+            out.append((len(raw), n, spans, b"".join(kept)))
+        n, gone, spans_, kept_ = zip(*out, strict=True) if out else ((), (), (), ())
+        sha = pa.array([hashlib.sha256(k).hexdigest() for k in kept_], pa.string())
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in (n, gone, spans_)), sha, pa.array(kept_, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
 def repeats(docs: DataFrame, length: int = 100) -> DataFrame:
-    """(id, lo, hi): windows of `length` bytes, by first and last start, that also start earlier in the corpus.
+    """(id, t, lo, hi): windows of `length` bytes, by first and last start, that also start earlier in the corpus.
 
-    Earlier: under a smaller doc_id (null before all), or in the same text.  Ranges may touch or repeat, never miss any.
+    A text is known by its doc_id (of any type that has an order) and t, a hash of the text.  Earlier: under a smaller id (null
+    before all; of one id under a smaller t), or in the same text.  Ranges may touch or repeat, never miss any.
     """
     if not K <= length < CHUNK:
         raise ValueError(f"length must be {K} to {CHUNK - 1}")
-    schema = ", ".join(f"{c} long" for c in ROWS)
-    rows = docs.select("doc_id", "text").mapInArrow(_read(length), schema)
-    rows = rows.repartition("h").sortWithinPartitions("h", "c", "id", "lo").mapInArrow(_collapse, schema)
-    rows = staged(rows.select("kind", "h", "id", "lo", "hi"), "repeats")
-    gone = rows.filter(F.col("kind") == GONE).select("id", "lo", "hi")
-    wanted = rows.filter(F.col("kind") == WANTED)
-    crowded = staged(wanted.groupBy("h").count().filter(F.col("count") > CROWDED).select("h"), "crowded")
-    text = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), "text").filter(F.octet_length("text") >= length)
-
-    def fetched(some: DataFrame, windows: bool, schema: str) -> DataFrame:
-        asked = some.groupBy("id").agg(F.collect_list(F.struct("h", "lo", "hi")).alias("wanted"))
-        return text.join(asked, "id").select("id", "text", "wanted").mapInArrow(_fetch(length, windows), schema)
-
-    none = crowded.isEmpty()
-    plain = wanted if none else wanted.join(crowded, "h", "left_anti")
-    pieces_ = fetched(plain, False, "h long, id long, lo long, bytes binary")
-    gone = gone.union(staged(pieces_.repartition("h").sortWithinPartitions("h").mapInArrow(_index(length), "id long, lo long, hi long"), "indexed"))
-    if not none:
-        single = staged(fetched(wanted.join(crowded, "h", "left_semi"), True, "h long, c long, id long, lo long"), "windows")
-        first = single.groupBy("h", "c").agg(F.min(F.struct("id", "lo")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-        again = single.join(first, ["h", "c"]).filter((F.col("id") != F.col("first.id")) | (F.col("lo") != F.col("first.lo")))
-        gone = gone.union(staged(again.select("id", "lo", F.col("lo").alias("hi")), "windows"))
-        unstage(single)
-    return gone
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    schema = f"kind long, h long, id {kind}, t long, lo long, hi long"
+    text = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("t"), "text").filter(F.octet_length("text") >= length)
+
+    def fetched(some: DataFrame, k: int | None, schema: str) -> DataFrame:
+        asked = some.groupBy(F.col("id").alias("_id"), F.col("t").alias("_t")).agg(F.collect_set(F.struct("h", "lo", "hi")).alias("wanted"))
+        same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("t") == F.col("_t"))
+        return text.join(asked, same).select("id", "t", "text", "wanted").mapInArrow(_fetch(length, k, GATHERED), schema)
+
+    gone: list[DataFrame] = []
+    rows, sizes = text.mapInArrow(_read(length, K), schema), levels(length)
+    for k in [*sizes[1:], None]:
+        rows = staged(rows.repartition("h").sortWithinPartitions("h").mapInArrow(_several(*((CROWDED, CROWD) if k else (1, WANTED))), schema), "contexts")
+        pieces = fetched(rows.filter(F.col("kind") == WANTED), None, f"h long, id {kind}, t long, lo long, bytes binary")
+        marked = pieces.repartition("h").sortWithinPartitions("h").mapInArrow(_index(length, BLOCK), f"id {kind}, t long, lo long, hi long")
+        gone += [rows.filter(F.col("kind") == GONE).select("id", "t", "lo", "hi"), staged(marked, "marked")]
+        crowd = rows.filter(F.col("kind") == CROWD)
+        if k is None or crowd.isEmpty():
+            break
+        rows = fetched(crowd, k, schema)
+    out = gone[0]
+    for more in gone[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     """Every row's doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the bytes that stay) of `docs` (doc_id, text).
 
     Every byte is removed that lies in a string of `length` bytes which also starts earlier; strings are judged on the
-    input.  Null and empty texts have no bytes; texts shorter than `length` lose none.  Rows that repeat a doc_id don't
-    count as earlier for each other at the same start and all lose what their id loses.  Other columns are ignored.
+    input.  Null and empty texts have no bytes; texts shorter than `length` lose none.  Rows with the same doc_id and text are one
+    document; those with one doc_id (or none) and different texts are different documents, in the order of a hash of
+    the text.  Other columns are ignored.
     """
-    ranges = repeats(docs, length).groupBy("id").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))
+    ranges = repeats(docs, length).groupBy(F.col("id").alias("_id"), F.col("t").alias("_t")).agg(F.collect_set(F.struct("lo", (F.col("hi") + length).alias("end"))).alias("ranges"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    joined = docs.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id")).join(ranges, "id", "left").select("doc_id", "text", "ranges")
-    return joined.mapInArrow(_cleaned(length), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("t") == F.col("_t"))
+    joined = docs.select("doc_id", F.xxhash64("text").alias("t"), "text").join(ranges, same, "left").select("doc_id", "text", "ranges")
+    return joined.mapInArrow(_cleaned, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")

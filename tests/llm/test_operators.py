@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -309,38 +310,69 @@ def test_licenses(some, empty):
 # 8: long repeats
 
 
-def plain_repeats(texts, length):
+def plain_repeats(rows, length):
+    """rows: (doc_id, text, hash of the text), ids without text before all."""
     seen, gone = {}, defaultdict(set)
-    order = sorted({(-(1 << 63) if i is None else i, (t or "").encode()) for i, t in texts})
-    for i, b in order:
+    for i, t, b in sorted({((i is not None, i), t, (x or "").encode()) for i, x, t in rows}):
         for s in range(len(b) - length + 1):
-            first = seen.setdefault(b[s : s + length], (i, s))
-            if first != (i, s):
-                gone[i, b] |= set(range(s, s + length))
+            if seen.setdefault(b[s : s + length], (i, t, s)) != (i, t, s):
+                gone[i, t] |= set(range(s, s + length))
     out = Counter()
-    for i, t in texts:
-        b = (t or "").encode()
-        g = gone[-(1 << 63) if i is None else i, b]
+    for i, x, t in rows:
+        b, g = (x or "").encode(), gone[(i is not None, i), t]
         out[i, len(b), len(g), sum(k - 1 not in g for k in g), hashlib.sha256(bytes(c for k, c in enumerate(b) if k not in g)).hexdigest()] += 1
     return out
 
 
-@pytest.mark.parametrize("crowded", [4096, 1])
+def hashed(df):
+    return [tuple(r) for r in df.select("doc_id", "text", F.xxhash64("text")).collect()]
+
+
+def removed(df):
+    return Counter(tuple(r) for r in suffix_dedup.remove_repeats(df).drop("kept").collect())
+
+
+@pytest.mark.parametrize("crowded", [2048, 1])
 def test_long_repeats(some, monkeypatch, crowded):
     monkeypatch.setattr(suffix_dedup, "CROWDED", crowded)
-    one = some.filter("doc_id is not null or text is not null")  # ids that repeat do so with one text
-    out = suffix_dedup.remove_repeats(one)
-    assert Counter(tuple(r) for r in out.drop("kept").collect()) == plain_repeats(pairs(one), 100)
-    assert all(hashlib.sha256(r.kept).hexdigest() == r.kept_sha256 for r in out.collect())
+    assert removed(some) == plain_repeats(hashed(some), 100)
+    assert all(hashlib.sha256(r.kept).hexdigest() == r.kept_sha256 for r in suffix_dedup.remove_repeats(some).collect())
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_repeats_of_ids_that_recur(spark, kind):
+    rng = np.random.default_rng(3)
+    prose = lambda n: "".join(rng.choice(list("abcdefg "), n))
+    a, b, passage = prose(400), prose(400), prose(300)
+    rows = [(1, a), (2, a[:200]), (2, b), (2, b), (3, b[100:350]), *[(None, passage + prose(100)) for _ in range(3)], (None, prose(400)), (None, None), (4, passage), (5, "ab" * 400), (5, "ab" * 300), (6, "é" * 150)]
+    df = spark.createDataFrame([(None if i is None else str(i) if kind == "string" else i, t) for i, t in rows], f"doc_id {kind}, text string").repartition(4)
+    got = removed(df)
+    assert got == plain_repeats(hashed(df), 100)
+    assert sum(n for k, n in got.items() if k[0] in (2, "2") and k[1] == 400 and not k[2]) == 2  # nothing else goes under an id that recurs
+
+
+def test_one_anchor_over_many_batches(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "BLOCK", 100)
+    rng = np.random.default_rng(4)
+    passage = "".join(rng.choice(list("abcdefg "), 130))
+    rows = [(k, "".join(rng.choice(list("uvwxyz "), int(rng.integers(1, 80)))) + passage + "".join(rng.choice(list("uvwxyz "), int(rng.integers(1, 80))))) for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert removed(df) == plain_repeats(hashed(df), 100)
 
 
 def test_long_texts_are_read_in_pieces(spark, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "CHUNK", 1000)
+    monkeypatch.setattr(suffix_dedup, "GATHERED", 300)
     rng = np.random.default_rng(2)
     base = "".join(rng.choice(list("abcdefg "), 5000))
     rows = [(1, base), (2, base[1700:4200]), (3, "z" * 2500), (4, base[:900] + base[:900])]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert Counter(tuple(r) for r in suffix_dedup.remove_repeats(df).drop("kept").collect()) == plain_repeats(rows, 100)
+    assert removed(df) == plain_repeats(hashed(df), 100)
+    data = np.frombuffer(base.encode(), np.uint8)
+    whole = suffix_dedup.contexts(data, np.array([5000]), 100)
+    monkeypatch.setattr(suffix_dedup, "CHUNK", 1000)
+    cut = suffix_dedup.chunked(data, np.array([5000]), 100, suffix_dedup.K)
+    spread = lambda found: [(h, w) for h, _, a, b in zip(*(x.tolist() for x in found), strict=True) for w in range(a, b + 1)]
+    assert spread(cut) == spread(whole) and len(cut[0]) > len(whole[0])
 
 
 def test_no_repeats_in_nothing(empty):
@@ -350,17 +382,32 @@ def test_no_repeats_in_nothing(empty):
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.text("ab", max_size=40), min_size=1, max_size=12), st.integers(1, 9))
 def test_index(strings, length):
-    data = [s.encode() for s in strings]
-    i, start = suffix_dedup.block_repeats(data, np.arange(len(data)), np.zeros(len(data), np.int64), length)
+    data = [*(s.encode() for s in strings), b"c" + b"d" * 40]  # one string alone is not indexed: windows of one anchor differ
+    kinds = sorted(set(data))
+    code = np.array([kinds.index(d) for d in data])
+    ends = np.cumsum([len(d) for d in kinds])
+    places = np.arange(len(data)) << suffix_dedup.PLACE_BITS
+    fits = np.array([len(d) >= length for d in data])
+    i, lo, hi = suffix_dedup.block_repeats(code[fits], places[fits], np.zeros(fits.sum(), np.int64), np.frombuffer(b"".join(kinds), np.uint8), ends, length)
     wanted, seen = set(), set()
     for k, s in enumerate(data):
         for at in range(len(s) - length + 1):
             if s[at : at + length] in seen:
                 wanted.add((k, at))
             seen.add(s[at : at + length])
-    assert set(zip(i.tolist(), start.tolist(), strict=True)) == wanted
-    index = suffix_dedup.RunLengthIndex(data)
-    assert index.symbols.tolist() == index.text[index.order[index.heads] - 1].tolist()
+    assert {(k, at) for k, a, b in zip(i.tolist(), lo.tolist(), hi.tolist(), strict=True) for at in range(a, b + 1)} == wanted
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.text("abc", max_size=30), min_size=1, max_size=8))
+def test_runs_of_the_transform(strings):
+    data = b"".join(s.encode() + b"?" for s in strings)
+    starts = np.cumsum([0, *(len(s) + 1 for s in strings[:-1])])
+    index = suffix_dedup.RunLengthIndex(np.frombuffer(data, np.uint8), starts)
+    suffixes = sorted((s[k:], n, starts[n] + k, s[k - 1] if k else "") for n, s in enumerate(strings) for k in range(len(s) + 1))
+    heads = [r for r in range(len(suffixes)) if not r or not suffixes[r][3] or suffixes[r][3] != suffixes[r - 1][3]]
+    assert dict(zip(index.sample.tolist(), index.above.tolist(), strict=True)) == {suffixes[r][2]: suffixes[r - 1][2] if r else -1 for r in heads}
+    assert len(index.symbols) == len(heads)
 
 
 # 9: personal data
