@@ -1,8 +1,10 @@
 """Mixing sources to target weights (native).
 
 Sizes are summed per source, targets follow by water-filling, and every document is emitted floor(rate) times plus
-one hash-seeded Bernoulli copy whose probability is the fraction of the rate.  Only the table of sources, one row each,
-is ever gathered; documents are never shuffled when that table is small enough to broadcast.
+one hash-seeded copy with the probability of the rate's fraction.  Draws are in hash order within the source and stop where the
+words drawn come nearest to what the target leaves, so that a few long texts can't carry a source away from it.
+Only tables of sources and of hash ranges of sources are ever aggregated; documents are never shuffled when the table
+of sources is small enough to broadcast.
 """
 
 from __future__ import annotations
@@ -10,10 +12,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh_name, portable_uniform, word_count
+from .common import fresh_name, portable_uniform, staged, word_count
 
 #: A table of sources of at most this many rows is broadcast; a larger one is joined by shuffle (AQE splits hot sources).
 BROADCAST_SOURCES = 50_000
+#: Ranges of the draw in which sizes are summed; only the documents of one range of each source are ever ordered.
+RANGES = 4096
 
 
 def source_targets(sizes: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap: float = 2.0) -> DataFrame:
@@ -42,25 +46,65 @@ def source_targets(sizes: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap:
     return per.select("source", "source_size", F.when(F.col("is_full"), F.col("full")).otherwise(level * F.col("w")).alias("target"))
 
 
+def draws(sized: DataFrame, seed: int) -> DataFrame:
+    """`sized` (with doc_id and text) and mix_draw, in [0, 1): by doc_id and text, so only rows that repeat both share it."""
+    key = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
+    return sized.withColumn("mix_draw", portable_uniform(seed, key))
+
+
+def rates(docs: DataFrame, weights, share: float, cap: float, seed: int) -> DataFrame:
+    """(source, source_size, target, times, mix_range, mix_last) of every source of `docs` (source, doc_id, text).
+
+    times: the copies of every document.  One more goes to those whose draw lies in a range before mix_range, or in it up to
+    mix_last: as many as bring the words drawn, in order of their draws, nearest to what the target leaves.
+    """
+    drawn_ = draws(docs.select("source", "doc_id", "text"), seed).withColumn("mix_range", F.floor(F.col("mix_draw") * RANGES).cast("int"))
+    ranges = staged(drawn_.groupBy("source", "mix_range").agg(F.sum(word_count(F.col("text"))).alias("size")), "ranges")
+    per = source_targets(ranges.select("source", "size"), weights, share, cap)
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    per = per.withColumn("times", F.floor(rate)).withColumn("want", F.col("target") - F.col("times") * F.col("source_size"))
+    per = staged(per, "sources")
+    known = per.select(F.col("source").alias("_source"), "want")
+    up_to = F.sum("size").over(Window.partitionBy("source").orderBy("mix_range"))
+    placed = ranges.withColumn("upto", up_to).join(known, F.col("source").eqNullSafe(F.col("_source")))
+    cut = placed.filter((F.col("upto") - F.col("size") < F.col("want")) & (F.col("want") <= F.col("upto")))
+    cut = staged(cut.select("_source", F.col("mix_range").alias("_range"), "want", (F.col("upto") - F.col("size")).alias("before")), "cuts")  # one row for each source at most
+    within = drawn_.join(_small(cut), F.col("source").eqNullSafe(F.col("_source")) & (F.col("mix_range") == F.col("_range")))
+    # Rows that share a draw are one step; a step is taken if its middle lies under the words wanted.
+    steps = within.groupBy("source", "_range", "before", "want", "mix_draw").agg(F.sum(word_count(F.col("text"))).alias("size"))
+    upto = F.col("before") + F.sum("size").over(Window.partitionBy("source").orderBy("mix_draw"))
+    last = steps.withColumn("upto", upto).filter(2 * F.col("upto") - F.col("size") < 2 * F.col("want")).groupBy("source").agg(F.max("mix_draw").alias("mix_last"))
+    cut = cut.join(last.withColumnRenamed("source", "_last"), F.col("_source").eqNullSafe(F.col("_last")), "left").select("_source", "_range", "mix_last")
+    per = per.join(cut, F.col("source").eqNullSafe(F.col("_source")), "left")
+    # Without a range to cut in, all are drawn or none: what is wanted is more than the source has (by rounding), or nothing.
+    range_ = F.coalesce("_range", F.when(F.col("want") > 0, F.lit(RANGES)).otherwise(F.lit(0)))
+    return per.select("source", "source_size", "target", F.col("times").cast("long").alias("times"), range_.alias("mix_range"), F.coalesce("mix_last", F.lit(-1.0)).alias("mix_last"))
+
+
+def _small(sources: DataFrame) -> DataFrame:
+    """A table of one row for each source, to be broadcast if these are few enough."""
+    return F.broadcast(sources) if sources.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES else sources
+
+
+ADDED = ("size", "source_size", "target", "copies")
+INNER = ("mix_draw", "mix_range", "mix_last", "mix_source", "times")
+
+
 def mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap: float = 2.0, seed: int = 42) -> DataFrame:
     """Every document with its size, its source's size and target, and `copies`, the times that the mix emits it.
 
-    Columns added to those of `docs`: size, source_size, target, copies (of these names any that `docs` has already is
-    replaced).  A null text has size 0; null is a source of its own, after all others.  A document of a source without
-    words gets no copies.  Equal doc_ids share their draw, so reruns and repeated rows agree; a null doc_id draws as
-    the empty text does.  No rows: no rows.
+    Columns added to those of `docs`: size, source_size, target, copies (of these names, and of INNER, any that `docs` has
+    already is left out).  A null text has size 0; null is a source of its own, after all others.  A document of a source
+    without words gets no copies.  Rows equal in doc_id and text share their draw, so reruns and repeated rows agree; other
+    rows without doc_id are drawn by their text.  No rows: no rows.
     """
-    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in {"size", "source_size", "target", "copies"}])
-    sized = docs.withColumn("size", word_count(F.col("text")))
-    per = source_targets(sized.select("source", "size"), weights, share, cap)
-    key = fresh_name(sized.columns, "mix_source")
-    per = per.withColumnRenamed("source", key)
-    if per.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
-        per = F.broadcast(per)
-    joined = sized.join(per, F.col("source").eqNullSafe(F.col(key)), "left").drop(key)
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    extra = portable_uniform(seed, F.col("doc_id")) < rate - F.floor(rate)
-    return joined.withColumn("copies", (F.floor(rate) + extra.cast("int")).cast("long"))
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in {*ADDED, *INNER}])
+    per = _small(staged(rates(docs, weights, share, cap, seed).withColumnRenamed("source", "mix_source"), "rates"))
+    joined = draws(docs, seed).withColumn("size", word_count(F.col("text"))).join(per, F.col("source").eqNullSafe(F.col("mix_source")), "left")
+    at = F.floor(F.col("mix_draw") * RANGES)
+    extra = (at < F.col("mix_range")) | ((at == F.col("mix_range")) & (F.col("mix_draw") <= F.col("mix_last")))
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    return joined.select(*own, "size", "source_size", "target", (F.col("times") + extra.cast("int")).cast("long").alias("copies"))
 
 
 def emit(mixed: DataFrame, columns: list[str]) -> DataFrame:

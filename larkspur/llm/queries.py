@@ -33,7 +33,8 @@ def query(name: str, sql: str | None = None):
 
 #: DuckDB: one row per source with its target, by the closed form of water-filling.
 TARGETS_SQL = r"""
-sized AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
+sized AS (SELECT doc_id, source, ('0x' || substr(md5('42:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))), 1, 13))::UBIGINT / 4503599627370496.0::DOUBLE AS u,
+    coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
 per AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
 weighed AS (SELECT *, ([5.0, 2.0, 1.0]::DOUBLE[])[(row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1] AS w, 2.0::DOUBLE * source_size AS cap FROM per),
 levels AS (SELECT *, 1.5::DOUBLE * sum(source_size) OVER () AS pool,
@@ -48,10 +49,10 @@ OP3_SQL = (
     "WITH "
     + TARGETS_SQL
     + r"""
-rated AS (SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
-    ('0x' || substr(md5('42:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::UBIGINT / 4503599627370496.0::DOUBLE AS u
+rated AS (SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS times,
+    sum(size) OVER (PARTITION BY sized.source ORDER BY u RANGE UNBOUNDED PRECEDING) AS upto, sum(size) OVER (PARTITION BY sized.source, u) AS step
     FROM sized JOIN targets ON sized.source IS NOT DISTINCT FROM targets.source)
-SELECT doc_id, size, source_size, target, (size * (floor(rate) + (u < rate - floor(rate))::INT))::BIGINT AS taken FROM rated
+SELECT doc_id, size, source_size, target, (size * (times + (2 * upto - step < 2 * (target - times * source_size))::INT))::BIGINT AS taken FROM rated
 """
 )
 
