@@ -72,13 +72,13 @@ def shard(docs: DataFrame, shards: int = 16, atom_bits: int = ATOM_BITS) -> Data
 
     The law is `bytes`: contiguous runs of the hash order whose largest run is as small as can be; equal texts stay
     together, so one group of copies can be larger than an even share.  size: UTF-8 bytes plus 1; null counts as empty
-    in size, checksum (0) and group.  slot: from 0, gapless within the shard, by hash, doc_id (nulls first) and, between
-    repeated rows, in any order.  grown_shard is null under this law.  Columns of `docs` with one of these names are
-    replaced (and any named _h, _atom, _parts, _cell or _base is left out); `text` itself is kept.  No rows: no rows; fewer groups than shards: some shards stay empty.
+    in size, checksum (0) and group.  slot: from 0, gapless within the shard, by atom, a hash
+    of doc_id, the text's hash and doc_id (nulls first), at any size; between repeated rows in any order.  grown_shard is null under this law.  Columns of `docs` with one of these names are
+    replaced (and any named _h, _v, _atom, _parts, _cell or _base is left out); `text` itself is kept.  No rows: no rows; fewer groups than shards: some shards stay empty.
     """
-    own = [c for c in docs.columns if c.lower() not in {*ADDED, "_h", "_atom", "_parts", "_cell", "_base"}]
+    own = [c for c in docs.columns if c.lower() not in {*ADDED, "_h", "_v", "_atom", "_parts", "_cell", "_base"}]
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(*[F.col(f"`{c}`") for c in own], (text_bytes(F.col("text")) + 1).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("_h"))
+    rows = docs.select(*[F.col(f"`{c}`") for c in own], (text_bytes(F.col("text")) + 1).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("_h"), F.shiftrightunsigned(F.xxhash64(F.lit(7), F.col("doc_id")), 32).alias("_v"))
     rows = rows.withColumn("_atom", F.shiftrightunsigned(F.col("_h"), 64 - atom_bits))
     atoms = rows.groupBy("_atom").agg(F.sum("size").alias("b"), F.count(F.lit(1)).alias("n")).toArrow()
     at, n = np.asarray(atoms["_atom"], np.int64), np.zeros(1 << atom_bits, np.int64)
@@ -92,7 +92,7 @@ def shard(docs: DataFrame, shards: int = 16, atom_bits: int = ATOM_BITS) -> Data
     hot = np.flatnonzero(parts > 1)
     if len(hot):
         wide = spark.createDataFrame(pa.table({"_atom": hot, "_parts": parts[hot]}))  # CELLS rows at most
-        rows = rows.join(F.broadcast(wide), "_atom", "left").withColumn("_cell", F.when(F.col("_parts").isNotNull(), F.pmod(F.xxhash64(F.lit(7), F.col("doc_id")), F.col("_parts"))).otherwise(F.lit(0)))
+        rows = rows.join(F.broadcast(wide), "_atom", "left").withColumn("_cell", F.when(F.col("_parts").isNotNull(), F.floor(F.col("_v") * F.col("_parts") / F.lit(1 << 32))).otherwise(F.lit(0)))
         counted = rows.filter(F.col("_parts").isNotNull()).groupBy("_atom", "_cell").agg(F.count(F.lit(1)).alias("n")).toArrow()  # about 2 * CELLS rows at most
     else:
         rows, counted = rows.withColumn("_cell", F.lit(0).cast("long")), pa.table({"_atom": pa.array([], pa.int64()), "_cell": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
@@ -106,7 +106,7 @@ def shard(docs: DataFrame, shards: int = 16, atom_bits: int = ATOM_BITS) -> Data
     shard_of = of[cell_atom]
     per_shard = np.concatenate([[0], np.cumsum(np.bincount(shard_of, rows_in, shards).astype(np.int64))])
     places = spark.createDataFrame(pa.table({"_atom": cell_atom, "_cell": cell, "shard": shard_of, "_base": ends - rows_in - per_shard[shard_of]}))
-    within = Window.partitionBy("_atom", "_cell").orderBy("_h", F.col("doc_id").asc_nulls_first())
+    within = Window.partitionBy("_atom", "_cell").orderBy("_v", "_h", F.col("doc_id").asc_nulls_first())
     # The table of places has 2 ** atom_bits + 2 * CELLS rows at most.
     out = rows.join(F.broadcast(places), ["_atom", "_cell"]).withColumn("slot", F.col("_base") + F.row_number().over(within) - 1)
     return out.select(*[F.col(f"`{c}`") for c in own], "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
