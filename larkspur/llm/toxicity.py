@@ -18,9 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Most confirmed toxic and unlabelled texts that a fit takes (chosen by a hash of doc_id; about, not exactly, so many).
-MOST_POSITIVE, MOST_UNLABELLED = 3000, 9000
+from .common import staged
+
+#: Most confirmed toxic and unlabelled texts that a fit takes, one of each doc_id (chosen by a hash of it; about, not exactly, so
+#: many), and the most bytes of text of each kind: texts are taken in the order of that hash as far as they fit.
+MOST_POSITIVE, MOST_UNLABELLED, MOST_BYTES = 3000, 9000, 24_000_000
 FOLDS = 5
+DRAWS = 1_000_000_000
 WORDS = re.compile(r"[^\W\d_]+")
 BEGINNINGS = range(4, 8)
 CACHED_WORDS = 400_000
@@ -144,42 +148,69 @@ def held_out(docs: DataFrame):
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         lists = [features(t) for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(lists, pa.list_(pa.int32()))], names=["doc_id", "ids"])
+        yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(lists, pa.list_(pa.int32()))], names=["y", "ids"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, most_positive: int = MOST_POSITIVE, most_unlabelled: int = MOST_UNLABELLED) -> Model:
-    """A model from rows that are not held out: toxic ones as positives, those without label as unlabelled text.
+def drawn(df: DataFrame):
+    """The place of a row's doc_id in the order in which rows are sampled, below DRAWS."""
+    return F.pmod(F.xxhash64(F.lit(2), df["doc_id"]), F.lit(DRAWS))
 
-    Only whether a row is toxic, and the share of toxic among labelled rows (the prior), is learned from labels.  Null
-    labels count as none; of several labels for an id the largest counts.  Where rows without label are fewer than `most_unlabelled` and
-    than labelled ones, all rows, whatever their label, are the unlabelled text.  Without any positive or unlabelled text
-    the model has no weights and scores every text with the prior.
-    """
+
+def fitting(rows: list, most: int) -> list:
+    """Of rows (doc_id, y, draw, size) those that are taken in order of draw, for each y as far as they fit in `most` bytes."""
+    left = {0: most, 1: most}
+    out = []
+    for r in sorted(rows, key=lambda r: (r.draw, str(r.doc_id))):
+        if r.size <= left[r.y]:
+            left[r.y] -= r.size
+            out.append(r)
+    return out
+
+
+def sample(docs: DataFrame, labels: DataFrame, most_positive: int, most_unlabelled: int, most_bytes: int) -> tuple[DataFrame, float]:
+    """(y, text) of what a fit learns from, and the prior; see `fit`."""
     labels = labels.select("doc_id", "toxic").dropna().groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     labels = labels.filter(~held_out(labels))
     told = labels.agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("k")).first()
     prior = float(np.clip(told.k / told.n if told.n else PRIOR, *PRIOR_BOUNDS))
-    draw = lambda df: F.pmod(F.xxhash64(F.lit(2), df["doc_id"]), F.lit(1_000_000))
 
     def share(part: int, whole: int) -> int:
-        return 1_000_000 if whole <= part else part * 1_000_000 // whole
+        return DRAWS if whole <= part else part * DRAWS // whole
 
     ids = labels.filter("toxic = 1")
-    ids = ids.filter(draw(ids) < share(most_positive, told.k or 0)).select("doc_id", F.lit(1).alias("y"))
+    ids = ids.filter(drawn(ids) < share(most_positive, told.k or 0)).select("doc_id", F.lit(1).alias("y"))
+    # Texts are drawn by id, so rows that repeat one count once.
     some = docs.select("doc_id").dropna()
-    some = some.filter(~held_out(some))
-    count = docs.count()
+    some = some.filter(~held_out(some)).distinct()
+    count = some.count()
     if some.join(labels, "doc_id", "left_anti").count() < min(most_unlabelled, told.n):
-        few = some.filter(draw(some) < share(most_unlabelled, count))
+        few = some.filter(drawn(some) < share(most_unlabelled, count))
     else:
-        few = some.filter(draw(some) < share(most_unlabelled, max(1, count - told.n))).join(labels, "doc_id", "left_anti")
-    few = few.select("doc_id", F.lit(0).alias("y"))
-    # Both lists of ids are bounded by the parameters, so they can be broadcast.
-    chosen = ids.unionByName(few).select(F.col("doc_id").alias("_id"), "y")
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    picked = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("doc_id", "y", "text")
-    got = picked.select(F.col("y").cast(kind).alias("doc_id"), "text").mapInArrow(_featured, f"doc_id {kind}, ids array<int>").toArrow()
-    y = np.array([int(v) for v in got["doc_id"].to_pylist()], int)
+        few = some.filter(drawn(some) < share(most_unlabelled, max(1, count - told.n))).join(labels, "doc_id", "left_anti")
+    # About most_positive + most_unlabelled different ids, so they can be broadcast.
+    chosen = ids.unionByName(few.select("doc_id", F.lit(0).alias("y"))).select(F.col("doc_id").alias("_id"), "y")
+    picked = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).groupBy("doc_id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    picked = staged(picked, "sample")
+    sizes = picked.select("doc_id", "y", drawn(picked).alias("draw"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")).collect()  # a row for each of these ids
+    taken = fitting(sizes, most_bytes)
+    if len(taken) < len(sizes):
+        spark, kind = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
+        own = spark.createDataFrame([(r.doc_id, r.y) for r in taken], f"doc_id {kind}, y int")
+        picked = picked.join(F.broadcast(own), ["doc_id", "y"], "left_semi")
+    return picked.select("y", "text"), prior
+
+
+def fit(docs: DataFrame, labels: DataFrame, most_positive: int = MOST_POSITIVE, most_unlabelled: int = MOST_UNLABELLED, most_bytes: int = MOST_BYTES) -> Model:
+    """A model from rows that are not held out: toxic ones as positives, those without label as unlabelled text.
+
+    Only whether a row is toxic, and the share of toxic among labelled rows (the prior), is learned from labels.  Null
+    labels count as none; of several labels for an id the largest counts, and of several texts of an id one.  Where rows
+    without label are fewer than `most_unlabelled` and than labelled ones, all rows, whatever their label, are the unlabelled
+    text.  Without any positive or unlabelled text the model has no weights and scores every text with the prior.
+    """
+    picked, prior = sample(docs, labels, most_positive, most_unlabelled, most_bytes)
+    got = picked.mapInArrow(_featured, "y int, ids array<int>").toArrow()
+    y = np.asarray(got["y"]).astype(int)
     column = got["ids"].combine_chunks() if got.num_rows else pa.array([], pa.list_(pa.int32()))
     ids, lengths = np.asarray(column.flatten()), np.asarray(column.value_lengths(), np.int64)
     model = Model({}, float(np.log(prior / (1 - prior))), prior)
