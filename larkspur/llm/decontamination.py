@@ -1,16 +1,13 @@
 """Benchmark decontamination: prefix-filtered set join of item windows against document texts.
 
-A window's tokens are its word shingles, ordered by how rare they are in the whole corpus.  A document that holds the
-window holds all of them, so its prefix, here the single rarest shingle, is a necessary token: only documents with that
-shingle are candidates, and each occurrence fixes where the window would start.  Length and position are then bounded and
-the window verified word by word.  The benchmark is the stated query set: it is cut into blocks of at most BLOCK_WORDS
-words, and each block is matched against all documents.
+A window's tokens are its word shingles, ordered by how rare they are in all documents.  A document that holds the window holds all
+of them, so a prefix of one, the rarest, is necessary: documents' shingles are joined with the windows' prefixes, each meeting
+fixes where the window would start, its length and place are bounded, and the window is compared word by word.  Both
+sides of the join are tables; what goes to every worker is a bitmap of fixed size that holds back shingles that no window has.
 """
 
 from __future__ import annotations
 
-import hashlib
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,161 +16,212 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import staged
+from .suffix_dedup import buffers
 
-BLOCK_WORDS = 200_000
-#: Blocks matched in one pass; more than these go through a staged table in between, so that workers stay small.
-BLOCKS_A_PASS = 4
 ADDED = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 #: Letters A-Z become lower case; ASCII characters that are neither letters nor digits become spaces.
 NORMAL = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
+#: The words of a text before its letters are lowered, as a pattern.
+WORDS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: The bitmap has 2 ** BITS bits; CHUNK bytes are hashed at a time; the powers of letters' places repeat after PLACES.
+BITS, CHUNK, PLACES = 27, 1 << 20, 1 << 16
+_tables: list[np.ndarray] = []
 
 
 def words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "replace").translate(NORMAL).split() if text else []
 
 
-class Index:
-    """Windows of one block of the benchmark, each under its rarest shingle."""
-
-    def __init__(self, items: list[tuple[str | None, str | None]], window: int, shingle: int):
-        self.shingle, self.vocabulary = shingle, {}
-        of: dict[tuple[int, ...], set] = defaultdict(set)
-        for item, text in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words(text)]
-            for at in range(max(1, len(ids) - window + 1) if ids else 0):
-                of[tuple(ids[at : at + window])].add(item)
-        self.windows, self.items = list(of), [sorted(x for x in v if x is not None) for v in of.values()]
-        self.prefixes: dict[int, tuple[np.ndarray, list[list[tuple[int, int]]]]] = {}
-
-    def codes(self, ids: np.ndarray, size: int) -> np.ndarray:
-        """A number for each shingle of `size` words; -1 where a word is not in the vocabulary."""
-        n = len(ids) - size + 1
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(29))
+
+
+class Spelled:
+    """The words of a buffer of texts: where they start and end in `raw`, which text each is of, and a hash of each."""
+
+    def __init__(self, data: np.ndarray, start: np.ndarray, end: np.ndarray):
+        if not _tables:
+            powers = np.full(PLACES, 0xD1342543DE82EF95, np.uint64)
+            powers[0] = 1
+            _tables.extend([np.cumprod(powers, dtype=np.uint64), np.random.default_rng(23).integers(1, 1 << 63, 256, np.uint64)])
+        up, letter = _tables
+        low = int(start[0]) if len(start) else 0
+        self.raw = data[low : int(end[-1]) if len(end) else low].tobytes().translate(NORMAL)
+        symbols, first = np.frombuffer(self.raw, np.uint8), np.unique(start[end > start]) - low
+        begins, lengths, hashes, at = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.uint64)], 0
+        while at < len(symbols):
+            stop = at + CHUNK
+            if stop < len(symbols):  # on to a space or the end of a text, so that no word is cut
+                space, text = self.raw.find(b" ", stop), int(np.searchsorted(first, stop))
+                stop = min(len(symbols) if space < 0 else space, int(first[text]) if text < len(first) else len(symbols))
+            part = symbols[at:stop]
+            inside = part != 32
+            begin = inside & ~np.concatenate([[False], inside[:-1]])
+            own = first[np.searchsorted(first, at) : np.searchsorted(first, stop)] - at
+            begin[own] |= inside[own]
+            places = np.flatnonzero(inside)
+            heads = np.flatnonzero(begin[places])
+            if len(heads):
+                starts, size = places[heads], np.diff(np.append(heads, len(places)))
+                value = letter[part[places]] * up[(places - np.repeat(starts, size)) % PLACES]
+                begins.append(starts + at)
+                lengths.append(size)
+                hashes.append(np.add.reduceat(value, heads))
+            at = stop
+        self.start, size = np.concatenate(begins), np.concatenate(lengths)
+        self.end, self.hash = self.start + size, _mix(np.concatenate(hashes) + size.astype(np.uint64))
+        self.text = np.searchsorted(end - low, self.start, "right")
+        self.head = np.searchsorted(self.text, np.arange(len(start)))  # the first word of each text
+        self.count = np.bincount(self.text, minlength=len(start))
+
+    def shingles(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """The hash of each shingle of `size` words and its first word; none goes on into another text."""
+        n = len(self.hash) - size + 1
         if n <= 0:
-            return np.empty(0, np.int64)
-        out, known = np.zeros(n, np.int64), np.ones(n, bool)
+            return np.empty(0, np.uint64), np.empty(0, np.int64)
+        out = np.full(n, size, np.uint64)
         for k in range(size):
-            out = out * (len(self.vocabulary) + 1) + ids[k : n + k]
-            known &= ids[k : n + k] >= 0
-        return np.where(known, out, -1)
-
-    def sizes(self) -> set[int]:
-        return {min(self.shingle, len(w)) for w in self.windows}
-
-    def shingles(self) -> dict[int, np.ndarray]:
-        """The sorted distinct shingles of all windows, by their size."""
-        found = defaultdict(set)
-        for w in self.windows:
-            size = min(self.shingle, len(w))
-            found[size].update(self.codes(np.array(w), size).tolist())
-        return {k: np.array(sorted(v), np.int64) for k, v in found.items()}
-
-    def order(self, frequency: dict[tuple[int, int], int]) -> None:
-        """Put every window under the shingle of least frequency (the first of equals)."""
-        under: dict[int, dict[int, list]] = defaultdict(lambda: defaultdict(list))
-        for i, w in enumerate(self.windows):
-            size = min(self.shingle, len(w))
-            codes = self.codes(np.array(w), size).tolist()
-            at = min(range(len(codes)), key=lambda k: (frequency.get((size, codes[k]), 0), k))
-            under[size][codes[at]].append((i, at))
-        self.prefixes = {size: (np.array(sorted(d), np.int64), [d[k] for k in sorted(d)]) for size, d in under.items()}
-
-    def ids(self, tokens: list[bytes]) -> np.ndarray:
-        get = self.vocabulary.get
-        return np.fromiter((get(w, -1) for w in tokens), np.int64, len(tokens))
-
-    def match(self, tokens: list[bytes], hit: np.ndarray, items: set[str]) -> None:
-        """Mark the words inside any occurrence of a window, and add the items of the windows that occur."""
-        ids = self.ids(tokens)
-        for size, (keys, lists) in self.prefixes.items():
-            codes = self.codes(ids, size)
-            if not len(codes):
-                continue
-            at = np.minimum(np.searchsorted(keys, codes), len(keys) - 1)
-            for p in np.flatnonzero(keys[at] == codes).tolist():
-                for i, offset in lists[at[p]]:
-                    w, start = self.windows[i], p - offset
-                    if start >= 0 and start + len(w) <= len(ids) and tuple(ids[start : start + len(w)].tolist()) == w:
-                        hit[start : start + len(w)] = True
-                        items.update(self.items[i])
-
-
-def _count(index):
-    """Occurrences of the block's shingles in all documents, one row for each and batch."""
+            out = _mix(out * np.uint64(0x9E3779B97F4A7C15) + self.hash[k : n + k])
+        at = np.flatnonzero(self.text[:n] == self.text[size - 1 :])
+        return out[at], at
+
+    def joined(self, first: int, last: int) -> bytes:
+        return b" ".join([self.raw[a:b] for a, b in zip(self.start[first:last].tolist(), self.end[first:last].tolist(), strict=True)])
+
+
+def _spelled(column: pa.Array) -> Spelled:
+    return Spelled(*buffers(column))
+
+
+def _windows(window: int):
+    """(item_id, w, n): the windows of items, their words joined by spaces, and how many these are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = index.value
-        wanted = own.shingles()
-        counts = {size: np.zeros(len(keys), np.int64) for size, keys in wanted.items()}
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                ids = own.ids(words(text))
-                for size, keys in wanted.items():
-                    codes = own.codes(ids, size)
-                    codes = codes[codes >= 0]
-                    at = np.minimum(np.searchsorted(keys, codes), len(keys) - 1)
-                    counts[size] += np.bincount(at[keys[at] == codes], minlength=len(keys))
-        for size, keys in wanted.items():
-            some = np.flatnonzero(counts[size])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), size)), pa.array(keys[some]), pa.array(counts[size][some])], names=["size", "code", "n"])
+            found = []
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                tokens = words(text)
+                found += [(item, b" ".join(tokens[at : at + window]), min(window, len(tokens))) for at in range(max(1, len(tokens) - window + 1) if tokens else 0)]
+            columns = list(zip(*found, strict=True)) or [[], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.binary(), pa.int64()), strict=True)], names=["item_id", "w", "n"])
 
     return run
 
 
-def _match(indexes, own: int, last: bool):
-    """Match the blocks; the last pass turns marks and items into the columns of ADDED."""
+def _shingled(shingle: int):
+    """(w, n, k, size, h): the shingles of windows (w, n), k words in."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks = [x.value for x in indexes]
         for batch in batches:
-            out: list[tuple] = []
-            earlier = zip(batch.column("_hits").to_pylist(), batch.column("_items").to_pylist(), strict=True) if "_hits" in batch.schema.names else None
-            for text in batch.column("text").to_pylist():
-                tokens = words(text)
-                hit, items = np.zeros(len(tokens), bool), set()
-                if earlier:
-                    packed, names = next(earlier)
-                    hit |= np.unpackbits(np.frombuffer(packed, np.uint8), count=len(tokens)).astype(bool)
-                    items.update(names)
-                for block in blocks if tokens else ():
-                    block.match(tokens, hit, items)
-                if last:
-                    out.append((len(tokens), int(hit.sum()), len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(), bool(hit.any())))
-                else:
-                    out.append((np.packbits(hit).tobytes(), sorted(items)))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()] if last else [pa.binary(), pa.list_(pa.string())]
-            columns = list(zip(*out, strict=True)) or [[] for _ in kinds]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:own], *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=[*batch.schema.names[:own], *(ADDED if last else ("_hits", "_items"))])
+            spelled, n = _spelled(batch.column(0)), batch.column(1).to_numpy()
+            for size in range(1, shingle + 1):
+                h, at = spelled.shingles(size)
+                text = spelled.text[at]
+                some = np.minimum(n[text], shingle) == size
+                h, at, text = h[some], at[some], text[some]
+                rows = batch.take(pa.array(text))
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(at - spelled.head[text]), pa.array(np.full(len(at), size, np.int64)), pa.array(h.view(np.int64))], names=["w", "n", "k", "size", "h"])
 
     return run
 
 
+def _held(spelled: Spelled, sizes: list[int], bitmap: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(hash, first word) of the shingles that the bitmap may have."""
+    shift = np.uint64(64 - int(len(bitmap) * 8).bit_length() + 1)
+    for size in sizes:
+        h, at = spelled.shingles(size)
+        bit = h >> shift
+        some = (bitmap[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1
+        yield h[some == 1], at[some == 1]
+
+
+def _counted(sizes: list[int], bitmap):
+    """(h, m): how often shingles stand in each batch of texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for h, _ in _held(_spelled(batch.column(0)), sizes, bitmap.value):
+                h, m = np.unique(h, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(m.astype(np.int64))], names=["h", "m"])
+
+    return run
+
+
+def _met(sizes: list[int], bitmap, window: int):
+    """(id, t, h, p, n_words, c, near): shingles of texts (id, t, text), at word p; near: the words around from c on, joined."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spelled = _spelled(batch.column(2))
+            for size, (h, at) in zip(sizes, _held(spelled, sizes, bitmap.value), strict=True):
+                text = spelled.text[at]
+                p, n = at - spelled.head[text], spelled.count[text]
+                c, stop = np.maximum(0, p - window + size), np.minimum(n, p + window)
+                near = [spelled.joined(a, b) for a, b in zip((spelled.head[text] + c).tolist(), (spelled.head[text] + stop).tolist(), strict=True)]
+                row = pa.array(text)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), pa.array(h.view(np.int64)), pa.array(p), pa.array(n), pa.array(c), pa.array(near, pa.binary())], names=["id", "t", "h", "p", "n_words", "c", "near"])
+
+    return run
+
+
+def bitmap(hashes: DataFrame, bits: int) -> np.ndarray:
+    """The first `bits` bits of the hashes (h), as a bitmap; 2 ** (bits - 6) rows at most are gathered."""
+    word = F.shiftrightunsigned("h", 64 - bits + 6)
+    bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(h, {64 - bits}) & 63 AS int))")
+    rows = hashes.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    out = np.zeros(1 << bits - 6, np.int64)
+    out[np.asarray(rows["word"])] = np.asarray(rows["bits"])
+    return out.view(np.uint8)
+
+
+def hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, shingle: int = 3) -> tuple[DataFrame, DataFrame]:
+    """(id, t, start, n, w): occurrences of windows in texts, and (item_id, w): which items have a window.
+
+    A text is known by its doc_id and t, a hash of it; rows that repeat both give the same occurrences.
+    """
+    send = docs.sparkSession.sparkContext.broadcast
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").filter(F.col("text").isNotNull())
+    of = staged(items.mapInArrow(_windows(window), "item_id string, w binary, n long").distinct(), "windows")
+    shingles = staged(of.select("w", "n").distinct().mapInArrow(_shingled(shingle), "w binary, n long, k long, size long, h long"), "shingles")
+    sizes = sorted(r["size"] for r in shingles.select("size").distinct().collect())  # `shingle` at most
+    texts = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("t"), "text").filter(F.octet_length("text") > 0)
+    counts = texts.select("text").mapInArrow(_counted(sizes, send(bitmap(shingles, BITS))), "h long, m long").groupBy("h").agg(F.sum("m").alias("m"))
+    # A shingle that no document has leaves its windows without any.
+    rarity = shingles.join(counts, "h", "left").withColumn("m", F.coalesce("m", F.lit(0)))
+    prefixes = rarity.groupBy("w", "n").agg(F.min(F.struct("m", "k", "h", "size")).alias("r")).filter("r.m > 0")
+    prefixes = staged(prefixes.select("w", "n", "r.k", "r.h"), "prefixes")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    met = texts.mapInArrow(_met(sizes, send(bitmap(prefixes, BITS)), window), f"id {kind}, t long, h long, p long, n_words long, c long, near binary")
+    start = F.col("p") - F.col("k")
+    there = F.array_join(F.slice(F.split(F.col("near").cast("string"), " "), (start - F.col("c") + 1).cast("int"), F.col("n").cast("int")), " ")
+    fits = met.join(prefixes, "h").filter((start >= F.col("c")) & (start + F.col("n") <= F.col("n_words")))
+    found = fits.filter(there == F.col("w").cast("string")).select("id", "t", start.alias("start"), "n", "w")
+    return staged(found, "hits"), of.select("item_id", "w")
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, shingle: int = 3, keep: list[str] | None = None) -> DataFrame:
     """Every row of `docs` with n_words, n_hit, n_items, items_sha256 and contaminated (n_hit > 0).
 
     A document word is hit if it lies in an occurrence of a window of `window` consecutive item words (of the whole item,
     if that is shorter).  Null and empty texts have no words and no hits; items without words match nothing; items
     without id mark words but are not listed; items that repeat an id count once.  keep: columns of `docs` to return
-    (all); those named like an added one, or _hits or _items, are replaced.  An empty benchmark hits nothing.
+    (all); those named like an added one, or _id, _t, _spans or _items, are replaced.  An empty benchmark hits nothing.
     """
-    spark = docs.sparkSession
-    own = [c for c in (keep or docs.columns) if c.lower() not in {*ADDED, "_hits", "_items"}]
-    carried = own + [c for c in ("text",) if c not in own]
-    docs = docs.select(*[F.col(f"`{c}`") for c in carried])
-    sized = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").filter(F.col("text").isNotNull())
-    total = sized.agg(F.sum(F.coalesce(F.regexp_count("text", F.lit("[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+")), F.lit(0)))).first()[0] or 0
-    blocks = max(1, -(-int(total) // BLOCK_WORDS))
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carried)
-    final = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in own), "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"])
-    indexes = []
-    for b in range(blocks):
-        rows = sized.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()  # about BLOCK_WORDS words
-        index = Index([(r.item_id, r.text) for r in rows], window, shingle)
-        counted = docs.select("text").mapInArrow(_count(spark.sparkContext.broadcast(index)), "size long, code long, n long")
-        counted = counted.groupBy("size", "code").agg(F.sum("n").alias("n")).toArrow()  # a row for each shingle of the block
-        index.order(dict(zip(zip(counted["size"].to_pylist(), counted["code"].to_pylist(), strict=True), counted["n"].to_pylist(), strict=True)))
-        indexes.append(spark.sparkContext.broadcast(index))
-    for at in range(0, blocks, BLOCKS_A_PASS):
-        last = at + BLOCKS_A_PASS >= blocks
-        docs = docs.mapInArrow(_match(indexes[at : at + BLOCKS_A_PASS], len(own) if last else len(carried), last), final if last else f"{kinds}, _hits binary, _items array<string>")
-        docs = docs if last else staged(docs, "decontaminate")
-    return docs
+    if not 0 < shingle <= window:
+        raise ValueError("a shingle has 1 to `window` words")
+    found, of = hits(docs, benchmark, window, shingle)
+    key = [F.col("id").alias("_id"), F.col("t").alias("_t")]
+    spans = found.groupBy(*key).agg(F.array_sort(F.collect_set(F.struct("start", (F.col("start") + F.col("n")).alias("end")))).alias("_spans"))
+    named = found.select("id", "t", "w").distinct().join(of.filter("item_id is not null"), "w").groupBy(*key).agg(F.array_sort(F.collect_set("item_id")).alias("_items"))
+    same = F.col("s._id").eqNullSafe(F.col("i._id")) & (F.col("s._t") == F.col("i._t"))
+    per = spans.alias("s").join(named.alias("i"), same, "left").select("s._id", "s._t", "_spans", "_items")
+    own = [c for c in (keep or docs.columns) if c.lower() not in {*ADDED, "_id", "_t", "_spans", "_items"}]
+    # Words in the union of a text's spans, which come in order.
+    step = lambda acc, s: F.struct((acc["n"] + F.greatest(F.lit(0), s["end"] - F.greatest(acc["end"], s["start"]))).alias("n"), F.greatest(acc["end"], s["end"]).alias("end"))
+    union = F.aggregate("_spans", F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end")), step)["n"]
+    rows = docs.select(*[F.col(f"`{c}`") for c in own], F.col("doc_id").alias("_own_id"), F.xxhash64("text").alias("_own_t"), F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long").alias("n_words"))
+    out = rows.join(per, F.col("_own_id").eqNullSafe(F.col("_id")) & (F.col("_own_t") == F.col("_t")), "left")
+    n_hit = F.coalesce(union, F.lit(0)).cast("long")
+    names = F.coalesce("_items", F.array().cast("array<string>"))
+    return out.select(*[F.col(f"`{c}`") for c in own], "n_words", n_hit.alias("n_hit"), F.size(names).cast("long").alias("n_items"), F.sha2(F.array_join(names, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
