@@ -26,8 +26,9 @@ from .common import staged
 
 #: Length of the first anchors.
 K = 32
-#: Bytes hashed at a time, bytes of contexts indexed and gathered together, and rows of one anchor above which it is anchored anew.
-CHUNK, BLOCK, GATHERED, CROWDED = 480_000, 1 << 20, 1 << 22, 2048
+#: Bytes hashed at a time, bytes of contexts gathered together, different contexts of an anchor above which it is anchored anew,
+#: and rows of one anchor above which equal contexts collapse before the anchor is whole.
+CHUNK, GATHERED, CROWDED, FEW = 480_000, 1 << 22, 2048, 8192
 #: A chunk has fewer bytes than 2 ** POSITION_BITS, a text fewer than 2 ** PLACE_BITS.
 POSITION_BITS, PLACE_BITS = 20, 40
 MULTIPLIER = 0x9E3779B97F4A7C15
@@ -134,20 +135,37 @@ def merged(key: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray,
     return key[at], lo[at], hi[np.append(at[1:], len(key)) - 1] if len(key) else hi
 
 
-#: Kinds of rows: windows lo to hi that are removed; a context; a context whose bytes are wanted; one whose anchor is crowded.
-GONE, CONTEXT, WANTED, CROWD = 0, 1, 2, 3
+#: Kinds of rows: windows lo to hi that are removed; a context; a context whose anchor is crowded.
+GONE, CONTEXT, CROWD = 0, 1, 2
 ROWS = ("kind", "h", "id", "t", "lo", "hi")
 
 
-def _rows(kind, h, ids: pa.Array, t, lo, hi) -> pa.RecordBatch:
+def _rows(kind: int, h, ids: pa.Array, t, lo, hi, strings: pa.Array | None | bool = False) -> pa.RecordBatch:
+    """A batch of ROWS, with their bytes if these are not False (None: there are none)."""
     numbers = [pa.array(np.ascontiguousarray(x, np.int64)) for x in (np.broadcast_to(kind, len(ids)), h, t, lo, hi)]
-    return pa.RecordBatch.from_arrays([*numbers[:2], ids, *numbers[2:]], names=ROWS)
+    columns = [*numbers[:2], ids, *numbers[2:]]
+    if strings is False:
+        return pa.RecordBatch.from_arrays(columns, names=ROWS)
+    return pa.RecordBatch.from_arrays([*columns, pa.nulls(len(ids), pa.binary()) if strings is None else strings], names=[*ROWS, "bytes"])
 
 
-def _anchored(data: np.ndarray, ends: np.ndarray, length: int, k: int, ids: pa.Array, t: np.ndarray, shift: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _strings(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
+    got, ends = gathered(data, start, end)
+    return pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(np.concatenate([[0], ends]).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(got))])
+
+
+def _pieces(start: np.ndarray, end: np.ndarray, most: int) -> Iterator[slice]:
+    """Slices of pieces that have about `most` bytes together."""
+    part = np.cumsum(end - start) // most
+    for cut in np.unique(part).tolist():
+        yield slice(*np.searchsorted(part, [cut, cut + 1]).tolist())
+
+
+def _anchored(data: np.ndarray, ends: np.ndarray, length: int, k: int, ids: pa.Array, t: np.ndarray, shift: np.ndarray) -> tuple[tuple, tuple]:
     """Contexts of the pieces of a buffer that end at `ends`; those equal to an earlier one of the buffer are gone already.
 
     ids, t: of the text that each piece belongs to; shift: what takes places of the buffer to places of that text.
+    Returns (row, lo, hi) of what is gone, and (anchor, row, lo, hi, place in the buffer) of the other contexts.
     """
     h, c, first, last = chunked(data, ends, length, k)
     piece = np.searchsorted(ends, first, "right")
@@ -163,9 +181,8 @@ def _anchored(data: np.ndarray, ends: np.ndarray, length: int, k: int, ids: pa.A
     alike[some] = np.array(same, bool)
     again = alike & ((key != key[head]) | (lo != lo[head]))  # a row that repeats brings the very same place: only once
     gone = merged(key[again], lo[again], hi[again])
-    yield _rows(GONE, _mix(gone[0].view(np.uint64)), ids.take(pa.array(pick[gone[0]])), t[pick[gone[0]]], gone[1], gone[2])
-    key, lo, hi, h = (x[~alike] for x in (key, lo, hi, h))
-    yield _rows(CONTEXT, h.view(np.int64), ids.take(pa.array(pick[key])), t[pick[key]], lo, hi)
+    left = ~alike
+    return (pick[gone[0]], gone[1], gone[2]), (h[left].view(np.int64), pick[key[left]], lo[left], hi[left], first[left])
 
 
 def _read(length: int, k: int):
@@ -174,50 +191,56 @@ def _read(length: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, start, end = buffers(batch.column(2))
-            if len(start):
-                yield from _anchored(data[start[0] : end[-1]], end - start[0], length, k, batch.column(0), batch.column(1).to_numpy(), start[0] - start)
+            if not len(start):
+                continue
+            ids, t = batch.column(0), batch.column(1).to_numpy()
+            (row, lo, hi), (h, r, a, b, _) = _anchored(data[start[0] : end[-1]], end - start[0], length, k, ids, t, start[0] - start)
+            yield _rows(GONE, _mix(row.astype(np.uint64)).view(np.int64), ids.take(pa.array(row)), t[row], lo, hi)
+            yield _rows(CONTEXT, h, ids.take(pa.array(r)), t[r], a, b)
 
     return run
 
 
-def _several(most: int, over: int):
-    """Of rows sorted by anchor those whose anchor has others, as the kind WANTED; of anchors with more than `most` rows as `over`."""
+def _anew(length: int, k: int, most: int):
+    """The windows of crowded contexts (h, id, t, lo, bytes) as contexts of longer anchors, with their bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, flood = None, None  # rows of the last anchor, not given out yet; or that anchor, if they were for being over `most`
         for batch in batches:
-            kind = batch.column("kind").to_numpy()
-            if (kind == GONE).any():
-                yield batch.filter(pa.array(kind == GONE))
-                batch = batch.filter(pa.array(kind != GONE))
-            if flood is not None and batch.num_rows:
-                more = batch.column("h").to_numpy() == flood
-                yield _as(batch.filter(pa.array(more)), over)
-                batch = batch.filter(pa.array(~more))
-            if not batch.num_rows:
+            data, start, end = buffers(batch.column("bytes"))
+            if not len(start):
                 continue
-            rows = pa.concat_batches([held, batch]) if held is not None else batch
-            h = rows.column("h").to_numpy()
-            starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-            sizes = np.diff(np.append(starts, len(h)))
-            whole = np.repeat(np.where(sizes > most, over, np.where(sizes > 1, WANTED, CONTEXT)), sizes)
-            flood = h[-1] if sizes[-1] > most else None
-            held = None if flood is not None else rows.slice(int(starts[-1]))
-            upto = len(h) if held is None else int(starts[-1])
-            for k in (WANTED, CROWD):
-                yield _as(rows.slice(0, upto).filter(pa.array(whole[:upto] == k)), k)
-        if held is not None and held.num_rows > 1:
-            yield _as(held, WANTED)
+            data, ends = data[start[0] : end[-1]], end - start[0]
+            ids, t, at = batch.column("id"), batch.column("t").to_numpy(), batch.column("lo").to_numpy()
+            (row, lo, hi), (h, r, a, b, first) = _anchored(data, ends, length, k, ids, t, at - np.concatenate([[0], ends[:-1]]))
+            yield _rows(GONE, _mix(row.astype(np.uint64)).view(np.int64), ids.take(pa.array(row)), t[row], lo, hi, None)
+            stop = first + (b - a) + length
+            for cut in _pieces(first, stop, most):
+                yield _rows(CONTEXT, h[cut], ids.take(pa.array(r[cut])), t[r[cut]], a[cut], b[cut], _strings(data, first[cut], stop[cut]))
 
     return run
 
 
-def _as(rows: pa.RecordBatch, kind: int) -> pa.RecordBatch:
-    return rows.set_column(0, "kind", pa.array(np.full(rows.num_rows, kind, np.int64)))
-
-
-def _fetch(length: int, k: int | None, most: int):
-    """(h, id, t, lo, bytes) of the wanted contexts of (id, t, text, wanted); or with k their windows, anchored anew; about `most` bytes at a time."""
+def _several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of contexts sorted by anchor those whose anchor has others; what is gone passes."""
+    held = None  # the last row, whose anchor may go on, and whether it has gone out
+    for batch in batches:
+        kind = batch.column("kind").to_numpy()
+        if (kind == GONE).any():
+            yield batch.filter(pa.array(kind == GONE))
+            batch = batch.filter(pa.array(kind != GONE))
+        if not batch.num_rows:
+            continue
+        rows = pa.concat_batches([held[0], batch]) if held else batch
+        h = rows.column("h").to_numpy()
+        alike = h[1:] == h[:-1]
+        out = np.append(False, alike) | np.append(alike, False)
+        seen = bool(held) and held[1]
+        yield rows.filter(pa.array(out & ~(seen & (np.arange(len(h)) == 0))))
+        held = rows.slice(len(h) - 1), bool(out[-1]) or (seen and len(h) == 1)
+
+
+def _fetch(length: int, most: int):
+    """(h, id, t, lo, bytes) of the wanted contexts of (id, t, text, wanted), about `most` bytes at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before = None
@@ -233,20 +256,10 @@ def _fetch(length: int, k: int | None, most: int):
             row = np.repeat(np.arange(len(wanted)), np.asarray(wanted.value_lengths()))
             h, lo, hi = (np.asarray(wanted.flatten().field(x)) for x in ("h", "lo", "hi"))
             row, h, lo, hi = (x[new[row]] for x in (row, h, lo, hi))
-            part = np.cumsum(hi - lo + length) // most
-            for cut in range(int(part[-1]) + 1 if len(part) else 0):
-                a, b = np.searchsorted(part, [cut, cut + 1])
-                if a == b:
-                    continue
-                r, x, y = row[a:b], lo[a:b], hi[a:b]
-                got, ends = gathered(data, start[r] + x, start[r] + y + length)
-                own, own_t = ids.take(pa.array(r)), t[r]
-                if k:
-                    yield from _anchored(got, ends, length, k, own, own_t, x - np.concatenate([[0], ends[:-1]]))
-                    continue
-                offsets = pa.py_buffer(np.concatenate([[0], ends]).astype(np.int32))
-                strings = pa.Array.from_buffers(pa.binary(), b - a, [None, offsets, pa.py_buffer(np.ascontiguousarray(got))])
-                yield pa.RecordBatch.from_arrays([pa.array(h[a:b]), own, pa.array(own_t), pa.array(x), strings], names=["h", "id", "t", "lo", "bytes"])
+            a, b = start[row] + lo, start[row] + hi + length
+            for cut in _pieces(a, b, most):
+                r = row[cut]
+                yield _rows(CONTEXT, h[cut], ids.take(pa.array(r)), t[r], lo[cut], hi[cut], _strings(data, a[cut], b[cut]))
 
     return run
 
@@ -373,55 +386,81 @@ def block_repeats(code: np.ndarray, place: np.ndarray, anchor: np.ndarray, data:
     return merged(start >> PLACE_BITS, lo, lo + width)
 
 
-def _index(length: int, block: int):
-    """Windows gone, of contexts sorted by anchor: whole anchors are indexed together, about `block` bytes and a batch at a time."""
+def _settled(rows: pa.RecordBatch) -> tuple[pa.RecordBatch, pa.RecordBatch]:
+    """Of contexts with bytes those equal to an earlier one, as gone, and the first of each."""
+    ids, t, lo, hi, strings = (rows.column(x) for x in ("id", "t", "lo", "hi", "bytes"))
+    t, lo, hi = t.to_numpy(), lo.to_numpy(), hi.to_numpy()
+    code, (rank, _) = strings.dictionary_encode().indices.to_numpy(), ranked(ids, t)
+    order = np.lexsort((lo, rank, code))
+    again = np.concatenate([[False], code[order][1:] == code[order][:-1]])
+    head = order[np.maximum.accumulate(np.where(again, 0, np.arange(len(order))))]
+    other = order[again & ((rank[order] != rank[head]) | (lo[order] != lo[head]))]
+    return _rows(GONE, np.zeros(len(other)), ids.take(pa.array(other)), t[other], lo[other], hi[other], None), rows.take(pa.array(np.sort(order[~again])))
+
+
+def _index(length: int, most: int | None):
+    """Windows gone, of contexts sorted by anchor: whole anchors of about a batch of rows are indexed together.
+
+    Anchors with more than `most` different contexts are handed on as they are, as CROWD.
+    """
 
     def give(rows: pa.RecordBatch) -> pa.RecordBatch:
-        h, ids, t, lo, strings = rows.columns
+        h, ids, t, lo, strings = (rows.column(x) for x in ("h", "id", "t", "lo", "bytes"))
         coded, t = strings.dictionary_encode(), t.to_numpy()
         rank, pick = ranked(ids, t)
         data, start, end = buffers(coded.dictionary)
         key, lo, hi = block_repeats(coded.indices.to_numpy(), (rank << PLACE_BITS) + lo.to_numpy(), h.to_numpy(), data[start[0] : end[-1]], end - start[0], length)
-        return pa.RecordBatch.from_arrays([ids.take(pa.array(pick[key])), pa.array(t[pick[key]]), pa.array(lo), pa.array(hi)], names=["id", "t", "lo", "hi"])
+        return _rows(GONE, np.zeros(len(key)), ids.take(pa.array(pick[key])), t[pick[key]], lo, hi, None)
+
+    def crowd(rows: pa.RecordBatch) -> pa.RecordBatch:
+        return rows.set_column(0, "kind", pa.array(np.full(rows.num_rows, CROWD, np.int64)))
+
+    def settled(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        """Of whole anchors."""
+        h = rows.column("h").to_numpy()
+        starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        sizes = np.diff(np.append(starts, len(h)))
+        wide = np.zeros(len(starts), bool)
+        for g in np.flatnonzero(sizes > (most or len(h))).tolist():
+            later, kept = _settled(rows.slice(int(starts[g]), int(sizes[g])))
+            yield later
+            wide[g] = True
+            yield crowd(kept) if kept.num_rows > most else give(kept)
+        some = rows.filter(pa.array(~np.repeat(wide, sizes)))
+        if some.num_rows:
+            yield give(some)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        size = 0
+        held, flood = None, None  # rows of the last anchor, which may go on; or that anchor, if it is crowded
         for batch in batches:
-            held.append(batch)
-            size += batch.nbytes
-            if size < block:
+            kind = batch.column("kind").to_numpy()
+            if (kind == GONE).any():
+                yield batch.filter(pa.array(kind == GONE))
+                batch = batch.filter(pa.array(kind != GONE))
+            if flood is not None:
+                more = batch.column("h").to_numpy() == flood
+                yield crowd(batch.filter(pa.array(more)))
+                batch = batch.filter(pa.array(~more))
+            if not batch.num_rows:
                 continue
-            rows = pa.concat_batches(held)
-            h = rows.column(0).to_numpy()
-            cut = int(np.searchsorted(h, h[-1]))  # the last anchor may go on
+            rows, flood = pa.concat_batches([held, batch]) if held is not None else batch, None
+            h = rows.column("h").to_numpy()
+            cut = int(np.searchsorted(h, h[-1]))
             if cut:
-                yield give(rows.slice(0, cut))
-            elif size >= 8 * block:
-                later, rows = _settled(rows, length)
+                yield from settled(rows.slice(0, cut))
+            held = rows.slice(cut)
+            if held.num_rows > (most or FEW):
+                later, held = _settled(held)
                 yield later
-            held = [rows.take(pa.array(np.arange(cut, rows.num_rows)))]
-            size = held[0].nbytes if cut or size >= 8 * block else size
-        if held:
-            yield give(pa.concat_batches(held))
+                if most and held.num_rows > most:
+                    yield crowd(held)
+                    held, flood = None, h[-1]
+        if held is not None:
+            yield from settled(held)
 
     return run
 
 
-def _settled(rows: pa.RecordBatch, length: int) -> tuple[pa.RecordBatch, pa.RecordBatch]:
-    """Windows gone with contexts equal to an earlier one of these rows, and the rows of the first of each."""
-    _, ids, t, lo, strings = rows.columns
-    code, (rank, _) = strings.dictionary_encode().indices.to_numpy(), ranked(ids, t.to_numpy())
-    order = np.lexsort((lo.to_numpy(), rank, code))
-    again = np.concatenate([[False], code[order][1:] == code[order][:-1]])
-    head = order[np.maximum.accumulate(np.where(again, 0, np.arange(len(order))))]
-    other = again & ((rank[order] != rank[head]) | (lo.to_numpy()[order] != lo.to_numpy()[head]))
-    some = pa.array(order[other])
-    at = lo.take(some)
-    hi = pc.add(at, pc.subtract(pc.cast(pc.binary_length(strings.take(some)), pa.int64()), length))
-    return pa.RecordBatch.from_arrays([ids.take(some), t.take(some), at, hi], names=["id", "t", "lo", "hi"]), rows.take(pa.array(np.sort(order[~again])))
-
-
 def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each text without the bytes of its ranges (lo, end), and how much that is."""
     for batch in batches:
@@ -453,28 +492,28 @@ def repeats(docs: DataFrame, length: int = 100) -> DataFrame:
         raise ValueError(f"length must be {K} to {CHUNK - 1}")
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"kind long, h long, id {kind}, t long, lo long, hi long"
+    whole = f"{schema}, bytes binary"
     text = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("t"), "text").filter(F.octet_length("text") >= length)
 
-    def fetched(some: DataFrame, k: int | None, schema: str) -> DataFrame:
-        asked = some.groupBy(F.col("id").alias("_id"), F.col("t").alias("_t")).agg(F.collect_set(F.struct("h", "lo", "hi")).alias("wanted"))
-        same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("t") == F.col("_t"))
-        return text.join(asked, same).select("id", "t", "text", "wanted").mapInArrow(_fetch(length, k, GATHERED), schema)
-
-    gone: list[DataFrame] = []
-    rows, sizes = text.mapInArrow(_read(length, K), schema), levels(length)
-    for k in [*sizes[1:], None]:
-        rows = staged(rows.repartition("h").sortWithinPartitions("h").mapInArrow(_several(*((CROWDED, CROWD) if k else (1, WANTED))), schema), "contexts")
-        pieces = fetched(rows.filter(F.col("kind") == WANTED), None, f"h long, id {kind}, t long, lo long, bytes binary")
-        marked = pieces.repartition("h").sortWithinPartitions("h").mapInArrow(_index(length, BLOCK), f"id {kind}, t long, lo long, hi long")
-        gone += [rows.filter(F.col("kind") == GONE).select("id", "t", "lo", "hi"), staged(marked, "marked")]
-        crowd = rows.filter(F.col("kind") == CROWD)
-        if k is None or crowd.isEmpty():
-            break
-        rows = fetched(crowd, k, schema)
-    out = gone[0]
-    for more in gone[1:]:
-        out = out.unionByName(more)
-    return out
+    def by_anchor(rows: DataFrame) -> DataFrame:
+        return rows.repartition("h").sortWithinPartitions("h")
+
+    def gone(rows: DataFrame) -> DataFrame:
+        return rows.filter(F.col("kind") == GONE).select("id", "t", "lo", "hi")
+
+    first, *longer = levels(length)
+    rows = staged(by_anchor(text.mapInArrow(_read(length, first), schema)).mapInArrow(_several, schema), "contexts")
+    asked = rows.filter(F.col("kind") == CONTEXT).groupBy(F.col("id").alias("_id"), F.col("t").alias("_t")).agg(F.collect_set(F.struct("h", "lo", "hi")).alias("wanted"))
+    same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("t") == F.col("_t"))
+    pieces = text.join(asked, same).select("id", "t", "text", "wanted").mapInArrow(_fetch(length, GATHERED), whole)
+    out = gone(rows)
+    for k in [*longer, None]:
+        marked = staged(by_anchor(pieces).mapInArrow(_index(length, CROWDED if k else None), whole), "marked")
+        out = out.unionByName(gone(marked))
+        crowded = marked.filter(F.col("kind") == CROWD)
+        if k is None or crowded.isEmpty():
+            return out
+        pieces = crowded.select("h", "id", "t", "lo", "bytes").mapInArrow(_anew(length, k, GATHERED), whole)
 
 
 def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
