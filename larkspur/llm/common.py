@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.sources.staging import staged, unstage
 
-__all__ = ["ASCII_LOWER", "WORD", "fresh_name", "portable_uniform", "shielded", "staged", "table", "text_bytes", "unstage", "word_count"]
+__all__ = ["ASCII_LOWER", "WORD", "buffers", "fresh_name", "portable_uniform", "shielded", "staged", "table", "text_bytes", "unstage", "word_count"]
 
 #: Words are maximal runs of anything but ASCII white space (Java and RE2 read this pattern alike).
 WORD = r"[^\x20\x09-\x0D]+"
@@ -52,3 +54,12 @@ def shielded(df: DataFrame, added: tuple[str, ...]) -> tuple[DataFrame, list[Col
             names[c] = fresh_name([*names.values(), *df.columns, *added], f"own_{c}")
     renamed = df.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
     return renamed, [F.col(f"`{n}`").alias(c) for c, n in names.items()]
+
+
+def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of a column of texts, and where each starts and ends in them; null is empty."""
+    wide = column.cast(pa.large_binary())
+    offsets = np.frombuffer(wide.buffers()[1], np.int64)[wide.offset : wide.offset + len(wide) + 1] if len(wide) else np.zeros(1, np.int64)
+    data = np.frombuffer(wide.buffers()[2], np.uint8) if wide.buffers()[2] is not None else np.empty(0, np.uint8)
+    start, end = offsets[:-1], offsets[1:]
+    return data, start, np.where(np.asarray(wide.is_null()), start, end) if wide.null_count else end

@@ -16,82 +16,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import staged
-from .suffix_dedup import buffers
+from .wording import Spelled, bitmap, in_bitmap, spelled_column, words
 
 ADDED = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
-#: Letters A-Z become lower case; ASCII characters that are neither letters nor digits become spaces.
-NORMAL = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 #: The words of a text before its letters are lowered, as a pattern.
 WORDS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: The bitmap has 2 ** BITS bits; CHUNK bytes are hashed at a time; the powers of letters' places repeat after PLACES.
-BITS, CHUNK, PLACES = 27, 1 << 20, 1 << 16
-_tables: list[np.ndarray] = []
-
-
-def words(text: str | None) -> list[bytes]:
-    return text.encode("utf-8", "replace").translate(NORMAL).split() if text else []
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(29))
-
-
-class Spelled:
-    """The words of a buffer of texts: where they start and end in `raw`, which text each is of, and a hash of each."""
-
-    def __init__(self, data: np.ndarray, start: np.ndarray, end: np.ndarray):
-        if not _tables:
-            powers = np.full(PLACES, 0xD1342543DE82EF95, np.uint64)
-            powers[0] = 1
-            _tables.extend([np.cumprod(powers, dtype=np.uint64), np.random.default_rng(23).integers(1, 1 << 63, 256, np.uint64)])
-        up, letter = _tables
-        low = int(start[0]) if len(start) else 0
-        self.raw = data[low : int(end[-1]) if len(end) else low].tobytes().translate(NORMAL)
-        symbols, first = np.frombuffer(self.raw, np.uint8), np.unique(start[end > start]) - low
-        begins, lengths, hashes, at = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.uint64)], 0
-        while at < len(symbols):
-            stop = at + CHUNK
-            if stop < len(symbols):  # on to a space or the end of a text, so that no word is cut
-                space, text = self.raw.find(b" ", stop), int(np.searchsorted(first, stop))
-                stop = min(len(symbols) if space < 0 else space, int(first[text]) if text < len(first) else len(symbols))
-            part = symbols[at:stop]
-            inside = part != 32
-            begin = inside & ~np.concatenate([[False], inside[:-1]])
-            own = first[np.searchsorted(first, at) : np.searchsorted(first, stop)] - at
-            begin[own] |= inside[own]
-            places = np.flatnonzero(inside)
-            heads = np.flatnonzero(begin[places])
-            if len(heads):
-                starts, size = places[heads], np.diff(np.append(heads, len(places)))
-                value = letter[part[places]] * up[(places - np.repeat(starts, size)) % PLACES]
-                begins.append(starts + at)
-                lengths.append(size)
-                hashes.append(np.add.reduceat(value, heads))
-            at = stop
-        self.start, size = np.concatenate(begins), np.concatenate(lengths)
-        self.end, self.hash = self.start + size, _mix(np.concatenate(hashes) + size.astype(np.uint64))
-        self.text = np.searchsorted(end - low, self.start, "right")
-        self.head = np.searchsorted(self.text, np.arange(len(start)))  # the first word of each text
-        self.count = np.bincount(self.text, minlength=len(start))
-
-    def shingles(self, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """The hash of each shingle of `size` words and its first word; none goes on into another text."""
-        n = len(self.hash) - size + 1
-        if n <= 0:
-            return np.empty(0, np.uint64), np.empty(0, np.int64)
-        out = np.full(n, size, np.uint64)
-        for k in range(size):
-            out = _mix(out * np.uint64(0x9E3779B97F4A7C15) + self.hash[k : n + k])
-        at = np.flatnonzero(self.text[:n] == self.text[size - 1 :])
-        return out[at], at
-
-    def joined(self, first: int, last: int) -> bytes:
-        return b" ".join([self.raw[a:b] for a, b in zip(self.start[first:last].tolist(), self.end[first:last].tolist(), strict=True)])
-
-
-def _spelled(column: pa.Array) -> Spelled:
-    return Spelled(*buffers(column))
+#: The bitmap of shingles has 2 ** BITS bits.
+BITS = 27
 
 
 def _windows(window: int):
@@ -114,7 +45,7 @@ def _shingled(shingle: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spelled, n = _spelled(batch.column(0)), batch.column(1).to_numpy()
+            spelled, n = spelled_column(batch.column(0)), batch.column(1).to_numpy()
             for size in range(1, shingle + 1):
                 h, at = spelled.shingles(size)
                 text = spelled.text[at]
@@ -126,35 +57,33 @@ def _shingled(shingle: int):
     return run
 
 
-def _held(spelled: Spelled, sizes: list[int], bitmap: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _held(spelled: Spelled, sizes: list[int], known: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(hash, first word) of the shingles that the bitmap may have."""
-    shift = np.uint64(64 - int(len(bitmap) * 8).bit_length() + 1)
     for size in sizes:
         h, at = spelled.shingles(size)
-        bit = h >> shift
-        some = (bitmap[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1
-        yield h[some == 1], at[some == 1]
+        some = in_bitmap(known, h)
+        yield h[some], at[some]
 
 
-def _counted(sizes: list[int], bitmap):
+def _counted(sizes: list[int], known):
     """(h, m): how often shingles stand in each batch of texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for h, _ in _held(_spelled(batch.column(0)), sizes, bitmap.value):
+            for h, _ in _held(spelled_column(batch.column(0)), sizes, known.value):
                 h, m = np.unique(h, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(m.astype(np.int64))], names=["h", "m"])
 
     return run
 
 
-def _met(sizes: list[int], bitmap, window: int):
+def _met(sizes: list[int], known, window: int):
     """(id, t, h, p, n_words, c, near): shingles of texts (id, t, text), at word p; near: the words around from c on, joined."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spelled = _spelled(batch.column(2))
-            for size, (h, at) in zip(sizes, _held(spelled, sizes, bitmap.value), strict=True):
+            spelled = spelled_column(batch.column(2))
+            for size, (h, at) in zip(sizes, _held(spelled, sizes, known.value), strict=True):
                 text = spelled.text[at]
                 p, n = at - spelled.head[text], spelled.count[text]
                 c, stop = np.maximum(0, p - window + size), np.minimum(n, p + window)
@@ -165,16 +94,6 @@ def _met(sizes: list[int], bitmap, window: int):
     return run
 
 
-def bitmap(hashes: DataFrame, bits: int) -> np.ndarray:
-    """The first `bits` bits of the hashes (h), as a bitmap; 2 ** (bits - 6) rows at most are gathered."""
-    word = F.shiftrightunsigned("h", 64 - bits + 6)
-    bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(h, {64 - bits}) & 63 AS int))")
-    rows = hashes.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
-    out = np.zeros(1 << bits - 6, np.int64)
-    out[np.asarray(rows["word"])] = np.asarray(rows["bits"])
-    return out.view(np.uint8)
-
-
 def hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, shingle: int = 3) -> tuple[DataFrame, DataFrame]:
     """(id, t, start, n, w): occurrences of windows in texts, and (item_id, w): which items have a window.
 

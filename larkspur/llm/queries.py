@@ -127,7 +127,8 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(table(spark, sf_dir, "documents"))
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
-    return found.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(secrets.listed("base"), 256).alias("base_sha256"), secrets.listed("found").alias("spans"))
+    tests = lambda which: F.size(F.filter("judged", which)).cast("long")
+    return found.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(secrets.listed("base"), 256).alias("base_sha256"), secrets.listed("found").alias("spans"), tests(lambda t: F.lit(True)).alias("n_tested"), tests(lambda t: t["fixed"] & t["random"]).alias("n_base_random"), tests(lambda t: ~t["fixed"] & t["random"]).alias("n_random"))
 
 
 OP7_SQL = (
@@ -138,7 +139,7 @@ tgrams AS (SELECT id, license, len(ws) - 1 AS size, g, count(*) AS n FROM (SELEC
 texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 units AS (SELECT DISTINCT doc_id, string_split(trim(regexp_replace(translate(u, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g')), ' ') AS ws
     FROM (SELECT doc_id, unnest([t] || string_split_regex(t, '\n[\x20\t\r]*\n') || string_split(t, chr(10))) AS u FROM texts)),
-fitting AS (SELECT row_number() OVER () AS k, doc_id, ws FROM units WHERE len(ws) BETWEEN 2 AND 200),
+fitting AS (SELECT row_number() OVER () AS k, doc_id, ws FROM units WHERE len(ws) BETWEEN 2 AND (SELECT max(len(ws)) * 3 // 2 + 2 FROM templates)),
 ugrams AS (SELECT k, doc_id, len(ws) - 1 AS size, g, count(*) AS n FROM (SELECT k, doc_id, ws, unnest(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) AS g FROM fitting) GROUP BY ALL),
 dices AS (SELECT u.k, u.doc_id, t.license, 2.0::DOUBLE * sum(least(u.n, t.n)) / (any_value(t.size) + any_value(u.size)) AS dice FROM ugrams u JOIN tgrams t USING (g) GROUP BY u.k, u.doc_id, t.id, t.license),
 best AS (SELECT doc_id, count(*)::BIGINT AS n_matches, string_agg(DISTINCT license, ',' ORDER BY license) AS licenses, max(dice) AS best_dice FROM dices WHERE dice >= 0.8 GROUP BY doc_id),

@@ -1,6 +1,6 @@
 """Secret scan (native): fixed patterns, and a battery of randomness tests under false-discovery control.
 
-Every token of 20 or more characters of the base64 alphabets is a candidate.  Its encoding is inferred from the characters it
+Every token of 20 or more characters of the base64 alphabets is a candidate, be it inside a fixed pattern's match or not.  Its encoding is inferred from the characters it
 uses, which fixes an alphabet; three tests follow: chi-squared uniformity over the alphabet, runs of one class of symbols,
 and the serial correlation of neighbours.  The null hypothesis is that a token is structured, by an effect of stated
 size, in at least one of these ways; how far such an effect shifts a statistic depends on the token's length, so short tokens
@@ -15,6 +15,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import staged
+
 #: Fixed patterns, with the letters of the keywords in either case.
 ASSIGN = (
     "([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"
@@ -22,7 +24,7 @@ ASSIGN = (
 )
 ACCESS = "AKIA[A-Z0-9]{16,}"  # AKIA[A-Z0-9]+ of 20 characters or more: a longer run has no other start
 HEX = "[0-9a-f]{24,}"
-CANDIDATE = "[A-Za-z0-9+/_-]{20,}={0,2}"
+CANDIDATE, LEAST = "[A-Za-z0-9+/_-]{20,}={0,2}", 20
 KINDS = ("assign", "access", "hex", "random")
 
 #: (name, what a token of that encoding matches, whether it is read in lower case, alphabet); the first that matches counts.
@@ -128,9 +130,11 @@ def battery(x: Column, k: Column, excess: Column, class_: Column) -> Column:
 
 
 def tested(candidates: Column) -> Column:
-    """Array of (start, end, stratum, bin) of the candidates whose encoding can be inferred."""
-    coded = F.filter(F.transform(candidates, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["m"].alias("m"), encoding(c["m"]).alias("code"))), lambda c: c["code"].isNotNull())
-    placed = F.transform(coded, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["code"].alias("code"), ordinals(c["m"], c["code"]).alias("x")))
+    """Array of (start, end, fixed, stratum, bin) of the candidates (start, end, m, fixed) whose encoding can be inferred."""
+    own = ("start", "end", "fixed")
+    keep = lambda c: [c[x].alias(x) for x in own]
+    coded = F.filter(F.transform(candidates, lambda c: F.struct(*keep(c), c["m"].alias("m"), encoding(c["m"]).alias("code"))), lambda c: c["code"].isNotNull())
+    placed = F.transform(coded, lambda c: F.struct(*keep(c), c["code"].alias("code"), ordinals(c["m"], c["code"]).alias("x")))
     sizes = F.array(*[F.lit(float(len(a))) for _, _, _, a in ENCODINGS])
     excesses = F.array(*[F.lit(EXCESS[name]) for name, _, _, _ in ENCODINGS])
 
@@ -140,19 +144,26 @@ def tested(candidates: Column) -> Column:
         p = normal_cdf(battery(c["x"], *(F.element_at(of, c["code"] + 1) for of in (sizes, excesses, classes))))
         bin_ = F.greatest(F.lit(0), F.least(F.lit(LAST_BIN), F.floor(-F.log10(p) * BINS_A_TEN))).cast("int")
         band = sum((F.when(F.size(c["x"]) > b, F.lit(1)).otherwise(F.lit(0)) for b in BANDS), F.lit(0))
-        return F.struct(c["start"].alias("start"), c["end"].alias("end"), (c["code"] * (len(BANDS) + 1) + band).cast("int").alias("stratum"), bin_.alias("bin"))
+        return F.struct(*keep(c), (c["code"] * (len(BANDS) + 1) + band).cast("int").alias("stratum"), bin_.alias("bin"))
 
     return F.transform(placed, score)
 
 
 def scanned(docs: DataFrame) -> DataFrame:
-    """Rows of `docs` (doc_id, text) with `base`, the fixed patterns' spans, and `tests`, the candidates outside of them."""
+    """Rows of `docs` (doc_id, text) with `base`, the fixed patterns' spans, and `tests`, of these and of the candidates outside of them.
+
+    Of an assignment the value is tested.
+    """
     text = F.coalesce(F.col("text"), F.lit(""))
     assign = F.filter(located(text, ASSIGN, _span(0)), lambda s: F.length(F.regexp_extract(s["m"], ASSIGN, 2)) >= 6)
     base = F.array_sort(F.concat(assign, located(text, ACCESS, _span(1)), located(text, HEX, _span(2))))
-    base = F.transform(base, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
-    free = lambda c: ~F.exists("base", lambda b: (c["start"] < b["end"]) & (b["start"] < c["end"]))
-    return docs.select("doc_id", base.alias("base"), located(text, CANDIDATE, _span(3)).alias("_c")).select("doc_id", "base", tested(F.filter("_c", free)).alias("tests"))
+    free = lambda c: ~F.exists("_base", lambda b: (c["start"] < b["end"]) & (b["start"] < c["end"]))
+    as_candidate = lambda m, fixed: lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), m(c).alias("m"), F.lit(fixed).alias("fixed"))
+    value = lambda b: F.when(b["kind"] == 0, F.regexp_extract(b["m"], ASSIGN, 2)).otherwise(b["m"])
+    inside = F.filter(F.transform("_base", as_candidate(value, True)), lambda c: F.length(c["m"]) >= LEAST)
+    outside = F.transform(F.filter("_c", free), as_candidate(lambda c: c["m"], False))
+    spans = F.transform("_base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
+    return docs.select("doc_id", base.alias("_base"), located(text, CANDIDATE, _span(3)).alias("_c")).select("doc_id", spans.alias("base"), tested(F.concat(inside, outside)).alias("tests"))
 
 
 def thresholds(tests: DataFrame, rate: float) -> dict[int, int]:
@@ -173,22 +184,25 @@ def thresholds(tests: DataFrame, rate: float) -> dict[int, int]:
 
 
 def find_secrets(docs: DataFrame, rate: float = 0.05) -> DataFrame:
-    """Of every row of `docs` (doc_id, text): `base` and `found`, arrays of (start, kind, end).
+    """Of every row of `docs` (doc_id, text): `base`, `found` and `judged`.
 
     base: the fixed patterns' spans, by start and then kind (0 assign, 1 access, 2 hex); found: these and, as kind 3, the
-    candidates that pass the battery at false-discovery rate `rate`, none of which overlaps a base span.  Positions are
-    code points, end exclusive.  Null and empty texts have none; repeated rows stay repeated and count as often in the
-    discovery rate; columns but doc_id and text are ignored.  No rows: no rows.
+    candidates that pass the battery at false-discovery rate `rate`, none of which overlaps a base span, as arrays of
+    (start, kind, end).  judged: array of (start, end, fixed, encoding, p, random) of all that was tested, `fixed` for a base span,
+    which stays whatever the battery says of it; p is an upper bound.  Positions are code points, end exclusive.  Null and
+    empty texts have none; repeated rows stay repeated and count as often in the discovery rate; columns but doc_id and
+    text are ignored.  No rows: no rows.
     """
-    rows = scanned(docs)
+    rows = staged(scanned(docs), "secrets")  # texts are read once
     least = thresholds(rows.select(F.explode("tests").alias("t")).select("t.stratum", "t.bin"), rate)
-    if least:
-        limit = F.create_map(*[F.lit(x) for kv in sorted(least.items()) for x in kv])
-        random = F.filter("tests", lambda t: t["bin"] >= F.coalesce(F.element_at(limit, t["stratum"]), F.lit(LAST_BIN + 1)))
-    else:
-        random = F.filter("tests", lambda t: F.lit(False))
-    random = F.transform(random, lambda t: F.struct(t["start"].alias("start"), F.lit(3).alias("kind"), t["end"].alias("end")))
-    return rows.select("doc_id", "base", F.array_sort(F.concat("base", random)).alias("found"))
+    never = F.lit(LAST_BIN + 1)
+    limit = F.create_map(*[F.lit(x) for kv in sorted(least.items()) for x in kv]) if least else F.create_map(F.lit(-1), never)
+    names = F.array(*[F.lit(name) for name, _, _, _ in ENCODINGS])
+    code = lambda t: F.floor(t["stratum"] / (len(BANDS) + 1)).cast("int")
+    random = lambda t: t["bin"] >= F.coalesce(F.try_element_at(limit, t["stratum"]), never)
+    judged = F.transform("tests", lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), t["fixed"].alias("fixed"), F.element_at(names, code(t) + 1).alias("encoding"), F.pow(F.lit(10.0), -t["bin"] / BINS_A_TEN).alias("p"), random(t).alias("random")))
+    more = F.transform(F.filter("judged", lambda t: t["random"] & ~t["fixed"]), lambda t: F.struct(t["start"].alias("start"), F.lit(3).alias("kind"), t["end"].alias("end")))
+    return rows.select("doc_id", "base", judged.alias("judged")).select("doc_id", "base", F.array_sort(F.concat("base", more)).alias("found"), "judged")
 
 
 def listed(spans: str | Column) -> Column:

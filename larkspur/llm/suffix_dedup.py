@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import buffers, staged
 
 #: Length of the first anchors.
 K = 32
@@ -101,15 +101,6 @@ def chunked(data: np.ndarray, ends: np.ndarray, length: int, k: int) -> tuple[np
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The bytes of a column of texts, and where each starts and ends in them; null is empty."""
-    wide = column.cast(pa.large_binary())
-    offsets = np.frombuffer(wide.buffers()[1], np.int64)[wide.offset : wide.offset + len(wide) + 1] if len(wide) else np.zeros(1, np.int64)
-    data = np.frombuffer(wide.buffers()[2], np.uint8) if wide.buffers()[2] is not None else np.empty(0, np.uint8)
-    start, end = offsets[:-1], offsets[1:]
-    return data, start, np.where(np.asarray(wide.is_null()), start, end) if wide.null_count else end
-
-
 def gathered(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The pieces start to end of a buffer, one after the other, and their ends."""
     ends = np.cumsum(end - start)
