@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions import expressions as X
+from larkspur.sources.staging import staged
 
 #: An overlay of corrections is made by people, so it is small; beyond this many rows it is joined by shuffle.
 BROADCAST_ROWS = 100_000
@@ -109,13 +110,26 @@ def timeline(rows: DataFrame, this_year: int) -> DataFrame:
 def partner(files: DataFrame) -> DataFrame:
     """(id, partner_id, partner_kind): of each file with a pair key the preferred other half.
 
-    A clip before a still, one below the same folder before others, then the smallest id.
+    A clip before a still, one below the same folder before others, then the smallest id.  For each key, kind and folder
+    (and for the key as a whole) the two smallest ids are all that can be preferred, as a file is never its own partner;
+    so nothing is paired with all that share its key.
     """
-    a = files.filter(F.col("pair_key").isNotNull())
-    b = a.select("pair_key", F.col("id").alias("partner_id"), F.col("kind").alias("partner_kind"), F.col("path").alias("_p"))
-    near = F.startswith(F.lower("_p"), F.lower(F.concat(X.dirname(F.col("path")), F.lit("/"))))
-    best = F.min(F.struct((F.col("partner_kind") != "video").alias("a"), (~near).alias("b"), "partner_id", "partner_kind")).alias("best")
-    return a.join(b, "pair_key").filter("id != partner_id").groupBy("id").agg(best).select("id", "best.partner_id", "best.partner_kind")
+    rows = files.filter(F.col("pair_key").isNotNull()).select("id", "kind", "path", "pair_key", (F.col("kind") != "video").alias("_k"))
+    parts = F.split(F.lower("path"), "/")
+    above = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda n: F.when(n < F.size(parts), F.array_join(F.slice(parts, F.lit(1), n), "/")))
+    # Folder null stands for any.
+    dealt = rows.select("pair_key", "_k", "id", "kind", F.explode(F.array_distinct(F.concat(above, F.array(F.lit(None).cast("string"))))).alias("_d"))
+    place = ["pair_key", "_k", "_d"]
+    first = dealt.groupBy(*place).agg(F.min(F.struct("id", "kind")).alias("_a"))
+    other = dealt.alias("p").join(first.alias("f"), [F.col("p.pair_key") == F.col("f.pair_key"), F.col("p._k").eqNullSafe(F.col("f._k")), F.col("p._d").eqNullSafe(F.col("f._d"))])
+    other = other.filter(F.col("p.id") != F.col("f._a.id")).groupBy(*[F.col(f"p.{c}").alias(c) for c in place]).agg(F.min(F.struct("p.id", "p.kind")).alias("_b"))
+    best = first.alias("f").join(other.alias("o"), [F.col("f.pair_key") == F.col("o.pair_key"), F.col("f._k").eqNullSafe(F.col("o._k")), F.col("f._d").eqNullSafe(F.col("o._d"))], "left")
+    best = best.select(F.col("f.pair_key").alias("_key"), F.col("f._k").alias("not_video"), F.col("f._d").alias("_d"), "_a", "_b")
+    asked = rows.select("id", "pair_key", F.explode(F.array(F.lower(X.dirname(F.col("path"))), F.lit(None).cast("string"))).alias("_own"))
+    met = asked.join(best, (F.col("pair_key") == F.col("_key")) & F.col("_own").eqNullSafe(F.col("_d")))
+    found = F.when(F.col("_a.id") != F.col("id"), F.col("_a")).otherwise(F.col("_b"))
+    ranked = met.select("id", F.struct("not_video", F.col("_d").isNull().alias("far"), found["id"].alias("partner_id"), found["kind"].alias("partner_kind")).alias("r")).filter("r.partner_id is not null")
+    return ranked.groupBy("id").agg(F.min("r").alias("r")).select("id", "r.partner_id", "r.partner_kind")
 
 
 def with_partners(chosen: DataFrame, files: DataFrame) -> DataFrame:
@@ -124,10 +138,30 @@ def with_partners(chosen: DataFrame, files: DataFrame) -> DataFrame:
     return chosen.unionByName(files.join(keys, "pair_key", "left_semi").select(*chosen.columns)).dropDuplicates(["path"])
 
 
-def twins(files: DataFrame) -> DataFrame:
-    """(id, twin_id): files of equal content (sha1 and size)."""
-    a = files.filter(F.col("sha1").isNotNull()).select("id", "sha1", "size")
-    return a.join(a.withColumnRenamed("id", "twin_id"), ["sha1", "size"]).filter("id != twin_id").select("id", "twin_id")
+def twin_classes(files: DataFrame) -> DataFrame:
+    """(id, class_id, n_twins): files of equal content (sha1 and size), by the smallest id of these and how many others there are."""
+    own = files.filter("sha1 is not null and size is not null").select("id", "sha1", "size")
+    classes = own.groupBy("sha1", "size").agg(F.min("id").alias("class_id"), (F.count(F.lit(1)) - 1).alias("n_twins")).filter("n_twins > 0")
+    return own.join(classes, ["sha1", "size"]).select("id", "class_id", "n_twins")
+
+
+def twins(asked: DataFrame, files: DataFrame) -> DataFrame:
+    """(id, twin_id): of each file asked for those of equal content (sha1 and size)."""
+    a = asked.select("id", "sha1", "size")
+    return a.join(files.select(F.col("id").alias("twin_id"), "sha1", "size"), ["sha1", "size"]).filter("id != twin_id").select("id", "twin_id")
+
+
+def placed(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """`rows` and their place in an order, from 1, as a column: ranges are numbered apart, then moved by the rows before them.
+
+    The ranges are staged, as they have to be the same for counting and for numbering.
+    """
+    parted = staged(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    # One row for each range.
+    counts = parted.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return parted.withColumn("_own", own).join(F.broadcast(counts), "_range").withColumn(name, (F.col("_before") + F.col("_own")).cast("long")).drop("_range", "_own", "_before")
 
 
 def profile(files: DataFrame) -> DataFrame:

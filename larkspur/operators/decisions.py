@@ -38,10 +38,10 @@ def forget(old: DataFrame, seen: DataFrame, keys: list[str], limited: bool = Fal
 
 def append(log: DataFrame, entries: DataFrame) -> DataFrame:
     """The log with new entries, numbered on from its largest id in their order."""
-    last = log.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_last")).withColumn("_k", F.lit(1))
-    order = Window.orderBy(*[c for c in ("moved_at", "approved_at", "path", "keep_src", "remove_src", "gid") if c in entries.columns])
-    numbered = entries.withColumn("_n", F.row_number().over(order)).withColumn("_k", F.lit(1)).join(last, "_k")
-    return log.unionByName(numbered.withColumn("id", (F.col("_last") + F.col("_n")).cast(log.schema["id"].dataType)).drop("_n", "_k", "_last"), allowMissingColumns=True)
+    last = log.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    order = [F.col(c) for c in ("moved_at", "approved_at", "path", "keep_src", "remove_src", "gid") if c in entries.columns]
+    numbered = browse.placed(entries, order, "_n").withColumn("id", (F.col("_n") + last).cast(log.schema["id"].dataType)).drop("_n")
+    return log.unionByName(numbered, allowMissingColumns=True)
 
 
 def stamp(table: DataFrame, hit: DataFrame, keys: list[str], column: str, value: str) -> DataFrame:

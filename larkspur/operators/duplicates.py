@@ -95,12 +95,18 @@ def pending_by_rule(planned: DataFrame, approvals: DataFrame) -> DataFrame:
 
 
 def sidecars(listing: DataFrame, media: DataFrame) -> DataFrame:
-    """(path, sidecar): of each media path the .json, .xmp and .aae files beside it that begin with its name or share its stem."""
+    """(path, sidecar): of each media path the .json, .xmp and .aae files beside it that begin with its name or share its stem.
+
+    A sidecar's possible media names are its own name up to each of its dots, so both sides meet by equality.
+    """
     n = listing.select(F.col("path").alias("sidecar")).filter(F.lower("sidecar").rlike(r"\.(json|xmp|aae)$"))
-    n = n.select("sidecar", X.dirname(F.col("sidecar")).alias("_d"), X.basename(F.col("sidecar")).alias("_n"), X.stem(F.col("sidecar")).alias("_s"))
-    m = media.select("path", X.dirname(F.col("path")).alias("_d"), X.basename(F.col("path")).alias("name"), X.stem(F.col("path")).alias("stem"))
-    belongs = F.startswith(F.col("_n"), F.concat("name", F.lit("."))) | (F.col("_s") == F.col("stem"))
-    return m.join(n, "_d").filter(belongs & (F.col("_n") != F.col("name"))).select("path", "sidecar")
+    parts = F.split(X.basename(F.col("sidecar")), r"\.")
+    names = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda k: F.concat(F.lit("n"), F.array_join(F.slice(parts, F.lit(1), k), ".")))
+    keys = F.concat(names, F.array(F.concat(F.lit("s"), X.stem(F.col("sidecar")))))
+    n = n.select("sidecar", X.dirname(F.col("sidecar")).alias("_d"), F.explode(keys).alias("_key"))
+    own = F.array(F.concat(F.lit("n"), X.basename(F.col("path"))), F.concat(F.lit("s"), X.stem(F.col("path"))))
+    m = media.select("path", X.dirname(F.col("path")).alias("_d"), F.explode(own).alias("_key"))
+    return m.join(n, ["_d", "_key"]).filter("path != sidecar").select("path", "sidecar").distinct()
 
 
 def verified(planned: DataFrame, observed: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ LEAST_PREFIX = 20
 
 def by_name(media: DataFrame, jsons: DataFrame) -> DataFrame:
     """(folder, file, sidecar): the first candidate name that exists in the folder."""
-    asked = media.select("folder", "file", F.posexplode(X.sidecar_candidates(F.col("file"))).alias("place", "sidecar"))
+    asked = media.select("folder", "file", F.posexplode(X.sidecar_names(F.col("file"))).alias("place", "sidecar"))
     return asked.join(jsons.select("folder", "sidecar"), ["folder", "sidecar"]).groupBy("folder", "file").agg(F.min_by("sidecar", "place").alias("sidecar"))
 
 
@@ -32,11 +32,11 @@ def truncated(media: DataFrame, jsons: DataFrame) -> DataFrame:
 
     Of the file itself and the one it was edited from, the first with a fitting longest prefix counts.
     """
-    asked = media.select("folder", "file", F.posexplode(X.base_names(F.col("file"))).alias("place", "base"))
+    asked = media.select("folder", "file", F.posexplode(X.versions(F.col("file"))).alias("place", "base"))
     asked = asked.withColumn("name", F.concat("base", F.lit(X.SUPPLEMENT)))
     stems = jsons.select("folder", "sidecar", "title", F.regexp_replace("sidecar", r"\.json$", "").alias("prefix"))
     best = longest_prefix(asked.select("folder", "name").distinct(), stems, LEAST_PREFIX)
-    hits = asked.join(best, ["folder", "name"]).join(stems, ["folder", "prefix"]).filter(X.title_fits(F.col("title"), F.col("base")))
+    hits = asked.join(best, ["folder", "name"]).join(stems, ["folder", "prefix"]).filter(X.agrees(F.col("title"), F.col("base")))
     return hits.groupBy("folder", "file").agg(F.min_by("sidecar", "place").alias("sidecar"))
 
 

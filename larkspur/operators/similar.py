@@ -6,12 +6,13 @@ from itertools import combinations
 from math import comb
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.functions import expressions as X
 from larkspur.sources.staging import staged
 
+from .browse import placed
 from .graph import components
 
 
@@ -156,9 +157,10 @@ def spans(grouped: DataFrame, files: DataFrame) -> DataFrame:
     return rows.groupBy("group_id").agg(F.when(F.count("t") >= 2, F.max("t") - F.min("t")).alias("span_s"))
 
 
-def neighbours(grouped: DataFrame) -> DataFrame:
-    """(path, other): members of one group, for each path."""
-    return grouped.select("group_id", "path").join(grouped.select("group_id", F.col("path").alias("other")), "group_id").filter("path != other").select("path", "other")
+def neighbours(asked: DataFrame, grouped: DataFrame) -> DataFrame:
+    """(path, other): of each path asked for the other members of its group."""
+    own = asked.select("path").join(grouped.select("group_id", "path"), "path")
+    return own.join(grouped.select("group_id", F.col("path").alias("other")), "group_id").filter("path != other").select("path", "other")
 
 
 def group_totals(grouped: DataFrame, files: DataFrame) -> DataFrame:
@@ -248,4 +250,4 @@ def valid_submissions(submitted: DataFrame, grouped: DataFrame, files: DataFrame
 def vision_order(grouped: DataFrame, files: DataFrame) -> DataFrame:
     """(group_id, spare, place): groups of two or more indexed photos, the most spare bytes (all but the largest) first."""
     rows = grouped.join(files.filter("kind = 'photo'").select("path", "size"), "path").groupBy("group_id").agg(F.count(F.lit(1)).alias("n"), (F.sum("size") - F.max("size")).alias("spare"))
-    return rows.filter("n >= 2").select("group_id", "spare", F.row_number().over(Window.orderBy(F.desc("spare"), "group_id")).alias("place"))
+    return placed(rows.filter("n >= 2").select("group_id", "spare"), [F.desc("spare"), F.asc("group_id")], "place")

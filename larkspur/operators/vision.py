@@ -38,7 +38,7 @@ def face_states(vision: DataFrame, model_suffix: str) -> DataFrame:
 
 def sample(rows: DataFrame, n: int, seed: int, key: str = "path") -> DataFrame:
     """`n` rows by the order of a seeded hash: the same for the same seed, whatever the partitions."""
-    return rows.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(n)
+    return rows.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key)).cast("binary")), key).limit(n)
 
 
 def take_members(grouped: DataFrame, vision: DataFrame, hashes: DataFrame) -> DataFrame:

@@ -6,10 +6,14 @@ hash, and further columns derived from the id by the formulas below, which Spark
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Callable
 from datetime import datetime
 from functools import partial
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +26,7 @@ from larkspur.sources.staging import staged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+TOKEN = re.compile(r"[^ \t\n\r]+")
 NOW = datetime(2024, 6, 1, 12, 0, 0)
 
 PATH = "concat(source, '/', lang, '/', cast(doc_id AS string), CASE WHEN doc_id % 5 = 0 THEN '.mp4' ELSE '.jpg' END)"
@@ -246,9 +251,14 @@ def _(spark, sf_dir):
     return c.filter("kinds = 'assistant,user'")
 
 
-@query("j9_twins", with_("files") + "SELECT a.id, b.id AS twin_id FROM files a JOIN files b ON a.sha1 = b.sha1 AND a.size = b.size AND a.id <> b.id", "files")
+@query("j9_twins", with_("files") + "SELECT id, min(id) OVER (PARTITION BY sha1, size) AS class_id, count(*) OVER (PARTITION BY sha1, size) - 1 AS n_twins FROM files WHERE sha1 IS NOT NULL AND size IS NOT NULL QUALIFY n_twins > 0", "files")
 def _(files):
-    return browse.twins(files)
+    return browse.twin_classes(files)
+
+
+@query("j9_twins_of", with_("files") + "SELECT a.id, b.id AS twin_id FROM files a JOIN files b ON a.sha1 = b.sha1 AND a.size = b.size AND a.id <> b.id WHERE a.id % 20 = 0", "files")
+def _(files):
+    return browse.twins(files.filter("id % 20 = 0"), files)
 
 
 @query(
@@ -361,7 +371,7 @@ def _(files, overrides, excluded):
     return duplicates.verified(planned(files, overrides, excluded), seen).select("victim", "why")
 
 
-@query("so5_seeded_order", None, *PLANNED)
+@query("so5_seeded_order", with_(*PLANNED) + f", {PLAN} SELECT victim FROM plan ORDER BY md5('7:' || victim), victim LIMIT 50", *PLANNED)
 def _(*frames):
     return vision.sample(planned(*frames), 50, 7, "victim").select("victim")
 
@@ -401,21 +411,33 @@ PRINTS = (
 )
 
 
+def _prints(batches):
+    """(key, hash) of (key, text): the majority of each bit over the distinct tokens' hashes; texts without tokens have none."""
+    known: dict[str, int] = {}
+    for batch in batches:
+        keys, out = [], []
+        for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            tokens = set(TOKEN.findall(text or ""))
+            if not tokens:
+                continue
+            if len(known) > 400_000:
+                known.clear()
+            for t in tokens - known.keys():
+                known[t] = int(hashlib.md5(t.encode()).hexdigest()[:16], 16)
+            bits = np.unpackbits(np.array([known[t] for t in tokens], np.uint64).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            keys.append(key)
+            out.append(np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(tokens), bitorder="little").view(np.int64)[0])
+        yield pa.RecordBatch.from_arrays([pa.array(keys, batch.schema.types[0]), pa.array(out, pa.int64())], names=["key", "hash"])
+
+
 def text_prints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(key, hash): a 64-bit fingerprint of each text, the sign of summed token bits; the stand-in for image hashes.
 
     One pass within rows: no token is shuffled.
     """
-    docs = load(spark, sf_dir, "documents")
-    tokens = F.array_distinct(F.regexp_extract_all("text", F.lit(r"[^ \t\n\r]+"), F.lit(0)))
-    hashes = F.transform(tokens, lambda w: F.conv(F.substring(F.md5(w.cast("binary")), 1, 16), 16, -10).cast("long"))
-    rows = docs.select(F.col("doc_id").alias("key"), hashes.alias("hs")).filter(F.size("hs") > 0)
-    # Exploded within the task; the sums are combined there too.
-    bits = rows.select("key", F.explode("hs").alias("h")).groupBy("key").agg(*[F.sum(F.shiftrightunsigned("h", b).bitwiseAND(F.lit(1)) * 2 - 1).alias(f"b{b}") for b in range(64)])
-    value = F.lit(0).cast("long")
-    for b in range(64):
-        value = value.bitwiseOR(F.when(F.col(f"b{b}") > 0, F.lit((1 << b) - (1 << 64) if b == 63 else 1 << b)).otherwise(F.lit(0)).cast("long"))
-    return staged(bits.select("key", value.alias("hash")), "prints")  # the joins below read it several times
+    docs = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), "text")
+    kind = docs.schema["key"].dataType.simpleString()
+    return staged(docs.mapInArrow(_prints, f"key {kind}, hash long"), "prints")  # the joins below read it several times
 
 
 @query("nd6_simhash_edges", f"WITH {PRINTS} SELECT a.doc_id AS a, b.doc_id AS b, bit_count(xor(a.h, b.h))::INT AS d FROM prints a JOIN prints b ON a.doc_id < b.doc_id AND bit_count(xor(a.h, b.h)) <= 5")
@@ -464,9 +486,9 @@ def _(spark, sf_dir):
     return e.groupBy("user_id", "day").agg(F.when(F.count("t") >= 2, F.max("t") - F.min("t")).alias("span_s"))
 
 
-@query("j4_neighbours", with_("grouped") + "SELECT a.path, b.path AS other FROM grouped a JOIN grouped b USING (group_id) WHERE a.path <> b.path", "grouped")
-def _(grouped):
-    return similar.neighbours(grouped)
+@query("j4_neighbours", with_("grouped", "files") + "SELECT a.path, b.path AS other FROM grouped a JOIN grouped b USING (group_id) JOIN files f ON f.path = a.path WHERE a.path <> b.path AND f.id % 20 = 0", "grouped", "files")
+def _(grouped, files):
+    return similar.neighbours(files.filter("id % 20 = 0"), grouped)
 
 
 @query("a10_group_totals", with_(*FLAGGED) + f", {FLAGS} SELECT count(DISTINCT group_id) AS groups, count(*) AS photos, coalesce(sum(CASE WHEN is_best = 0 THEN size END), 0)::BIGINT AS spare FROM flags JOIN files USING (path)", *FLAGGED)
@@ -674,11 +696,11 @@ def _(files, overrides, excluded):
     return decisions.copied_overrides(old, planned(files, overrides, excluded), "t1").select("path", "taken_at")
 
 
-TAKES = "takes AS (SELECT o_orderkey AS id, o_custkey % 40 AS gid, 'x/take' || o_orderkey || '.jpg' AS out_rel, CASE WHEN o_orderkey % 2 = 0 THEN 'add_discard' ELSE 'add' END AS mode, CASE WHEN o_orderkey % 3 = 0 THEN 'u' END AS used_at FROM orders WHERE o_orderkey < 200)"
+TAKES = "takes AS (SELECT o_orderkey AS id, o_custkey % 40 AS gid, 'x/take' || o_orderkey || '.jpg' AS out_rel, CASE WHEN o_orderkey % 2 = 0 THEN 'add_discard' ELSE 'add' END AS mode, CASE WHEN o_orderkey % 3 = 0 THEN 'u' END AS used_at FROM orders)"
 
 
 def takes(spark, sf_dir):
-    return load(spark, sf_dir, "orders").filter("o_orderkey < 200").selectExpr("o_orderkey AS id", "o_custkey % 40 AS gid", "concat('x/take', o_orderkey, '.jpg') AS out_rel", "CASE WHEN o_orderkey % 2 = 0 THEN 'add_discard' ELSE 'add' END AS mode", "CASE WHEN o_orderkey % 3 = 0 THEN 'u' END AS used_at", "cast(NULL AS string) AS archive_path", "concat('[\"f', o_orderkey, '\",\"g', o_orderkey % 5, '\"]') AS made_from")
+    return load(spark, sf_dir, "orders").selectExpr("o_orderkey AS id", "o_custkey % 40 AS gid", "concat('x/take', o_orderkey, '.jpg') AS out_rel", "CASE WHEN o_orderkey % 2 = 0 THEN 'add_discard' ELSE 'add' END AS mode", "CASE WHEN o_orderkey % 3 = 0 THEN 'u' END AS used_at", "cast(NULL AS string) AS archive_path", "concat('[\"f', o_orderkey, '\",\"g', o_orderkey % 5, '\"]') AS made_from")
 
 
 @query("so7_latest_take", f"WITH {TAKES} SELECT id, gid FROM takes QUALIFY row_number() OVER (PARTITION BY gid ORDER BY id DESC) = 1")
@@ -831,6 +853,19 @@ def _(files):
 # Sources
 
 
+LISTED = "concat('d', page_id % 7, '/n', page_id - page_id % 6, CASE page_id % 6 WHEN 0 THEN '.CR3' WHEN 1 THEN '.CR3.xmp' WHEN 2 THEN '.Mov' WHEN 3 THEN CASE page_id % 4 WHEN 0 THEN '.xmp' WHEN 1 THEN '.AAE' WHEN 2 THEN '.Aae' ELSE '.json' END WHEN 4 THEN '.heif' ELSE '.bmp' END)"
+LISTING = f"listing AS (SELECT DISTINCT {LISTED.replace('page_id % 7', 'page_id // 6 % 7')} AS path FROM pages)"
+
+
+@query(
+    "sc1_media",
+    f"WITH {LISTING}, m AS (SELECT path, lower(regexp_extract(path, '\\.[^.]*$')) AS ext, regexp_replace(path, '\\.[^.]*$', '') AS stem FROM listing) SELECT path, ext, CASE ext WHEN '.mov' THEN 'video' ELSE 'photo' END AS kind, (path || '.xmp' IN (SELECT path FROM listing) OR stem || '.xmp' IN (SELECT path FROM listing) OR stem || '.aae' IN (SELECT path FROM listing) OR stem || '.AAE' IN (SELECT path FROM listing))::INT AS has_sidecar FROM m WHERE ext IN ('.cr3', '.mov', '.heif')",
+)
+def _(spark, sf_dir):
+    listing = load(spark, sf_dir, "pages").selectExpr(LISTED.replace("page_id % 7", "cast(floor(page_id / 6) AS long) % 7") + " AS path").distinct()
+    return sources.media(listing)
+
+
 @query("sc13_changed", with_("files") + "SELECT path FROM files WHERE id % 5 = 0 OR id % 7 = 0", "files")
 def _(files):
     now = files.selectExpr("path", "size", "id AS mtime_ns", "id")
@@ -852,10 +887,10 @@ def _(files):
     return sources.to_look_at(now, seen, "m", retry=True, text="SRC1").select("path")
 
 
-@query("sc4_sidecar_json", "SELECT event_id, CASE WHEN event_id % 3 <> 0 AND event_id * 1000000 >= 631152000 THEN strftime(to_timestamp(event_id * 1000000) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%S') END AS taken_at, CASE WHEN event_id % 2 = 0 THEN 10.5 ELSE 20.5 END AS lat FROM events WHERE event_id < 1700")
+@query("sc4_sidecar_json", "SELECT event_id, CASE WHEN event_id % 3 <> 0 AND event_id % 1700 * 1000000 >= 631152000 THEN strftime(to_timestamp(event_id % 1700 * 1000000) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%S') END AS taken_at, CASE WHEN event_id % 2 = 0 THEN 10.5 ELSE 20.5 END AS lat FROM events")
 def _(spark, sf_dir):
-    e = load(spark, sf_dir, "events").filter("event_id < 1700")
-    text = "concat('{\"title\":\"a\",\"photoTakenTime\":{\"timestamp\":\"', CASE WHEN event_id % 3 = 0 THEN 'x' ELSE cast(event_id * 1000000 AS string) END, '\"},\"geoData\":{\"latitude\":', CASE WHEN event_id % 2 = 0 THEN '10.5' ELSE '0.0' END, ',\"longitude\":0.0},\"geoDataExif\":{\"latitude\":20.5,\"longitude\":3.0}}')"
+    e = load(spark, sf_dir, "events")
+    text = "concat('{\"title\":\"a\",\"photoTakenTime\":{\"timestamp\":\"', CASE WHEN event_id % 3 = 0 THEN 'x' ELSE cast(event_id % 1700 * 1000000 AS string) END, '\"},\"geoData\":{\"latitude\":', CASE WHEN event_id % 2 = 0 THEN '10.5' ELSE '0.0' END, ',\"longitude\":0.0},\"geoDataExif\":{\"latitude\":20.5,\"longitude\":3.0}}')"
     return sources.parsed_sidecars(e.selectExpr("cast(event_id AS string) AS path", f"{text} AS value")).select(F.col("path").cast("long").alias("event_id"), "taken_at", "lat")
 
 
@@ -1072,7 +1107,7 @@ def _(spark, sf_dir):
     return reconcile.freshness(base(spark, sf_dir, "files"), log(spark, sf_dir), saved)
 
 
-@query("so6_sample", None, "files")
+@query("so6_sample", with_("files") + "SELECT path FROM files ORDER BY md5('3:' || path), path LIMIT 20", "files")
 def _(files):
     return vision.sample(files, 20, 3).select("path")
 
@@ -1085,11 +1120,14 @@ def _(spark, sf_dir):
     return g.select("group_id", F.array_join(areas, ",").alias("areas"))
 
 
-@query("ext_bursts", None)
+@query(
+    "ext_bursts",
+    "WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 10 SECOND THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM s GROUP BY user_id, k",
+)
 def _(spark, sf_dir):
     """Extension: shots in a row, over a bounded table as the stream has them."""
     e = load(spark, sf_dir, "events")
-    return e.groupBy("user_id", F.session_window("ts", "10 seconds").alias("w")).agg(F.count(F.lit(1)).alias("n")).select("user_id", F.col("w.start").cast("string").alias("start"), "n")
+    return e.groupBy("user_id", F.session_window("ts", "10 seconds").alias("w")).agg(F.count(F.lit(1)).alias("n")).select("user_id", F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
 
 
 

@@ -7,14 +7,17 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.functions import expressions as X
 
 #: Extensions of photos and videos.
-PHOTO = [".jpg", ".jpeg", ".heic", ".png", ".gif", ".tif", ".tiff", ".bmp", ".webp", ".dng", ".cr2", ".nef", ".arw"]
+PHOTO = [".jpg", ".jpeg", ".heic", ".heif", ".png", ".gif", ".tif", ".tiff", ".webp", ".cr2", ".cr3", ".dng", ".nef", ".arw", ".orf", ".rw2"]
 VIDEO = [".mov", ".mp4", ".m4v", ".avi", ".mts", ".3gp", ".mp"]
+#: Endings of folders that are library packages.
+PACKAGES = (".photoslibrary", ".aplibrary", ".migratedphotolibrary", ".photolibrary", ".iphotolibrary")
 ZIP_SCHEMA = "zip string, name string, size long, crc long"
 
 
@@ -28,16 +31,19 @@ def catalogue(spark: SparkSession, root: str, names: list[str]) -> dict[str, Dat
     for n in names:
         try:
             out[n] = spark.read.parquet(f"{root}/{n}")
-        except Exception as e:
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
             raise MissingTable(n) from e
         out[n].createOrReplaceTempView(n)
     return out
 
 
-def walk(spark: SparkSession, root: str, packages: tuple[str, ...] = (".photoslibrary", ".aplibrary", ".photolibrary")) -> DataFrame:
+def walk(spark: SparkSession, root: str, packages: tuple[str, ...] = PACKAGES) -> DataFrame:
     """(path below root, size, modified) of every file, without reading contents.
 
-    Spark leaves out names that begin with `_` or a dot; what is inside library packages is left out here.
+    Spark leaves out names that begin with `_` or a dot, folders and files alike (a file that begins with `_` is the one case
+    in which that is more than the catalogue leaves out); what is inside library packages is left out here.
     """
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length", "modificationTime")
     # Paths come back with a scheme and one or three slashes; what follows the root's own parts is kept.
@@ -55,10 +61,16 @@ def _quoted(text: str) -> str:
 
 
 def media(listing: DataFrame, photo: list[str] = PHOTO, video: list[str] = VIDEO) -> DataFrame:
-    """Photos and videos of a listing with ext, kind and has_sidecar (`<file>.json` or a supplement stands beside it)."""
+    """Photos and videos of a listing with ext, kind and has_sidecar.
+
+    A sidecar is `<file>.xmp`, `<stem>.xmp`, `<stem>.aae` or `<stem>.AAE`, written so, in the same folder.
+    """
     rows = listing.withColumn("ext", F.lower(X.extension(F.col("path")))).withColumn("kind", X.kind_of(F.col("ext"), photo, video)).filter("kind is not null")
-    side = listing.filter(F.endswith(F.lower("path"), F.lit(".json"))).select(F.regexp_replace("path", r"(\.supplemental-metadata)?\.json$", "").alias("path"), F.lit(1).alias("has_sidecar")).distinct()
-    return rows.join(side, "path", "left").withColumn("has_sidecar", F.coalesce("has_sidecar", F.lit(0)))
+    side = listing.filter(F.col("path").rlike(r"\.(xmp|aae|AAE)$"))
+    beside = side.select(F.regexp_replace("path", r"\.[^.]*$", "").alias("_beside")).distinct()
+    whole = side.filter(F.endswith("path", F.lit(".xmp"))).select(F.regexp_replace("path", r"\.[^.]*$", "").alias("_whole"))
+    out = rows.join(beside, X.without_extension(F.col("path")) == F.col("_beside"), "left").join(whole, F.col("path") == F.col("_whole"), "left")
+    return out.withColumn("has_sidecar", (F.col("_beside").isNotNull() | F.col("_whole").isNotNull()).cast("int")).drop("_beside", "_whole")
 
 
 def hashed(spark: SparkSession, root: str) -> DataFrame:
@@ -104,7 +116,12 @@ def zip_entries(spark: SparkSession, path: str) -> DataFrame:
 
     Zips up to the size that a binary column holds (2 GiB) are read; larger ones need `zip_directories`.
     """
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(_entries, ZIP_SCHEMA)
+    return zip_contents(spark.read.format("binaryFile").load(path))
+
+
+def zip_contents(archives: DataFrame) -> DataFrame:
+    """The same for archives (path, content) that are rows already."""
+    return archives.select("path", "content").mapInPandas(_entries, ZIP_SCHEMA)
 
 
 def zip_directories(spark: SparkSession, paths: list[str]) -> DataFrame:

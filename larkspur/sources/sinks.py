@@ -7,30 +7,49 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .files import MissingTable
+
 
 def _fs(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p, p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
 
 
+def _pointers(spark: SparkSession, folder: str) -> list[tuple[int, str]]:
+    """(number, version) of the pointers of a table, in order; none if there is no such table."""
+    p, fs = _fs(spark, f"{folder}/_pointers")
+    if not fs.exists(p):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(p)]
+    return sorted((int(n), v) for n, _, v in (name.partition("-") for name in names) if n.isdigit() and v)
+
+
 def write_snapshot(df: DataFrame, folder: str) -> str:
-    """`df` as a new version of the table in `folder`; a reader sees the old one until the pointer names the new.
+    """`df` as a new version of the table in `folder`; a reader sees the old one until a pointer names the new.
 
-    A table is never overwritten while a plan reads it: versions are folders of their own, and the pointer is written last.
+    A table is never overwritten while a plan reads it: versions are folders of their own, and the pointer, an empty file
+    with a number and the version in its name, is made last.  Writers take turns: of two at once both keep their version
+    and that with the higher number, or else the later name, counts.
     """
     spark = df.sparkSession
     version = uuid.uuid4().hex
     df.write.parquet(f"{folder}/{version}")
-    spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("append").json(f"{folder}/_pointer")
+    number = max((n for n, _ in _pointers(spark, folder)), default=0) + 1
+    p, fs = _fs(spark, f"{folder}/_pointers/{number:012d}-{version}")
+    fs.create(p, False).close()
     return version
 
 
+def has_snapshot(spark: SparkSession, folder: str) -> bool:
+    return bool(_pointers(spark, folder))
+
+
 def read_snapshot(spark: SparkSession, folder: str) -> DataFrame:
-    """The newest version of the table in `folder`."""
-    p, fs = _fs(spark, f"{folder}/_pointer")
-    files = sorted((s.getModificationTime(), s.getPath().toString()) for s in fs.listStatus(p) if s.getLen())
-    version = spark.read.schema("version string").json(files[-1][1]).first().version
-    return spark.read.parquet(f"{folder}/{version}")
+    """The newest version of the table in `folder`; MissingTable if it has none."""
+    known = _pointers(spark, folder)
+    if not known:
+        raise MissingTable(folder)
+    return spark.read.parquet(f"{folder}/{known[-1][1]}")
 
 
 def differences(a: DataFrame, b: DataFrame, keys: tuple[str, ...] = ("path", "size", "sha1")) -> DataFrame:

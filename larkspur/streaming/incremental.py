@@ -25,12 +25,9 @@ def catch_up(stream: DataFrame, table: str, checkpoint: str, keys: list[str]) ->
     def merge(batch: DataFrame, _: int) -> None:
         whole = F.struct(*batch.columns)
         new = batch.groupBy(*keys).agg(F.max_by(whole, "scanned_at").alias("r")).select("r.*")
-        try:
-            old = sinks.read_snapshot(spark, table)
-        except Exception:
-            sinks.write_snapshot(new, table)
-        else:
-            sinks.write_snapshot(decisions.replace(old, new, keys), table)
+        if sinks.has_snapshot(spark, table):  # whatever else goes wrong with the old version ends the batch
+            new = decisions.replace(sinks.read_snapshot(spark, table), new, keys)
+        sinks.write_snapshot(new, table)
 
     stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 

@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from larkspur.plans.queries import QUERIES, SQL
+from larkspur.plans.entries import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
 

@@ -1,19 +1,21 @@
 """Sources, sinks and the stream, on files made here."""
 
 import json
+import os
 import zipfile
 import zlib
+from types import SimpleNamespace
 
 import pytest
 
-from larkspur.sources import files, sinks
+from larkspur.sources import files, sinks, staging
 from larkspur.streaming import incremental
 
 
 @pytest.fixture
 def tree(tmp_path):
     root = tmp_path / "my photos"
-    for name in ("a/one.JPG", "a/one.JPG.supplemental-metadata.json", "a/_hidden/x.jpg", "b/two.mov", "b/L.photoslibrary/in.jpg", "note.txt", "b/.dot.jpg"):
+    for name in ("a/one.JPG", "a/one.JPG.supplemental-metadata.json", "a/_hidden/x.jpg", "b/two.mov", "b/two.aae", "b/three.heif", "b/three.heif.xmp", "b/four.rw2", "b/four.json", "b/four.XMP", "b/five.bmp", "b/L.photoslibrary/in.jpg", "b/M.iPhotoLibrary/x/in.jpg", "note.txt", "b/.dot.jpg"):
         p = root / name
         p.parent.mkdir(parents=True, exist_ok=True)
         p.write_bytes(name.encode())
@@ -22,8 +24,10 @@ def tree(tmp_path):
 
 def test_walk_and_hash(spark, tree):
     listing = files.walk(spark, str(tree))
-    assert {r.path for r in listing.collect()} == {"a/one.JPG", "a/one.JPG.supplemental-metadata.json", "b/two.mov", "note.txt"}
-    assert {r.path: (r.kind, r.has_sidecar, r["size"]) for r in files.media(listing).collect()} == {"a/one.JPG": ("photo", 1, 9), "b/two.mov": ("video", 0, 9)}
+    beside = {"a/one.JPG.supplemental-metadata.json", "b/two.aae", "b/three.heif.xmp", "b/four.json", "b/four.XMP"}
+    assert {r.path for r in listing.collect()} == {"a/one.JPG", "b/two.mov", "b/three.heif", "b/four.rw2", "b/five.bmp", "note.txt"} | beside
+    # Export sidecars and other spellings aren't sidecars of the archive.
+    assert {r.path: (r.kind, r.has_sidecar) for r in files.media(listing).collect()} == {"a/one.JPG": ("photo", 0), "b/two.mov": ("video", 1), "b/three.heif": ("photo", 1), "b/four.rw2": ("photo", 0)}
     got = {r.path: r.crc for r in files.hashed(spark, str(tree)).collect()}
     assert got["b/two.mov"] == zlib.crc32(b"b/two.mov")
     assert {r.folder: (r.media, r.jsons) for r in files.staging(listing).collect()}["a"] == (["one.JPG"], ["one.JPG.supplemental-metadata.json"])
@@ -65,6 +69,47 @@ def test_snapshots(spark, tmp_path):
         sinks.to_response(a.unionByName(a), 1)
     with pytest.raises(files.MissingTable):
         files.catalogue(spark, str(tmp_path), ["nothing"])
+    with pytest.raises(files.MissingTable):
+        sinks.read_snapshot(spark, f"{tmp_path}/nowhere")
+    (tmp_path / "broken").mkdir()
+    (tmp_path / "broken/x.parquet").write_bytes(b"no parquet")
+    with pytest.raises(Exception) as other:
+        files.catalogue(spark, str(tmp_path), ["broken"])
+    assert not isinstance(other.value, files.MissingTable)
+
+
+def test_snapshots_are_numbered(spark, tmp_path):
+    for k in range(12):
+        sinks.write_snapshot(spark.range(k + 1), f"{tmp_path}/t")
+    assert sinks.read_snapshot(spark, f"{tmp_path}/t").count() == 12
+    for pointer in (tmp_path / "t/_pointers").iterdir():
+        os.utime(pointer, (1, 1))  # times of files don't matter
+    assert sinks.read_snapshot(spark, f"{tmp_path}/t").count() == 12
+
+
+def test_a_failed_read_loses_nothing(spark, tmp_path, monkeypatch):
+    schema = "path string, size int, scanned_at string"
+    spark.createDataFrame([(f"f{k}", 1, "1") for k in range(100)], schema).write.parquet(f"{tmp_path}/in")
+    catch_up = lambda: incremental.catch_up(incremental.scan_stream(spark, f"{tmp_path}/in", schema), f"{tmp_path}/t", f"{tmp_path}/c", ["path"])
+    catch_up()
+    spark.createDataFrame([("f0", 2, "2")], schema).write.mode("append").parquet(f"{tmp_path}/in")
+
+    def fails(*_):
+        raise OSError("the store does not answer")
+
+    with monkeypatch.context() as m:
+        m.setattr(sinks, "read_snapshot", fails)
+        with pytest.raises(Exception, match="does not answer"):
+            catch_up()
+    assert sinks.read_snapshot(spark, f"{tmp_path}/t").count() == 100
+    catch_up()
+    assert {r.path: r["size"] for r in sinks.read_snapshot(spark, f"{tmp_path}/t").collect()} == {f"f{k}": 2 if k == 0 else 1 for k in range(100)}
+
+
+def test_only_one_process_may_stage_in_a_folder_of_its_own():
+    conf, context = SimpleNamespace(get=lambda *_: None), SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None)
+    with pytest.raises(ValueError):
+        staging.shared_dir(SimpleNamespace(conf=conf, sparkContext=context))
 
 
 def test_incremental_stream(spark, tmp_path):
