@@ -95,6 +95,20 @@ def op5_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~rules.passes(F.col("fail_bits"), "base-1")).alias("base_failed"), rules.passes(F.col("fail_bits"), "quality-1").alias("kept"), "fail_bits")
 
 
+RULES_SQL = (
+    OP5_SQL[: OP5_SQL.rindex("SELECT doc_id")]
+    + "SELECT rule, count(*) FILTER ((b >> k) & 1 = 1) AS n_failed, count(*) FILTER (b = 1 << k) AS n_only, count(*) FILTER (b = 0 OR b = 1 << k) AS n_kept_without FROM bits, (VALUES "
+    + ", ".join(f"({r.bit}, '{r.name}')" for r in rules.RULES)
+    + ") v(k, rule) GROUP BY rule"
+)
+
+
+@query("rules_ablation", RULES_SQL)
+def rules_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the policy decides, from op5's ledger."""
+    return rules.ablation(rules.ledger(table(spark, sf_dir, "documents")), "quality-1")
+
+
 OP6_SQL = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
 b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),

@@ -4,6 +4,10 @@ Equal fingerprints are collapsed first.  Each distinct one is dealt out under ev
 a pair that differs in at most `distance` bits agrees in the bits of one such choice at least.  In a bucket every pair is
 compared, but only one link per fingerprint is emitted, to the smallest it hangs together with there.  Buckets that sampling shows
 to be crowded are split into chunks, and every pair of chunks is a bucket of its own; the result is the same.
+
+`alike` finds classes of texts by the similarity of their shingles: a distance of so many bits has no choice of blocks that
+all close pairs share, so the blocks are masks of a wide fingerprint, as many as leave few pairs out, and the shingles
+themselves are compared where the Hamming distance leaves it open.
 """
 
 from __future__ import annotations
@@ -21,6 +25,7 @@ from pyspark.sql import functions as F
 from larkspur.operators.graph import components, local_labels
 
 from .common import ASCII_LOWER, fresh_name, staged
+from .wording import bitmap, in_bitmap
 
 #: Buckets expected to hold more than CROWDED fingerprints are split into chunks of about CROWDED / 2.
 CROWDED, SAMPLE = 4096, 16
@@ -176,20 +181,258 @@ def near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4, seed: in
     return rows.join(known, "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")
 
 
+#: Fingerprints of the texts' similarity: four words of bits, of which two go along to the buckets.
+WIDE, NEAR = 4, 2
+#: Masks are as many as let a pair at FAR of all bits miss all of them with a chance of MISSED at most; a bucket is expected to hold
+#: FEW others by chance.
+FAR, MISSED, FEW = 45 / 256, 0.05, 64
+#: Of the bits that go along: up to SURE apart texts count as alike, beyond UNLIKE as different, between them their shingles are compared.
+SURE, UNLIKE = 7, 32
+#: The bitmap of texts whose shingles are compared has 2 ** BITS bits.
+BITS = 24
+
+
+def shingles(text: str | None, words: int, seed: int = 42) -> np.ndarray:
+    """The different shingles' XXH64, sorted; A-Z are lower-cased, fewer words than a shingle make one, no words none."""
+    tokens = text.encode("utf-8", "replace").translate(ASCII_LOWER).split() if text else []
+    if not tokens:
+        return np.empty(0, np.uint64)
+    k, joined = min(words, len(tokens)), b" ".join(tokens)
+    ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
+    starts = [0, *(ends[: len(tokens) - k] + 1).tolist()]
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts, ends[k - 1 :].tolist(), strict=True)), np.uint64, len(starts)))
+
+
+def wide_print(hashes: np.ndarray) -> np.ndarray:
+    """WIDE words: the majority of each bit over the hashes and numbers made of them."""
+    if not len(hashes):
+        return np.zeros(WIDE, np.uint64)
+    ones = np.zeros(64 * WIDE, np.int64)
+    for at in range(0, len(hashes), 1 << 13):
+        part = hashes[at : at + (1 << 13), None] * (np.arange(WIDE, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C16) + np.uint64(1))
+        part = (part ^ (part >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        part ^= part >> np.uint64(32)
+        ones += np.unpackbits(part.view(np.uint8).reshape(len(part), -1), axis=1, bitorder="little").sum(axis=0, dtype=np.uint16)
+    return np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)
+
+
+def _wide(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints = np.array([wide_print(shingles(t.as_py(), words)) for t in batch.column(2)], np.uint64).reshape(-1, WIDE)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array(np.ascontiguousarray(prints[:, k]).view(np.int64)) for k in range(WIDE))], names=["doc_id", "t", *(f"p{k}" for k in range(WIDE))])
+
+    return run
+
+
+def tables(count: int) -> tuple[int, int]:
+    """(how many masks, how many bits each) for this many fingerprints."""
+    for width in range(10, 64):
+        number = int(np.ceil(np.log(MISSED) / np.log(1 - (1 - FAR) ** width)))
+        if count * number / 2.0**width <= FEW:
+            break
+    return number, width
+
+
+def wide_masks(number: int, width: int) -> np.ndarray:
+    """That many rows of WIDE words with `width` bits set, the same every time; each is a block of the fingerprint."""
+    rng = np.random.default_rng(17)
+    bits = np.zeros((number, 64 * WIDE), np.uint8)
+    for row in bits:
+        row[rng.choice(64 * WIDE, width, replace=False)] = 1
+    return np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
+
+
+def _dealt(number: int, width: int):
+    """(bucket, k, p0, p1): every fingerprint (k, p0, ...) in the bucket of its bits under each mask."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spread = wide_masks(number, width)
+        for batch in batches:
+            k, *words = (np.asarray(c) for c in batch.columns)
+            prints = np.stack([w.view(np.uint64) for w in words], 1)
+            for n, mask in enumerate(spread):
+                value = np.full(len(k), n + 1, np.uint64)
+                for x, m in zip(prints.T, mask, strict=True):
+                    value = (value ^ (x & m)) * np.uint64(0xD6E8FEB86659FD93)
+                    value ^= value >> np.uint64(29)
+                yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), batch.column(0), *batch.columns[1 : 1 + NEAR]], names=["bucket", "k", *(f"p{i}" for i in range(NEAR))])
+
+    return run
+
+
+def apart(prints: np.ndarray, i, j) -> np.ndarray:
+    return np.bitwise_count(prints[i] ^ prints[j]).sum(axis=-1, dtype=np.int64)
+
+
+def forest(bucket: np.ndarray, prints: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, bits apart): of all pairs up to `most` apart in equal, adjacent buckets a spanning forest of the closest.
+
+    In turns, each tree takes the closest link to another one (of equals that with the smallest places).
+    """
+    n = len(bucket)
+    starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))[:n]
+    sizes = np.diff(np.append(starts, n))
+    near = [(np.empty(0, np.int64),) * 3]
+    small = np.repeat(sizes <= 64, sizes)
+    for step in range(1, int(sizes[sizes <= 64].max(initial=0))):
+        i = np.flatnonzero((bucket[step:] == bucket[:-step]) & small[:-step])
+        d = apart(prints, i, i + step)
+        near.append((i[d <= most], i[d <= most] + step, d[d <= most]))
+    left, right, d = (np.concatenate(x) for x in zip(*near, strict=True))
+    wide = [(int(s), int(s + z)) for s, z in zip(starts[sizes > 64], sizes[sizes > 64], strict=True)]
+    label, out = np.arange(n), [(np.empty(0, np.int64),) * 3]
+    while True:
+        open_ = label[left] != label[right]
+        left, right, d = left[open_], right[open_], d[open_]
+        links = [(left, right, d)]
+        for a, b in wide:  # the closest of another tree for each, as all pairs are too many to be kept
+            for at in range(a, b, rows := max(1, (1 << 20) // (b - a))):
+                i = np.arange(at, min(b, at + rows))
+                far = np.bitwise_count(prints[i, None] ^ prints[None, a:b]).sum(axis=2, dtype=np.int64)
+                far[label[i, None] == label[None, a:b]] = 1 << 20
+                j = far.argmin(axis=1)
+                some = far[np.arange(len(i)), j] <= most
+                x, y = i[some], j[some] + a
+                links.append((np.minimum(x, y), np.maximum(x, y), far[np.arange(len(i)), j][some]))
+        i, j, e = (np.concatenate(x) for x in zip(*links, strict=True))
+        if not len(i):
+            return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+        tree, order = np.concatenate([label[i], label[j]]), np.lexsort((np.tile(j, 2), np.tile(i, 2), np.tile(e, 2), np.concatenate([label[i], label[j]])))
+        first = order[np.flatnonzero(np.concatenate([[True], tree[order][1:] != tree[order][:-1]]))] % len(i)
+        first = np.unique(first)
+        out.append((i[first], j[first], e[first]))
+        label = local_labels(n, np.concatenate([np.arange(n), i[first]]), np.concatenate([label, j[first]]))
+
+
+def _forests(most: int):
+    """Links (a, b, d) of batches sorted by bucket; the last bucket of a batch is held until it is whole."""
+
+    def links(rows: pa.RecordBatch) -> pa.RecordBatch:
+        bucket = np.cumsum(np.concatenate([[0], np.any([np.diff(np.asarray(rows.column(c))) != 0 for c in range(3)], axis=0)]))
+        k = np.asarray(rows.column("k"))
+        prints = np.stack([np.asarray(rows.column(f"p{n}")).view(np.uint64) for n in range(NEAR)], 1)
+        i, j, d = forest(bucket, prints, most)
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(k[i], k[j])), pa.array(np.maximum(k[i], k[j])), pa.array(d)], names=["a", "b", "d"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = pa.concat_batches([held, batch]) if held is not None else batch
+            same = np.all([np.asarray(rows.column(c)) == np.asarray(rows.column(c))[-1] for c in range(3)], axis=0)
+            cut = rows.num_rows - int(np.argmin(same[::-1])) if not same.all() else 0
+            if cut:
+                yield links(rows.slice(0, cut))
+            held = rows.slice(cut)
+        if held is not None:
+            yield links(held)
+
+    return run
+
+
+def close_prints(unique: DataFrame) -> DataFrame:
+    """(a, b, d): of fingerprints `unique` (k, p0, ...) that share a bucket and are at most UNLIKE apart, each bucket's closest links.
+
+    Buckets that sampling shows to be crowded are split into chunks, and every pair of chunks is a bucket of its own.
+    """
+    deal = _dealt(*tables(unique.count()))
+    columns = ["k", *(f"p{n}" for n in range(WIDE))]
+    schema = "bucket long, k long, " + ", ".join(f"p{n} long" for n in range(NEAR))
+    rows = unique.select(*columns).mapInArrow(deal, schema)
+    sampled = unique.filter(F.pmod(F.xxhash64("k"), F.lit(SAMPLE)) == 0).select(*columns).mapInArrow(deal, schema)
+    hot = sampled.groupBy("bucket").count().filter(F.col("count") > CROWDED // SAMPLE)
+    hot = staged(hot.select("bucket", F.ceil(F.col("count") * SAMPLE * 2 / CROWDED).cast("int").alias("chunks")), "crowded")
+    if hot.isEmpty():
+        rows = rows.withColumns({"lo": F.lit(0), "hi": F.lit(0)})
+    else:
+        own = F.pmod(F.xxhash64(F.col("k"), F.lit(3)), F.col("chunks")).cast("int")
+        pairs = F.when(F.col("chunks").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("chunks") - 1))
+        rows = rows.join(hot, "bucket", "left").withColumn("own", F.coalesce(own, F.lit(0))).withColumn("other", F.explode(pairs))
+        rows = rows.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")})
+    place = ["bucket", "lo", "hi"]
+    sorted_ = rows.select(*place, "k", *(f"p{n}" for n in range(NEAR))).repartition(*place).sortWithinPartitions(*place)
+    return sorted_.mapInArrow(_forests(UNLIKE), "a long, b long, d long").groupBy("a", "b").agg(F.min("d").alias("d"))
+
+
+def _sets(words: int, wanted):
+    """(doc_id, t, s): the different shingles of texts (doc_id, t, text) that the bitmap may have."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(pa.array(in_bitmap(wanted.value, batch.column(1).to_numpy().view(np.uint64))))
+            s = [shingles(t.as_py(), words).view(np.int64) for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(s, pa.list_(pa.int64()))], names=["doc_id", "t", "s"])
+
+    return run
+
+
+def alike(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
+    """(doc_id, t, component_id, class_id) of every row of `docs` (doc_id, text): classes of texts linked by similarity.
+
+    Similarity is the Jaccard coefficient of the texts' sets of `words`-word shingles, linked from `least` on; component_id
+    is the smallest doc_id reachable, class_id a number of the class, t a hash of the text.  Candidates share a block of a wide fingerprint and pass its Hamming
+    distance; those SURE bits apart at most are linked (at a coefficient of 0.8 three of 10,000 pairs are), the others by
+    their shingles: first each one's closest, then those that would still link different classes.  A pair at 0.8
+    shares a block with a chance of about 1 - MISSED, closer ones nearly always.  Texts without words are one class.
+    Repeated rows stay repeated; a null doc_id is never a component_id unless its class has no other.  No rows: no rows.
+    """
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("t"), "text")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    wide = [f"p{k}" for k in range(WIDE)]
+    rows = staged(keyed.mapInArrow(_wide(words), f"doc_id {kind}, t long, " + ", ".join(f"{p} long" for p in wide)), "prints")
+    # Fingerprints equal in the bits that go along are one; of its texts one stands for it.
+    unique = rows.groupBy(*wide[:NEAR]).agg(*[F.min(p).alias(p) for p in wide[NEAR:]], F.min("doc_id").alias("first"), F.min(F.struct("doc_id", "t")).alias("one"))
+    unique = staged(unique.withColumn("k", F.monotonically_increasing_id()), "unique")
+    found = staged(close_prints(unique), "close")
+    sure, open_ = found.filter(F.col("d") <= SURE).select("a", "b"), found.filter(F.col("d") > SURE)
+    ends = open_.select(F.col("a").alias("k")).union(open_.select(F.col("b").alias("k"))).distinct()
+    wanted = staged(unique.join(ends, "k").select("k", F.col("one.doc_id").alias("_id"), F.col("one.t").alias("_t")), "wanted")
+    sent = docs.sparkSession.sparkContext.broadcast(bitmap(wanted.select(F.col("_t").alias("h")), BITS))
+    sets = keyed.mapInArrow(_sets(words, sent), f"doc_id {kind}, t long, s array<long>").join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("t") == F.col("_t")))
+    sets = staged(sets.groupBy("k").agg(F.any_value("s").alias("s")), "sets")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(sets.select(F.col("k").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("k").alias("b"), F.col("s").alias("sb")), "b")
+        shared = F.size(F.array_intersect("sa", "sb"))
+        return both.filter(shared >= least * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
+
+    def classes(links: DataFrame) -> DataFrame:
+        return components(links).select(F.col("key").alias("k"), "root")
+
+    both_ways = open_.select(F.col("a").alias("x"), "d", "a", "b").union(open_.select(F.col("b").alias("x"), "d", "a", "b"))
+    closest = staged(both_ways.groupBy("x").agg(F.min(F.struct("d", "a", "b")).alias("m")).select("m.a", "m.b").distinct(), "closest")
+    links = staged(sure.union(linked(closest)), "links")
+    roots = staged(classes(links), "roots")
+    side = lambda c: roots.select(F.col("k").alias(c), F.col("root").alias(f"r{c}"))
+    left = open_.join(closest, ["a", "b"], "left_anti").join(side("a"), "a", "left").join(side("b"), "b", "left")
+    left = staged(left.filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b"), "left")
+    more = staged(linked(left), "more")
+    if not more.isEmpty():
+        roots = classes(links.union(more))
+    rooted = unique.join(roots, "k", "left").withColumn("root", F.coalesce("root", "k"))
+    least_id = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    known = rooted.join(least_id, "root").select(*wide[:NEAR], "component_id", F.col("root").alias("class_id"))
+    return rows.join(known, wide[:NEAR]).select("doc_id", "t", "component_id", "class_id")
+
+
 def keep_one(docs: DataFrame, **settings) -> DataFrame:
-    """The rows of `docs` that near-dedup keeps, all columns: of each component the row with the smallest doc_id.
+    """The rows of `docs` that near-dedup keeps, all columns: of each class of `alike` the row with the smallest doc_id.
 
-    Of rows that repeat that doc_id one stays (the one whose text sorts first); rows without doc_id stay.
+    Of a class's rows that repeat this doc_id one stays (of different texts that with the least hash); rows without doc_id stay.
     """
-    key = fresh_name(docs.columns, "kept_id")
-    kept = near_duplicates(docs, **settings).filter(F.col("doc_id") == F.col("component_id"))
-    kept = staged(kept.groupBy(F.col("doc_id").alias(key)).agg(F.count(F.lit(1)).alias("n")), "kept")
-    once, again = kept.filter("n = 1").select(key), kept.filter("n > 1").select(key)
-    same = F.col("doc_id") == F.col(key)
+    key, hash_ = fresh_name(docs.columns, "kept_id"), fresh_name(docs.columns, "kept_t")
+    first = alike(docs, **settings).filter(F.col("doc_id") == F.col("component_id")).groupBy("class_id", "doc_id", "t").agg(F.count(F.lit(1)).alias("n"))
+    kept = first.groupBy("class_id").agg(F.min(F.struct("doc_id", "t", "n")).alias("r"))
+    kept = staged(kept.select(F.col("r.doc_id").alias(key), F.col("r.t").alias(hash_), "r.n"), "kept")
+    once, again = kept.filter("n = 1").drop("n"), kept.filter("n > 1").drop("n")
+    same = (F.col("doc_id") == F.col(key)) & (F.xxhash64("text") == F.col(hash_))
     # The ids grow with the documents, so both sides are shuffled at any size: small tables get the plan that large ones need.
     out = docs.join(once.hint("merge"), same, "left_semi").unionByName(docs.filter(F.col("doc_id").isNull()))
     if not again.isEmpty():
         whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-        first = F.min_by(whole, F.struct(F.col("text").isNull(), F.col("text"))).alias("row")
-        out = out.unionByName(docs.join(again.hint("merge"), same, "left_semi").groupBy("doc_id").agg(first).select("row.*"))
+        repeated = docs.join(again.hint("merge"), same, "left_semi")
+        out = out.unionByName(repeated.groupBy("doc_id", F.xxhash64("text").alias(hash_)).agg(F.any_value(whole).alias("row")).select("row.*"))
     return out

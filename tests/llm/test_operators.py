@@ -369,6 +369,8 @@ def test_decontamination(spark, docs, empty, monkeypatch, bits):
     assert set(docs.columns) <= set(out.columns)
     assert Counter(tuple(r) for r in out.select("doc_id", *decontamination.ADDED).collect()) == plain_hits(texts, items)
     assert decontamination.decontaminate(docs, bench.limit(0)).filter("contaminated").count() == 0
+    left = decontamination.clean(docs, bench)
+    assert left.columns == docs.columns and Counter(left.collect()) == Counter(r for r in docs.collect() if not next(iter(plain_hits([(r.doc_id, r.text)], items)))[-1])
     assert decontamination.decontaminate(empty, bench).count() == 0
 
 
@@ -695,11 +697,77 @@ def test_near_duplicates(some, monkeypatch, crowded):
     assert Counter(tuple(r) for r in got) == plain_components(pairs(some))
 
 
-def test_one_of_each_group_stays(docs, empty):
-    kept = simhash.keep_one(docs).collect()
-    groups = plain_components(pairs(docs))
-    assert Counter(r.doc_id for r in kept if r.doc_id is not None) == Counter({c for i, _, c in groups if i is not None})
-    assert sum(r.doc_id is None for r in kept) == 2 and simhash.keep_one(empty).count() == 0
+def plain_sets(text, words=5):
+    w = "".join(c.lower() if c.isascii() else c for c in text or "")
+    w = WS.findall(w)
+    return frozenset(" ".join(w[k : k + words]) for k in range(max(1, len(w) - words + 1))) if w else frozenset()
+
+
+def plain_alike(texts, least=0.8):
+    """(doc_id, text, smallest doc_id reachable) by the Jaccard coefficient of all pairs."""
+    sets = [plain_sets(t) for _, t in texts]
+    label = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if label[i] != label[j] and (a == b or a and b and len(a & b) >= least * len(a | b)):
+                old, new = label[i], label[j]
+                label = [new if x == old else x for x in label]
+    first = defaultdict(list)
+    for (i, _), x in zip(texts, label, strict=True):
+        first[x] += [] if i is None else [i]
+    return Counter((i, t, min(first[x], default=None)) for (i, t), x in zip(texts, label, strict=True))
+
+
+@pytest.mark.parametrize("crowded", [4096, 8])
+def test_alike(some, monkeypatch, crowded):
+    monkeypatch.setattr(simhash, "CROWDED", crowded)
+    monkeypatch.setattr(simhash, "SAMPLE", 2)
+    texts = dict((r.t, r.text) for r in some.select(F.xxhash64("text").alias("t"), "text").collect())
+    assert Counter((r.doc_id, texts[r.t], r.component_id) for r in simhash.alike(some).collect()) == plain_alike(pairs(some))
+
+
+def test_alike_finds_near_all_links(spark):
+    r = random.Random(6)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(2, 7)))
+    rows = []
+    for k in range(150):
+        base = [word() for _ in range(r.randint(30, 400))]
+        rows.append(" ".join(base))
+        for _ in range(2):
+            copy = list(base)
+            for _ in range(r.randint(1, max(1, len(base) // 40))):
+                copy[r.randrange(len(copy))] = word()
+            rows.append(" ".join(copy))
+    sets = [plain_sets(t) for t in rows]
+    j = lambda a, b: len(a & b) / len(a | b)
+    near = {(x, y) for x in range(len(rows)) for y in range(x) if x // 3 == y // 3 and j(sets[x], sets[y]) >= 0.8}
+    label = {x.doc_id: x.class_id for x in simhash.alike(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    assert len(near) > 100 and sum(label[x] == label[y] for x, y in near) >= 0.97 * len(near)
+    for x, y in [(x, y) for x in range(len(rows)) for y in range(x) if label[x] == label[y]]:
+        assert x // 3 == y // 3 and (j(sets[x], sets[y]) >= 0.8 or all(any((min(p, q), max(p, q))[::-1] in near for q in range(3 * (x // 3), 3 * (x // 3) + 3)) for p in (x, y)))
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 3), st.integers(0, 255)), max_size=90), st.integers(0, 5))
+def test_forest_links_what_is_near(rows, most):
+    rows = sorted(rows, key=lambda x: x[0])
+    bucket = np.array([b for b, _ in rows], np.int64)
+    prints = np.array([[v, 7] for _, v in rows], np.uint64).reshape(-1, 2)
+    i, j, d = simhash.forest(bucket, prints, most)
+    links = [(x, y) for x in range(len(rows)) for y in range(x) if rows[x][0] == rows[y][0] and (rows[x][1] ^ rows[y][1]).bit_count() <= most]
+    one = lambda a, b: graph.local_labels(len(rows), np.array(a, np.int64), np.array(b, np.int64)).tolist()
+    assert one(i, j) == one([x for x, _ in links], [y for _, y in links])
+    assert len(i) < max(1, len(rows)) or not len(i)
+    assert d.tolist() == [(rows[x][1] ^ rows[y][1]).bit_count() for x, y in zip(i.tolist(), j.tolist(), strict=True)]
+
+
+def test_one_of_each_group_stays(some, docs, empty):
+    kept = simhash.keep_one(some)
+    assert kept.columns == some.columns
+    wanted = plain_alike(pairs(some))
+    assert Counter(r.doc_id for r in kept.collect() if r.doc_id is not None) == Counter({c for i, _, c in wanted if i is not None})
+    assert kept.filter("doc_id is null").count() == some.filter("doc_id is null").count()
+    assert simhash.keep_one(empty).count() == 0
 
 
 def test_pigeonhole_masks_leave_no_pair_out():

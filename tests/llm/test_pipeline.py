@@ -32,7 +32,7 @@ def test_stages(spark, docs, tables):
         staged[name] = (df, out)
         df = out
     before, after = staged["simhash"]
-    groups = plain.plain_components(plain.pairs(before))
+    groups = plain.plain_alike(plain.pairs(before))  # five words, similarity 0.8
     assert {r.doc_id for r in after.collect() if r.doc_id is not None} == {c for i, _, c in groups if i is not None}
     before, after = staged["decontamination"]
     words = max((r.text or "" for r in docs.collect()), key=len).split(" ")
