@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 
 from larkspur.sources.staging import staged, unstage
 
-__all__ = ["ASCII_LOWER", "WORD", "buffers", "fresh_name", "portable_uniform", "shielded", "staged", "table", "text_bytes", "unstage", "word_count"]
+__all__ = ["ASCII_LOWER", "WORD", "buffers", "fresh_name", "portable_uniform", "shielded", "sliced", "staged", "table", "text_bytes", "unstage", "word_count"]
 
 #: Words are maximal runs of anything but ASCII white space (Java and RE2 read this pattern alike).
 WORD = r"[^\x20\x09-\x0D]+"
@@ -63,3 +65,14 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     data = np.frombuffer(wide.buffers()[2], np.uint8) if wide.buffers()[2] is not None else np.empty(0, np.uint8)
     start, end = offsets[:-1], offsets[1:]
     return data, start, np.where(np.asarray(wide.is_null()), start, end) if wide.null_count else end
+
+
+def sliced(batches: Iterator[pa.RecordBatch], column: int, most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+    """The rows of batches in slices with about `most` bytes of texts in `column`, one row at least."""
+    for batch in batches:
+        _, start, end = buffers(batch.column(column))
+        part = np.cumsum(end - start) // most
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if a < b:
+                yield batch.slice(a, b - a)

@@ -15,12 +15,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import fresh_name, sliced, staged
 from .wording import Spelled, bitmap, in_bitmap, spelled_column, words
 
 ADDED = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
-#: The words of a text before its letters are lowered, as a pattern.
-WORDS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: The bitmap of shingles has 2 ** BITS bits.
 BITS = 27
 
@@ -69,7 +67,7 @@ def _counted(sizes: list[int], known):
     """(h, m): how often shingles stand in each batch of texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 0):
             for h, _ in _held(spelled_column(batch.column(0)), sizes, known.value):
                 h, m = np.unique(h, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(m.astype(np.int64))], names=["h", "m"])
@@ -81,7 +79,7 @@ def _met(sizes: list[int], known, window: int):
     """(id, t, h, p, n_words, c, near): shingles of texts (id, t, text), at word p; near: the words around from c on, joined."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 2):
             spelled = spelled_column(batch.column(2))
             for size, (h, at) in zip(sizes, _held(spelled, sizes, known.value), strict=True):
                 text = spelled.text[at]
@@ -94,6 +92,13 @@ def _met(sizes: list[int], known, window: int):
     return run
 
 
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches with the number of words in place of their last column, texts."""
+    for batch in batches:
+        counts = pa.array([len(words(t.as_py())) for t in batch.columns[-1]], pa.int64())
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], counts], names=[*batch.schema.names[:-1], "n_words"])
+
+
 def hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, shingle: int = 3) -> tuple[DataFrame, DataFrame]:
     """(id, t, start, n, w): occurrences of windows in texts, and (item_id, w): which items have a window.
 
@@ -139,8 +144,18 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, shing
     # Words in the union of a text's spans, which come in order.
     step = lambda acc, s: F.struct((acc["n"] + F.greatest(F.lit(0), s["end"] - F.greatest(acc["end"], s["start"]))).alias("n"), F.greatest(acc["end"], s["end"]).alias("end"))
     union = F.aggregate("_spans", F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end")), step)["n"]
-    rows = docs.select(*[F.col(f"`{c}`") for c in own], F.col("doc_id").alias("_own_id"), F.xxhash64("text").alias("_own_t"), F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long").alias("n_words"))
+    carried = docs.select(*[F.col(f"`{c}`") for c in own], F.col("doc_id").alias("_own_id"), F.xxhash64("text").alias("_own_t"), F.col("text").alias("_text"))
+    fields = [*(f"`{f.name}` {f.dataType.simpleString()}" for f in carried.schema[:-1]), "n_words long"]
+    rows = carried.mapInArrow(_word_counts, ", ".join(fields))
     out = rows.join(per, F.col("_own_id").eqNullSafe(F.col("_id")) & (F.col("_own_t") == F.col("_t")), "left")
     n_hit = F.coalesce(union, F.lit(0)).cast("long")
     names = F.coalesce("_items", F.array().cast("array<string>"))
     return out.select(*[F.col(f"`{c}`") for c in own], "n_words", n_hit.alias("n_hit"), F.size(names).cast("long").alias("n_items"), F.sha2(F.array_join(names, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFrame:
+    """The rows of `docs` that hold no window of an item, all columns; see `decontaminate`."""
+    found, _ = hits(docs, benchmark, **settings)
+    id_, t = fresh_name(docs.columns, "_hit_id"), fresh_name(docs.columns, "_hit_t")
+    texts = found.select(F.col("id").alias(id_), F.col("t").alias(t)).distinct()
+    return docs.join(texts, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.xxhash64("text") == F.col(t)), "left_anti")

@@ -790,7 +790,9 @@ def test_bucket_links_connect_what_is_near(values):
     assert graph.local_labels(len(values), a, b).tolist() == graph.local_labels(len(values), i, j).tolist()
 
 
-def test_components_of_a_long_chain(spark):
+@pytest.mark.parametrize("at_once", [1_000_000, 20, -1])
+def test_components_of_a_long_chain(spark, monkeypatch, at_once):
+    monkeypatch.setattr(graph, "AT_ONCE", at_once)
     links = spark.createDataFrame([(i, i + 1) for i in range(0, 300)] + [(1000, 1001), (5, 5), (None, 3)], "a long, b long").repartition(7)
     got = {r.key: r.root for r in graph.components(links).collect()}
     assert got == {i: 0 for i in range(301)} | {1000: 1000, 1001: 1000}
