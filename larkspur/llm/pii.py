@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, staged
+from .common import buffers, sliced, staged
 from .wording import Spelled, bitmap, in_bitmap, mix
 
 KINDS = ("email", "ip", "card", "phone")
@@ -35,6 +35,7 @@ LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz012345678
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
+DIGIT = re.compile(r"[0-9]")
 #: Marks that join words to one token, three in a row at most.
 JOINING = np.isin(np.arange(256), np.frombuffer(b"._/@%+-", np.uint8))
 #: Kinds of patterns, by the words around a mention.
@@ -66,13 +67,15 @@ def base_spans(text: str | None) -> list[tuple[int, int, int]]:
         if domain and start < at:
             out.append((start, 0, end := domain.end()))
         at = text.find("@", max(at + 1, end))
+    if not DIGIT.search(text):
+        return out
     for m in IP.finditer(text):
         if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or "0") <= 255 for p in m[0].split(".")):
             out.append((m.start(), 1, m.end()))
     for m in CARD.finditer(text):
         if m.end() - m.start() >= 14 and 14 <= len(d := _digits(m[0])) <= 19 and _luhn(d):
             out.append((m.start(), 2, m.end()))
-    for m in PHONE.finditer(text):
+    for m in PHONE.finditer(text) if "+" in text else ():
         if 10 <= len(_digits(m[0])) <= 15:
             out.append((m.start(), 3, m.end()))
     return sorted(out)
@@ -168,7 +171,7 @@ def _edges(patterns, instances):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 0):
             m = Mentions(batch.column(0))
             known = m.seed if instances is None else in_bitmap(instances.value, m.instance) & m.like
             for kind, at, p in m.patterns():
@@ -190,7 +193,7 @@ def _totals(patterns):
     """(pattern, total, likely): how often patterns stand in each batch of texts, whatever they are about, and about mentions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 0):
             m = Mentions(batch.column(0))
             for _, at, p in m.patterns():
                 some = in_bitmap(patterns.value, p)
@@ -283,7 +286,7 @@ def _extracted(patterns):
     """(id, t, start, end, pattern) of mentions that aren't seeds, in patterns that the bitmap may have; code points."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 2):
             m = Mentions(batch.column(2))
             for _, at, p in m.patterns():
                 some = in_bitmap(patterns.value, p) & m.like[at] & ~m.seed[at]
