@@ -72,7 +72,7 @@ def places(keys: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return np.where(keys[at] == ids, at, -1)
 
 
-def select(ids: np.ndarray, toxic: np.ndarray, sizes: tuple[int, int], most: int = 4000, least: int = 3, noise: float = 4.0) -> np.ndarray:
+def select(ids: np.ndarray, toxic: np.ndarray, sizes: tuple[int, int], most: int = 4000, least: int = 3, noise: float = 5.0) -> np.ndarray:
     """Features more frequent among the positives: by the log ratio of document frequencies, in multiples of its noise.
 
     ids: features of all texts one after the other, toxic: whether they are of a positive one, sizes: how many texts there
@@ -91,7 +91,7 @@ def select(ids: np.ndarray, toxic: np.ndarray, sizes: tuple[int, int], most: int
     return np.sort(keys[some[np.lexsort((keys[some], -z[some]))][:most]])
 
 
-def nnpu_fit(p: Sparse, u: Sparse, size: int, prior: float, steps: int = 400, rate: float = 0.05, ridge: float = 2e-3) -> tuple[np.ndarray, float, list[float]]:
+def nnpu_fit(p: Sparse, u: Sparse, size: int, prior: float, steps: int = 400, rate: float = 0.05, ridge: float = 2e-4) -> tuple[np.ndarray, float, list[float]]:
     """Weights, intercept and the negative risks: Adam on the non-negative risk estimator with logistic loss."""
     w, b = np.zeros(size), float(np.log(prior / (1 - prior)))
     m, v, risks = np.zeros(size + 1), np.zeros(size + 1), []
