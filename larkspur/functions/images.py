@@ -6,6 +6,7 @@ not part of this engine).  Arrow batches of bytes go in, three columns come out.
 
 from __future__ import annotations
 
+import io
 import re
 from collections.abc import Callable
 
@@ -39,6 +40,49 @@ def shrunk(grey: np.ndarray, width: int, height: int) -> np.ndarray:
     return out
 
 
+def fitted(grey: np.ndarray, longest: int) -> np.ndarray:
+    """Grey values shrunk to fit in a square of `longest`, the sides' ratio kept; smaller pictures as they are."""
+    h, w = grey.shape
+    scale = min(1.0, longest / max(h, w))
+    return grey if scale == 1.0 else shrunk(grey, max(1, round(w * scale)), max(1, round(h * scale)))
+
+
+def encode_pgm(grey: np.ndarray) -> bytes:
+    px = np.clip(np.round(grey), 0, 255).astype(np.uint8)
+    return b"P5\n%d %d\n255\n" % (px.shape[1], px.shape[0]) + px.tobytes()
+
+
+def outlined(grey: np.ndarray, boxes: list, value: float = 255.0) -> np.ndarray:
+    """A copy with the outlines of boxes (left, top, right, bottom, in pixels) drawn."""
+    out, (h, w) = grey.astype(float).copy(), grey.shape
+    for box in boxes:
+        left, top, right, bottom = (int(np.clip(round(x), 0, most - 1)) for x, most in zip(box, (w, h, w, h), strict=True))
+        out[[top, bottom], left : right + 1] = value
+        out[top : bottom + 1, [left, right]] = value
+    return out
+
+
+def sheet(pictures: list[np.ndarray], columns: int, cell: int) -> np.ndarray:
+    """One picture of several, row by row, each fitted into a cell and centred on black."""
+    rows = max(1, -(-len(pictures) // columns))
+    out = np.zeros((rows * cell, columns * cell))
+    for n, grey in enumerate(pictures):
+        small = fitted(grey, cell)
+        top = n // columns * cell + (cell - small.shape[0]) // 2
+        left = n % columns * cell + (cell - small.shape[1]) // 2
+        out[top : top + small.shape[0], left : left + small.shape[1]] = small
+    return out
+
+
+def any_decoder() -> Callable[[bytes], np.ndarray]:
+    """A decoder of all formats that an imaging library reads, if one is installed; else that of PGM and PPM."""
+    try:
+        from PIL import Image
+    except ImportError:
+        return decode_pnm
+    return lambda content: np.asarray(Image.open(io.BytesIO(content)).convert("L"), float)
+
+
 def fingerprint(grey: np.ndarray) -> tuple[str, int | None, float]:
     """(status, signed 64-bit hash, sharpness): each cell of a 9 by 8 grid against its right neighbour, row by row."""
     p = np.pad(grey.astype(float), 1, mode="edge")

@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from larkspur.sources.staging import staged, unstage
 
 
+#: Links that one task takes.
+AT_ONCE = 1_000_000
+
+
 def local_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Smallest index of each one's component among 0 .. n - 1, for links a[i] - b[i]."""
     label = np.arange(n)
@@ -39,10 +43,20 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(keys[moved]), pa.array(keys[label[moved]])], names=["a", "b"])
 
 
+def _at_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, root) from all links together."""
+    rows = list(batches)
+    a, b = (np.concatenate([r.column(k).to_numpy() for r in rows]) if rows else np.empty(0, np.int64) for k in (0, 1))
+    keys, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    label = local_labels(len(keys), at[: len(a)], at[len(a) :])
+    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(keys[label])], names=["key", "root"])
+
+
 def components(links: DataFrame) -> DataFrame:
     """(key, root) of every key that has a link, from `links` (a long, b long); root is the smallest key reachable.
 
-    Large-star and small-star steps alternate until nothing changes.  Minimums are aggregated before the shuffle and staged, so
+    Links that are AT_ONCE at most, at first or after some steps, are a few megabytes and one task's work.  More of them
+    take large-star and small-star steps in turns until nothing changes.  Minimums are aggregated before the shuffle and staged, so
     that the join which hands them back has nothing but its two shuffles below it: adaptive execution splits it where a key is hot.  Self-links and
     repeated links are allowed; null keys are dropped with their links.  No links: no rows.
     """
@@ -51,6 +65,8 @@ def components(links: DataFrame) -> DataFrame:
     links = staged(links.distinct(), "links")
     last = None
     while True:
+        if links.count() <= AT_ONCE:
+            return staged(links.coalesce(1).mapInArrow(_at_once, "key long, root long"), "roots")
         # Large star: every neighbour above u hangs on u's smallest neighbour.
         both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = staged(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")

@@ -422,8 +422,9 @@ def _prints(batches):
                 continue
             if len(known) > 400_000:
                 known.clear()
-            for t in tokens - known.keys():
-                known[t] = int(hashlib.md5(t.encode()).hexdigest()[:16], 16)
+            for t in tokens:
+                if t not in known:
+                    known[t] = int.from_bytes(hashlib.md5(t.encode()).digest()[:8], "big")
             bits = np.unpackbits(np.array([known[t] for t in tokens], np.uint64).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
             keys.append(key)
             out.append(np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(tokens), bitorder="little").view(np.int64)[0])

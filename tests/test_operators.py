@@ -150,7 +150,9 @@ def test_flags_and_spans(spark):
     assert {r.group_id: r.span_s for r in similar.spans(g, files).collect()} == {1: 65, 2: None}
 
 
-def test_components(spark):
+@pytest.mark.parametrize("at_once", [1_000_000, -1])
+def test_components(spark, monkeypatch, at_once):
+    monkeypatch.setattr(graph, "AT_ONCE", at_once)
     links = spark.createDataFrame([(i, i + 1) for i in range(50)] + [(90, 95), (95, 91)], "a long, b long")
     assert {r.key: r.root for r in graph.components(links).collect()} == {i: 0 for i in range(51)} | {90: 90, 91: 90, 95: 90}
 
