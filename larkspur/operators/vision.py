@@ -36,9 +36,14 @@ def face_states(vision: DataFrame, model_suffix: str) -> DataFrame:
     return rows.select("path", "i", F.when(F.col("f.l") == "away", "away").otherwise(F.col("f.e")).alias("state"))
 
 
+def seeded(seed: int, key: str) -> list[Column]:
+    """An order by a seeded hash of a column."""
+    return [F.md5(F.concat(F.lit(f"{seed}:"), F.col(key)).cast("binary"))]
+
+
 def sample(rows: DataFrame, n: int, seed: int, key: str = "path") -> DataFrame:
     """`n` rows by the order of a seeded hash: the same for the same seed, whatever the partitions."""
-    return rows.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key)).cast("binary")), key).limit(n)
+    return rows.orderBy(*seeded(seed, key), key).limit(n)
 
 
 def take_members(grouped: DataFrame, vision: DataFrame, hashes: DataFrame) -> DataFrame:

@@ -68,7 +68,7 @@ def clean_up(c: Catalogue, order: list[str], wide_roots: list[str], now: datetim
 def rule(c: Catalogue, order: list[str], wide_roots: list[str], keep: str, remove: str, number: int = 1, size: int = 60, sort: str = "path", seed: int = 0) -> DataFrame:
     """One page of a rule's pairs by path, size or in a seeded order."""
     rows = duplicates.plan(c["files"], c["overrides"], c["excluded"], order, wide_roots).filter((F.col("keep_src") == keep) & (F.col("remove_src") == remove) & F.col("reason").isNull())
-    by = {"size": [F.desc("size"), F.asc("victim")], "random": [F.xxhash64(F.lit(seed), "victim"), F.asc("victim")]}.get(sort, [F.asc("victim")])
+    by = {"size": [F.desc("size"), F.asc("victim")], "random": [*vision.seeded(seed, "victim"), F.asc("victim")]}.get(sort, [F.asc("victim")])
     return browse.page(rows, by, number, size)
 
 
@@ -82,6 +82,29 @@ def review(c: Catalogue, kind: str = "", view: str = "pending", order: str = "sp
     return {"groups": chunk, "members": members, "decisions": similar.decisions(members), "shown": listed.agg(F.count(F.lit(1)).alias("n")), "totals": similar.review_totals(c["grouped"], c["files"], c["marks"])}
 
 
+class Shown:
+    """What a client holds of a list that it loads chunk by chunk while it decides on groups, which then leave the list."""
+
+    def __init__(self, size: int = 25):
+        self.size, self.ids, self.inside, self.ended = size, [], set(), False
+
+    def start(self) -> int:
+        """Where the next chunk begins: after as many groups as are shown and still in the list."""
+        return len(self.inside)
+
+    def add(self, chunk: list) -> list:
+        """Ids of a chunk that are new, in order; a short chunk, or one without any new id, is the last."""
+        new = [k for k in dict.fromkeys(chunk) if k not in set(self.ids)]
+        self.ids += new
+        self.inside |= set(new)
+        self.ended |= len(chunk) < self.size or not new
+        return new
+
+    def left(self, ids: list) -> None:
+        """These groups are decided and no longer in the list, but still shown."""
+        self.inside -= set(ids)
+
+
 def take(c: Catalogue, group_id) -> dict[str, DataFrame]:
     """A group's frames with their faces, the frame to start from, and the latest approval."""
     members = vision.take_members(c["grouped"].filter(F.col("group_id") == group_id), c["vision"], c["hashes"])

@@ -11,6 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from larkspur.operators import browse, decisions, duplicates, graph, reconcile, sidecars, similar, vision
+from larkspur.plans import queries
 
 FILES = "id long, path string, kind string, size long, sha1 string, pair_key string, has_sidecar int"
 
@@ -120,6 +121,15 @@ def test_groups(spark):
     assert again == got
 
 
+def test_groups_of_real_prints(spark):
+    prints = queries.text_prints(spark, "/root/testdata/sf0.001")
+    values = {r.key: r.hash for r in prints.collect()}
+    got = defaultdict(set)
+    for row in similar.groups(prints).collect():
+        got[row.group_id].add(row.key)
+    assert {frozenset(v) for v in got.values()} == plain_groups(values, 5, 8) and all(g == min(v) for g, v in got.items()) and got
+
+
 def test_crowded_buckets_are_told(spark):
     df = spark.createDataFrame([(i, i << 60) for i in range(8)], "key long, hash long")
     assert {r.n for r in similar.crowded(df, 5, 7).collect()} == {8}

@@ -61,3 +61,13 @@ def test_review(catalogue):
     assert len(ids) == 5 and {r.group_id for r in got["decisions"].collect()} == ids == {r.group_id for r in got["members"].collect()}
     assert got["shown"].first().n >= 5 and got["totals"].first().total > 0
     assert pages.take(catalogue, next(iter(ids)))["base"].count() <= 1
+
+
+def test_a_list_is_loaded_while_groups_leave_it():
+    pending, shown, seen = list(range(60)), pages.Shown(25), []
+    while not shown.ended:
+        seen += shown.add(pending[shown.start() : shown.start() + 25])
+        done = seen[::3]  # decided meanwhile
+        pending = [k for k in pending if k not in done]
+        shown.left(done)
+    assert seen == list(range(60)) == shown.ids and not shown.add([3, 4]) and shown.ended
