@@ -61,6 +61,43 @@ def test_random_tokens_are_told_from_structured_ones(spark):
     assert len(hit & set(range(60))) >= 54 and len(hit - set(range(60))) <= 6
 
 
+def plain_battery(x, k, excess, lo, hi):
+    """Largest z of the three tests of ordinals x over an alphabet of k, one symbol at a time."""
+    n = len(x)
+    counts = Counter(x)
+    chi = sum((c - n / k) ** 2 / (n / k) for c in counts.values()) + (k - len(counts)) * n / k
+    shift = n * excess
+    z_chi = (chi - (k - 1) - shift) / (2 * (k - 1) + 4 * shift) ** 0.5
+    high = [lo <= v < hi for v in x]
+    runs, up = 1 + sum(a != b for a, b in zip(high, high[1:], strict=False)), sum(high)
+    mean = 1 + 2 * up * (n - up) / n
+    z_runs = abs(runs - mean) / max(1e-9, (mean - 1) * (mean - 2) / (n - 1)) ** 0.5 - secrets.DRIFT * n**0.5
+    middle = sum(x) / n
+    spread = max(1e-9, sum((v - middle) ** 2 for v in x))
+    serial = sum((a - middle) * (b - middle) for a, b in zip(x, x[1:], strict=False)) / spread
+    return max(z_chi, z_runs, abs(serial + 1 / n) * n**0.5 - secrets.DRIFT * n**0.5)
+
+
+def test_battery_like_a_plain_one(spark):
+    r = random.Random(12)
+    shapes = ["0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFabcdef0123456789+/", "ABCDEFabcdef0123456789-_"]
+    tokens = ["".join(r.choice(c) for _ in range(r.randint(20, 150))) for c in shapes for _ in range(12)] + ["ab12" * 9, "A1" * 20, "Zz9" + "+" * 30, "no-digit-here-at-all-token"]
+    df = spark.createDataFrame([(i, f"x {t} y") for i, t in enumerate(tokens)], "doc_id long, text string")
+    got = {row.doc_id: row.judged for row in secrets.find_secrets(df).collect()}
+    for i, t in enumerate(tokens):
+        code = next((k for k, (_, fits, _, _) in enumerate(secrets.ENCODINGS) if re.search(fits, t)), None)
+        if code is None or not re.fullmatch(secrets.CANDIDATE, t):
+            assert not got[i]
+            continue
+        name, _, lower, alphabet = secrets.ENCODINGS[code]
+        x = [alphabet.index(c) for c in (t.lower() if lower else t)]
+        z = plain_battery(x, len(alphabet), secrets.EXCESS[name], *secrets.CLASS[name])
+        p = 1 / (1 + np.exp(-max(-40.0, min(40.0, 1.5976 * z + 0.07056 * z**3))))
+        bin_ = max(0, min(secrets.LAST_BIN, int(np.floor(-np.log10(p) * secrets.BINS_A_TEN))))
+        assert [(j.encoding, j.start, j.end) for j in got[i]] == [(name, 2, 2 + len(t))] or got[i][0].fixed
+        assert got[i][0].p == pytest.approx(10 ** (-bin_ / secrets.BINS_A_TEN))
+
+
 def test_many_matches_in_one_text(spark):
     text = " ".join(f"token=abcdef{k}" for k in range(700))
     row = secrets.find_secrets(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
