@@ -175,7 +175,8 @@ def near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4, seed: in
     unique = staged(unique, "unique")
     roots = components(links(unique.select("fp"), distance)).select(F.col("key").alias("fp"), "root")
     rooted = unique.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = rooted.filter(F.col("root").isNotNull()).groupBy("root").agg(F.min("first").alias("component_id"))
+    # Staged, so that the join has nothing but its shuffles below it, which adaptive execution splits where a component is large.
+    least = staged(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "least")
     known = rooted.join(least, "root").select("fp", "component_id")
     hexed = F.lpad(F.lower(F.hex("fp")), 16, "0")
     return rows.join(known, "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")
@@ -183,9 +184,9 @@ def near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4, seed: in
 
 #: Fingerprints of the texts' similarity: four words of bits, of which two go along to the buckets.
 WIDE, NEAR = 4, 2
-#: Masks are as many as let a pair at FAR of all bits miss all of them with a chance of MISSED at most; a bucket is expected to hold
-#: FEW others by chance.
-FAR, MISSED, FEW = 45 / 256, 0.05, 64
+#: Masks are as many as let a pair at FAR of all bits miss all of them with a chance of MISSED at most; they have as many bits as let a
+#: bucket hold FEW by chance.
+FAR, MISSED, FEW = 45 / 256, 0.01, 32
 #: Of the bits that go along: up to SURE apart texts count as alike, beyond UNLIKE as different, between them their shingles are compared.
 SURE, UNLIKE = 7, 32
 #: The bitmap of texts whose shingles are compared has 2 ** BITS bits.
@@ -228,11 +229,8 @@ def _wide(words: int):
 
 def tables(count: int) -> tuple[int, int]:
     """(how many masks, how many bits each) for this many fingerprints."""
-    for width in range(10, 64):
-        number = int(np.ceil(np.log(MISSED) / np.log(1 - (1 - FAR) ** width)))
-        if count * number / 2.0**width <= FEW:
-            break
-    return number, width
+    width = max(8, int(np.ceil(np.log2(max(1, count) / FEW))))
+    return int(np.ceil(np.log(MISSED) / np.log(1 - (1 - FAR) ** width))), width
 
 
 def wide_masks(number: int, width: int) -> np.ndarray:
@@ -310,7 +308,8 @@ def _forests(most: int):
     """Links (a, b, d) of batches sorted by bucket; the last bucket of a batch is held until it is whole."""
 
     def links(rows: pa.RecordBatch) -> pa.RecordBatch:
-        bucket = np.cumsum(np.concatenate([[0], np.any([np.diff(np.asarray(rows.column(c))) != 0 for c in range(3)], axis=0)]))
+        place = range(rows.num_columns - 1 - NEAR)
+        bucket = np.cumsum(np.concatenate([[0], np.any([np.diff(np.asarray(rows.column(c))) != 0 for c in place], axis=0)]))
         k = np.asarray(rows.column("k"))
         prints = np.stack([np.asarray(rows.column(f"p{n}")).view(np.uint64) for n in range(NEAR)], 1)
         i, j, d = forest(bucket, prints, most)
@@ -322,7 +321,7 @@ def _forests(most: int):
             if not batch.num_rows:
                 continue
             rows = pa.concat_batches([held, batch]) if held is not None else batch
-            same = np.all([np.asarray(rows.column(c)) == np.asarray(rows.column(c))[-1] for c in range(3)], axis=0)
+            same = np.all([(x := np.asarray(rows.column(c))) == x[-1] for c in range(rows.num_columns - 1 - NEAR)], axis=0)
             cut = rows.num_rows - int(np.argmin(same[::-1])) if not same.all() else 0
             if cut:
                 yield links(rows.slice(0, cut))
@@ -345,26 +344,25 @@ def close_prints(unique: DataFrame) -> DataFrame:
     sampled = unique.filter(F.pmod(F.xxhash64("k"), F.lit(SAMPLE)) == 0).select(*columns).mapInArrow(deal, schema)
     hot = sampled.groupBy("bucket").count().filter(F.col("count") > CROWDED // SAMPLE)
     hot = staged(hot.select("bucket", F.ceil(F.col("count") * SAMPLE * 2 / CROWDED).cast("int").alias("chunks")), "crowded")
-    if hot.isEmpty():
-        rows = rows.withColumns({"lo": F.lit(0), "hi": F.lit(0)})
-    else:
+    place = ["bucket"]
+    if not hot.isEmpty():
+        place = ["bucket", "lo", "hi"]
         own = F.pmod(F.xxhash64(F.col("k"), F.lit(3)), F.col("chunks")).cast("int")
         pairs = F.when(F.col("chunks").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("chunks") - 1))
         rows = rows.join(hot, "bucket", "left").withColumn("own", F.coalesce(own, F.lit(0))).withColumn("other", F.explode(pairs))
         rows = rows.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")})
-    place = ["bucket", "lo", "hi"]
     sorted_ = rows.select(*place, "k", *(f"p{n}" for n in range(NEAR))).repartition(*place).sortWithinPartitions(*place)
     return sorted_.mapInArrow(_forests(UNLIKE), "a long, b long, d long").groupBy("a", "b").agg(F.min("d").alias("d"))
 
 
 def _sets(words: int, wanted):
-    """(doc_id, t, s): the different shingles of texts (doc_id, t, text) that the bitmap may have."""
+    """(doc_id, t, s): the different shingles, 32 bits of each, of texts (doc_id, t, text) that the bitmap may have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             batch = batch.filter(pa.array(in_bitmap(wanted.value, batch.column(1).to_numpy().view(np.uint64))))
-            s = [shingles(t.as_py(), words).view(np.int64) for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(s, pa.list_(pa.int64()))], names=["doc_id", "t", "s"])
+            s = [np.unique((shingles(t.as_py(), words) >> np.uint64(32)).astype(np.uint32).view(np.int32)) for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(s, pa.list_(pa.int32()))], names=["doc_id", "t", "s"])
 
     return run
 
@@ -391,7 +389,7 @@ def alike(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
     ends = open_.select(F.col("a").alias("k")).union(open_.select(F.col("b").alias("k"))).distinct()
     wanted = staged(unique.join(ends, "k").select("k", F.col("one.doc_id").alias("_id"), F.col("one.t").alias("_t")), "wanted")
     sent = docs.sparkSession.sparkContext.broadcast(bitmap(wanted.select(F.col("_t").alias("h")), BITS))
-    sets = keyed.mapInArrow(_sets(words, sent), f"doc_id {kind}, t long, s array<long>").join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("t") == F.col("_t")))
+    sets = keyed.mapInArrow(_sets(words, sent), f"doc_id {kind}, t long, s array<int>").join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("t") == F.col("_t")))
     sets = staged(sets.groupBy("k").agg(F.any_value("s").alias("s")), "sets")
 
     def linked(pairs: DataFrame) -> DataFrame:
@@ -413,7 +411,8 @@ def alike(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
     if not more.isEmpty():
         roots = classes(links.union(more))
     rooted = unique.join(roots, "k", "left").withColumn("root", F.coalesce("root", "k"))
-    least_id = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    # Staged, so that the join has nothing but its shuffles below it, which adaptive execution splits where a class is large.
+    least_id = staged(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "least")
     known = rooted.join(least_id, "root").select(*wide[:NEAR], "component_id", F.col("root").alias("class_id"))
     return rows.join(known, wide[:NEAR]).select("doc_id", "t", "component_id", "class_id")
 
