@@ -22,7 +22,7 @@ from larkspur.operators import browse, decisions, duplicates, reconcile, sidecar
 from larkspur.sources import files as sources
 from larkspur.sources import sinks
 from larkspur.sources.shipping import ship
-from larkspur.sources.staging import staged
+from larkspur.sources.staging import spread, staged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -436,7 +436,7 @@ def text_prints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     One pass within rows: no token is shuffled.
     """
-    docs = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), "text")
+    docs = spread(load(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), "text"))
     kind = docs.schema["key"].dataType.simpleString()
     return staged(docs.mapInArrow(_prints, f"key {kind}, hash long"), "prints")  # the joins below read it several times
 

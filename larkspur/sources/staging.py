@@ -54,3 +54,10 @@ def unstage(*frames: DataFrame) -> None:
 def clear(spark: SparkSession) -> None:
     """Delete all that this application has staged, once its results are written: frames that read it are of no use after."""
     _delete(spark, _own(spark))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """`df`, dealt out anew where it has fewer partitions than there are cores and megabytes, as a table of one file may."""
+    plan = df._jdf.queryExecution()
+    wanted = min(df.sparkSession.sparkContext.defaultParallelism, plan.optimizedPlan().stats().sizeInBytes() >> 20)
+    return df.repartition(wanted) if plan.toRdd().getNumPartitions() < wanted else df
