@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.sources.staging import staged, unstage
+from larkspur.sources.staging import spread, staged, unstage
 
 __all__ = ["ASCII_LOWER", "WORD", "buffers", "fresh_name", "portable_uniform", "shielded", "sliced", "staged", "table", "text_bytes", "unstage", "word_count"]
 
@@ -21,7 +21,8 @@ ASCII_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table of the folder; one of few partitions is dealt out to all cores."""
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def fresh_name(columns: list[str], stem: str) -> str:

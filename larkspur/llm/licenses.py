@@ -8,6 +8,7 @@ is compared, and only with templates of a fitting size.  Everything happens with
 
 from __future__ import annotations
 
+import json
 import math
 from collections import Counter
 
@@ -148,16 +149,12 @@ def scan(docs: DataFrame, least: float = 0.8, templates=TEMPLATES) -> DataFrame:
     paired = F.transform(fitting, lambda u: F.struct(u["unit"].alias("unit"), bigrams(u["words"]).alias("grams")))
     # A template that fits has least / (2 - least) of the unit's size at least, so the unit shares that part of its own bigrams.
     near = F.filter(paired, lambda u: F.size(F.filter(u["grams"], lambda g: g.isin(all_grams))) >= F.ceil(F.size(u["grams"]) * (least / (2 - least)) - 1e-9))
-    table = F.array(*[
-        F.struct(
-            F.lit(name).alias("license"),
-            F.array(*[F.struct(F.lit(g).alias("g"), F.lit(n).alias("n")) for g, n in sorted(Counter(template_bigrams(t)).items())]).alias("grams"),
-            F.lit(size).alias("size"),
-            F.lit(lo).alias("lo"),
-            F.lit(hi).alias("hi"),
-        )
+    rows_ = [
+        {"license": name, "grams": [{"g": g, "n": n} for g, n in sorted(Counter(template_bigrams(t)).items())], "size": size, "lo": lo, "hi": hi}
         for (name, t), size, (lo, hi) in zip(templates, sizes, bounds, strict=True)
-    ])
+    ]
+    # One literal, which Spark folds to the table.
+    table = F.from_json(F.lit(json.dumps(rows_)), "array<struct<license: string, grams: array<struct<g: string, n: int>>, size: int, lo: int, hi: int>>")
 
     def against(u: Column) -> Column:
         def dice(t: Column) -> Column:
