@@ -112,6 +112,13 @@ def nnpu_fit(p: Sparse, u: Sparse, size: int, prior: float, steps: int = 400, ra
     return w, float(b), risks
 
 
+def excess(scores: np.ndarray, prior: float) -> float:
+    """What to take from the scores of unlabelled texts so that no more of them than the prior's share are above 0; 0 if they aren't."""
+    top = np.sort(scores)[::-1]
+    k = int(prior * len(top))
+    return float(max(0.0, top[k] + 1e-9)) if k < len(top) else 0.0
+
+
 @dataclass
 class Model:
     """Weights of the selected features, and the intercept."""
@@ -206,7 +213,8 @@ def fit(docs: DataFrame, labels: DataFrame, most_positive: int = MOST_POSITIVE,
     Only whether a row is toxic, and the share of toxic among labelled rows (the prior), is learned from labels.  Null
     labels count as none; of several labels for an id the largest counts, and of several texts of an id one.  Where rows
     without label are fewer than `most_unlabelled` and than labelled ones, all rows, whatever their label, are the unlabelled
-    text.  Without any positive or unlabelled text the model has no weights and scores every text with the prior.
+    text.  The intercept is lowered where more of the unlabelled sample than the prior's share would reach 0.5.  Without any
+    positive or unlabelled text the model has no weights and scores every text with the prior.
     """
     picked, prior = sample(docs, labels, most_positive, most_unlabelled, most_bytes)
     got = picked.mapInArrow(_featured, "y int, ids array<int>").toArrow()
@@ -223,6 +231,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_positive: int = MOST_POSITIVE,
         order = sorted(range(len(rows)), key=lambda i: (len(rows[i]), rows[i].tobytes()))  # the order of rows mustn't matter
         positive, unlabelled = (Sparse.of([rows[i] for i in order if y[i] == k]) for k in (1, 0))
         w, b, _ = nnpu_fit(positive, unlabelled, len(kept), prior)
+        b -= excess(unlabelled.times(w) + b, prior)
         model = Model(dict(zip(kept.tolist(), w.tolist(), strict=True)), b, prior)
     del got, column, ids
     pa.default_memory_pool().release_unused()

@@ -122,6 +122,13 @@ def test_nnpu_finds_the_positives_hidden_among_unlabelled():
     assert min(risks) > -0.05
 
 
+def test_no_more_are_flagged_than_the_prior_says():
+    scores = np.array([3.0, 2.0, 1.0, 1.0, 0.5, -1.0, -2.0, -2.0, -3.0, -4.0])
+    for prior, left in ((0.1, 1), (0.3, 2), (0.5, 5), (0.9, 5), (0.0, 0)):
+        assert (scores - toxicity.excess(scores, prior) >= 0).sum() == left  # of equal scores all or none
+    assert toxicity.excess(np.empty(0), 0.1) == 0 and toxicity.excess(-scores[:5], 0.2) == 0
+
+
 def test_toxicity_ranks_held_out_rows(spark):
     sf = "/root/testdata/sf0.01"
     rows = queries.op2_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").collect()
