@@ -112,11 +112,16 @@ def nnpu_fit(p: Sparse, u: Sparse, size: int, prior: float, steps: int = 400, ra
     return w, float(b), risks
 
 
-def excess(scores: np.ndarray, prior: float) -> float:
-    """What to take from the scores of unlabelled texts so that no more of them than the prior's share are above 0; 0 if they aren't."""
-    top = np.sort(scores)[::-1]
-    k = int(prior * len(top))
-    return float(max(0.0, top[k] + 1e-9)) if k < len(top) else 0.0
+def excess(scores: np.ndarray, share: float) -> float:
+    """What to take from the scores of unlabelled texts so that no larger share of them is above 0; 0 if it isn't.
+
+    Equal scores stay together, on the upper side.
+    """
+    k = int(share * len(scores))
+    if not k or k >= len(scores):
+        return 0.0
+    below = scores[scores < np.sort(scores)[-k]]
+    return float(max(0.0, below.max(initial=-1.0) + 1e-9))
 
 
 @dataclass
@@ -174,8 +179,8 @@ def fitting(rows: list, most: int) -> list:
     return out
 
 
-def sample(docs: DataFrame, labels: DataFrame, most_positive: int, most_unlabelled: int, most_bytes: int) -> tuple[DataFrame, float]:
-    """(y, text) of what a fit learns from, and the prior; see `fit`."""
+def sample(docs: DataFrame, labels: DataFrame, most_positive: int, most_unlabelled: int, most_bytes: int) -> tuple[DataFrame, float, float]:
+    """(y, text) of what a fit learns from, the prior, and that with twice its standard error; see `fit`."""
     labels = labels.select("doc_id", "toxic").dropna().groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     labels = labels.filter(~held_out(labels))
     told = labels.agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("k")).first()
@@ -204,7 +209,7 @@ def sample(docs: DataFrame, labels: DataFrame, most_positive: int, most_unlabell
         spark, kind = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
         own = spark.createDataFrame([(r.doc_id, r.y) for r in taken], f"doc_id {kind}, y int")
         picked = picked.join(F.broadcast(own), ["doc_id", "y"], "left_semi")
-    return picked.select("y", "text"), prior
+    return picked.select("y", "text"), prior, prior + 2 * float(np.sqrt(prior * (1 - prior) / max(1, told.n)))
 
 
 def fit(docs: DataFrame, labels: DataFrame, most_positive: int = MOST_POSITIVE, most_unlabelled: int = MOST_UNLABELLED, most_bytes: int = MOST_BYTES) -> Model:
@@ -213,10 +218,11 @@ def fit(docs: DataFrame, labels: DataFrame, most_positive: int = MOST_POSITIVE,
     Only whether a row is toxic, and the share of toxic among labelled rows (the prior), is learned from labels.  Null
     labels count as none; of several labels for an id the largest counts, and of several texts of an id one.  Where rows
     without label are fewer than `most_unlabelled` and than labelled ones, all rows, whatever their label, are the unlabelled
-    text.  The intercept is lowered where more of the unlabelled sample than the prior's share would reach 0.5.  Without any
+    text.  The intercept is lowered where more of the unlabelled sample would reach 0.5 than the prior, with
+    twice its standard error, lets expect.  Without any
     positive or unlabelled text the model has no weights and scores every text with the prior.
     """
-    picked, prior = sample(docs, labels, most_positive, most_unlabelled, most_bytes)
+    picked, prior, share = sample(docs, labels, most_positive, most_unlabelled, most_bytes)
     got = picked.mapInArrow(_featured, "y int, ids array<int>").toArrow()
     y = np.asarray(got["y"]).astype(int)
     column = got["ids"].combine_chunks() if got.num_rows else pa.array([], pa.list_(pa.int32()))
@@ -231,7 +237,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_positive: int = MOST_POSITIVE,
         order = sorted(range(len(rows)), key=lambda i: (len(rows[i]), rows[i].tobytes()))  # the order of rows mustn't matter
         positive, unlabelled = (Sparse.of([rows[i] for i in order if y[i] == k]) for k in (1, 0))
         w, b, _ = nnpu_fit(positive, unlabelled, len(kept), prior)
-        b -= excess(unlabelled.times(w) + b, prior)
+        b -= excess(unlabelled.times(w) + b, share)
         model = Model(dict(zip(kept.tolist(), w.tolist(), strict=True)), b, prior)
     del got, column, ids
     pa.default_memory_pool().release_unused()

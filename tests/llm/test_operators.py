@@ -124,9 +124,9 @@ def test_nnpu_finds_the_positives_hidden_among_unlabelled():
 
 def test_no_more_are_flagged_than_the_prior_says():
     scores = np.array([3.0, 2.0, 1.0, 1.0, 0.5, -1.0, -2.0, -2.0, -3.0, -4.0])
-    for prior, left in ((0.1, 1), (0.3, 2), (0.5, 5), (0.9, 5), (0.0, 0)):
-        assert (scores - toxicity.excess(scores, prior) >= 0).sum() == left  # of equal scores all or none
-    assert toxicity.excess(np.empty(0), 0.1) == 0 and toxicity.excess(-scores[:5], 0.2) == 0
+    for share, left in ((0.1, 1), (0.3, 4), (0.5, 5), (0.9, 5), (0.0, 5)):
+        assert (scores - toxicity.excess(scores, share) >= 0).sum() == left  # of equal scores all
+    assert toxicity.excess(np.empty(0), 0.1) == 0 and toxicity.excess(-scores[:5], 0.2) == 0 and toxicity.excess(np.ones(9), 0.3) == 0
 
 
 def test_toxicity_ranks_held_out_rows(spark):
@@ -165,20 +165,20 @@ def test_toxicity_sample_is_bounded(spark, monkeypatch):
     rows = [(7, "same text again")] * 300 + [(7, "another text")] * 2 + [(i, f"text {i} " * (1 + 200 * (i % 9 == 0))) for i in range(20, 400)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in (7, *range(20, 100))], "doc_id long, toxic int")
-    picked, prior = toxicity.sample(docs, labels, 3000, 9000, 1 << 30)
+    picked, prior, share = toxicity.sample(docs, labels, 3000, 9000, 1 << 30)
     got = picked.collect()
     texts = dict(rows)
     learn = {i for i in texts if zlib.crc32(str(i).encode()) % 5}
     toxic = {i for i in learn if i % 3 == 0 and 20 <= i < 100}
     assert Counter(r.text for r in got if r.y) == Counter(texts[i] for i in toxic)
     assert Counter(r.text for r in got if not r.y) == Counter(texts[i] for i in learn if i >= 100)  # the 7 has a label
-    assert prior == pytest.approx(len(toxic) / len({i for i in learn if i < 100}))
-    few, _ = toxicity.sample(docs, labels, 3000, 9000, 6000)
+    assert prior == pytest.approx(len(toxic) / len({i for i in learn if i < 100})) and prior < share < prior + 0.2
+    few, _, _ = toxicity.sample(docs, labels, 3000, 9000, 6000)
     sizes = defaultdict(int)
     for r in few.collect():
         sizes[r.y] += len(r.text)
     assert 0 < sizes[0] <= 6000 and 0 < sizes[1] <= 6000
-    some, _ = toxicity.sample(docs, labels, 10, 20, 1 << 30)
+    some, _, _ = toxicity.sample(docs, labels, 10, 20, 1 << 30)
     assert 3 <= some.filter("y = 1").count() <= 25 and 5 <= some.filter("y = 0").count() <= 45
 
 
