@@ -180,7 +180,7 @@ def fitting(rows: list, most: int) -> list:
 
 
 def sample(docs: DataFrame, labels: DataFrame, most_positive: int, most_unlabelled: int, most_bytes: int) -> tuple[DataFrame, float, float]:
-    """(y, text) of what a fit learns from, the prior, and that with twice its standard error; see `fit`."""
+    """(y, text) of what a fit learns from, the prior, and that with its standard error; see `fit`."""
     labels = labels.select("doc_id", "toxic").dropna().groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     labels = labels.filter(~held_out(labels))
     told = labels.agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("k")).first()
@@ -209,7 +209,7 @@ def sample(docs: DataFrame, labels: DataFrame, most_positive: int, most_unlabell
         spark, kind = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
         own = spark.createDataFrame([(r.doc_id, r.y) for r in taken], f"doc_id {kind}, y int")
         picked = picked.join(F.broadcast(own), ["doc_id", "y"], "left_semi")
-    return picked.select("y", "text"), prior, prior + 2 * float(np.sqrt(prior * (1 - prior) / max(1, told.n)))
+    return picked.select("y", "text"), prior, prior + float(np.sqrt(prior * (1 - prior) / max(1, told.n)))
 
 
 def fit(docs: DataFrame, labels: DataFrame, most_positive: int = MOST_POSITIVE, most_unlabelled: int = MOST_UNLABELLED, most_bytes: int = MOST_BYTES) -> Model:
@@ -219,7 +219,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_positive: int = MOST_POSITIVE,
     labels count as none; of several labels for an id the largest counts, and of several texts of an id one.  Where rows
     without label are fewer than `most_unlabelled` and than labelled ones, all rows, whatever their label, are the unlabelled
     text.  The intercept is lowered where more of the unlabelled sample would reach 0.5 than the prior, with
-    twice its standard error, lets expect.  Without any
+    its standard error, lets expect.  Without any
     positive or unlabelled text the model has no weights and scores every text with the prior.
     """
     picked, prior, share = sample(docs, labels, most_positive, most_unlabelled, most_bytes)
