@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from larkspur.sources.staging import spread, staged, unstage
 
-__all__ = ["ASCII_LOWER", "WORD", "buffers", "fresh_name", "portable_uniform", "shielded", "sliced", "staged", "table", "text_bytes", "unstage", "word_count"]
+__all__ = ["ASCII_LOWER", "WORD", "buffers", "carried", "fresh_name", "portable_uniform", "shielded", "sliced", "staged", "table", "text_bytes", "unstage", "word_count"]
 
 #: Words are maximal runs of anything but ASCII white space (Java and RE2 read this pattern alike).
 WORD = r"[^\x20\x09-\x0D]+"
@@ -59,6 +60,18 @@ def shielded(df: DataFrame, added: tuple[str, ...]) -> tuple[DataFrame, list[Col
     return renamed, [F.col(f"`{n}`").alias(c) for c, n in names.items()]
 
 
+def carried(df: DataFrame, own: list[str], read: list[Column], f: Callable, added: list[T.StructField]) -> DataFrame:
+    """The columns `own` of `df`, of any names, and `added`, which `f` makes of batches of `own` and then `read`.
+
+    `f` gives batches of `own` and `added`.  Columns go through Python under plain names, as those with dots would be taken for fields.
+    """
+    names = [f"c{i}" for i in range(len(own))]
+    fields = [T.StructField(n, df.schema[c].dataType) for n, c in zip(names, own, strict=True)]
+    rows = df.select(*[F.col(f"`{c}`").alias(n) for n, c in zip(names, own, strict=True)], *[c.alias(f"r{i}") for i, c in enumerate(read)])
+    got = rows.mapInArrow(f, T.StructType([*fields, *added]))
+    return got.select(*[F.col(n).alias(c) for n, c in zip(names, own, strict=True)], *[a.name for a in added])
+
+
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The bytes of a column of texts, and where each starts and ends in them; null is empty."""
     wide = column.cast(pa.large_binary())

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from larkspur.sources.shipping import ship
 
-from . import decontamination, licenses, mixing, pii, rules, secrets, sharding, simhash, suffix_dedup, toxicity
+from . import decontamination, divergence, licenses, line_dedup, mixing, periodic, pii, rules, secrets, sharding, simhash, suffix_dedup, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -185,3 +185,51 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_suffix_dedup")
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
+OP11_SQL = r"""
+WITH lines AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)),
+keyed AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM lines),
+known AS (SELECT k, max(doc_id) AS keeper FROM keyed WHERE length(k) >= 20 GROUP BY k HAVING count(DISTINCT doc_id) >= 3),
+marked AS (SELECT doc_id, line, i, keeper IS NOT NULL AND keeper <> doc_id AS gone FROM keyed LEFT JOIN known USING (k))
+SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (gone)::BIGINT AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256 FROM marked GROUP BY doc_id
+"""
+
+
+@query("op11_lines", OP11_SQL)
+def op11_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.drop_repeated(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: DuckDB, with a row for every kept term and group.
+OP12_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS t FROM documents),
+occurring AS (SELECT id, lang, source, unnest(regexp_extract_all(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+kept AS (SELECT lang, term FROM occurring GROUP BY lang, term HAVING count(DISTINCT id) >= 3),
+groups AS (SELECT DISTINCT lang, source FROM d),
+counted AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n FROM groups g JOIN kept k ON g.lang = k.lang
+    LEFT JOIN (SELECT lang, source, term, count(*) AS n FROM occurring GROUP BY ALL) c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+shares AS (SELECT *, 1 + 1000000000 * (n + 1) // (sum(n) OVER (PARTITION BY lang, source) + count(*) OVER (PARTITION BY lang, source))::BIGINT AS p,
+    1 + 1000000000 * (sum(n) OVER (PARTITION BY lang, term) + 1)::BIGINT // (sum(n) OVER (PARTITION BY lang) + count(*) OVER (PARTITION BY lang, source))::BIGINT AS q FROM counted),
+pairs AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+found AS (SELECT g.lang, g.source, 'pair' AS part, o.source AS item, coalesce(value, 0)::BIGINT AS value FROM groups g JOIN groups o ON g.lang = o.lang AND g.source <> o.source
+    LEFT JOIN pairs p ON p.lang = g.lang AND p.source = g.source AND p.item = o.source
+    UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM shares WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM found) WHERE part = 'pair' OR rank <= 200
+"""
+
+
+@query("op12_divergence", OP12_SQL)
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+@query("op13_periodic")
+def op13_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.find_runs(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"], rewrite=periodic.planted)
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    found = found.withColumn("longest", longest).withColumns({"start": -F.col("longest.start"), "length": F.col("longest.length"), "period": -F.col("longest.period")})
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    exponent = F.call_function("div", 1000 * F.col("length"), F.col("period"))
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "start", "length", "period", exponent.alias("exponent_milli"), F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))

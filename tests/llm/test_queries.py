@@ -20,6 +20,9 @@ COLUMNS = {
     "op8_suffix_dedup": "doc_id n_bytes n_removed n_spans kept_sha256",
     "op9_pii": "doc_id n_email n_ip n_card n_phone base_sha256 spans",
     "op10_simhash": "doc_id fingerprint component_id",
+    "op11_lines": "doc_id n_lines n_dropped kept_sha256",
+    "op12_divergence": "lang source part item value rank",
+    "op13_periodic": "doc_id n_runs start length period exponent_milli runs_sha256 collapsed_sha256",
     "rules_ablation": "rule n_failed n_only n_kept_without",
 }
 
@@ -34,7 +37,7 @@ def test_query(spark, name):
     assert df.columns[: len(COLUMNS[name].split())] == COLUMNS[name].split()
     columns = sorted(df.columns)
     got = sorted(tuple(map(plain, r)) for r in df.select(*columns).collect())
-    assert not name.startswith("op") or len(got) == spark.read.parquet(f"{SF}/documents.parquet").count()
+    assert not name.startswith("op") or name == "op12_divergence" or len(got) == spark.read.parquet(f"{SF}/documents.parquet").count()
     if name in SQL:
         con = duckdb.connect()
         for p in glob.glob(f"{SF}/*.parquet"):
