@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import fnmatch
 import io
 import zipfile
 from collections.abc import Iterator
@@ -13,12 +14,12 @@ from pyspark.sql import functions as F
 
 from larkspur.functions import expressions as X
 
+from .trees import ZIP_SCHEMA, entries_of, walk, zip_directories
+from .trees import hashed as hashed  # for users of this module
+
 #: Extensions of photos and videos.
 PHOTO = [".jpg", ".jpeg", ".heic", ".heif", ".png", ".gif", ".tif", ".tiff", ".webp", ".cr2", ".cr3", ".dng", ".nef", ".arw", ".orf", ".rw2"]
 VIDEO = [".mov", ".mp4", ".m4v", ".avi", ".mts", ".3gp", ".mp"]
-#: Endings of folders that are library packages.
-PACKAGES = (".photoslibrary", ".aplibrary", ".migratedphotolibrary", ".photolibrary", ".iphotolibrary")
-ZIP_SCHEMA = "zip string, name string, size long, crc long"
 
 
 class MissingTable(LookupError):
@@ -39,27 +40,6 @@ def catalogue(spark: SparkSession, root: str, names: list[str]) -> dict[str, Dat
     return out
 
 
-def walk(spark: SparkSession, root: str, packages: tuple[str, ...] = PACKAGES) -> DataFrame:
-    """(path below root, size, modified) of every file, without reading contents.
-
-    Spark leaves out names that begin with `_` or a dot, folders and files alike (a file that begins with `_` is the one case
-    in which that is more than the catalogue leaves out); what is inside library packages is left out here.
-    """
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length", "modificationTime")
-    # Paths come back with a scheme and one or three slashes; what follows the root's own parts is kept.
-    rel = F.regexp_replace(F.regexp_replace("path", r"^[a-z]+:/*", "/"), "^" + _quoted("/" + _bare(root)) + "/", "")
-    out = found.select(rel.alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
-    return out.filter(~F.lower("path").rlike("(" + "|".join(_quoted(p) for p in packages) + ")/"))
-
-
-def _bare(root: str) -> str:
-    return root.split("://", 1)[-1].removeprefix("file:").strip("/")
-
-
-def _quoted(text: str) -> str:
-    return r"\Q" + text + r"\E"
-
-
 def media(listing: DataFrame, photo: list[str] = PHOTO, video: list[str] = VIDEO) -> DataFrame:
     """Photos and videos of a listing with ext, kind and has_sidecar.
 
@@ -73,12 +53,6 @@ def media(listing: DataFrame, photo: list[str] = PHOTO, video: list[str] = VIDEO
     return out.withColumn("has_sidecar", (F.col("_beside").isNotNull() | F.col("_whole").isNotNull()).cast("int")).drop("_beside", "_whole")
 
 
-def hashed(spark: SparkSession, root: str) -> DataFrame:
-    """(path, size, sha1, crc) of every file; contents are read once, where they are."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    return found.select(F.regexp_replace(F.regexp_replace("path", r"^[a-z]+:/*", "/"), "^" + _quoted("/" + _bare(root)) + "/", "").alias("path"), F.col("length").alias("size"), F.sha1("content").alias("sha1"), F.crc32("content").alias("crc"))
-
-
 def changed(listing: DataFrame, known: DataFrame) -> DataFrame:
     """Files that the catalogue doesn't have with this size and time."""
     return listing.join(known.select("path", "size", "mtime_ns"), ["path", "size", "mtime_ns"], "left_anti")
@@ -104,40 +78,24 @@ def _entries(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for part in parts:
         for path, content in zip(part["path"], part["content"], strict=True):
             try:
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    rows = [(path, i.filename, i.file_size, i.CRC) for i in z.infolist() if not i.is_dir()]
+                rows = [(path, *entry) for entry in entries_of(io.BytesIO(content))]
             except zipfile.BadZipFile:
                 rows = [(path, None, None, None)]
             yield pd.DataFrame(rows, columns=["zip", "name", "size", "crc"])
 
 
-def zip_entries(spark: SparkSession, path: str) -> DataFrame:
-    """Entries of zip archives (zip, name, size, crc), read from their directories; one row without name for a bad archive.
-
-    Zips up to the size that a binary column holds (2 GiB) are read; larger ones need `zip_directories`.
-    """
-    return zip_contents(spark.read.format("binaryFile").load(path))
-
-
 def zip_contents(archives: DataFrame) -> DataFrame:
-    """The same for archives (path, content) that are rows already."""
+    """(zip, name, size, crc) of archives that are rows already (path, content); one row without name for a bad one."""
     return archives.select("path", "content").mapInPandas(_entries, ZIP_SCHEMA)
 
 
-def zip_directories(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """The same for archives of any size on a file system that executors see: only the directory at the end is read."""
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for p in part["path"]:
-                try:
-                    with zipfile.ZipFile(p) as z:
-                        rows = [(p, i.filename, i.file_size, i.CRC) for i in z.infolist() if not i.is_dir()]
-                except (OSError, zipfile.BadZipFile):
-                    rows = [(p, None, None, None)]
-                yield pd.DataFrame(rows, columns=["zip", "name", "size", "crc"])
-
-    return spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, len(paths))).mapInPandas(run, ZIP_SCHEMA)
+def zip_entries(spark: SparkSession, path: str) -> DataFrame:
+    """The same for the archives that a path names, whose last part may have wildcards, or that are below a folder."""
+    folder, _, name = path.rstrip("/").rpartition("/")
+    folder, name = (folder, name) if "*" in name or "?" in name or name.lower().endswith(".zip") else (path, "*.zip")
+    like = F.substring_index("path", "/", -1).rlike("^" + fnmatch.translate(name))
+    whole = F.lit(True) if folder == path else F.instr("path", "/") == 0
+    return zip_directories(spark, walk(spark, folder).filter(like & whole), folder)
 
 
 #: Fixed value: the fields of a sidecar that are read.

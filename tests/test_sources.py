@@ -1,5 +1,7 @@
 """Sources, sinks and the stream, on files made here."""
 
+import hashlib
+import io
 import json
 import os
 import zipfile
@@ -8,14 +10,14 @@ from types import SimpleNamespace
 
 import pytest
 
-from larkspur.sources import files, sinks, staging
+from larkspur.sources import files, sinks, staging, trees
 from larkspur.streaming import incremental
 
 
 @pytest.fixture
 def tree(tmp_path):
     root = tmp_path / "my photos"
-    for name in ("a/one.JPG", "a/one.JPG.supplemental-metadata.json", "a/_hidden/x.jpg", "b/two.mov", "b/two.aae", "b/three.heif", "b/three.heif.xmp", "b/four.rw2", "b/four.json", "b/four.XMP", "b/five.bmp", "b/L.photoslibrary/in.jpg", "b/M.iPhotoLibrary/x/in.jpg", "note.txt", "b/.dot.jpg"):
+    for name in ("a/one.JPG", "a/one.JPG.supplemental-metadata.json", "a/_hidden/x.jpg", "b/two.mov", "b/two.aae", "b/three.heif", "b/three.heif.xmp", "b/four.rw2", "b/four.json", "b/four.XMP", "b/five.bmp", "b/L.photoslibrary/in.jpg", "b/M.iPhotoLibrary/x/in.jpg", "note.txt", "b/.dot.jpg", "a/_DSC0001.NEF", "_MG_1234.CR2", "a/.seen/s.jpg", "_top/y.jpg"):
         p = root / name
         p.parent.mkdir(parents=True, exist_ok=True)
         p.write_bytes(name.encode())
@@ -25,12 +27,76 @@ def tree(tmp_path):
 def test_walk_and_hash(spark, tree):
     listing = files.walk(spark, str(tree))
     beside = {"a/one.JPG.supplemental-metadata.json", "b/two.aae", "b/three.heif.xmp", "b/four.json", "b/four.XMP"}
-    assert {r.path for r in listing.collect()} == {"a/one.JPG", "b/two.mov", "b/three.heif", "b/four.rw2", "b/five.bmp", "note.txt"} | beside
+    assert {r.path for r in listing.collect()} == {"a/one.JPG", "b/two.mov", "b/three.heif", "b/four.rw2", "b/five.bmp", "note.txt", "a/_DSC0001.NEF", "_MG_1234.CR2", "a/.seen/s.jpg"} | beside
     # Export sidecars and other spellings aren't sidecars of the archive.
-    assert {r.path: (r.kind, r.has_sidecar) for r in files.media(listing).collect()} == {"a/one.JPG": ("photo", 0), "b/two.mov": ("video", 1), "b/three.heif": ("photo", 1), "b/four.rw2": ("photo", 0)}
+    assert {r.path: (r.kind, r.has_sidecar) for r in files.media(listing).collect()} == {"a/one.JPG": ("photo", 0), "b/two.mov": ("video", 1), "b/three.heif": ("photo", 1), "b/four.rw2": ("photo", 0), "a/_DSC0001.NEF": ("photo", 0), "_MG_1234.CR2": ("photo", 0), "a/.seen/s.jpg": ("photo", 0)}
     got = {r.path: r.crc for r in files.hashed(spark, str(tree)).collect()}
-    assert got["b/two.mov"] == zlib.crc32(b"b/two.mov")
-    assert {r.folder: (r.media, r.jsons) for r in files.staging(listing).collect()}["a"] == (["one.JPG"], ["one.JPG.supplemental-metadata.json"])
+    assert got["b/two.mov"] == zlib.crc32(b"b/two.mov") and got["a/_DSC0001.NEF"] == zlib.crc32(b"a/_DSC0001.NEF")
+    assert {r.folder: (r.media, r.jsons) for r in files.staging(listing).collect()}["a"] == (["_DSC0001.NEF", "one.JPG"], ["one.JPG.supplemental-metadata.json"])
+
+
+def test_a_tree_is_listed_by_parts(spark, tree, monkeypatch):
+    """The same files, whether the driver lists all folders, a few or only the top; pruned folders are never opened."""
+    opened = []
+    listed = trees._listed
+    monkeypatch.setattr(trees, "_listed", lambda fs, folder: opened.append(folder) or listed(fs, folder))
+    found = []
+    for splits in (1, 2, 100):
+        reader = trees.TreeReader(str(tree), trees.PACKAGES, splits)
+        found.append(sorted(p for part in reader.partitions() for b in reader.read(part) for p in b.column(0).to_pylist()))
+    assert found[0] == found[1] == found[2] == sorted(r.path for r in files.walk(spark, str(tree)).collect())
+    assert not [f for f in opened if "_hidden" in f or "_top" in f or "ibrary" in f]
+    os.symlink(tree / "a", tree / "b/loop")
+    os.symlink(tree / "b", tree / "a/loop")
+    assert files.walk(spark, str(tree)).count() == len(found[0])
+    one = {r.path: r for r in files.walk(spark, f"file://{tree}").collect()}["note.txt"]
+    assert one.mtime_ns == (tree / "note.txt").stat().st_mtime_ns and one["size"] == 8
+    with pytest.raises(Exception, match="nowhere"):
+        files.walk(spark, str(tree / "nowhere")).count()
+
+
+def test_large_files_are_hashed_in_chunks(spark, tmp_path):
+    size = (1 << 31) + 5
+    with open(tmp_path / "large.mov", "wb") as f:  # sparse: no disk is used
+        f.truncate(size)
+    (tmp_path / "empty.jpg").write_bytes(b"")
+    got = {r.path: r for r in files.hashed(spark, str(tmp_path)).collect()}
+    whole, crc, zeros = hashlib.sha1(), 0, bytes(1 << 24)
+    for n in [1 << 24] * (size >> 24) + [size & (1 << 24) - 1]:
+        whole.update(zeros[:n])
+        crc = zlib.crc32(zeros[:n], crc)
+    assert (got["large.mov"].sha1, got["large.mov"].crc, got["large.mov"]["size"]) == (whole.hexdigest(), crc, size)
+    assert (got["empty.jpg"].sha1, got["empty.jpg"].crc) == (hashlib.sha1().hexdigest(), 0)
+    gone = spark.createDataFrame([("gone.jpg", 1)], "path string, size long")
+    assert [tuple(r) for r in files.hashed(spark, str(tmp_path), gone).collect()] == [("gone.jpg", 1, None, None)]
+
+
+class Counted(io.FileIO):
+    """A file that counts the bytes read from it."""
+
+    total = 0
+
+    def read(self, n=-1):
+        data = super().read(n)
+        self.total += len(data)
+        return data
+
+
+def test_only_directories_of_archives_are_read(tmp_path):
+    with zipfile.ZipFile(tmp_path / "big.zip", "w") as z:
+        for k in range(20):
+            z.writestr(f"Root/{k}.jpg", bytes(1 << 20))
+        with z.open("Root/wide.mov", "w", force_zip64=True) as f:
+            f.write(b"wide")
+    with Counted(tmp_path / "big.zip") as f:
+        found = trees.entries_of(f)
+    assert len(found) == 21 and found[0] == ("Root/0.jpg", 1 << 20, zlib.crc32(bytes(1 << 20))) and found[-1][0] == "Root/wide.mov"
+    assert f.total < 80_000
+    with zipfile.ZipFile(tmp_path / "many.zip", "w") as z:  # more entries than the plain end record can count
+        for k in range(66_000):
+            z.writestr(zipfile.ZipInfo(f"{k}"), b"")
+    with Counted(tmp_path / "many.zip") as f:
+        assert len(trees.entries_of(f)) == 66_000
 
 
 def test_zip_listings(spark, tmp_path):
