@@ -367,6 +367,33 @@ def _(spark, sf_dir):
     return sinks.read_snapshot(spark, at)
 
 
+@query("sk7_two_writers", with_("marks") + "SELECT path, mark, CASE WHEN used_batch IS NULL AND mark = 'trash' THEN 'b2' ELSE used_batch END AS used_batch FROM marks", "marks")
+def _(marks):
+    """A batch stamps its marks while a withdrawal of the same marks is computed: that sees them used, and leaves them."""
+    spark, at = marks.sparkSession, fresh_path(marks.sparkSession, "entry")
+    started = sinks.write_snapshot(marks.select("path", "mark", "used_batch"), at, after=0)
+
+    def withdrawn(now):
+        if sinks.state_number(spark, at) == started:
+            old = sinks.read_snapshot(spark, at, started)
+            sinks.write_snapshot(decisions.stamp(old, old.filter("mark = 'trash'"), ["path"], "used_batch", "b2"), at, after=started)
+        return decisions.withdraw(now, now.filter("mark = 'trash'"), ["path"])
+
+    sinks.update_snapshot(spark, at, withdrawn)
+    return sinks.read_snapshot(spark, at).select("path", "mark", "used_batch")
+
+
+@query("sc3_catalogue", with_("files", "marks") + "SELECT 1 AS state, mark, count(*) AS n, sum(size)::BIGINT AS bytes FROM marks JOIN files USING (path) GROUP BY mark UNION ALL SELECT 2, mark, count(*), sum(size)::BIGINT FROM marks JOIN files USING (path) WHERE id % 3 <> 0 AND mark <> 'trash' GROUP BY mark", "files", "marks")
+def _(files, marks):
+    """What a reader of the first state and one of the second see, after both tables have gone on together."""
+    spark, root = files.sparkSession, fresh_path(files.sparkSession, "catalogue")
+    one = sinks.Catalogue(spark, root).publish({"files": files.select("id", "path", "size"), "marks": marks.select("path", "mark")})
+    reader = sinks.Catalogue(spark, root)
+    two = one.publish({"files": one.table("files").filter("id % 3 != 0"), "marks": one.table("marks").filter("mark != 'trash'")})
+    seen = lambda c, k: c.table("marks").join(c.table("files"), "path").groupBy("mark").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes")).select(F.lit(k).alias("state"), "mark", "n", "bytes")
+    return seen(reader, 1).unionByName(seen(two, 2))
+
+
 @query("sk11_manifest", "SELECT n_name AS \"from\", 'new/' || n_name AS \"to\" FROM nation")
 def _(spark, sf_dir):
     at = fresh_path(spark, "entry")

@@ -1,55 +1,186 @@
-"""Sinks: versioned snapshots of catalogue tables, their comparison, and reports."""
+"""Sinks: versioned snapshots of tables and whole catalogues with guarded commits, comparison of tables, and reports."""
 
 from __future__ import annotations
 
+import json
+import os
 import uuid
+from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .files import MissingTable
 
+#: Folder of a table's or catalogue's numbered states.
+STATES = "_states"
+
 
 def _fs(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p, p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
 
 
-def _pointers(spark: SparkSession, folder: str) -> list[tuple[int, str]]:
-    """(number, version) of the pointers of a table, in order; none if there is no such table."""
-    p, fs = _fs(spark, f"{folder}/_pointers")
-    if not fs.exists(p):
-        return []
-    names = [s.getPath().getName() for s in fs.listStatus(p)]
-    return sorted((int(n), v) for n, _, v in (name.partition("-") for name in names) if n.isdigit() and v)
+class Conflict(RuntimeError):
+    """Another writer has published since the state that this change was computed from."""
+
 
+def _numbers(spark: SparkSession, folder: str) -> list[int]:
+    """Numbers of the states of a folder, in order; none if it has none."""
+    p, fs = _fs(spark, f"{folder}/{STATES}")
+    return sorted(int(n) for n in (s.getPath().getName() for s in fs.listStatus(p)) if n.isdigit()) if fs.exists(p) else []
 
-def write_snapshot(df: DataFrame, folder: str) -> str:
-    """`df` as a new version of the table in `folder`; a reader sees the old one until a pointer names the new.
 
-    A table is never overwritten while a plan reads it: versions are folders of their own, and the pointer, an empty file
-    with a number and the version in its name, is made last.  Writers take turns: of two at once both keep their version
-    and that with the higher number, or else the later name, counts.
+def _publish(spark: SparkSession, folder: str, number: int, state: dict) -> bool:
+    """Make `state` (a small JSON object) the folder's state of that number; False if the number is taken.
+
+    The text is written under a name of its own first and then gets the number's name in one step that fails if that exists:
+    a hard link on a local file system, elsewhere a rename that doesn't overwrite.  So of several writers one succeeds,
+    and no reader sees half a state.  (Stores whose rename isn't one step need a lock around their writers.)
     """
-    spark = df.sparkSession
+    folder = f"{folder}/{STATES}"
+    text = json.dumps(state, sort_keys=True)
+    p, fs = _fs(spark, f"{folder}/.{uuid.uuid4().hex}")
+    fs.mkdirs(p.getParent())
+    out = fs.create(p, False)
+    out.write(bytearray(text.encode()))
+    out.close()
+    target, _ = _fs(spark, f"{folder}/{number:012d}")
+    try:
+        if fs.getScheme() == "file":
+            os.link(p.toUri().getPath(), target.toUri().getPath())
+        else:
+            rename = spark._jvm.org.apache.hadoop.fs.Options.Rename
+            options = spark.sparkContext._gateway.new_array(rename, 1)
+            options[0] = rename.NONE
+            spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(p.toUri(), spark._jsparkSession.sessionState().newHadoopConf()).rename(p, target, options)
+        return True
+    except FileExistsError:
+        return False
+    except Py4JJavaError as e:
+        if "FileAlreadyExistsException" not in str(e.java_exception):
+            raise
+        return False
+    finally:
+        fs.delete(p, False)
+
+
+def _state(spark: SparkSession, folder: str, number: int) -> dict:
+    p, fs = _fs(spark, f"{folder}/{STATES}/{number:012d}")
+    source = fs.open(p)
+    try:
+        return json.loads(bytes(source.readAllBytes()).decode())
+    finally:
+        source.close()
+
+
+def state_number(spark: SparkSession, folder: str) -> int:
+    """Number of the newest state of a table or catalogue; 0 if nothing was published there."""
+    return max(_numbers(spark, folder), default=0)
+
+
+def _write_version(df: DataFrame, folder: str) -> str:
+    """`df` as a folder of its own, which no state names yet."""
     version = uuid.uuid4().hex
     df.write.parquet(f"{folder}/{version}")
-    number = max((n for n, _ in _pointers(spark, folder)), default=0) + 1
-    p, fs = _fs(spark, f"{folder}/_pointers/{number:012d}-{version}")
-    fs.create(p, False).close()
     return version
 
 
+def _publish_after(spark: SparkSession, folder: str, after: int | None, state: dict) -> int:
+    """The number under which the state was published: the one after `after`, else the next that is free."""
+    number = (state_number(spark, folder) if after is None else after) + 1
+    while not _publish(spark, folder, number, state):
+        if after is not None:
+            raise Conflict(f"{folder}: state {number} is another writer's")
+        number += 1
+    return number
+
+
+def write_snapshot(df: DataFrame, folder: str, after: int | None = None) -> int:
+    """`df` as the newest state of the table in `folder`; its number.
+
+    A table is never overwritten while a plan reads it: versions are folders of their own, named by numbered states.  A change
+    that was computed from state `after` is published as the next one, or else it is a Conflict, as another writer was faster;
+    nothing is lost then, as the other's state stands and the change can be computed anew (see `update_snapshot`).  Without `after` the
+    table is replaced, whoever wrote before.
+    """
+    if after is not None and state_number(df.sparkSession, folder) != after:
+        raise Conflict(f"{folder}: newer than state {after}")
+    return _publish_after(df.sparkSession, folder, after, {"version": _write_version(df, folder)})
+
+
 def has_snapshot(spark: SparkSession, folder: str) -> bool:
-    return bool(_pointers(spark, folder))
+    return state_number(spark, folder) > 0
 
 
-def read_snapshot(spark: SparkSession, folder: str) -> DataFrame:
-    """The newest version of the table in `folder`; MissingTable if it has none."""
-    known = _pointers(spark, folder)
-    if not known:
+def read_snapshot(spark: SparkSession, folder: str, number: int | None = None) -> DataFrame:
+    """The newest state of the table in `folder`, or that of a number; MissingTable if it has none."""
+    number = state_number(spark, folder) if number is None else number
+    if number not in _numbers(spark, folder):
         raise MissingTable(folder)
-    return spark.read.parquet(f"{folder}/{known[-1][1]}")
+    return spark.read.parquet(f"{folder}/{_state(spark, folder, number)['version']}")
+
+
+def update_snapshot(spark: SparkSession, folder: str, change: Callable[[DataFrame], DataFrame], tries: int = 10) -> int:
+    """Publish change(newest state); computed anew from the newer state where another writer was faster.
+
+    `change` also carries its guard (rows that were used meanwhile are left alone), as it sees what the others wrote.
+    After `tries` conflicts in a row the last one is raised.
+    """
+    for left in reversed(range(tries)):
+        number = state_number(spark, folder)
+        try:
+            return write_snapshot(change(read_snapshot(spark, folder, number)), folder, after=number)
+        except Conflict:
+            if not left:
+                raise
+    raise ValueError("no tries")
+
+
+class Catalogue:
+    """Several tables under one folder whose states are published together.
+
+    A state is a manifest with the version of every table.  `Catalogue(spark, root)` is pinned to the newest state when it is
+    made, so all its tables are of one state however much is published while they are read; `Catalogue(spark, root, n)` is
+    pinned to state n.  A root without states is a catalogue without tables, number 0.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, number: int | None = None):
+        self.spark, self.root = spark, root
+        self.number = state_number(spark, root) if number is None else number
+        if self.number and self.number not in _numbers(spark, root):
+            raise MissingTable(f"{root}: state {self.number}")
+        self.versions: dict[str, str] = _state(spark, root, self.number)["tables"] if self.number else {}
+
+    def table(self, name: str) -> DataFrame:
+        if name not in self.versions:
+            raise MissingTable(name)
+        return self.spark.read.parquet(f"{self.root}/{name}/{self.versions[name]}")
+
+    def register(self) -> None:
+        """Every table as a view of its name."""
+        for name in self.versions:
+            self.table(name).createOrReplaceTempView(name)
+
+    def publish(self, changed: dict[str, DataFrame]) -> Catalogue:
+        """The catalogue with these tables in place of (or beside) its own; Conflict if it isn't the newest state any more."""
+        if state_number(self.spark, self.root) != self.number:
+            raise Conflict(f"{self.root}: newer than state {self.number}")
+        versions = self.versions | {name: _write_version(df, f"{self.root}/{name}") for name, df in changed.items()}
+        return Catalogue(self.spark, self.root, _publish_after(self.spark, self.root, self.number, {"tables": versions}))
+
+
+def update_catalogue(spark: SparkSession, root: str, change: Callable[[Catalogue], dict[str, DataFrame]], tries: int = 10) -> Catalogue:
+    """Publish change(newest catalogue), computed anew where another writer was faster; after `tries` conflicts the last is raised."""
+    for left in reversed(range(tries)):
+        now = Catalogue(spark, root)
+        try:
+            return now.publish(change(now))
+        except Conflict:
+            if not left:
+                raise
+    raise ValueError("no tries")
 
 
 def differences(a: DataFrame, b: DataFrame, keys: tuple[str, ...] = ("path", "size", "sha1")) -> DataFrame:

@@ -26,8 +26,9 @@ def catch_up(stream: DataFrame, table: str, checkpoint: str, keys: list[str]) ->
         whole = F.struct(*batch.columns)
         new = batch.groupBy(*keys).agg(F.max_by(whole, "scanned_at").alias("r")).select("r.*")
         if sinks.has_snapshot(spark, table):  # whatever else goes wrong with the old version ends the batch
-            new = decisions.replace(sinks.read_snapshot(spark, table), new, keys)
-        sinks.write_snapshot(new, table)
+            sinks.update_snapshot(spark, table, lambda old: decisions.replace(old, new, keys))
+        else:
+            sinks.write_snapshot(new, table, after=0)
 
     stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 

@@ -6,9 +6,11 @@ import json
 import os
 import zipfile
 import zlib
+from concurrent.futures import ThreadPoolExecutor
 from types import SimpleNamespace
 
 import pytest
+from pyspark.sql import functions as F
 
 from larkspur.sources import files, sinks, staging, trees
 from larkspur.streaming import incremental
@@ -148,9 +150,80 @@ def test_snapshots_are_numbered(spark, tmp_path):
     for k in range(12):
         sinks.write_snapshot(spark.range(k + 1), f"{tmp_path}/t")
     assert sinks.read_snapshot(spark, f"{tmp_path}/t").count() == 12
-    for pointer in (tmp_path / "t/_pointers").iterdir():
-        os.utime(pointer, (1, 1))  # times of files don't matter
-    assert sinks.read_snapshot(spark, f"{tmp_path}/t").count() == 12
+    for state in (tmp_path / "t/_states").iterdir():
+        os.utime(state, (1, 1))  # times of files don't matter
+    assert sinks.read_snapshot(spark, f"{tmp_path}/t").count() == 12 == sinks.state_number(spark, f"{tmp_path}/t")
+    assert sinks.read_snapshot(spark, f"{tmp_path}/t", 3).count() == 3
+    with pytest.raises(files.MissingTable):
+        sinks.read_snapshot(spark, f"{tmp_path}/t", 13)
+
+
+def test_two_writers_lose_nothing(spark, tmp_path):
+    at = f"{tmp_path}/t"
+    marks = spark.createDataFrame([(k, None) for k in range(20)], "id int, used string")
+    first = sinks.write_snapshot(marks, at, after=0)
+    with pytest.raises(sinks.Conflict):
+        sinks.write_snapshot(marks, at, after=0)
+    stamp = lambda old, which, by: old.withColumn("used", F.when(which & F.col("used").isNull(), by).otherwise(F.col("used")))
+    mine = stamp(sinks.read_snapshot(spark, at, first), F.col("id") % 2 == 0, "mine")
+    seen = []
+
+    def slow(old):
+        """Another writer publishes while this change is computed for the first time."""
+        if not seen:
+            sinks.write_snapshot(mine, at, after=first)
+        seen.append(old.filter("used is not null").count())
+        return stamp(old, F.col("id") % 3 == 0, "theirs")
+
+    assert sinks.update_snapshot(spark, at, slow) == 3 and seen == [0, 10]
+    got = {r.id: r.used for r in sinks.read_snapshot(spark, at).collect()}
+    assert got == {k: "mine" if k % 2 == 0 else "theirs" if k % 3 == 0 else None for k in range(20)}
+    with pytest.raises(sinks.Conflict):
+        sinks.write_snapshot(mine, at, after=first)
+    with pytest.raises(sinks.Conflict):
+        sinks.update_snapshot(spark, at, lambda old: sinks.write_snapshot(old, at) and old, tries=2)
+
+
+def test_many_writers_at_once(spark, tmp_path):
+    at = f"{tmp_path}/t"
+    sinks.write_snapshot(spark.createDataFrame([], "id int"), at)
+    add = lambda k: sinks.update_snapshot(spark, at, lambda old: old.union(spark.createDataFrame([(k,)], "id int")), tries=30)
+    with ThreadPoolExecutor(4) as pool:
+        numbers = list(pool.map(add, range(8)))
+    assert sorted(numbers) == list(range(2, 10))
+    assert sorted(r.id for r in sinks.read_snapshot(spark, at).collect()) == list(range(8))
+    taken = [sinks._publish(spark, at, 50, {"version": str(k)}) for k in range(3)]
+    assert taken == [True, False, False] and sinks._state(spark, at, 50) == {"version": "0"}
+    assert not [p.name for p in (tmp_path / "t/_states").iterdir() if not p.name.isdigit() and not p.name.endswith(".crc")]
+
+
+def test_a_catalogue_is_read_in_one_state(spark, tmp_path):
+    root = f"{tmp_path}/c"
+    frame = lambda *ids: spark.createDataFrame([(k,) for k in ids], "id int")
+    ids = lambda df: sorted(r.id for r in df.collect())
+    one = sinks.Catalogue(spark, root).publish({"files": frame(1, 2), "marks": frame(1)})
+    reader = sinks.Catalogue(spark, root)
+    files_before = ids(reader.table("files"))
+    two = one.publish({"files": frame(3), "marks": frame(3), "more": frame()})
+    assert files_before == [1, 2] and ids(reader.table("marks")) == [1]  # published between two reads
+    assert (ids(two.table("files")), ids(two.table("marks")), two.number) == ([3], [3], 2)
+    assert ids(sinks.Catalogue(spark, root, 1).table("files")) == [1, 2]
+    with pytest.raises(sinks.Conflict):
+        reader.publish({"marks": frame(9)})
+    with pytest.raises(files.MissingTable):
+        one.table("more")
+    with pytest.raises(files.MissingTable):
+        sinks.Catalogue(spark, root, 7)
+
+    def forget(now):
+        if now.number == 2:
+            two.publish({"marks": frame(3, 4)})
+        return {"files": now.table("files").join(now.table("marks"), "id", "left_anti")}
+
+    assert sinks.update_catalogue(spark, root, forget).number == 4
+    now = sinks.Catalogue(spark, root)
+    now.register()
+    assert spark.sql("select count(*) from marks").first()[0] == 2 and ids(now.table("files")) == []
 
 
 def test_a_failed_read_loses_nothing(spark, tmp_path, monkeypatch):
