@@ -5,12 +5,14 @@ from __future__ import annotations
 from itertools import combinations
 from math import comb
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions import expressions as X
-from larkspur.sources.staging import staged
+from larkspur.sources.staging import staged, unstage
 
 from .browse import placed
 from .graph import components
@@ -18,6 +20,8 @@ from .graph import components
 
 #: Buckets of more than CROWDED different hashes are split into chunks of about CROWDED / 2; keys of one hash into parts of about PART.
 CROWDED, PART = 4096, 256
+#: Links of a component that one task merges; of larger ones, clusters that a task takes in a round.
+LARGE, BLOCK = 50_000, 2000
 
 
 def dealt(hashes: DataFrame, threshold: int = 5) -> DataFrame:
@@ -26,7 +30,7 @@ def dealt(hashes: DataFrame, threshold: int = 5) -> DataFrame:
 
 
 def crowded(hashes: DataFrame, threshold: int = 5, most: int = 2500) -> DataFrame:
-    """(band, value, n) of the buckets that hold more than `most` hashes: a report, and what `edges` skips where told to."""
+    """(band, value, n) of the buckets that hold more than `most` hashes: a report."""
     return dealt(hashes, threshold).groupBy("band", "value").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most)
 
 
@@ -67,18 +71,39 @@ def close_hashes(unique: DataFrame, threshold: int) -> DataFrame:
     return found.filter(first == F.col("pick")).select("x", "y", d.alias("d"), "px", "py")
 
 
-def edges(hashes: DataFrame, threshold: int = 5, most: int | None = None) -> DataFrame:
-    """(a, b, d), a < b: all pairs of keys within `threshold` bits.
+def classes(hashes: DataFrame) -> DataFrame:
+    """(key, rep, hash): keys of one hash are a class, named after its smallest key; keys without hash have none."""
+    rows = hashes.select("key", "hash").dropna()
+    return rows.join(rows.groupBy("hash").agg(F.min("key").alias("rep")), "hash").select("key", "rep", "hash")
+
+
+def links(hashes: DataFrame, threshold: int = 5) -> DataFrame:
+    """(a, b, d), a < b: pairs of classes of different hashes within `threshold` bits, by their smallest keys.
+
+    With `classes` this is all of the links: two keys are within the threshold if they are of one class or their classes are linked.
+    A group of copies, however large, is one class here.
+    """
+    one = staged(hashes.select("key", "hash").dropna().groupBy("hash").agg(F.min("key").alias("rep"), F.lit(1).alias("parts")), "one")
+    found = close_hashes(one.select("hash", "parts"), threshold).select("x", "y", "d")
+    x, y = one.select(F.col("hash").alias("x"), F.col("rep").alias("rx")), one.select(F.col("hash").alias("y"), F.col("rep").alias("ry"))
+    return found.join(x, "x").join(y, "y").select(F.least("rx", "ry").alias("a"), F.greatest("rx", "ry").alias("b"), "d")
+
+
+def partners(asked: DataFrame, linked: DataFrame, members: DataFrame) -> DataFrame:
+    """(key, other, d): what each key asked for is linked to, from `links` and `classes`; only classes asked for are expanded."""
+    own = asked.select("key").join(members.select("key", "rep"), "key")
+    both = linked.unionByName(linked.select(F.col("b").alias("a"), F.col("a").alias("b"), "d"))
+    near = own.join(both.withColumnRenamed("a", "rep"), "rep").select("key", F.col("b").alias("rep"), "d")
+    near = near.unionByName(own.select("key", "rep", F.lit(0).alias("d")))
+    return near.join(members.select(F.col("key").alias("other"), "rep"), "rep").filter("key != other").select("key", "other", "d")
+
+
+def edges(hashes: DataFrame, threshold: int = 5) -> DataFrame:
+    """(a, b, d), a < b: all pairs of keys within `threshold` bits, copies expanded; see `links` for a result that isn't.
 
     Equal hashes are collapsed before pairs are looked for, and the keys of one hash are dealt out in parts when pairs of hashes
-    become pairs of keys.  With `most`, hashes are left out of buckets that hold more rows than that, so pairs can be lost.
+    become pairs of keys.
     """
-    if most is not None:
-        rows = dealt(hashes, threshold).join(crowded(hashes, threshold, most).select("band", "value"), ["band", "value"], "left_anti")
-        left = rows.select("band", "value", F.col("key").alias("a"), F.col("hash").alias("ha"))
-        right = rows.select("band", "value", F.col("key").alias("b"), F.col("hash").alias("hb"))
-        d = X.hamming(F.col("ha"), F.col("hb"))
-        return left.join(right, ["band", "value"]).filter((F.col("a") < F.col("b")) & (d <= threshold)).select("a", "b", d.alias("d")).distinct()
     rows = hashes.select("key", "hash").dropna()
     unique = staged(rows.groupBy("hash").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts"), (F.min("key") < F.max("key")).alias("again")), "unique")
     same = unique.filter("again").select(F.col("hash").alias("x"), F.col("hash").alias("y"), F.lit(0).alias("d"), F.col("parts").alias("px"), F.col("parts").alias("py"))
@@ -113,22 +138,121 @@ def _merge(limit: int):
     return run
 
 
-def groups(hashes: DataFrame, threshold: int = 5, slack: int = 3, most: int | None = None) -> DataFrame:
+def _apart(x: np.ndarray, y: np.ndarray, limit: int) -> bool:
+    """Whether any hash of one cluster is beyond the limit from one of the other."""
+    step = max(1, (1 << 20) // len(y))
+    return any((np.bitwise_count(x[k : k + step, None] ^ y) > limit).any() for k in range(0, len(x), step))
+
+
+def _block(limit: int):
+    """Closest-first merging of the clusters of a block, as far as what is outside of it can't matter.
+
+    Rows (kind, p, q, d, a, b) are hashes q of clusters p (kind 0), links between two clusters of the block (1), and the first link
+    of a cluster to any outside (2).  Links are taken in order.  One to the outside stops its cluster, and one to a stopped
+    cluster stops the other: what happens to them hangs on other blocks.  Gives (0, p, into) for merged clusters and (1, p, q) for links
+    of clusters that can't merge.
+    """
+
+    def run(rows: pa.Table) -> pa.Table:
+        kind, p, q, d, a, b = (np.asarray(rows[c]) for c in ("kind", "p", "q", "d", "a", "b"))
+        held = np.flatnonzero(kind == 0)
+        held = held[np.argsort(p[held], kind="stable")]
+        names, first = np.unique(p[held], return_index=True)
+        inside = dict(zip(names.tolist(), np.split(q[held].view(np.uint64), first[1:]), strict=True))
+        own = {c: c for c in inside}
+        parts = {c: [c] for c in inside}
+        stopped: set[int] = set()
+        far: list[tuple[int, int]] = []
+        events = np.flatnonzero(kind > 0)
+        events = events[np.lexsort((b[events], a[events], d[events]))]
+        for what, u, v in zip(kind[events].tolist(), p[events].tolist(), q[events].tolist(), strict=True):
+            x = own[u]
+            if what == 2:
+                stopped.add(x)
+                continue
+            y = own[v]
+            if x == y:
+                continue
+            if x in stopped or y in stopped:
+                stopped |= {x, y}
+            elif _apart(inside[x], inside[y], limit):
+                far.append((u, v))
+            else:
+                if len(parts[x]) < len(parts[y]):
+                    x, y = y, x
+                inside[x] = np.concatenate([inside[x], inside.pop(y)])
+                parts[x] += parts[y]
+                own.update(dict.fromkeys(parts.pop(y), x))
+        moved = [(c, x) for c, x in own.items() if c != x]
+        both = np.array([*moved, *far], np.int64).reshape(-1, 2)
+        return pa.table({"kind": np.repeat(np.array([0, 1], np.int32), [len(moved), len(far)]), "p": both[:, 0], "q": both[:, 1]})
+
+    return run
+
+
+def _rounds(wide: DataFrame, limit: int) -> DataFrame:
+    """What `_merge` gives, (group_id, key), in rounds over blocks of clusters; `wide` is (a, b, ha, hb, d).
+
+    Every cluster points to the one that its closest link leads to.  Clusters joined by such pointers, BLOCK of them at most and the
+    closest ones first, are a block, which one task merges closest-first until a link to the outside comes up.  The closest link of all
+    and every mutually closest pair lie within a block and come first there, so each round settles these at least.  Links
+    of clusters that can't merge go; they never could later, as clusters only grow.  Every round is staged, and a component
+    is spread over as many tasks as it has blocks.  The last LARGE links are settled at once, a task for what they connect.
+    """
+    ends = wide.select(F.col("a").alias("key"), F.col("ha").alias("hash")).unionByName(wide.select(F.col("b").alias("key"), F.col("hb").alias("hash"))).distinct()
+    names = staged(placed(ends, [F.asc("key")], "n"), "names")  # numbers in the order of keys
+    number = lambda c: names.select(F.col("key").alias(c), F.col("n").alias(f"n{c}"))
+    pairs = wide.select("a", "b", "d").join(number("a"), "a").join(number("b"), "b").select(F.col("na").alias("x"), F.col("nb").alias("y"), F.struct("d", F.col("na").alias("a"), F.col("nb").alias("b")).alias("e"))
+    pairs, inside = staged(pairs, "pairs"), staged(names.select("n", "hash", F.col("n").alias("c")), "clusters")
+    while left_ := pairs.count():
+        last = left_ <= LARGE
+        ways = pairs.select(F.col("x").alias("c"), F.col("y").alias("o"), "e").unionByName(pairs.select(F.col("y").alias("c"), F.col("x").alias("o"), "e"))
+        best = staged(ways.groupBy("c").agg(F.min(F.struct("e", "o")).alias("m")).select("c", "m.e", "m.o"), "best")
+        roots = components(pairs.select(F.col("x").alias("a"), F.col("y").alias("b")) if last else best.select(F.col("c").alias("a"), F.col("o").alias("b")))
+        ranked = best.join(roots.withColumnRenamed("key", "c"), "c").withColumn("place", F.row_number().over(Window.partitionBy("root").orderBy("e", "c")))
+        blocks = staged(ranked.filter(F.col("place") <= (2 * LARGE if last else BLOCK)).select("c", F.col("root").alias("block")), "blocks")
+        of = lambda c, name: blocks.select(F.col("c").alias(c), F.col("block").alias(name))
+        wide_ways = ways.join(of("c", "block"), "c").join(of("o", "other"), "o", "left")
+        within = wide_ways.filter((F.col("block") == F.col("other")) & (F.col("c") < F.col("o"))).select("block", F.lit(1).alias("kind"), F.col("c").alias("p"), F.col("o").alias("q"), "e")
+        beyond = wide_ways.filter(~F.col("block").eqNullSafe(F.col("other"))).groupBy("block", "c").agg(F.min("e").alias("e")).select("block", F.lit(2).alias("kind"), F.col("c").alias("p"), F.lit(0).cast("long").alias("q"), "e")
+        rows = within.unionByName(beyond).select("block", "kind", "p", "q", F.col("e.d").cast("long").alias("d"), "e.a", "e.b")
+        zero = F.lit(0).cast("long")
+        rows = inside.join(blocks, "c").select("block", F.lit(0).alias("kind"), F.col("c").alias("p"), F.col("hash").alias("q"), zero.alias("d"), zero.alias("a"), zero.alias("b")).unionByName(rows)
+        done = staged(rows.groupBy("block").applyInArrow(_block(limit), "kind int, p long, q long"), "done")
+        into = done.filter("kind = 0")
+        to = lambda c: into.select(F.col("p").alias(c), F.col("q").alias(f"to_{c}"))
+        far = done.filter("kind = 1").select(F.col("p").alias("x"), F.col("q").alias("y"))
+        left = pairs.join(far, ["x", "y"], "left_anti").join(to("x"), "x", "left").join(to("y"), "y", "left").select(F.coalesce("to_x", "x").alias("u"), F.coalesce("to_y", "y").alias("v"), "e").filter("u != v")
+        after = staged(left.groupBy(F.least("u", "v").alias("x"), F.greatest("u", "v").alias("y")).agg(F.min("e").alias("e")), "pairs")
+        grown = staged(inside.join(to("c"), "c", "left").select("n", "hash", F.coalesce("to_c", "c").alias("c")), "clusters")
+        unstage(pairs, inside, best, roots, blocks, done)
+        pairs, inside = after, grown
+    many = inside.groupBy("c").agg(F.min("n").alias("first"), F.count(F.lit(1)).alias("k")).filter("k > 1")
+    named = inside.join(many, "c").select("n", "first").join(names.select("n", "key"), "n").select("key", F.col("first").alias("n"))
+    return named.join(names.select("n", F.col("key").alias("group_id")), "n").select("group_id", "key")
+
+
+def groups(hashes: DataFrame, threshold: int = 5, slack: int = 3) -> DataFrame:
     """(group_id, key): groups of near-duplicates, named after their smallest key.
 
     Keys of one hash always merge first, so the smallest stands for all of them until the groups are known.  Merges never
-    leave a connected component of the edges, so each is grouped by itself; a component's different hashes are one task's work.
-    `most` goes to `edges`, where it counts different hashes here.
+    leave a connected component of the links.  Components of LARGE links at most are each one task's work; larger ones are
+    merged in rounds over blocks of them, with the same result.
     """
     hashes = hashes.select("key", "hash").dropna().distinct()
     one = staged(hashes.groupBy("hash").agg(F.min("key").alias("key"), (F.min("key") < F.max("key")).alias("again")), "one")
-    found = staged(edges(one.select("key", "hash"), threshold, most), "edges")
+    found = staged(links(one.select("key", "hash"), threshold), "edges")
     code = F.xxhash64
     roots = components(found.select(code("a").alias("a"), code("b").alias("b")))
     wide = found.join(one.select(F.col("key").alias("a"), F.col("hash").alias("ha")), "a").join(one.select(F.col("key").alias("b"), F.col("hash").alias("hb")), "b")
-    wide = wide.withColumn("c", code("a")).join(roots.withColumnRenamed("key", "c"), "c")
+    wide = staged(wide.withColumn("c", code("a")).join(roots.withColumnRenamed("key", "c"), "c").select("root", "a", "b", "ha", "hb", "d"), "wide")
     kind = one.schema["key"].dataType.simpleString()
-    merged = wide.select("root", "a", "b", "ha", "hb", "d").groupBy("root").applyInPandas(_merge(threshold + slack), f"group_id {kind}, key {kind}")
+    large = staged(wide.groupBy("root").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > LARGE).select("root"), "large")
+    alone = large.isEmpty()
+    small = wide if alone else wide.join(large, "root", "left_anti")
+    merged = small.groupBy("root").applyInPandas(_merge(threshold + slack), f"group_id {kind}, key {kind}")
+    if not alone:
+        merged = merged.unionByName(_rounds(wide.join(large, "root", "left_semi").drop("root"), threshold + slack))
     named = one.join(merged, "key", "left").filter(F.col("group_id").isNotNull() | F.col("again")).select("hash", F.coalesce("group_id", "key").alias("group_id"))
     return hashes.join(named, "hash").select("group_id", "key")
 
