@@ -17,6 +17,7 @@ from collections import Counter
 from collections.abc import Callable, Iterator
 
 import duckdb
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,7 +27,7 @@ from .common import staged
 #: Terms are runs of A-Z, a-z and anything beyond ASCII; every other byte parts them, and A-Z become lower case.
 TERMS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 #: Rows of a shard (about), entries that a task counts before it hands them on, and DuckDB's memory for a shard.
-SHARD, ENTRIES, MEMORY = 1 << 15, 1 << 18, "600MB"
+SHARD, ENTRIES, MEMORY = 1 << 15, 1 << 17, "300MB"
 SCALE = 1_000_000_000
 
 
@@ -36,11 +37,14 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: dict[tuple, Counter] = {}
 
     def rows() -> pa.RecordBatch:
-        flat = [(*g, t, n, held[g][t]) for g, c in times.items() for t, n in c.items()]
-        out = list(zip(*flat, strict=True)) or [[]] * 5
+        sizes = [len(c) for c in times.values()]
+        group = [pa.array([g[k] for g in times], pa.string()).take(pa.array(np.repeat(np.arange(len(sizes)), sizes))) for k in (0, 1)]
+        terms = pa.array([t for c in times.values() for t in c], pa.binary()).cast(pa.string(), safe=False)
+        n = pa.array([n for c in times.values() for n in c.values()], pa.int64())
+        docs = pa.array([x for g, c in times.items() for x in map(held[g].__getitem__, c)], pa.int64())
         times.clear()
         held.clear()
-        return pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.string()), pa.array(out[2], pa.binary()).cast(pa.string(), safe=False), pa.array(out[3], pa.int64()), pa.array(out[4], pa.int64())], names=["lang", "source", "term", "n", "docs"])
+        return pa.RecordBatch.from_arrays([*group, terms, n, docs], names=["lang", "source", "term", "n", "docs"])
 
     for batch in batches:
         for text, lang, source in zip(*(batch.column(k) for k in range(3)), strict=True):
@@ -48,9 +52,9 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n, docs = times.setdefault(group, Counter()), held.setdefault(group, Counter())
             n[b""] += 0
             if text.is_valid:
-                own = Counter(text.as_buffer().to_pybytes().translate(TERMS).split())
-                n.update(own)
-                docs.update(own.keys())
+                words = text.as_buffer().to_pybytes().translate(TERMS).split()
+                n.update(words)
+                docs.update(set(words))
         if sum(map(len, times.values())) > ENTRIES:
             yield rows()
     yield rows()
@@ -163,6 +167,7 @@ def audit(docs: DataFrame, least_docs: int = 3, most: int = 200) -> DataFrame:
     rest = (F.col("v") - F.col("terms") - F.col("other_terms")) * _distance(p0, q0)
     rest = groups.select("lang", "source", "total", "terms", "v").join(other, "lang").filter("source != item").select("lang", "source", "item", rest.alias("value"))
     pairs = rest.unionByName(mine).unionByName(others).unionByName(both).groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
-    found = pairs.select("lang", "source", F.lit("pair").alias("part"), "item", "value").unionByName(parts.filter("part = 'term'"))
     place = F.row_number().over(Window.partitionBy("lang", "source", "part").orderBy(F.desc("value"), F.asc("item")))
-    return found.withColumn("rank", place).filter((F.col("part") == "pair") | (F.col("rank") <= most))
+    pairs = pairs.select("lang", "source", F.lit("pair").alias("part"), "item", "value").withColumn("rank", place)
+    # Of terms, every task hands on the first ones of a group only.
+    return pairs.unionByName(parts.filter("part = 'term'").withColumn("rank", place).filter(F.col("rank") <= most))
