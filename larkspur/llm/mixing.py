@@ -1,10 +1,12 @@
 """Mixing sources to target weights (native).
 
-Sizes are summed per source, targets follow by water-filling, and every document is emitted floor(rate) times plus
-one hash-seeded copy with the probability of the rate's fraction.  Draws are in hash order within the source and stop where the
-words drawn come nearest to what the target leaves, so that a few long texts can't carry a source away from it.
-Only tables of sources and of hash ranges of sources are ever aggregated; documents are never shuffled when the table
-of sources is small enough to broadcast.
+Sizes are summed per source, targets follow by water-filling, and every document is emitted floor(rate) times plus one
+hash-seeded copy whose probability is the rate's fraction.  The draws of a source are not independent, so that a few long texts don't
+carry it away from its target: its documents lie on a circle, each as long as its words, in the order of a hash; from a
+hash-seeded start on, an arc of the circle as long as the words wanted is taken, with the documents that begin there.  The start is
+uniform, so each document's chance is the arc's share of the circle, which is the fraction, and the words taken miss the
+target by less than one document.  Only tables of sources and of hash ranges of sources are ever aggregated; documents are never
+shuffled when the table of sources is small enough to broadcast.
 """
 
 from __future__ import annotations
@@ -16,8 +18,9 @@ from .common import fresh_name, portable_uniform, staged, word_count
 
 #: A table of sources of at most this many rows is broadcast; a larger one is joined by shuffle (AQE splits hot sources).
 BROADCAST_SOURCES = 50_000
-#: Ranges of the draw in which sizes are summed; only the documents of one range of each source are ever ordered.
-RANGES = 4096
+#: Ranges of the draw in which sizes are summed, 2 ** RANGES at least, so many that one has about MOST rows at most; only the documents of
+#: two ranges of each source are ever ordered.
+RANGES, MOST = 12, 1 << 16
 
 
 def source_targets(sizes: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap: float = 2.0) -> DataFrame:
@@ -52,33 +55,41 @@ def draws(sized: DataFrame, seed: int) -> DataFrame:
     return sized.withColumn("mix_draw", portable_uniform(seed, key))
 
 
-def rates(docs: DataFrame, weights, share: float, cap: float, seed: int) -> DataFrame:
-    """(source, source_size, target, times, mix_range, mix_last) of every source of `docs` (source, doc_id, text).
+def arcs(drawn: DataFrame, per: DataFrame, seed: int, ranges: int) -> DataFrame:
+    """`per` (source, source_size, target, times, want) with begin, end and wraps: the draws that the arc of a source has.
 
-    times: the copies of every document.  One more goes to those whose draw lies in a range before mix_range, or in it up to
-    mix_last: as many as bring the words drawn, in order of their draws, nearest to what the target leaves.
+    drawn: (source, mix_draw, size) of every document.  A document's place is the words of those with smaller draws; the arc goes from
+    the start to `want` words on, and beyond the circle's end from its beginning.  A place is turned into the smallest draw from there on
+    by the sums of ranges, and by the documents of the one range in which it lies.
     """
-    drawn_ = draws(docs.select("source", "doc_id", "text"), seed).withColumn("mix_range", F.floor(F.col("mix_draw") * RANGES).cast("int"))
-    ranges = staged(drawn_.groupBy("source", "mix_range").agg(F.sum(word_count(F.col("text"))).alias("size")), "ranges")
-    per = source_targets(ranges.select("source", "size"), weights, share, cap)
+    name = F.coalesce(F.concat(F.lit(":"), F.col("source").cast("string")), F.lit(""))
+    start = portable_uniform(seed, F.concat(F.lit("start"), name)) * F.col("source_size")
+    stop = start + F.col("want")
+    wraps = (F.col("want") > 0) & (stop >= F.col("source_size"))
+    per = staged(per.withColumns({"c0": start, "wraps": wraps, "c1": F.when(wraps, stop - F.col("source_size")).otherwise(stop)}), "circles")
+    sums = drawn.groupBy("source", F.floor(F.col("mix_draw") * ranges).cast("int").alias("range")).agg(F.sum("size").alias("size"))
+    before = F.sum("size").over(Window.partitionBy("source").orderBy("range")) - F.col("size")
+    sums = sums.select(F.col("source").alias("_source"), "range", before.alias("before"))
+    both = per.select("source", F.posexplode(F.array("c0", "c1")).alias("cut", "c"))
+    same = F.col("source").eqNullSafe(F.col("_source"))
+    within = both.join(sums, same & (F.col("before") < F.col("c"))).groupBy("source", "cut", "c").agg(F.max(F.struct("range", "before")).alias("r"))
+    within = staged(within.select(F.col("source").alias("_source"), "cut", "c", "r.range", "r.before"), "cuts")  # two rows for each source at most
+    rows = drawn.join(_small(within), same & (F.floor(F.col("mix_draw") * ranges) == F.col("range")))
+    steps = rows.groupBy("_source", "cut", "c", "range", "before", "mix_draw").agg(F.sum("size").alias("size"))
+    place = F.col("before") + F.sum("size").over(Window.partitionBy("_source", "cut").orderBy("mix_draw")) - F.col("size")
+    met = steps.withColumn("place", place).groupBy("_source", "cut").agg(F.min(F.when(F.col("place") >= F.col("c"), F.col("mix_draw"))).alias("draw"), ((F.max("range") + 1) / ranges).alias("beyond"))
+    at = met.groupBy(F.col("_source")).agg(*[F.max(F.when(F.col("cut") == k, F.coalesce("draw", "beyond"))).alias(n) for k, n in enumerate(("begin", "end"))])
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0)).alias(c)  # noqa: E731  a place of 0 is before every range
+    return per.join(at, same, "left").select("source", "source_size", "target", "times", "wraps", zero("begin"), zero("end"))
+
+
+def rates(drawn: DataFrame, weights, share: float, cap: float, seed: int) -> DataFrame:
+    """(source, source_size, target, times, wraps, begin, end) of every source: `times` copies of each document, one more of those on the arc."""
+    count = drawn.count()
+    per = source_targets(drawn.select("source", "size"), weights, share, cap)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    per = per.withColumn("times", F.floor(rate)).withColumn("want", F.col("target") - F.col("times") * F.col("source_size"))
-    per = staged(per, "sources")
-    known = per.select(F.col("source").alias("_source"), "want")
-    up_to = F.sum("size").over(Window.partitionBy("source").orderBy("mix_range"))
-    placed = ranges.withColumn("upto", up_to).join(known, F.col("source").eqNullSafe(F.col("_source")))
-    cut = placed.filter((F.col("upto") - F.col("size") < F.col("want")) & (F.col("want") <= F.col("upto")))
-    cut = staged(cut.select("_source", F.col("mix_range").alias("_range"), "want", (F.col("upto") - F.col("size")).alias("before")), "cuts")  # one row for each source at most
-    within = drawn_.join(_small(cut), F.col("source").eqNullSafe(F.col("_source")) & (F.col("mix_range") == F.col("_range")))
-    # Rows that share a draw are one step; a step is taken if its middle lies under the words wanted.
-    steps = within.groupBy("source", "_range", "before", "want", "mix_draw").agg(F.sum(word_count(F.col("text"))).alias("size"))
-    upto = F.col("before") + F.sum("size").over(Window.partitionBy("source").orderBy("mix_draw"))
-    last = steps.withColumn("upto", upto).filter(2 * F.col("upto") - F.col("size") < 2 * F.col("want")).groupBy("source").agg(F.max("mix_draw").alias("mix_last"))
-    cut = cut.join(last.withColumnRenamed("source", "_last"), F.col("_source").eqNullSafe(F.col("_last")), "left").select("_source", "_range", "mix_last")
-    per = per.join(cut, F.col("source").eqNullSafe(F.col("_source")), "left")
-    # Without a range to cut in, all are drawn or none: what is wanted is more than the source has (by rounding), or nothing.
-    range_ = F.coalesce("_range", F.when(F.col("want") > 0, F.lit(RANGES)).otherwise(F.lit(0)))
-    return per.select("source", "source_size", "target", F.col("times").cast("long").alias("times"), range_.alias("mix_range"), F.coalesce("mix_last", F.lit(-1.0)).alias("mix_last"))
+    per = per.withColumn("times", F.floor(rate).cast("long")).withColumn("want", F.col("target") - F.col("times") * F.col("source_size"))
+    return arcs(drawn, per, seed, 1 << max(RANGES, (count // MOST).bit_length()))
 
 
 def _small(sources: DataFrame) -> DataFrame:
@@ -87,24 +98,29 @@ def _small(sources: DataFrame) -> DataFrame:
 
 
 ADDED = ("size", "source_size", "target", "copies")
-INNER = ("mix_draw", "mix_range", "mix_last", "mix_source", "times")
+INNER = ("mix_draw", "mix_source", "times", "wraps", "begin", "end")
 
 
-def mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap: float = 2.0, seed: int = 42) -> DataFrame:
+def mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap: float = 2.0, seed: int = 42, keep: list[str] | None = None) -> DataFrame:
     """Every document with its size, its source's size and target, and `copies`, the times that the mix emits it.
 
-    Columns added to those of `docs`: size, source_size, target, copies (of these names, and of INNER, any that `docs` has
-    already is left out).  A null text has size 0; null is a source of its own, after all others.  A document of a source
+    Columns added to those of `docs` (all, or `keep`): size, source_size, target, copies (of these names, and of INNER, any that
+    `docs` has already is left out).  A null text has size 0; null is a source of its own, after all others.  A document of a source
     without words gets no copies.  Rows equal in doc_id and text share their draw, so reruns and repeated rows agree; other
-    rows without doc_id are drawn by their text.  No rows: no rows.
+    rows without doc_id are drawn by their text.  Texts are read once, and again where they are kept.  No rows: no rows.
     """
-    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in {*ADDED, *INNER}])
-    per = _small(staged(rates(docs, weights, share, cap, seed).withColumnRenamed("source", "mix_source"), "rates"))
-    joined = draws(docs, seed).withColumn("size", word_count(F.col("text"))).join(per, F.col("source").eqNullSafe(F.col("mix_source")), "left")
-    at = F.floor(F.col("mix_draw") * RANGES)
-    extra = (at < F.col("mix_range")) | ((at == F.col("mix_range")) & (F.col("mix_draw") <= F.col("mix_last")))
-    own = [F.col(f"`{c}`") for c in docs.columns]
-    return joined.select(*own, "size", "source_size", "target", (F.col("times") + extra.cast("int")).cast("long").alias("copies"))
+    own = [c for c in (keep or docs.columns) if c.lower() not in {*ADDED, *INNER}]
+    source = fresh_name(own, "mix_of")
+    rows = draws(docs.select(*[F.col(f"`{c}`") for c in {*own, "doc_id", "text", "source"}]), seed).withColumns({"size": word_count(F.col("text")), source: F.col("source")})
+    narrow = rows.select(source, "mix_draw", "size", *([] if "text" in own else [F.col(f"`{c}`") for c in own]))
+    narrow = staged(narrow, "draws")
+    if "text" not in own:
+        rows = narrow
+    per = _small(staged(rates(narrow.withColumnRenamed(source, "source").select("source", "mix_draw", "size"), weights, share, cap, seed).withColumnRenamed("source", "mix_source"), "rates"))
+    joined = rows.join(per, F.col(source).eqNullSafe(F.col("mix_source")), "left")
+    after, ahead = F.col("mix_draw") >= F.col("begin"), F.col("mix_draw") < F.col("end")
+    extra = F.when(F.col("wraps"), after | ahead).otherwise(after & ahead)
+    return joined.select(*[F.col(f"`{c}`") for c in own], "size", "source_size", "target", (F.col("times") + extra.cast("int")).cast("long").alias("copies"))
 
 
 def emit(mixed: DataFrame, columns: list[str]) -> DataFrame:

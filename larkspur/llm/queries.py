@@ -49,17 +49,19 @@ OP3_SQL = (
     "WITH "
     + TARGETS_SQL
     + r"""
-rated AS (SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS times,
-    sum(size) OVER (PARTITION BY sized.source ORDER BY u RANGE UNBOUNDED PRECEDING) AS upto, sum(size) OVER (PARTITION BY sized.source, u) AS step
-    FROM sized JOIN targets ON sized.source IS NOT DISTINCT FROM targets.source)
-SELECT doc_id, size, source_size, target, (size * (times + (2 * upto - step < 2 * (target - times * source_size))::INT))::BIGINT AS taken FROM rated
+circles AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS times,
+    ('0x' || substr(md5('42:start' || coalesce(':' || source, '')), 1, 13))::UBIGINT / 4503599627370496.0::DOUBLE * source_size AS c0 FROM targets),
+placed AS (SELECT doc_id, size, c.*, c0 + (target - times * source_size) AS stop,
+    sum(size) OVER (PARTITION BY sized.source ORDER BY u RANGE UNBOUNDED PRECEDING) - sum(size) OVER (PARTITION BY sized.source, u) AS place
+    FROM sized JOIN circles c ON sized.source IS NOT DISTINCT FROM c.source)
+SELECT doc_id, size, source_size, target, (size * (times + CASE WHEN stop >= source_size AND target > times * source_size THEN place >= c0 OR place < stop - source_size ELSE place >= c0 AND place < stop END::INT))::BIGINT AS taken FROM placed
 """
 )
 
 
 @query("op3_mixing", OP3_SQL)
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), keep=["doc_id"])
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
