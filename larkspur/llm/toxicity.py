@@ -17,8 +17,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import staged
+from .common import carried, staged
 
 #: Most confirmed toxic and unlabelled texts that a fit takes, one of each doc_id (chosen by a hash of it; about, not exactly, so
 #: many), and the most bytes of text of each kind: texts are taken in the order of that hash as far as they fit.
@@ -30,6 +31,7 @@ BEGINNINGS = range(4, 8)
 CACHED_WORDS = 400_000
 #: The prior where no labelled row gives one, and the bounds it is held within.
 PRIOR, PRIOR_BOUNDS = 0.1, (0.005, 0.5)
+RIDGE = 0.35
 
 
 def word_features(word: str) -> list[int]:
@@ -112,18 +114,6 @@ def nnpu_fit(p: Sparse, u: Sparse, size: int, prior: float, steps: int = 400, ra
     return w, float(b), risks
 
 
-def excess(scores: np.ndarray, share: float) -> float:
-    """What to take from the scores of unlabelled texts so that no larger share of them is above 0; 0 if it isn't.
-
-    Equal scores stay together, on the upper side.
-    """
-    k = int(share * len(scores))
-    if not k or k >= len(scores):
-        return 0.0
-    below = scores[scores < np.sort(scores)[-k]]
-    return float(max(0.0, below.max(initial=-1.0) + 1e-9))
-
-
 @dataclass
 class Model:
     """Weights of the selected features, and the intercept."""
@@ -179,8 +169,8 @@ def fitting(rows: list, most: int) -> list:
     return out
 
 
-def sample(docs: DataFrame, labels: DataFrame, most_positive: int, most_unlabelled: int, most_bytes: int) -> tuple[DataFrame, float, float]:
-    """(y, text) of what a fit learns from, the prior, and that with its standard error; see `fit`."""
+def sample(docs: DataFrame, labels: DataFrame, most_positive: int, most_unlabelled: int, most_bytes: int) -> tuple[DataFrame, float]:
+    """(y, text) of what a fit learns from, and the prior; see `fit`."""
     labels = labels.select("doc_id", "toxic").dropna().groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     labels = labels.filter(~held_out(labels))
     told = labels.agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("k")).first()
@@ -194,11 +184,7 @@ def sample(docs: DataFrame, labels: DataFrame, most_positive: int, most_unlabell
     # Texts are drawn by id, so rows that repeat one count once.
     some = docs.select("doc_id").dropna()
     some = some.filter(~held_out(some)).distinct()
-    count = some.count()
-    if some.join(labels, "doc_id", "left_anti").count() < min(most_unlabelled, told.n):
-        few = some.filter(drawn(some) < share(most_unlabelled, count))
-    else:
-        few = some.filter(drawn(some) < share(most_unlabelled, max(1, count - told.n))).join(labels, "doc_id", "left_anti")
+    few = some.filter(drawn(some) < share(most_unlabelled, some.count()))
     # About most_positive + most_unlabelled different ids, so they can be broadcast.
     chosen = ids.unionByName(few.select("doc_id", F.lit(0).alias("y"))).select(F.col("doc_id").alias("_id"), "y")
     picked = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).groupBy("doc_id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
@@ -209,20 +195,18 @@ def sample(docs: DataFrame, labels: DataFrame, most_positive: int, most_unlabell
         spark, kind = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
         own = spark.createDataFrame([(r.doc_id, r.y) for r in taken], f"doc_id {kind}, y int")
         picked = picked.join(F.broadcast(own), ["doc_id", "y"], "left_semi")
-    return picked.select("y", "text"), prior, prior + float(np.sqrt(prior * (1 - prior) / max(1, told.n)))
+    return picked.select("y", "text"), prior
 
 
 def fit(docs: DataFrame, labels: DataFrame, most_positive: int = MOST_POSITIVE, most_unlabelled: int = MOST_UNLABELLED, most_bytes: int = MOST_BYTES) -> Model:
-    """A model from rows that are not held out: toxic ones as positives, those without label as unlabelled text.
-
-    Only whether a row is toxic, and the share of toxic among labelled rows (the prior), is learned from labels.  Null
-    labels count as none; of several labels for an id the largest counts, and of several texts of an id one.  Where rows
-    without label are fewer than `most_unlabelled` and than labelled ones, all rows, whatever their label, are the unlabelled
-    text.  The intercept is lowered where more of the unlabelled sample would reach 0.5 than the prior, with
-    its standard error, lets expect.  Without any
-    positive or unlabelled text the model has no weights and scores every text with the prior.
+    """A model from rows that are not held out: toxic ones as positives, a sample of all of them, whatever their label, as unlabelled text.
+
+    The unlabelled text is what the prior speaks of: of all rows, the share of toxic among labelled ones is toxic.  Only that
+    share and whether a row is toxic are learned from labels.  Null labels count as none; of several labels for an id the
+    largest counts, and of several texts of an id one.  The ridge is RIDGE over the number of positives, as that of a prior
+    on weights.  Without any positive or unlabelled text the model has no weights and scores every text with the prior.
     """
-    picked, prior, share = sample(docs, labels, most_positive, most_unlabelled, most_bytes)
+    picked, prior = sample(docs, labels, most_positive, most_unlabelled, most_bytes)
     got = picked.mapInArrow(_featured, "y int, ids array<int>").toArrow()
     y = np.asarray(got["y"]).astype(int)
     column = got["ids"].combine_chunks() if got.num_rows else pa.array([], pa.list_(pa.int32()))
@@ -236,8 +220,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_positive: int = MOST_POSITIVE,
             rows.append(found[found >= 0])
         order = sorted(range(len(rows)), key=lambda i: (len(rows[i]), rows[i].tobytes()))  # the order of rows mustn't matter
         positive, unlabelled = (Sparse.of([rows[i] for i in order if y[i] == k]) for k in (1, 0))
-        w, b, _ = nnpu_fit(positive, unlabelled, len(kept), prior)
-        b -= excess(unlabelled.times(w) + b, share)
+        w, b, _ = nnpu_fit(positive, unlabelled, len(kept), prior, ridge=RIDGE / positive.n)
         model = Model(dict(zip(kept.tolist(), w.tolist(), strict=True)), b, prior)
     del got, column, ids
     pa.default_memory_pool().release_unused()
@@ -248,7 +231,7 @@ def _scored(model, own: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = model.value.scorer()
         for batch in batches:
-            got = pa.array([score(t) for t in batch.column("text").to_pylist()], pa.float64())
+            got = pa.array([score(t) for t in batch.column(own).to_pylist()], pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns[:own], got], names=[*batch.schema.names[:own], "score"])
 
     return run
@@ -261,7 +244,5 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataF
     score is replaced.  No rows: no rows.
     """
     own = [c for c in (keep or docs.columns) if c.lower() != "score"]
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in own), "score double"])
     sent = docs.sparkSession.sparkContext.broadcast(model)  # a few thousand weights
-    carried = own + [c for c in ("text",) if c not in own]
-    return docs.select(*[F.col(f"`{c}`") for c in carried]).mapInArrow(_scored(sent, len(own)), schema)
+    return carried(docs, own, [F.col("text")], _scored(sent, len(own)), [T.StructField("score", T.DoubleType())])
