@@ -11,8 +11,10 @@ kind `context`.  All of these are tables that Spark joins; only bitmaps of fixed
 from __future__ import annotations
 
 import hashlib
+import logging
 import re
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -22,11 +24,13 @@ from pyspark.sql import functions as F
 from .common import buffers, sliced, staged
 from .wording import Spelled, bitmap, in_bitmap, mix
 
+log = logging.getLogger(__name__)
+
 KINDS = ("email", "ip", "card", "phone")
 #: A pattern needs this many different confident instances, and this confidence, to extract.
 SUPPORT, CONFIDENCE = 5, 0.6
-#: Beliefs and confidences count as settled below STILL; both loops end by themselves, and after ROUNDS at the latest.
-STILL, ROUNDS = 1e-3, 20
+#: Summed beliefs count as settled below this change.
+STILL = 1e-3
 #: Bitmaps of patterns and instances have 2 ** BITS bits.
 BITS = 24
 
@@ -212,12 +216,13 @@ def scored(edges: DataFrame, totals: DataFrame, support: int, confidence: float)
 
     A pattern's confidence is the summed belief in its mentions over all occurrences; it is trusted if it reaches
     `confidence` with `support` different instances believed by half.  An instance's belief is 1 for a seed, else one minus
-    the product of its trusted patterns' doubts.  Both are computed in turns until the sum of beliefs changes no more.
+    the product of its trusted patterns' doubts.  Both are computed in turns until the same patterns are trusted and the sum of
+    beliefs changes no more.  From the seeds on, beliefs and trusted patterns only grow, so that comes about.
     """
     seeds = edges.groupBy("instance").agg(F.max(F.col("seed").cast("double")).alias("seeded"))
     seeds = staged(seeds, "seeds")
     belief, before = seeds.withColumnRenamed("seeded", "belief"), None
-    for _ in range(ROUNDS):
+    while True:
         sure = F.countDistinct(F.when(F.col("belief") >= 0.5, F.col("instance")))
         got = edges.join(belief, "instance").groupBy("pattern").agg(F.sum(F.col("n") * F.col("belief")).alias("sum"), sure.alias("sure"))
         trusted = got.join(totals, "pattern").select("pattern", F.least(F.lit(1.0), F.col("sum") / F.col("total")).alias("confidence"), "sure")
@@ -225,20 +230,22 @@ def scored(edges: DataFrame, totals: DataFrame, support: int, confidence: float)
         doubt = F.exp(F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.col("confidence")))))
         via = edges.select("pattern", "instance").distinct().join(trusted, "pattern").groupBy("instance").agg((1 - doubt).alias("via"))
         belief = staged(seeds.join(via, "instance", "left").select("instance", F.greatest("seeded", F.coalesce("via", F.lit(0.0))).alias("belief")), "belief")
-        now = belief.agg(F.sum("belief")).first()[0] or 0.0
-        if before is not None and abs(now - before) <= STILL:
-            break
+        now = trusted.count(), belief.agg(F.sum("belief")).first()[0] or 0.0
+        if before is not None and now[0] == before[0] and now[1] - before[1] <= STILL:
+            return trusted, belief
         before = now
-    return trusted, belief
 
 
 def trusted_patterns(docs: DataFrame, support: int = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
-    """(pattern, said, confidence) of the patterns that may extract, from all texts of `docs`; see `scored`."""
+    """(pattern, said, confidence) of the patterns that may extract, from all texts of `docs`; see `scored`.
+
+    Rounds go on until one finds no instance that the ones before have not; how many there were is logged.
+    """
     texts = docs.select("text").filter(F.octet_length("text") > 0)
     send = docs.sparkSession.sparkContext.broadcast
     of_known = texts.mapInArrow(_edges(None, None), EDGES)  # the seeds' patterns
     known = patterns = None
-    for _ in range(ROUNDS):
+    for turn in count(1):
         if known is not None:
             found = texts.mapInArrow(_edges(None, send(bitmap(known.withColumnRenamed("instance", "h"), BITS))), EDGES)
             of_known = found.join(known, "instance", "left_semi")
@@ -263,6 +270,7 @@ def trusted_patterns(docs: DataFrame, support: int = SUPPORT, confidence: float
         if known is None and edges.filter("not seed").select("instance").distinct().join(now, "instance", "left_semi").isEmpty():
             break
         known = now
+    log.info("contexts settled after %d rounds", turn)
     return trusted.join(patterns.select("pattern", "said"), "pattern").select("pattern", "said", "confidence")
 
 
