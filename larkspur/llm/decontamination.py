@@ -14,8 +14,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import fresh_name, sliced, staged
+from .common import carried, fresh_name, sliced, staged
 from .wording import Spelled, bitmap, in_bitmap, spelled_column, words
 
 ADDED = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
@@ -130,26 +131,26 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, shing
     A document word is hit if it lies in an occurrence of a window of `window` consecutive item words (of the whole item,
     if that is shorter).  Null and empty texts have no words and no hits; items without words match nothing; items
     without id mark words but are not listed; items that repeat an id count once.  keep: columns of `docs` to return
-    (all); those named like an added one, or _id, _t, _spans or _items, are replaced.  An empty benchmark hits nothing.
+    (all); those named like an added one are replaced.  An empty benchmark hits nothing.
     """
     if not 0 < shingle <= window:
         raise ValueError("a shingle has 1 to `window` words")
     found, of = hits(docs, benchmark, window, shingle)
-    key = [F.col("id").alias("_id"), F.col("t").alias("_t")]
-    spans = found.groupBy(*key).agg(F.array_sort(F.collect_set(F.struct("start", (F.col("start") + F.col("n")).alias("end")))).alias("_spans"))
-    named = found.select("id", "t", "w").distinct().join(of.filter("item_id is not null"), "w").groupBy(*key).agg(F.array_sort(F.collect_set("item_id")).alias("_items"))
-    same = F.col("s._id").eqNullSafe(F.col("i._id")) & (F.col("s._t") == F.col("i._t"))
-    per = spans.alias("s").join(named.alias("i"), same, "left").select("s._id", "s._t", "_spans", "_items")
-    own = [c for c in (keep or docs.columns) if c.lower() not in {*ADDED, "_id", "_t", "_spans", "_items"}]
+    own = [c for c in (keep or docs.columns) if c.lower() not in ADDED]
+    id_, t, spans, items, own_id, own_t = (fresh_name(docs.columns, c) for c in ("hit_id", "hit_t", "hit_spans", "hit_items", "own_id", "own_t"))
+    key = [F.col("id").alias(id_), F.col("t").alias(t)]
+    per = found.groupBy(*key).agg(F.array_sort(F.collect_set(F.struct("start", (F.col("start") + F.col("n")).alias("end")))).alias(spans))
+    named = found.select("id", "t", "w").distinct().join(of.filter("item_id is not null"), "w").groupBy(*key).agg(F.array_sort(F.collect_set("item_id")).alias(items))
+    same = F.col(f"s.{id_}").eqNullSafe(F.col(f"i.{id_}")) & (F.col(f"s.{t}") == F.col(f"i.{t}"))
+    per = per.alias("s").join(named.alias("i"), same, "left").select(f"s.{id_}", f"s.{t}", spans, items)
     # Words in the union of a text's spans, which come in order.
     step = lambda acc, s: F.struct((acc["n"] + F.greatest(F.lit(0), s["end"] - F.greatest(acc["end"], s["start"]))).alias("n"), F.greatest(acc["end"], s["end"]).alias("end"))
-    union = F.aggregate("_spans", F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end")), step)["n"]
-    carried = docs.select(*[F.col(f"`{c}`") for c in own], F.col("doc_id").alias("_own_id"), F.xxhash64("text").alias("_own_t"), F.col("text").alias("_text"))
-    fields = [*(f"`{f.name}` {f.dataType.simpleString()}" for f in carried.schema[:-1]), "n_words long"]
-    rows = carried.mapInArrow(_word_counts, ", ".join(fields))
-    out = rows.join(per, F.col("_own_id").eqNullSafe(F.col("_id")) & (F.col("_own_t") == F.col("_t")), "left")
+    union = F.aggregate(spans, F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end")), step)["n"]
+    keyed = docs.withColumns({own_id: F.col("doc_id"), own_t: F.xxhash64("text")})
+    rows = carried(keyed, [*own, own_id, own_t], [F.col("text")], _word_counts, [T.StructField("n_words", T.LongType())])
+    out = rows.join(per, F.col(own_id).eqNullSafe(F.col(id_)) & (F.col(own_t) == F.col(t)), "left")
     n_hit = F.coalesce(union, F.lit(0)).cast("long")
-    names = F.coalesce("_items", F.array().cast("array<string>"))
+    names = F.coalesce(items, F.array().cast("array<string>"))
     return out.select(*[F.col(f"`{c}`") for c in own], "n_words", n_hit.alias("n_hit"), F.size(names).cast("long").alias("n_items"), F.sha2(F.array_join(names, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 

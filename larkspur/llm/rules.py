@@ -13,6 +13,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .common import carried
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
@@ -84,8 +87,7 @@ def ledger(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     A null, empty or blank text measures zero everywhere and fails only the rule on few words.  Repeated rows stay
     repeated; columns other than keys and text are ignored.  No rows: no rows.
     """
-    schema = ", ".join([*(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keys), *(f"{m} long" for m in MEASURES)])
-    got = docs.select(*keys, "text").mapInArrow(_measured, schema)
+    got = carried(docs, list(keys), [F.col("text")], _measured, [T.StructField(m, T.LongType()) for m in MEASURES])
     bits = [F.when(F.expr(r.fails), F.lit(1 << r.bit)).otherwise(F.lit(0)).cast("long") for r in RULES]
     out = bits[0]
     for b in bits[1:]:

@@ -167,10 +167,11 @@ def near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4, seed: in
     """(doc_id, fingerprint, component_id) of every row of `docs` (doc_id, text).
 
     component_id is the smallest doc_id reachable over links of at most `distance` bits.  Texts without words have
-    fingerprint 0 and are linked like any other.  Repeated rows stay repeated; a null doc_id is never a component_id
+    fingerprint 0 and are linked like any other.  doc_id may be of any type that has an order.  Repeated rows stay repeated; a null doc_id is never a component_id
     unless its component has no other.  Other columns are ignored.  No rows: no rows.
     """
-    rows = staged(docs.select("doc_id", "text").mapInArrow(_fingerprints(words, seed), "doc_id long, fp long"), "prints")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = staged(docs.select("doc_id", "text").mapInArrow(_fingerprints(words, seed), f"doc_id {kind}, fp long"), "prints")
     unique = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))
     unique = staged(unique, "unique")
     roots = components(links(unique.select("fp"), distance)).select(F.col("key").alias("fp"), "root")

@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from larkspur.llm import divergence, line_dedup, periodic, queries
+from larkspur.llm import decontamination, divergence, licenses, line_dedup, mixing, periodic, pii, queries, rules, secrets, sharding, simhash, suffix_dedup, toxicity
 
 SPACE = " \t\n\x0b\x0c\r"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -224,3 +224,34 @@ def test_the_whole_table_of_lines(spark):
         got = line_dedup.drop_repeated(df, most_sent=most_sent)
         assert Counter((r.doc_id, r.n_lines, r.n_dropped, r.kept) for r in got.collect()) == want
     assert line_dedup.drop_repeated(df).agg(F.sum("n_dropped")).first()[0] > 100
+
+
+#: Every operator over a table of hostile columns: what it gives, one row for each of the table's.
+OPERATORS = {
+    "secrets": lambda d, b: secrets.find_secrets(d),
+    "toxicity": lambda d, b: toxicity.score(d, toxicity.Model({}, 0.0, 0.1)),
+    "mixing": lambda d, b: mixing.mix(d),
+    "sharding": lambda d, b: sharding.shard(d),
+    "rules": lambda d, b: rules.ledger(d, ("doc_id", "n.words", "_text")),
+    "decontamination": lambda d, b: decontamination.decontaminate(d, b),
+    "clean": lambda d, b: decontamination.clean(d, b.limit(0)),
+    "licenses": lambda d, b: licenses.scan(d),
+    "suffixes": lambda d, b: suffix_dedup.remove_repeats(d),
+    "pii": lambda d, b: pii.find_pii(d),
+    "simhash": lambda d, b: simhash.near_duplicates(d),
+    "lines": lambda d, b: line_dedup.drop_repeated(d),
+    "runs": lambda d, b: periodic.find_runs(d),
+}
+
+
+@pytest.mark.parametrize("name", sorted(OPERATORS))
+def test_hostile_columns(spark, docs, name):
+    """Text ids, and columns with dots, with names that operators use, and with names that they add."""
+    columns = ["n.words", "_text", "_id", "_t", "id", "t", "h", "k", "c0", "r0", "Runs", "N_LINES", "own_id", "hit_id", "source_size", "mix_source", "found", "shard", "copies"]
+    wide = docs.select(F.concat(F.lit("d"), "doc_id").alias("doc_id"), "text", "lang", "source", *[F.lit(f"x{k}").alias(c) for k, c in enumerate(columns)])
+    bench = spark.createDataFrame([("i1", "line one here line one here the rest of it"), (None, None)], "item_id string, text string")
+    got = OPERATORS[name](wide, bench)
+    assert Counter(r[got.columns.index("doc_id")] for r in got.collect()) == Counter(r.doc_id for r in wide.select("doc_id").collect())
+    if name in ("toxicity", "decontamination", "clean", "lines", "runs"):
+        kept = got.columns
+        assert "n.words" in kept and "_text" in kept and "_id" in kept and got.select("`n.words`", "_id").distinct().collect() == [("x0", "x2")]

@@ -122,11 +122,12 @@ def test_nnpu_finds_the_positives_hidden_among_unlabelled():
     assert min(risks) > -0.05
 
 
-def test_no_more_are_flagged_than_the_prior_says():
-    scores = np.array([3.0, 2.0, 1.0, 1.0, 0.5, -1.0, -2.0, -2.0, -3.0, -4.0])
-    for share, left in ((0.1, 1), (0.3, 4), (0.5, 5), (0.9, 5), (0.0, 5)):
-        assert (scores - toxicity.excess(scores, share) >= 0).sum() == left  # of equal scores all
-    assert toxicity.excess(np.empty(0), 0.1) == 0 and toxicity.excess(-scores[:5], 0.2) == 0 and toxicity.excess(np.ones(9), 0.3) == 0
+def test_toxicity_precision_and_recall(spark):
+    """Held-out rows of the table of 10,000 documents."""
+    sf = "/root/testdata/sf0.1"
+    rows = queries.op2_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").filter("held_out").collect()
+    hit, flagged = sum(r.predicted and r.toxic for r in rows), sum(r.predicted for r in rows)
+    assert hit >= 0.9 * sum(r.toxic for r in rows) and hit >= 0.9 * flagged
 
 
 def test_toxicity_ranks_held_out_rows(spark):
@@ -165,20 +166,20 @@ def test_toxicity_sample_is_bounded(spark, monkeypatch):
     rows = [(7, "same text again")] * 300 + [(7, "another text")] * 2 + [(i, f"text {i} " * (1 + 200 * (i % 9 == 0))) for i in range(20, 400)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in (7, *range(20, 100))], "doc_id long, toxic int")
-    picked, prior, share = toxicity.sample(docs, labels, 3000, 9000, 1 << 30)
+    picked, prior = toxicity.sample(docs, labels, 3000, 9000, 1 << 30)
     got = picked.collect()
     texts = dict(rows)
     learn = {i for i in texts if zlib.crc32(str(i).encode()) % 5}
     toxic = {i for i in learn if i % 3 == 0 and 20 <= i < 100}
     assert Counter(r.text for r in got if r.y) == Counter(texts[i] for i in toxic)
-    assert Counter(r.text for r in got if not r.y) == Counter(texts[i] for i in learn if i >= 100)  # the 7 has a label
-    assert prior == pytest.approx(len(toxic) / len({i for i in learn if i < 100})) and prior < share < prior + 0.2
-    few, _, _ = toxicity.sample(docs, labels, 3000, 9000, 6000)
+    assert Counter(r.text for r in got if not r.y) == Counter(texts[i] for i in learn)  # whatever their label
+    assert prior == pytest.approx(len(toxic) / len({i for i in learn if i < 100}))
+    few, _ = toxicity.sample(docs, labels, 3000, 9000, 6000)
     sizes = defaultdict(int)
     for r in few.collect():
         sizes[r.y] += len(r.text)
     assert 0 < sizes[0] <= 6000 and 0 < sizes[1] <= 6000
-    some, _, _ = toxicity.sample(docs, labels, 10, 20, 1 << 30)
+    some, _ = toxicity.sample(docs, labels, 10, 20, 1 << 30)
     assert 3 <= some.filter("y = 1").count() <= 25 and 5 <= some.filter("y = 0").count() <= 45
 
 
@@ -256,31 +257,58 @@ def test_mixing(some):
     assert emitted.columns == some.columns and emitted.count() == sum(r.copies for r in got)
 
 
-def plain_copies(rows):
-    """rows: (doc_id, text, source); copies of each by draws in order of a hash, up to the step whose middle reaches what is wanted."""
+def plain_copies(rows, seed=42):
+    """rows: (doc_id, text, source); copies of each: texts lie on a circle in order of a hash, and one more copy is of those that begin on an arc."""
     size = lambda t: len(WS.findall(t or ""))
     md5 = lambda t: hashlib.md5(t.encode()).hexdigest()
     sizes, steps = defaultdict(int), defaultdict(lambda: defaultdict(int))
-    draw = lambda r: int(md5(f"42:{'' if r[0] is None else r[0]}:{md5(r[1] or '')}")[:13], 16)
+    draw = lambda r: int(md5(f"{seed}:{'' if r[0] is None else r[0]}:{md5(r[1] or '')}")[:13], 16)
     for r in rows:
         sizes[r[2]] += size(r[1])
         steps[r[2]][draw(r)] += size(r[1])
     targets, more = plain_targets(sizes), defaultdict(set)
     times = {s: int(targets[s] // sizes[s]) if sizes[s] else 0 for s in sizes}
-    for s in sizes:
-        before = 0
+    for s, whole in sizes.items():
+        start = int(md5(f"{seed}:start" + (f":{s}" if s is not None else ""))[:13], 16) / 16**13 * whole
+        want, place = targets[s] - times[s] * whole, 0
         for u, n in sorted(steps[s].items()):
-            if before + n / 2 < targets[s] - times[s] * sizes[s]:
+            if start <= place < start + want or place < start + want - whole:
                 more[s].add(u)
-            before += n
+            place += n
     return Counter((r[0], r[1], r[2], times[r[2]] + (draw(r) in more[r[2]])) for r in rows)
 
 
-@pytest.mark.parametrize("ranges", [1, 7, 4096])
+@pytest.mark.parametrize("ranges", [0, 3, 12])
 def test_mixing_draws(some, monkeypatch, ranges):
     monkeypatch.setattr(mixing, "RANGES", ranges)
+    monkeypatch.setattr(mixing, "MOST", 1 << 12)
     rows = [(r.doc_id, r.text, r.source) for r in some.collect()]
     assert Counter((r.doc_id, r.text, r.source, r.copies) for r in mixing.mix(some).collect()) == plain_copies(rows)
+    narrow = mixing.mix(some, keep=["doc_id", "n_chars"])
+    assert narrow.columns == ["doc_id", "n_chars", "size", "source_size", "target", "copies"]
+    assert Counter((r.doc_id, r.copies) for r in narrow.collect()) == Counter((i, n) for (i, _, _, n), k in plain_copies(rows).items() for _ in range(k))
+
+
+def test_a_copys_chance_is_the_rates_fraction(spark):
+    """Over many sources of one document, and over seeds for sources of several: copies average the rate."""
+    alone = [(i, "w " * (1 + i % 90), f"one{i:04d}") for i in range(3000)]
+    rows = mixing.mix(spark.createDataFrame(alone, "doc_id long, text string, source string")).collect()
+    by = defaultdict(list)
+    for r in rows:
+        rate = r.target / r.source_size
+        by[round(rate * 5)].append(r.copies - rate)
+    assert all(abs(np.mean(v)) < 4 * 0.5 / len(v) ** 0.5 for v in by.values() if len(v) > 50) and sum(len(v) > 50 for v in by.values()) > 1
+    assert {r.copies for r in rows} >= {0, 1} or {r.copies for r in rows} >= {1, 2}
+    some = [(i, "w " * (1 + i * i % 70 + 500 * (i % 40 == 3)), f"s{i // 20:02d}") for i in range(800)]
+    df = spark.createDataFrame(some, "doc_id long, text string, source string")
+    copies, rate = defaultdict(list), {}
+    for seed in range(8):
+        for r in mixing.mix(df, seed=seed, keep=["doc_id"]).collect():
+            copies[r.doc_id].append(r.copies)
+            rate[r.doc_id] = r.target / r.source_size
+    off = np.array([np.mean(copies[i]) - rate[i] for i in sorted(copies)])
+    large = np.array([i % 40 == 3 for i in sorted(copies)])
+    assert abs(off.mean()) < 0.03 and abs(off[large].mean()) < 0.25 and 0.05 < off.std() < 0.25
 
 
 @pytest.mark.parametrize("known", [True, False])
@@ -289,7 +317,7 @@ def test_mixing_comes_near_targets(spark, known):
     taken = defaultdict(int)
     for r in (rows := mixing.mix(df).collect()):
         taken[r.source] += r.size * r.copies
-    assert all(abs(taken[r.source] - r.target) <= 1600 for r in rows)  # half of the longest text
+    assert all(abs(taken[r.source] - r.target) <= 3100 for r in rows)  # the longest text
 
 
 def test_mixing_of_nothing(empty, spark):
@@ -661,6 +689,26 @@ def test_pii_finds_what_was_held_back(spark):
     assert hit >= 0.9 * len(hidden) and sum(hidden.get(i) == s for i, s in given) >= 0.9 * len(given)
 
 
+def test_pii_chain_of_contexts(spark, caplog):
+    """Each context is told only by instances that the one before has: 25 steps from the seeds, none left out."""
+    r = random.Random(6)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(8))
+    name = lambda k, j: f"{word()}@{word()}.example.org" if k == 0 else f"{k + 100}-{j}7{k + 200}"
+    steps = [[name(k, j) for j in range(5)] for k in range(26)]
+    letters = lambda k: "xyzw"[k % 4] + "mnop"[k // 4 % 4] + "qrst"[k // 16]
+    rows = []
+    for k in range(25):
+        for m in steps[k] * 2 + steps[k + 1]:
+            rows.append((len(rows), m, f"{word()} {word()} con{letters(k)} text{letters(k)} {m} {word()} {word()}"))
+    df = spark.createDataFrame(rows, "doc_id long, m string, text string").coalesce(2)
+    with caplog.at_level("INFO"):
+        got = {x.doc_id: x.found for x in pii.find_pii(df).collect()}
+    for i, m, text in rows:
+        start = text.index(m)
+        assert ("email" if "@" in m else "context", start, start + len(m)) in [tuple(x) for x in got[i]]
+    assert int(re.search(r"settled after (\d+) rounds", caplog.text)[1]) > 20
+
+
 def test_pii_graph_scores_like_plain_ones(spark):
     r = random.Random(4)
     edges = [(p, x, x < 6, r.randint(1, 4)) for p in range(8) for x in range(20) if r.random() < (0.6 if x < 9 else 0.2)]
