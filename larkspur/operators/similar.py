@@ -118,32 +118,39 @@ def edges(hashes: DataFrame, threshold: int = 5) -> DataFrame:
     return out.select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"), "d").distinct()
 
 
+def _apart(x: np.ndarray, y: np.ndarray, limit: int) -> bool:
+    """Whether any hash of one cluster is beyond the limit from one of the other."""
+    step = max(1, (1 << 20) // len(y))
+    return any((np.bitwise_count(x[k : k + step, None] ^ y) > limit).any() for k in range(0, len(x), step))
+
+
 def _merge(limit: int):
     """Closest pairs first; two clusters join only if all their cross pairs are within the limit."""
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         value = {**dict(zip(part.a, part.ha, strict=True)), **dict(zip(part.b, part.hb, strict=True))}
-        value = {k: int(v) & (1 << 64) - 1 for k, v in value.items()}
         own = {k: k for k in value}
-        inside = {k: [k] for k in value}
+        keys = {k: [k] for k in value}
+        inside = {k: np.array([v], np.int64).view(np.uint64) for k, v in value.items()}
+        far = set()  # of clusters that can't join, as they only grow
         for row in part.sort_values(["d", "a", "b"]).itertuples():
             x, y = own[row.a], own[row.b]
-            if x == y or any((value[p] ^ value[q]).bit_count() > limit for p in inside[x] for q in inside[y]):
+            if x == y or (x, y) in far:
+                continue
+            if _apart(inside[x], inside[y], limit):
+                far |= {(x, y), (y, x)}
                 continue
-            inside[x] += inside.pop(y)
-            own.update(dict.fromkeys(inside[x], x))
-        rows = [(min(m), k) for m in inside.values() if len(m) > 1 for k in m]
+            if len(keys[x]) < len(keys[y]):
+                x, y = y, x
+            inside[x] = np.concatenate([inside[x], inside.pop(y)])
+            keys[x] += keys[y]
+            own.update(dict.fromkeys(keys.pop(y), x))
+        rows = [(min(m), k) for m in keys.values() if len(m) > 1 for k in m]
         return pd.DataFrame(rows, columns=["group_id", "key"])
 
     return run
 
 
-def _apart(x: np.ndarray, y: np.ndarray, limit: int) -> bool:
-    """Whether any hash of one cluster is beyond the limit from one of the other."""
-    step = max(1, (1 << 20) // len(y))
-    return any((np.bitwise_count(x[k : k + step, None] ^ y) > limit).any() for k in range(0, len(x), step))
-
-
 def _block(limit: int):
     """Closest-first merging of the clusters of a block, as far as what is outside of it can't matter.
 

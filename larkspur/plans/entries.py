@@ -252,64 +252,61 @@ def _(spark, sf_dir):
 
 # Sources and sinks
 
-#: Files that Spark makes of `part` in the shared folder: names of cameras with `_`, and what a scan leaves out.
-PLANTED = "concat('d', p_partkey % 13, '/', CASE p_partkey % 7 WHEN 0 THEN concat('_DSC', p_partkey, '.NEF') WHEN 1 THEN concat('IMG ', p_partkey, '.jpg') WHEN 2 THEN concat('_edits/x', p_partkey, '.jpg') WHEN 3 THEN concat('L', p_partkey % 3, '.photosLibrary/a/in', p_partkey, '.jpg') WHEN 4 THEN concat('.dot', p_partkey, '.jpg') WHEN 5 THEN concat('deep/er/_MG_', p_partkey, '.CR2') ELSE concat('.own/v', p_partkey, '.mov') END)"
-SEEN = f"planted AS (SELECT {PLANTED} AS path, p_name FROM part WHERE p_partkey % 7 NOT IN (2, 3, 4))"
+#: Files that Spark makes in the shared folder, each of 64 documents in a row: names of cameras with `_`, and what a scan leaves out.
+PLANTED = "concat('d', k % 13, '/', CASE k % 7 WHEN 0 THEN concat('_DSC', k, '.NEF') WHEN 1 THEN concat('IMG ', k, '.jpg') WHEN 2 THEN concat('_edits/x', k, '.jpg') WHEN 3 THEN concat('L', k % 3, '.photosLibrary/a/in', k, '.jpg') WHEN 4 THEN concat('.dot', k, '.jpg') WHEN 5 THEN concat('deep/er/_MG_', k, '.CR2') ELSE concat('.own/v', k, '.mov') END)"
+SEEN = f"planted AS (SELECT {PLANTED} AS path, string_agg(text, '' ORDER BY doc_id) AS content FROM (SELECT doc_id // 64 AS k, * FROM documents) WHERE k % 7 NOT IN (2, 3, 4) GROUP BY k)"
 
 
 def _written(at: str):
-    """Writes files (path, content) below a folder; gives their number."""
+    """Writes the file of a group of rows (path, doc_id, text) below a folder."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         fs, top = trees.file_system(at)
-        for batch in batches:
-            for path, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                fs.create_dir(f"{top}/{path}".rpartition("/")[0])
-                with fs.open_output_stream(f"{top}/{path}") as out:
-                    out.write(content)
-            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["n"])
+        fs.create_dir(f"{top}/{key[0]}".rpartition("/")[0])
+        with fs.open_output_stream(f"{top}/{key[0]}") as out:
+            for text in rows.sort_values("doc_id")["text"]:
+                out.write((text or "").encode())
+        return pd.DataFrame({"n": [len(rows)]})
 
     return run
 
 
-def planted_tree(spark, sf_dir):
-    """The folder of a tree with a file for each part."""
-    at = fresh_path(spark, "tree")
-    load(spark, sf_dir, "part").selectExpr(f"{PLANTED} AS path", "cast(p_name AS binary) AS content").mapInArrow(_written(at), "n long").agg(F.sum("n")).collect()
-    return at
-
-
-@query("sc1_walk", f"WITH {SEEN} SELECT path, strlen(p_name)::BIGINT AS size FROM planted")
-def _(spark, sf_dir):
-    return sources.walk(spark, planted_tree(spark, sf_dir)).select("path", "size")
-
-
-@query("sc11_file_hashes", f"WITH {SEEN} SELECT path, strlen(p_name)::BIGINT AS size, sha1(p_name) AS sha1 FROM planted")
-def _(spark, sf_dir):
-    return sources.hashed(spark, planted_tree(spark, sf_dir)).select("path", "size", "sha1")
-
-
 def _zipped_up(at: str):
-    """Writes an archive of the rows (zip, name, text) of a group, stored, with a folder entry."""
+    """Writes an archive of the rows (path, doc_id, text) of a group, stored, with a folder entry."""
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         fs, top = trees.file_system(at)
         fs.create_dir(top)
         with fs.open_output_stream(f"{top}/{key[0]}") as out, zipfile.ZipFile(out, "w") as z:
             z.writestr("Root/", b"")
-            for name, text in zip(rows["name"], rows["text"], strict=True):
-                z.writestr(name, text.encode())
+            for doc_id, text in zip(rows["doc_id"], rows["text"], strict=True):
+                z.writestr(f"Root/{doc_id}.jpg", (text or "").encode())
         return pd.DataFrame({"n": [len(rows)]})
 
     return run
 
 
-@query("sc7_zip_directories", "SELECT 'z' || p_partkey // 20 || '.zip' AS zip, 'Root/' || p_partkey || '.jpg' AS name, strlen(p_name)::BIGINT AS size FROM part")
+def planted(spark, sf_dir, path: str, write) -> str:
+    """The folder of files that `write` has made of all documents, 64 of them each."""
+    at = fresh_path(spark, "tree")
+    rows = load(spark, sf_dir, "documents").selectExpr("doc_id div 64 AS k", "doc_id", "text").selectExpr(f"{path} AS path", "doc_id", "text")
+    rows.groupBy("path").applyInPandas(write(at), "n long").agg(F.sum("n")).collect()
+    return at
+
+
+@query("sc1_walk", f"WITH {SEEN} SELECT path, strlen(content)::BIGINT AS size FROM planted")
+def _(spark, sf_dir):
+    return sources.walk(spark, planted(spark, sf_dir, PLANTED, _written)).select("path", "size")
+
+
+@query("sc11_file_hashes", f"WITH {SEEN} SELECT path, strlen(content)::BIGINT AS size, sha1(content) AS sha1 FROM planted")
+def _(spark, sf_dir):
+    return sources.hashed(spark, planted(spark, sf_dir, PLANTED, _written)).select("path", "size", "sha1")
+
+
+@query("sc7_zip_directories", "SELECT 'z' || doc_id // 64 || '.zip' AS zip, 'Root/' || doc_id || '.jpg' AS name, coalesce(strlen(text), 0)::BIGINT AS size FROM documents")
 def _(spark, sf_dir):
-    at = fresh_path(spark, "zips")
-    rows = load(spark, sf_dir, "part").selectExpr("concat('z', p_partkey div 20, '.zip') AS zip", "concat('Root/', p_partkey, '.jpg') AS name", "p_name AS text")
-    rows.groupBy("zip").applyInPandas(_zipped_up(at), "n long").agg(F.sum("n")).collect()  # 20 rows each
-    return sources.zip_entries(spark, at).select("zip", "name", "size")
+    return sources.zip_entries(spark, planted(spark, sf_dir, "concat('z', k, '.zip')", _zipped_up)).select("zip", "name", "size")
 
 
 @query("sc5_sidecar_geo", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 10.5 WHEN event_id % 3 = 1 THEN -20.5 END::DOUBLE AS lat, CASE WHEN event_id % 3 < 2 THEN 3.0 END::DOUBLE AS lon FROM events")

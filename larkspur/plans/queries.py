@@ -459,13 +459,6 @@ def _(spark, sf_dir):
     return similar.links(text_prints(spark, sf_dir), 5)
 
 
-@query("nd6_partners_of", f"WITH {PRINTS} SELECT a.doc_id AS key, b.doc_id AS other, bit_count(xor(a.h, b.h))::INT AS d FROM prints a JOIN prints b ON a.doc_id <> b.doc_id AND bit_count(xor(a.h, b.h)) <= 5 WHERE a.doc_id % 20 = 0")
-def _(spark, sf_dir):
-    """Links of the stated query set (a twentieth of the ids) to all rows."""
-    prints = text_prints(spark, sf_dir)
-    return similar.partners(prints.filter("key % 20 = 0"), similar.links(prints, 5), similar.classes(prints))
-
-
 @query("nd5_crowded_buckets", f"WITH {PRINTS}, e AS (SELECT i AS band, (h >> round(i * 64 / 6)::INT) & ((1::UBIGINT << (round((i + 1) * 64 / 6)::INT - round(i * 64 / 6)::INT)) - 1) AS value FROM prints, (SELECT unnest(range(6)) AS i)) SELECT band::INT AS band, value::BIGINT AS value, count(*) AS n FROM e GROUP BY 1, 2 HAVING count(*) > 5")
 def _(spark, sf_dir):
     return similar.crowded(text_prints(spark, sf_dir), 5, 5)
