@@ -106,7 +106,8 @@ def fingerprints(pictures: DataFrame, decode: Callable[[bytes], np.ndarray] = de
                 rows.append(fingerprint(decode(bytes(c))))
             except Exception:  # whatever a decoder raises, this picture failed and the others go on
                 rows.append(("failed", None, None))
-        out = pd.DataFrame(rows, columns=["status", "dhash", "sharp"])
-        return out.astype({"dhash": "Int64"})
+        status, dhash, sharp = zip(*rows, strict=True) if rows else ((), (), ())
+        # Hashes never pass through floats, which have 53 bits.
+        return pd.DataFrame({"status": pd.array(status, "string"), "dhash": pd.array(dhash, "Int64"), "sharp": pd.array(sharp, "Float64")})
 
     return pictures.withColumn("_f", look("content")).select(*[c for c in pictures.columns if c != "content"], "_f.*")

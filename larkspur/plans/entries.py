@@ -250,6 +250,23 @@ def _(spark, sf_dir):
     return pictures(spark, sf_dir).select("doc_id", F.round("sharp", 6).alias("sharp"))
 
 
+#: Pictures of 18 by 16, every fifth of them flat: each cell of the grid is four pixels about the digest's letter.
+LARGER = GREYS.replace("list_transform(range(1, 73), lambda i: ", "list_transform(range(1, 73), lambda i: 1.5 + CASE WHEN doc_id % 5 = 0 THEN 100 ELSE ").replace(", i, 1)))", ", i, 1)) END)")
+
+
+@query(
+    "nd1_larger_pictures",
+    f"WITH {LARGER}, bits AS (SELECT doc_id, g, list_sum(list_transform(range(0, 64), lambda k: CASE WHEN g[k // 8 * 9 + k % 8 + 1] > g[k // 8 * 9 + k % 8 + 2] THEN 1::HUGEINT << (63 - k) ELSE 0::HUGEINT END))::HUGEINT AS h FROM pictures) SELECT doc_id, CASE WHEN list_aggregate(g, 'stddev_pop') < 4 THEN 'flat' ELSE 'ok' END AS status, CASE WHEN list_aggregate(g, 'stddev_pop') >= 4 THEN CASE WHEN h >= 9223372036854775808 THEN h - 18446744073709551616 ELSE h END END::BIGINT AS dhash FROM bits",
+)
+def _(spark, sf_dir):
+    """Pictures that are shrunk, some of them without structure: these have no hash."""
+    letter = "CASE WHEN doc_id % 5 = 0 THEN 100 ELSE ascii(substring(digest, cast(i div 18 div 2 * 9 + i % 18 div 2 + 1 AS int), 1)) END"
+    pixels = f"array_join(transform(sequence(0, 287), i -> char({letter} + i div 18 % 2 + 2 * (i % 18 % 2))), '')"
+    digest = "concat(md5(cast(cast(doc_id AS string) AS binary)), md5(cast(concat('x', doc_id) AS binary)), md5(cast(concat('y', doc_id) AS binary))) AS digest"
+    rows = load(spark, sf_dir, "documents").selectExpr("doc_id", digest).selectExpr("doc_id", f"cast(concat('P5\n18 16\n255\n', {pixels}) AS binary) AS content")
+    return images.fingerprints(rows).select("doc_id", "status", "dhash")
+
+
 # Sources and sinks
 
 #: Files that Spark makes in the shared folder, each of 64 documents in a row: names of cameras with `_`, and what a scan leaves out.
