@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from larkspur.functions import expressions as X
 from larkspur.sources.staging import staged
 
+from . import paging
+
 #: An overlay of corrections is made by people, so it is small; beyond this many rows it is joined by shuffle.
 BROADCAST_ROWS = 100_000
 
@@ -65,13 +67,15 @@ class Browse:
             out &= F.col("lat").between(box[0], box[2]) & F.col("lon").between(box[1], box[3])
         return out
 
+    def keys(self) -> list[paging.Key]:
+        return {"old": paging.keys("taken_at", "id"), "size": paging.keys("-size", "id"), "name": paging.keys("path", "id")}.get(self.sort, paging.keys("-taken_at", "-id"))
+
     def order(self) -> list[Column]:
-        newest = [F.col("taken_at").desc_nulls_last(), F.col("id").desc()]
-        return {"old": [F.col("taken_at").asc_nulls_first(), F.col("id").asc()], "size": [F.col("size").desc_nulls_last(), F.col("id").asc()], "name": [F.col("path").asc(), F.col("id").asc()]}.get(self.sort, newest)
+        return paging.ordered(self.keys())
 
 
 def page(rows: DataFrame, order: list[Column], number: int = 1, size: int = 96) -> DataFrame:
-    """One page of an ordered list: a top-k in each task, so no full sort for the first pages."""
+    """One page of an ordered list by its number: all pages before are sorted too.  `paging.next_page` goes on from a row instead."""
     return rows.orderBy(*order).offset(max(0, number - 1) * size).limit(size)
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from larkspur.functions import expressions as X
 from larkspur.sources.staging import staged, unstage
 
+from . import paging
 from .browse import placed
 from .graph import components
 
@@ -329,9 +330,19 @@ def group_list(grouped: DataFrame, files: DataFrame, info: DataFrame, marks: Dat
     return out.select("group_id", "n", "spare", "n_sources", F.when(F.col("n_sources") > 1, F.col("sources")).alias("sources"), "span_s", "oldest", "newest")
 
 
+def list_keys(order: str) -> list[paging.Key]:
+    """Keys of an order of the list; `oldest` has groups without date at the end, and so has `newest`."""
+    dated = {"oldest": paging.keys("undated", "oldest", "group_id"), "newest": paging.keys("-newest", "group_id")}
+    return {"group": paging.keys("group_id"), "count": paging.keys("-n", "-spare", "group_id"), **dated}.get(order, paging.keys("-spare", "group_id"))
+
+
 def list_order(order: str) -> list[Column]:
-    space = [F.desc("spare"), F.asc("group_id")]
-    return {"group": [F.asc("group_id")], "count": [F.desc("n"), *space], "oldest": [F.col("oldest").asc_nulls_last(), F.asc("group_id")], "newest": [F.col("newest").desc_nulls_last(), F.asc("group_id")]}.get(order, space)
+    return [F.col("oldest").isNull() if k.column == "undated" else k.order() for k in list_keys(order)]
+
+
+def next_groups(listed: DataFrame, order: str, size: int, at: str = "") -> DataFrame:
+    """The next groups of a list after a cursor (see `paging`), with `undated` to make the next cursor of."""
+    return paging.next_page(listed.withColumn("undated", F.col("oldest").isNull().cast("int")), list_keys(order), size, at)
 
 
 def members(grouped: DataFrame, files: DataFrame, hashes: DataFrame, marks: DataFrame, vision: DataFrame) -> DataFrame:

@@ -12,13 +12,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.functions import expressions as X
-from larkspur.operators import browse, decisions, duplicates, similar, vision
+from larkspur.operators import browse, decisions, duplicates, paging, similar, vision
 
 Catalogue = dict[str, DataFrame]
 
 
-def grid(c: Catalogue, wanted: browse.Browse, number: int = 1, size: int = 96) -> dict[str, DataFrame]:
-    """The list of files: one page, how many there are, and what can be chosen.
+def grid(c: Catalogue, wanted: browse.Browse, number: int = 1, size: int = 96, at: str = "") -> dict[str, DataFrame]:
+    """The list of files: one page (by number, or what follows the cursor `at`), how many there are, and what can be chosen.
 
     The sources that exist are few; they are fetched to tell whether the wanted one is among them.
     """
@@ -28,7 +28,8 @@ def grid(c: Catalogue, wanted: browse.Browse, number: int = 1, size: int = 96) -
     known = [wanted.source] if wanted.source and not sources.filter(F.col("source") == wanted.source).isEmpty() else []
     rows = files.filter(wanted.condition(known))
     years = browse.count_by(seen.filter("taken_at is not null"), F.substring("taken_at", 1, 4), "year").orderBy(F.desc("year"))
-    return {"page": browse.page(rows, wanted.order(), number, size), "total": rows.agg(F.count(F.lit(1)).alias("n")), "sources": sources, "years": years, "grand": browse.totals(seen)}
+    page = paging.next_page(rows, wanted.keys(), size, at) if at or number <= 1 else browse.page(rows, wanted.order(), number, size)
+    return {"page": page, "total": rows.agg(F.count(F.lit(1)).alias("n")), "sources": sources, "years": years, "grand": browse.totals(seen)}
 
 
 def world(c: Catalogue, wanted: browse.Browse, zoom: float) -> dict[str, DataFrame]:
@@ -72,11 +73,11 @@ def rule(c: Catalogue, order: list[str], wide_roots: list[str], keep: str, remov
     return browse.page(rows, by, number, size)
 
 
-def review(c: Catalogue, kind: str = "", view: str = "pending", order: str = "space", which: str = "", start: int = 0, size: int = 25, today: str = "", theirs: str = "") -> dict[str, DataFrame]:
-    """One chunk of the groups to review with their members and decisions, how many the list has, and the totals."""
+def review(c: Catalogue, kind: str = "", view: str = "pending", order: str = "space", which: str = "", start: int = 0, size: int = 25, today: str = "", theirs: str = "", at: str = "") -> dict[str, DataFrame]:
+    """One chunk of the groups to review (from `start` on, or after the cursor `at`) with their members and decisions, how many the list has, and the totals."""
     files = browse.overlay(c["files"], c["overrides"])
     listed = similar.group_list(c["grouped"], files, c["info"], c["marks"], kind, "decided" if view == "decided" else "pending", which, today, theirs)
-    chunk = listed.orderBy(*similar.list_order(order)).offset(start).limit(size)
+    chunk = listed.orderBy(*similar.list_order(order)).offset(start).limit(size) if start and not at else similar.next_groups(listed, order, size, at)
     inside = c["grouped"].join(F.broadcast(chunk.select("group_id")), "group_id", "left_semi")  # `size` groups
     members = similar.members(inside, files, c["hashes"], c["marks"], c["vision"])
     return {"groups": chunk, "members": members, "decisions": similar.decisions(members), "shown": listed.agg(F.count(F.lit(1)).alias("n")), "totals": similar.review_totals(c["grouped"], c["files"], c["marks"])}

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.functions import expressions as X
-from larkspur.operators import browse, decisions, duplicates, reconcile, sidecars, similar, vision
+from larkspur.operators import browse, decisions, duplicates, paging, reconcile, sidecars, similar, vision
 from larkspur.sources import files as sources
 from larkspur.sources import sinks
 from larkspur.sources.shipping import ship
@@ -209,6 +209,16 @@ def _(files):
     return files.filter(X.direct_child(F.col("path"), "src1/en")).select("id")
 
 
+@query("so1_by_cursor", with_("files", "overrides") + f", {V1} SELECT id, path, taken_at FROM v1 WHERE {VISIBLE} AND kind = 'photo' ORDER BY taken_at DESC NULLS LAST, id DESC LIMIT 20 OFFSET 40", "files", "overrides")
+def _(files, overrides):
+    """The third page, from the last rows of the two before."""
+    b, at = browse.Browse(kind="photo"), ""
+    rows = browse.overlay(files, overrides).filter(b.condition())
+    for _ in range(2):
+        at = paging.cursor(paging.next_page(rows, b.keys(), 20, at).collect()[-1], b.keys())  # a page
+    return paging.next_page(rows, b.keys(), 20, at).select("id", "path", "taken_at")
+
+
 @query(
     "so1_page",
     with_("files", "overrides") + f", {V1} SELECT id, path, taken_at FROM v1 WHERE {VISIBLE} AND kind = 'photo' AND substr(taken_at, 6, 2) = '03' AND path ILIKE 'src%' ORDER BY taken_at DESC NULLS LAST, id DESC LIMIT 20 OFFSET 20",
@@ -526,6 +536,15 @@ def _(*frames):
     return listed(*frames)
 
 
+@query("so2_groups_by_cursor", with_(*LISTED) + f", {LIST} SELECT {OUT} FROM listed ORDER BY n DESC, spare DESC, group_id LIMIT 20 OFFSET 40", *LISTED)
+def _(*frames):
+    """The third page, from the last rows of the two before."""
+    rows, by, at = listed(*frames), similar.list_keys("count"), ""
+    for _ in range(2):
+        at = paging.cursor(similar.next_groups(rows, "count", 20, at).collect()[-1], by)  # a page
+    return similar.next_groups(rows, "count", 20, at).drop("undated")
+
+
 @query("so2_group_page", with_(*LISTED) + f", {LIST} SELECT {OUT} FROM listed ORDER BY spare DESC, group_id LIMIT 20 OFFSET 20", *LISTED)
 def _(*frames):
     return browse.page(listed(*frames), similar.list_order("space"), 2, 20)

@@ -10,7 +10,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from larkspur.operators import browse, decisions, duplicates, graph, reconcile, sidecars, similar, vision
+from larkspur.operators import browse, decisions, duplicates, graph, paging, reconcile, sidecars, similar, vision
 from larkspur.plans import queries
 
 FILES = "id long, path string, kind string, size long, sha1 string, pair_key string, has_sidecar int"
@@ -265,3 +265,26 @@ def test_group_decisions(spark, kind):
     marks = {"keep": ["keep", "keep"], "trash": ["trash", "trash"], "mixed": ["discard", "keep"]}[kind]
     rows = spark.createDataFrame([(1, f"p{i}", m, 1, 1, 5, False, None, None, None, None) for i, m in enumerate(marks)], "group_id int, path string, mark string, width int, height int, size int, has_geo boolean, pair_key string, sharp double, eyes_closed int, faces int")
     assert similar.decisions(rows).first().chosen == {"keep": "all", "trash": "trash", "mixed": "p1"}[kind]
+
+
+@pytest.mark.parametrize("names", [("-taken_at", "-id"), ("taken_at", "id"), ("-size", "taken_at", "id"), ("path", "id")])
+def test_pages_by_cursor(spark, tmp_path, names):
+    """All pages one after the other are the whole list, with nulls and ties; a page is read with a filter on its first key."""
+    r = random.Random(3)
+    rows = [(i, f"p{r.randint(0, 9)}'é", r.choice([None, "2019-01-01T00:00:00", "2020-05-05T00:00:00", "2001-02-03T04:05:06"]), r.choice([None, 1.5, 0.1, 7.0])) for i in range(60)]
+    at = f"{tmp_path}/rows"
+    spark.createDataFrame(rows, "id long, path string, taken_at string, size double").write.parquet(at)
+    df, by = spark.read.parquet(at), paging.keys(*names)
+    whole, got, last = [x.id for x in df.orderBy(*paging.ordered(by)).collect()], [], ""
+    while True:
+        chunk = paging.next_page(df, by, 7, last).collect()
+        got += [x.id for x in chunk]
+        if len(chunk) < 7:
+            break
+        last = paging.cursor(chunk[-1], by)
+    assert got == whole
+    plan = paging.next_page(df, by, 7, paging.cursor(df.filter(f"{by[0].column} is not null").first(), by))._jdf.queryExecution().toString()
+    assert "Offset" not in plan and by[0].column in plan.split("PushedFilters: [")[1].split("]")[0]
+    for wrong in ("[]", '["1"]', "{}", "[1, 2, 3, 4]"):
+        with pytest.raises(ValueError):
+            paging.after(df, by, wrong)
