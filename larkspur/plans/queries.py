@@ -18,11 +18,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.functions import expressions as X
-from larkspur.operators import browse, decisions, duplicates, paging, reconcile, sidecars, similar, vision
+from larkspur.operators import browse, decisions, duplicates, layout, maintained, paging, reconcile, sidecars, similar, vision
 from larkspur.sources import files as sources
 from larkspur.sources import sinks
 from larkspur.sources.shipping import ship
-from larkspur.sources.staging import spread, staged
+from larkspur.sources.staging import fresh_path, spread, staged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -176,6 +176,14 @@ def _(grid):
     return browse.geo_cells(grid, 5).withColumns({c: F.round(c, 6) for c in ("avg_lat", "avg_lon")})
 
 
+@query("fl5_laid_out_box", with_("files") + "SELECT id, lat, lon FROM files WHERE lat BETWEEN -10.5 AND 20 AND lon BETWEEN 5 AND 60.25", "files")
+def _(files):
+    """A box of a table that lies along a curve over the map."""
+    spark, at = files.sparkSession, fresh_path(files.sparkSession, "located")
+    layout.write_located(files.select("id", "lat", "lon"), at, 4 * spark.sparkContext.defaultParallelism)
+    return layout.within(spark.read.parquet(at), (-10.5, 5.0, 20.0, 60.25))
+
+
 MONTHS = ", ".join(f"coalesce(sum((m = {k})::INT), 0)::BIGINT AS m{k:02d}" for k in range(1, 13))
 
 
@@ -590,6 +598,24 @@ def _(*frames):
     return similar.review_totals(*frames)
 
 
+#: Three batches of decisions: new marks, marks taken back, marks used.
+BATCHES = ", m1 AS (SELECT path, CASE WHEN id % 11 = 0 THEN 'trash' ELSE mark END AS mark, CASE WHEN id % 11 = 0 THEN NULL ELSE used_batch END AS used_batch FROM files LEFT JOIN marks USING (path) WHERE id % 11 = 0 OR mark IS NOT NULL), m2 AS (SELECT * FROM m1 WHERE NOT (mark = 'discard' AND used_batch IS NULL)), m3 AS (SELECT path, mark, CASE WHEN mark = 'trash' AND used_batch IS NULL AND path LIKE 'src1%' THEN 'b9' ELSE used_batch END AS used_batch FROM m2)"
+
+
+@query("a13_maintained_totals", with_("grouped", "files", "marks") + BATCHES + ", p AS (SELECT count(*) AS pend_n, coalesce(sum(size), 0)::BIGINT AS pend_bytes FROM m3 JOIN files USING (path) WHERE mark IN ('discard', 'trash') AND used_batch IS NULL), g AS (SELECT count(*) AS total, sum((open = 0)::INT)::BIGINT AS done FROM (SELECT group_id, sum((mark IS NULL)::INT) AS open FROM grouped LEFT JOIN m3 USING (path) GROUP BY 1)) SELECT *, total - done AS left, round(done * 100.0::DOUBLE / total, 1) AS pct FROM p, g", "grouped", "files", "marks")
+def _(grouped, files, marks):
+    """The totals after three batches of decisions, from stored aggregates that only follow what each batch changes."""
+    now, stored = marks.select("path", "mark", "used_batch"), staged(maintained.counted(grouped, files, marks), "review")
+    trash = files.filter("id % 11 = 0").select("path", F.lit("trash").alias("mark"), F.lit(None).cast("string").alias("used_batch"))
+    batches = (lambda m: trash, lambda m: m.filter("mark = 'discard' and used_batch is null").limit(0), lambda m: m.filter("mark = 'trash' and used_batch is null and path like 'src1%'").withColumn("used_batch", F.lit("b9")))
+    lost = (lambda m: m.join(trash, "path", "left_semi"), lambda m: m.filter("mark = 'discard' and used_batch is null"), lambda m: m.filter("mark = 'trash' and used_batch is null and path like 'src1%'"))
+    for made, gone in zip(batches, lost, strict=True):
+        before, after = gone(now), made(now)
+        stored = staged(maintained.applied(stored, maintained.delta(grouped, files, before, after)), "review")
+        now = staged(now.join(before, "path", "left_anti").unionByName(after), "marks")
+    return maintained.totals(stored)
+
+
 @query("a31_vision_order", with_("grouped", "files") + ", s AS (SELECT group_id, (sum(size) - max(size))::BIGINT AS spare FROM grouped JOIN files USING (path) WHERE kind = 'photo' GROUP BY 1 HAVING count(*) >= 2) SELECT *, row_number() OVER (ORDER BY spare DESC, group_id)::INT AS place FROM s", "grouped", "files")
 def _(grouped, files):
     return similar.vision_order(grouped, files)
@@ -705,6 +731,11 @@ def _(files):
     return sinks.differences(*old_and_new(files))
 
 
+@query("sk13_by_digests", SQL["sk13_differences"], "files")
+def _(files):
+    return sinks.differences_by_digest(*old_and_new(files))
+
+
 @query("j27_discard_plan", with_("files", "marks") + ", m AS (SELECT *, CASE WHEN mark = 'discard' THEN (SELECT min(path) FROM marks WHERE mark = 'keep') END AS k FROM marks) SELECT m.path AS victim, k AS keeper, coalesce(k IS NOT NULL, false) AS keeper_ok, mark = 'trash' AS trash, (SELECT count(*) FROM files f, files v WHERE v.path = m.path AND f.pair_key = v.pair_key AND f.kind = 'video' AND f.path <> v.path AND regexp_replace(f.path, '/[^/]*$', '') = regexp_replace(v.path, '/[^/]*$', '')) AS n_partners FROM m WHERE mark IN ('discard', 'trash') AND used_batch IS NULL", "files", "marks")
 def _(files, marks):
     first = marks.filter("mark = 'keep'").agg(F.min("path").alias("k")).withColumn("mark", F.lit("discard"))
@@ -906,6 +937,17 @@ def _(files):
     return sources.changed(now, known).select("path")
 
 
+@query("sc13_bucketed", SQL["sc13_changed"], "files")
+def _(files):
+    """The catalogue in buckets by path: only the listing is shuffled."""
+    spark = files.sparkSession
+    now = files.selectExpr("path", "size", "id AS mtime_ns", "id")
+    known = now.filter("id % 5 <> 0").withColumn("size", F.expr("CASE WHEN id % 7 = 0 THEN size + 1 ELSE size END"))
+    at = fresh_path(spark, "catalogue")
+    known = sinks.write_bucketed(known, "known_" + at.rpartition("-")[2], at, max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    return sources.changed(now, known).select("path")
+
+
 @query("sc14_to_fingerprint", with_("files") + "SELECT path FROM files WHERE kind = 'photo' AND (id % 11 = 0 OR id % 7 = 0 OR id % 13 = 0 OR id % 9 = 0)", "files")
 def _(files):
     now = files.withColumn("mtime_ns", F.col("id"))

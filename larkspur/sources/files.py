@@ -54,8 +54,12 @@ def media(listing: DataFrame, photo: list[str] = PHOTO, video: list[str] = VIDEO
 
 
 def changed(listing: DataFrame, known: DataFrame) -> DataFrame:
-    """Files that the catalogue doesn't have with this size and time."""
-    return listing.join(known.select("path", "size", "mtime_ns"), ["path", "size", "mtime_ns"], "left_anti")
+    """Files that the catalogue doesn't have with this size and time.
+
+    The join's key is the path alone, so a catalogue in buckets by path (`sinks.write_bucketed`) is read as it lies.
+    """
+    k = known.select(F.col("path").alias("_p"), F.col("size").alias("_s"), F.col("mtime_ns").alias("_m"))
+    return listing.join(k, (F.col("path") == F.col("_p")) & (F.col("size") - F.col("_s") == 0) & (F.col("mtime_ns") - F.col("_m") == 0), "left_anti")
 
 
 def to_fingerprint(files: DataFrame, hashes: DataFrame, limit: int | None = None) -> DataFrame:

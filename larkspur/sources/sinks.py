@@ -189,6 +189,55 @@ def differences(a: DataFrame, b: DataFrame, keys: tuple[str, ...] = ("path", "si
     return x.exceptAll(y).select(F.lit("only first").alias("side"), *keys).unionByName(y.exceptAll(x).select(F.lit("only second").alias("side"), *keys))
 
 
+def bucket_digests(df: DataFrame, key: str, columns: tuple[str, ...], bits: int) -> DataFrame:
+    """(bucket, n, h1, h2): rows of each of 2 ** bits buckets of a key, counted and summed up by two hashes of all columns.
+
+    A small table that can be kept with a snapshot.  Equal tables have equal digests, in whatever order and files they are;
+    sums tell repeated rows apart.
+    """
+    bucket = F.shiftrightunsigned(F.xxhash64(key), 64 - bits).alias("bucket")
+    wide = lambda c: F.sum(c.cast("decimal(20,0)"))
+    mark = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]
+    nulls = [F.col(c).isNull() for c in columns]
+    return df.groupBy(bucket).agg(F.count(F.lit(1)).alias("n"), wide(F.xxhash64(*mark, *nulls)).alias("h1"), wide(F.xxhash64(F.lit(1), *mark, *nulls)).alias("h2"))
+
+
+def folded(digests: DataFrame, by: int) -> DataFrame:
+    """The digests one level up: of buckets with `by` bits less."""
+    return digests.groupBy(F.shiftrightunsigned("bucket", by).alias("bucket")).agg(*[F.sum(c).alias(c) for c in ("n", "h1", "h2")])
+
+
+def unequal(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(bucket): those in which two tables of digests differ, or that only one has."""
+    both = a.select("bucket", "n", "h1", "h2", F.lit(1).alias("side")).unionByName(b.select("bucket", "n", "h1", "h2", F.lit(-1).alias("side")))
+    off = " or ".join(f"sum({c} * side) != 0" for c in ("n", "h1", "h2"))
+    return both.groupBy("bucket").agg(F.expr(off).alias("off")).filter("off").select("bucket")
+
+
+def differences_by_digest(a: DataFrame, b: DataFrame, keys: tuple[str, ...] = ("path", "size", "sha1"), bits: int = 16, digests: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """As `differences`, by the first key's buckets: rows are compared only in buckets whose digests differ.
+
+    The shuffles are of the digests and of the rows of unequal buckets, so they follow the difference, not the tables.
+    digests: those of both tables, where they are kept; the top half of their bits is compared first.
+    """
+    x, y = digests or (bucket_digests(a, keys[0], keys, bits), bucket_digests(b, keys[0], keys, bits))
+    if digests:
+        top = F.broadcast(unequal(folded(x, bits // 2), folded(y, bits // 2)).withColumnRenamed("bucket", "top"))  # 2 ** (bits / 2) at most
+        x, y = (d.join(top, F.shiftrightunsigned("bucket", bits // 2) == F.col("top"), "left_semi") for d in (x, y))
+    off = F.broadcast(unequal(x, y))  # 2 ** bits numbers at most
+    own = lambda t: t.select(*keys).join(off, F.shiftrightunsigned(F.xxhash64(keys[0]), 64 - bits) == F.col("bucket"), "left_semi")
+    return differences(own(a), own(b), keys)
+
+
+def write_bucketed(df: DataFrame, name: str, path: str, buckets: int, key: str = "path") -> DataFrame:
+    """`df` as a table of the session's catalog with files in `path`, in buckets of a key and sorted by it within them.
+
+    Joins on the key, or on it and more, take its side as it lies: no shuffle of the catalogue for a scan of a few files.
+    """
+    df.repartition(buckets, key).write.mode("overwrite").bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 def write_report(df: DataFrame, path: str, kind: str = "tsv") -> None:
     """A report: `tsv`, `json` (one object a line) or `text` (one string column)."""
     if kind == "tsv":
