@@ -54,6 +54,8 @@ FILES = {
 }
 OVERRIDES = {"path": PATH, "taken_at": "concat('2010-05-', " + TWO.format("1 + doc_id % 28") + ", 'T12:00:00')"}
 MARKS = {"path": PATH, "mark": "CASE WHEN toxic = 1 THEN 'trash' WHEN quality = 1 THEN 'keep' ELSE 'discard' END", "keeper": "cast(NULL AS string)", "used_batch": "CASE WHEN doc_id % 7 = 0 THEN 'b1' END"}
+#: Which documents play members of a group: the others, shorter ones, are files outside of any.
+MEMBER = "n_chars >= 300"
 GROUPED = {"group_id": "doc_id - doc_id % 7", "path": PATH}
 HASHES = {"path": PATH, "sharp": "CASE WHEN doc_id % 9 = 0 THEN NULL ELSE cast(doc_id * 7 % 50 AS double) / 10 END"}
 VISION = {"path": PATH, "status": "CASE WHEN doc_id % 10 = 0 THEN 'failed' ELSE 'ok' END", "faces": "cast(doc_id % 4 AS int)", "eyes_closed": "cast(toxic AS int)", "looking_away": "cast(0 AS int)", "note": "''"}
@@ -68,7 +70,7 @@ CTE = {
     "overrides": f"SELECT {select(OVERRIDES)} FROM documents WHERE doc_id % 17 IN (3, 4)",
     "excluded": f"SELECT {PATH} AS path FROM documents WHERE doc_id % 19 = 5",
     "marks": f"SELECT {select(MARKS)} FROM documents LEFT JOIN labels USING (doc_id) WHERE doc_id % 35 < 25 OR toxic IS NOT NULL",
-    "grouped": f"SELECT {select(GROUPED)} FROM documents WHERE doc_id % 10 < 8",
+    "grouped": f"SELECT {select(GROUPED)} FROM documents WHERE {MEMBER}",
     "hashes": f"SELECT {select(HASHES)} FROM documents",
     "vision": f"SELECT {select(VISION)} FROM labels JOIN documents USING (doc_id)",
     "grid": "SELECT p_partkey AS id, cast(p_size AS double) / 5 AS lat, (p_retailprice - 900) / 20 AS lon FROM part",
@@ -93,7 +95,7 @@ def base(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         "overrides": lambda: pick(docs.filter("doc_id % 17 in (3, 4)"), OVERRIDES),
         "excluded": lambda: pick(docs.filter("doc_id % 19 = 5"), {"path": PATH}),
         "marks": lambda: pick(docs.join(load(spark, sf_dir, "labels"), "doc_id", "left").filter("doc_id % 35 < 25 or toxic is not null"), MARKS),
-        "grouped": lambda: pick(docs.filter("doc_id % 10 < 8"), GROUPED),
+        "grouped": lambda: pick(docs.filter(MEMBER), GROUPED),
         "hashes": lambda: pick(docs, HASHES),
         "vision": lambda: pick(labelled(), VISION),
         "grid": lambda: load(spark, sf_dir, "part").selectExpr("p_partkey AS id", "cast(p_size AS double) / 5 AS lat", "(p_retailprice - 900) / 20 AS lon"),
@@ -621,7 +623,7 @@ def _(grouped, files):
     return similar.vision_order(grouped, files)
 
 
-SUBMITTED = f"submitted AS (SELECT doc_id - doc_id % 7 AS submission, {PATH} AS path FROM documents WHERE doc_id % 10 < 8 AND doc_id % 23 <> 3)"
+SUBMITTED = f"submitted AS (SELECT doc_id - doc_id % 7 AS submission, {PATH} AS path FROM documents WHERE {MEMBER} AND doc_id % 23 <> 3)"
 
 
 @query("j29_valid_submissions", with_("grouped", "files", "marks") + f", {SUBMITTED}, w AS (SELECT group_id, count(*) AS whole FROM grouped GROUP BY 1) SELECT submission, count(*) BETWEEN 2 AND 80 AND max(whole) = count(*) AND count(CASE WHEN used_batch IS NOT NULL THEN 1 END) = 0 AS ok FROM submitted JOIN w ON submission = group_id LEFT JOIN marks USING (path) GROUP BY 1", "grouped", "files", "marks")
@@ -630,7 +632,7 @@ def _(grouped, files, marks):
 
 
 def submission(files: DataFrame) -> DataFrame:
-    return files.filter("id % 10 < 8 and id % 23 <> 3").selectExpr("id - id % 7 AS submission", "path", "'all' AS pick")
+    return files.filter(f"{MEMBER.replace('n_chars', 'size')} and id % 23 <> 3").selectExpr("id - id % 7 AS submission", "path", "'all' AS pick")
 
 
 @query("w3_decide", with_("grouped", "files", "marks") + f", {SUBMITTED}, w AS (SELECT group_id, count(*) AS whole FROM grouped GROUP BY 1), ok AS (SELECT submission FROM submitted JOIN w ON submission = group_id LEFT JOIN marks USING (path) GROUP BY 1 HAVING count(*) BETWEEN 2 AND 80 AND max(whole) = count(*) AND count(CASE WHEN used_batch IS NOT NULL THEN 1 END) = 0), new AS (SELECT path FROM submitted SEMI JOIN ok USING (submission)) SELECT path, mark, used_batch FROM marks WHERE path NOT IN (SELECT path FROM new) UNION ALL SELECT path, 'keep', NULL FROM new", "grouped", "files", "marks")
