@@ -259,24 +259,22 @@ class RunLengthIndex:
     """Run-compressed Burrows-Wheeler transform of a collection of strings, with samples at the ends of its runs.
 
     data: the strings, each followed by one byte of any value that stands for a separator below all others; starts: where they
-    start.  No match reaches over a separator.  Kept are the runs' symbols and, for each run head, its place in the text and
-    the place of the suffix above it, which ends the run before; the suffix array itself isn't.
+    start.  No match reaches over a separator.  Kept are, beside the text, the runs' symbols and, for each run head, its place in the
+    text and the place of the suffix above it, which ends the run before.  The suffix array and all else as long as the text is
+    dropped once these are known.
     """
 
     def __init__(self, data: np.ndarray, starts: np.ndarray):
         n = len(data)
-        ends = np.append(starts[1:], n) - 1
-        self.rest = np.repeat(ends, ends + 1 - starts) - np.arange(n)  # bytes to the end of the string
-        self.word = np.zeros(n, np.uint64)  # eight bytes from each place on
-        padded = np.concatenate([data, np.zeros(8, np.uint8)])
-        for k in range(8):
-            self.word = (self.word << np.uint64(8)) | padded[k : n + k]
+        self.ends = np.append(starts[1:], n) - 1
+        size = self.ends + 1 - starts
         known = np.zeros(256, bool)
         known[data] = True
         code = np.cumsum(known)
         symbol = code[data]
-        symbol[ends] = 0
-        order = self._sorted(symbol, int(code[-1]), np.repeat(np.arange(len(starts)), ends + 1 - starts), int((ends - starts).max(initial=0)))
+        symbol[self.ends] = 0
+        rest = np.repeat(self.ends, size) - np.arange(n)  # bytes to the end of the string
+        order = self._sorted(symbol, int(code[-1]), rest, np.repeat(np.arange(len(starts)), size), int(size.max(initial=1)) - 1)
         bwt = symbol[order - 1]
         # A row heads a run if its symbol differs from the one above; nothing runs on over a separator.
         heads = np.flatnonzero(np.concatenate([[True], (bwt[1:] != bwt[:-1]) | (bwt[1:] == 0)]))[:n]
@@ -284,9 +282,11 @@ class RunLengthIndex:
         self.symbols = bwt[heads]
         self.sample = order[heads][by_place]
         self.above = np.where(heads > 0, order[heads - 1], -1)[by_place]
+        self.text = np.concatenate([data, np.zeros(8, np.uint8)])
         self.n = n
 
-    def _sorted(self, symbol: np.ndarray, largest: int, string: np.ndarray, longest: int) -> np.ndarray:
+    @staticmethod
+    def _sorted(symbol: np.ndarray, largest: int, rest: np.ndarray, string: np.ndarray, longest: int) -> np.ndarray:
         """Suffixes in order, each compared to the end of its string only, equal ones in the order of their strings.
 
         As many symbols as fit a word are compared at first; then ranks of so many, as many as fit, and so on.
@@ -300,7 +300,7 @@ class RunLengthIndex:
                 at = k * depth
                 key <<= bits
                 if at < n:
-                    key[: n - at] += np.where(self.rest[: n - at] >= at, value[at:] + 1, 0)
+                    key[: n - at] += np.where(rest[: n - at] >= at, value[at:] + 1, 0)
             order = np.argsort(key)
             depth *= terms
             rank = np.empty(n, np.int64)
@@ -309,13 +309,21 @@ class RunLengthIndex:
             if depth > longest or top == n - 1:
                 return order if top == n - 1 else np.argsort(rank * (int(string[-1]) + 1) + string)
 
+    def _word(self, at: np.ndarray) -> np.ndarray:
+        """The eight bytes from each place on."""
+        out = np.zeros(len(at), np.uint64)
+        for k in range(8):
+            out = (out << np.uint64(8)) | self.text[at + k]
+        return out
+
     def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Length of the longest common prefix of the suffixes at a and b, within their strings, by comparing bytes."""
-        most = np.minimum(self.rest[a], self.rest[b])
+        end = lambda x: self.ends[np.searchsorted(self.ends, x)]
+        most = np.minimum(end(a) - a, end(b) - b)
         got, open_ = np.zeros(len(a), np.int64), np.flatnonzero(most > 0)
         while len(open_):
             at = got[open_]
-            apart = self.word[a[open_] + at] ^ self.word[b[open_] + at]
+            apart = self._word(a[open_] + at) ^ self._word(b[open_] + at)
             got[open_] += sum((apart < np.uint64(1 << bits)).astype(np.int64) for bits in range(0, 64, 8))
             open_ = open_[(apart == 0) & (got[open_] < most[open_])]
         return np.minimum(got, most)
@@ -324,25 +332,25 @@ class RunLengthIndex:
         """(place, class) of the places that share a string of `length` bytes with another; a class is one of its places.
 
         The statistic of a place is the length of its match with the suffix above it in order: it is found at run heads, and
-        along the text every other place has one less than the place before it, matching one further on.
+        along the text every other place has one less than the place before it, matching one further on.  So a head's
+        places that match, up to the next head, are a stretch that lies as far from its matches as the head from its own.
+        Only such places are ever listed.
         """
-        head = np.searchsorted(self.sample, np.arange(self.n), "right") - 1
-        found = np.zeros(len(self.sample), np.int64)
-        known = np.flatnonzero(self.above >= 0)
-        found[known] = self.common(self.sample[known], self.above[known])
-        on = np.arange(self.n) - self.sample[head]
-        linked = np.flatnonzero(found[head] - on >= length)
-        parent = np.arange(self.n)
-        parent[linked] = self.above[head[linked]] + on[linked]
-        some = np.zeros(self.n, bool)
-        some[linked] = some[parent[linked]] = True
+        heads = np.flatnonzero(self.above >= 0)
+        width = self.common(self.sample[heads], self.above[heads]) - length + 1
+        width = np.minimum(width, np.append(self.sample[1:], self.n)[heads] - self.sample[heads])
+        heads, width = heads[width > 0], width[width > 0]
+        on = np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width)
+        source, target = (np.repeat(x[heads], width) + on for x in (self.sample, self.above))
+        place = np.unique(np.concatenate([source, target]))
+        parent = np.arange(len(place))
+        parent[np.searchsorted(place, source)] = np.searchsorted(place, target)
         while True:
             up = parent[parent]
             if np.array_equal(up, parent):
                 break
             parent = up
-        place = np.flatnonzero(some)
-        return place, parent[place]
+        return place, place[parent]
 
 
 def block_repeats(code: np.ndarray, place: np.ndarray, anchor: np.ndarray, data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -368,7 +376,8 @@ def block_repeats(code: np.ndarray, place: np.ndarray, anchor: np.ndarray, data:
         at, class_ = RunLengthIndex(text, starts).matches(length)
         string = np.searchsorted(starts, at, "right") - 1
         window = first[some[string]] + at - starts[string]
-        least = np.full(len(text), np.iinfo(np.int64).max)
+        _, class_ = np.unique(class_, return_inverse=True)
+        least = np.full(len(class_), np.iinfo(np.int64).max)
         np.minimum.at(least, class_, window)
         window = window[window != least[class_]]
         gone.append((window, np.zeros(len(window), np.int64)))
