@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 FLAT = 4.0
+HELD = 1 << 23
 
 
 def decode_pnm(content: bytes) -> np.ndarray:
@@ -83,29 +84,65 @@ def any_decoder() -> Callable[[bytes], np.ndarray]:
     return lambda content: np.asarray(Image.open(io.BytesIO(content)).convert("L"), float)
 
 
+def _grids(greys: np.ndarray, width: int, height: int) -> np.ndarray:
+    """`shrunk` of pictures of one size, all at once."""
+    n, h, w = greys.shape
+    if h < height or w < width:
+        return np.stack([shrunk(g, width, height) for g in greys])
+    rows, cols = (np.linspace(0, size, k + 1).astype(int) for size, k in ((h, height), (w, width)))
+    sums = np.add.reduceat(np.add.reduceat(greys, rows[:-1], axis=1), cols[:-1], axis=2)
+    return sums / (np.diff(rows)[:, None] * np.diff(cols))
+
+
+def looked_at(greys: np.ndarray) -> list[tuple[str, int | None, float]]:
+    """`fingerprint` of each of some pictures of one size (picture, row, column)."""
+    greys = greys.astype(float)
+    p = np.pad(greys, ((0, 0), (1, 1), (1, 1)), mode="edge")
+    edges = p[:, :-2, 1:-1] + p[:, 2:, 1:-1] + p[:, 1:-1, :-2] + p[:, 1:-1, 2:] - 4 * greys
+    sharp = np.clip(np.round(edges) + 128, 0, 255).reshape(len(greys), -1).var(axis=1)
+    small = _grids(greys, 9, 8)
+    flat = small.reshape(len(greys), -1).std(axis=1) < FLAT
+    bits = np.packbits((small[:, :, :-1] > small[:, :, 1:]).reshape(len(greys), 64), axis=1)
+    hashes = bits.view(">u8").ravel().astype(np.uint64).view(np.int64)
+    return [("flat", None, x) if f else ("ok", h, x) for f, h, x in zip(flat.tolist(), hashes.tolist(), sharp.tolist(), strict=True)]
+
+
 def fingerprint(grey: np.ndarray) -> tuple[str, int | None, float]:
     """(status, signed 64-bit hash, sharpness): each cell of a 9 by 8 grid against its right neighbour, row by row."""
-    p = np.pad(grey.astype(float), 1, mode="edge")
-    edges = p[:-2, 1:-1] + p[2:, 1:-1] + p[1:-1, :-2] + p[1:-1, 2:] - 4 * grey
-    sharp = float(np.clip(np.round(edges) + 128, 0, 255).var())
-    small = shrunk(grey, 9, 8)
-    if small.std() < FLAT:
-        return "flat", None, sharp
-    bits = int("".join("01"[x] for x in (small[:, :-1] > small[:, 1:]).ravel().astype(int)), 2)
-    return "ok", bits - (1 << 64) if bits >> 63 else bits, sharp
+    return looked_at(grey[None])[0]
 
 
 def fingerprints(pictures: DataFrame, decode: Callable[[bytes], np.ndarray] = decode_pnm) -> DataFrame:
-    """`pictures` (with content binary) with status (ok, flat or failed), dhash and sharp instead of content."""
+    """`pictures` (with content binary) with status (ok, flat or failed), dhash and sharp instead of content.
+
+    Pictures of one size are looked at together, HELD grey values at a time.
+    """
 
     @F.pandas_udf("status string, dhash long, sharp double")
     def look(content: pd.Series) -> pd.DataFrame:
-        rows = []
-        for c in content:
+        rows: list[tuple] = [("failed", None, None)] * len(content)
+        waiting: dict[tuple, list[tuple[int, np.ndarray]]] = {}
+
+        def flush() -> None:
+            for same in waiting.values():
+                for (i, _), row in zip(same, looked_at(np.stack([g for _, g in same])), strict=True):
+                    rows[i] = row
+            waiting.clear()
+
+        held = 0
+        for i, c in enumerate(content):
             try:
-                rows.append(fingerprint(decode(bytes(c))))
+                grey = np.asarray(decode(bytes(c)), float)
+                if grey.ndim != 2 or not grey.size:
+                    raise ValueError("no picture")
             except Exception:  # whatever a decoder raises, this picture failed and the others go on
-                rows.append(("failed", None, None))
+                continue
+            waiting.setdefault(grey.shape, []).append((i, grey))
+            held += grey.size
+            if held > HELD:
+                flush()
+                held = 0
+        flush()
         status, dhash, sharp = zip(*rows, strict=True) if rows else ((), (), ())
         # Hashes never pass through floats, which have 53 bits.
         return pd.DataFrame({"status": pd.array(status, "string"), "dhash": pd.array(dhash, "Int64"), "sharp": pd.array(sharp, "Float64")})

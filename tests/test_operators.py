@@ -122,7 +122,7 @@ def test_groups(spark):
 
 
 def test_groups_of_real_prints(spark):
-    prints = queries.text_prints(spark, "/root/testdata/sf0.001")
+    prints = queries.text_prints(spark, "/root/testdata/sf0.01")
     values = {r.key: r.hash for r in prints.collect()}
     got = defaultdict(set)
     for row in similar.groups(prints).collect():

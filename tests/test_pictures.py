@@ -78,3 +78,21 @@ def test_moves(spark, tmp_path):
     assert [(r["to"], r.done) for r in again] == [("a/x.jpg", "moved")] and (tmp_path / "a/x.jpg").read_text() == "a/x.jpg"
     same = spark.createDataFrame([("a", "t"), ("b", "t")], "`from` string, `to` string")
     assert {r["from"]: r.why for r in moves.allowed(same, spark.createDataFrame([("a",), ("b",)], "path string")).collect()} == {"a": None, "b": "target is claimed"}
+
+
+def test_pictures_of_many_sizes_together(spark, monkeypatch):
+    """The same as one by one, whatever stands beside a picture; no hash loses bits to one without."""
+    rng = np.random.default_rng(9)
+    greys = [rng.integers(0, 256, size) for size in [(8, 9), (16, 18), (31, 47), (5, 4), (16, 18), (8, 9), (1, 1)] * 3] + [np.full((20, 30), 90), np.full((8, 9), 7)]
+    monkeypatch.setattr(images, "HELD", 1000)
+    rows = [(i, images.encode_pgm(g)) for i, g in enumerate(greys)] + [(99, b"no picture"), (98, None)]
+    got = {r.id: (r.status, r.dhash, r.sharp) for r in images.fingerprints(spark.createDataFrame(rows, "id int, content binary").coalesce(1)).collect()}
+    for i, g in enumerate(greys):
+        small = images.shrunk(g.astype(float), 9, 8)
+        bits = int("".join("01"[int(x)] for x in (small[:, :-1] > small[:, 1:]).ravel()), 2)
+        status = "flat" if small.std() < images.FLAT else "ok"
+        assert got[i][:2] == (status, None if status == "flat" else bits - (1 << 64) if bits >> 63 else bits)
+        p = np.pad(g.astype(float), 1, mode="edge")
+        edges = p[:-2, 1:-1] + p[2:, 1:-1] + p[1:-1, :-2] + p[1:-1, 2:] - 4 * g
+        assert got[i][2] == pytest.approx(np.clip(edges + 128, 0, 255).var())
+    assert got[99] == got[98] == ("failed", None, None)
