@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 from math import comb
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -125,29 +125,50 @@ def _apart(x: np.ndarray, y: np.ndarray, limit: int) -> bool:
     return any((np.bitwise_count(x[k : k + step, None] ^ y) > limit).any() for k in range(0, len(x), step))
 
 
+def _clusters(links: list[tuple], limit: int) -> list[list]:
+    """Clusters of two keys or more, from links (a, b, ha, hb), the closest first: two join only if all their cross pairs are within the limit."""
+    value = {k: h for a, b, ha, hb in links for k, h in ((a, ha), (b, hb))}
+    own, keys = {k: k for k in value}, {k: [k] for k in value}
+    inside = {k: np.array([v], np.int64).view(np.uint64) for k, v in value.items()}
+    far = set()  # of clusters that can't join, as they only grow
+    for a, b, _, _ in links:
+        x, y = own[a], own[b]
+        if x == y or (x, y) in far:
+            continue
+        if _apart(inside[x], inside[y], limit):
+            far |= {(x, y), (y, x)}
+            continue
+        if len(keys[x]) < len(keys[y]):
+            x, y = y, x
+        inside[x] = np.concatenate([inside[x], inside.pop(y)])
+        keys[x] += keys[y]
+        own.update(dict.fromkeys(keys.pop(y), x))
+    return [m for m in keys.values() if len(m) > 1]
+
+
 def _merge(limit: int):
-    """Closest pairs first; two clusters join only if all their cross pairs are within the limit."""
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        value = {**dict(zip(part.a, part.ha, strict=True)), **dict(zip(part.b, part.hb, strict=True))}
-        own = {k: k for k in value}
-        keys = {k: [k] for k in value}
-        inside = {k: np.array([v], np.int64).view(np.uint64) for k, v in value.items()}
-        far = set()  # of clusters that can't join, as they only grow
-        for row in part.sort_values(["d", "a", "b"]).itertuples():
-            x, y = own[row.a], own[row.b]
-            if x == y or (x, y) in far:
-                continue
-            if _apart(inside[x], inside[y], limit):
-                far |= {(x, y), (y, x)}
+    """(group_id, key) of links (root, a, b, ha, hb) that stand together by component, in order."""
+
+    def grouped(rows: pa.RecordBatch) -> pa.RecordBatch:
+        root = np.asarray(rows.column(0))
+        cuts = [0, *(np.flatnonzero(np.diff(root)) + 1).tolist(), len(root)]
+        links = list(zip(*(c.to_pylist() for c in rows.columns[1:]), strict=True))
+        found = [(min(m), k) for i, j in zip(cuts, cuts[1:], strict=False) for m in _clusters(links[i:j], limit) for k in m]
+        return pa.RecordBatch.from_arrays([pa.array([x[c] for x in found], rows.schema.field(1).type) for c in range(2)], names=["group_id", "key"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # the last component, which may go on
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            if len(keys[x]) < len(keys[y]):
-                x, y = y, x
-            inside[x] = np.concatenate([inside[x], inside.pop(y)])
-            keys[x] += keys[y]
-            own.update(dict.fromkeys(keys.pop(y), x))
-        rows = [(min(m), k) for m in keys.values() if len(m) > 1 for k in m]
-        return pd.DataFrame(rows, columns=["group_id", "key"])
+            rows = pa.concat_batches([held, batch]) if held is not None else batch
+            root = np.asarray(rows.column(0))
+            cut = len(root) - int(np.argmax(root[::-1] != root[-1])) if root[0] != root[-1] else 0
+            if cut:
+                yield grouped(rows.slice(0, cut))
+            held = rows.slice(cut)
+        if held is not None:
+            yield grouped(held)
 
     return run
 
@@ -258,7 +279,10 @@ def groups(hashes: DataFrame, threshold: int = 5, slack: int = 3) -> DataFrame:
     large = staged(wide.groupBy("root").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > LARGE).select("root"), "large")
     alone = large.isEmpty()
     small = wide if alone else wide.join(large, "root", "left_anti")
-    merged = small.groupBy("root").applyInPandas(_merge(threshold + slack), f"group_id {kind}, key {kind}")
+    # So many parts that small components of a small table aren't put together into one task.
+    parts = int(hashes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    small = small.repartition(parts, "root").sortWithinPartitions("root", "d", "a", "b").select("root", "a", "b", "ha", "hb")
+    merged = small.mapInArrow(_merge(threshold + slack), f"group_id {kind}, key {kind}")
     if not alone:
         merged = merged.unionByName(_rounds(wide.join(large, "root", "left_semi").drop("root"), threshold + slack))
     named = one.join(merged, "key", "left").filter(F.col("group_id").isNotNull() | F.col("again")).select("hash", F.coalesce("group_id", "key").alias("group_id"))
