@@ -52,7 +52,8 @@ def close_hashes(unique: DataFrame, threshold: int) -> DataFrame:
     """(x, y, d, px, py): pairs of different hashes within the threshold, each once, of `unique` (hash, parts), a staged table.
 
     Pairs are compared within buckets of equal bits under a mask and counted under the first mask they agree in.  Crowded
-    buckets are split into chunks, and every pair of chunks is a bucket of its own; the result is the same.
+    buckets are split into chunks, and every pair of chunks is a bucket of its own; the result is the same.  Rows under all masks
+    look as small as `unique` to the planner, so the join is told not to broadcast them.
     """
     spread = masks(unique.count(), threshold)
     rows = unique.select("hash", "parts", F.posexplode(F.array(*[F.col("hash").bitwiseAND(F.lit(m)) for m in spread])).alias("pick", "bits"))
@@ -68,7 +69,7 @@ def close_hashes(unique: DataFrame, threshold: int) -> DataFrame:
     right = rows.select("pick", "bits", F.explode(F.sequence(F.lit(0), "own")).alias("lo"), F.col("own").alias("hi"), F.col("hash").alias("y"), F.col("parts").alias("py"))
     d = X.hamming(F.col("x"), F.col("y"))
     first = F.array_position(F.array(*[F.col("x").bitwiseAND(F.lit(m)) == F.col("y").bitwiseAND(F.lit(m)) for m in spread]), F.lit(True)) - 1
-    found = left.join(right, ["pick", "bits", "lo", "hi"]).filter(((F.col("lo") < F.col("hi")) | (F.col("x") < F.col("y"))) & (d <= threshold))
+    found = left.join(right.hint("merge"), ["pick", "bits", "lo", "hi"]).filter(((F.col("lo") < F.col("hi")) | (F.col("x") < F.col("y"))) & (d <= threshold))
     return found.filter(first == F.col("pick")).select("x", "y", d.alias("d"), "px", "py")
 
 
@@ -87,7 +88,7 @@ def links(hashes: DataFrame, threshold: int = 5) -> DataFrame:
     one = staged(hashes.select("key", "hash").dropna().groupBy("hash").agg(F.min("key").alias("rep"), F.lit(1).alias("parts")), "one")
     found = close_hashes(one.select("hash", "parts"), threshold).select("x", "y", "d")
     x, y = one.select(F.col("hash").alias("x"), F.col("rep").alias("rx")), one.select(F.col("hash").alias("y"), F.col("rep").alias("ry"))
-    return found.join(x, "x").join(y, "y").select(F.least("rx", "ry").alias("a"), F.greatest("rx", "ry").alias("b"), "d")
+    return found.join(x.hint("merge"), "x").join(y.hint("merge"), "y").select(F.least("rx", "ry").alias("a"), F.greatest("rx", "ry").alias("b"), "d")
 
 
 def partners(asked: DataFrame, linked: DataFrame, members: DataFrame) -> DataFrame:

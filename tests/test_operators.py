@@ -288,3 +288,19 @@ def test_pages_by_cursor(spark, tmp_path, names):
     for wrong in ("[]", '["1"]', "{}", "[1, 2, 3, 4]"):
         with pytest.raises(ValueError):
             paging.after(df, by, wrong)
+
+
+@pytest.fixture
+def small_broadcasts(spark):
+    """Broadcasts of more than 64 KB are errors, as those of gigabytes are by default."""
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "64k")
+    yield
+    spark.conf.unset("spark.sql.maxBroadcastTableSize")
+
+
+def close_couples(spark, n=3000):
+    return spark.range(n).selectExpr("id AS key", "xxhash64(id div 2) ^ (id % 2) AS hash")
+
+
+def test_links_broadcast_nothing_that_grows(spark, small_broadcasts):
+    assert similar.links(close_couples(spark), 5).filter("d = 1 and a + 1 = b").count() == 1500
