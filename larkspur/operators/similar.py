@@ -111,11 +111,11 @@ def edges(hashes: DataFrame, threshold: int = 5) -> DataFrame:
     same = unique.filter("again").select(F.col("hash").alias("x"), F.col("hash").alias("y"), F.lit(0).alias("d"), F.col("parts").alias("px"), F.col("parts").alias("py"))
     pairs = close_hashes(unique.select("hash", "parts"), threshold).unionByName(same)
     pairs = pairs.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("px") - 1))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("py") - 1)))
-    keys = rows.join(unique.select("hash", "parts"), "hash").select("hash", "key", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int").alias("part"))
+    keys = rows.join(unique.select("hash", "parts").hint("merge"), "hash").select("hash", "key", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int").alias("part"))
     keys = staged(keys, "keys")
     left = keys.select(F.col("hash").alias("x"), F.col("part").alias("i"), F.col("key").alias("ka"))
     right = keys.select(F.col("hash").alias("y"), F.col("part").alias("j"), F.col("key").alias("kb"))
-    out = pairs.select("x", "i", "y", "j", "d").join(left, ["x", "i"]).join(right, ["y", "j"])
+    out = pairs.select("x", "i", "y", "j", "d").join(left.hint("merge"), ["x", "i"]).join(right.hint("merge"), ["y", "j"])  # pairs look smaller than they are
     out = out.filter((F.col("ka") < F.col("kb")) | ((F.col("x") != F.col("y")) & (F.col("ka") != F.col("kb"))))
     return out.select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"), "d").distinct()
 

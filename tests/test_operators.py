@@ -304,3 +304,11 @@ def close_couples(spark, n=3000):
 
 def test_links_broadcast_nothing_that_grows(spark, small_broadcasts):
     assert similar.links(close_couples(spark), 5).filter("d = 1 and a + 1 = b").count() == 1500
+
+
+def test_edges_broadcast_nothing_that_grows(spark, small_broadcasts):
+    assert similar.edges(close_couples(spark), 5).filter("d = 1 and a + 1 = b").count() == 1500
+
+
+def test_groups_broadcast_nothing_that_grows(spark, small_broadcasts):
+    assert similar.groups(close_couples(spark)).count() == 3000
