@@ -72,11 +72,28 @@ def take_base(members: DataFrame) -> DataFrame:
 def donors(needed: DataFrame, offered: DataFrame, most_move: float = 0.6) -> DataFrame:
     """(group_id, face, donor, distance): for each closed face the nearest open one of its group that fits in place and width.
 
-    needed: (group_id, face, box); offered: (group_id, donor, box), in the pixels of the base frame.  Groups have few faces.
+    needed: (group_id, face, box); offered: (group_id, donor, box), in the pixels of the base frame.  Equal boxes of a group are
+    one on either side.  Boxes are compared only by cells of their centres: for widths from 2 ** level to twice that, a cell is as
+    wide as the largest move, so a donor is in the face's cell or next to it, and no pair that fits is left out.
     """
-    rows = needed.join(offered.select("group_id", "donor", F.col("box").alias("other")), "group_id")
     width = F.col("box")[2] - F.col("box")[0]
+    sized = lambda w: (w > 0) & (w < float("inf"))  # others never fit
+    wanted = needed.select("group_id", "box").distinct().filter(sized(width)).withColumn("level", F.floor(F.log2(width)))
+    other = F.col("other")[2] - F.col("other")[0]
+    # The struct keeps a null donor the least, as it is among donors at one distance.
+    spare = offered.groupBy("group_id", F.col("box").alias("other")).agg(F.min(F.struct("donor")).alias("x")).select("group_id", "other", "x.donor")
+    # Widths of 0.7 to 1.4 times a face's are those of three levels at most; a little more, as logarithms are rounded.
+    levels = F.sequence(F.floor(F.log2(other / 2.8) - 1e-6), F.floor(F.log2(other / 0.7) + 1e-6))
+    spare = spare.filter(sized(other)).withColumn("level", F.explode(levels))
+    # Places beyond the limit count as there: neighbours stay neighbours.
+    size = F.pow(F.lit(2.0), F.col("level") + 1) * (max(most_move, 1e-9) * 1.000001)
+    place = lambda box, c: F.floor(F.greatest(F.lit(-1e9), F.least(F.lit(1e9), (box[c] + box[c + 2]) / 2 / size)))
+    near = lambda c: F.explode(F.sequence(place(F.col("box"), c) - 1, place(F.col("box"), c) + 1))
+    wanted = wanted.withColumn("cx", near(0)).withColumn("cy", near(1))
+    spare = spare.withColumn("cx", place(F.col("other"), 0)).withColumn("cy", place(F.col("other"), 1))
     d = X.box_distance(F.col("box"), F.col("other"))
-    ratio = F.when(width != 0, (F.col("other")[2] - F.col("other")[0]) / width).otherwise(0.0)
+    ratio = other / width
     fits = (d < most_move * width) & (ratio > 0.7) & (ratio < 1.4)
-    return rows.filter(fits).groupBy("group_id", "face").agg(F.min(F.struct(d.alias("distance"), "donor")).alias("x")).select("group_id", "face", "x.donor", "x.distance")
+    # A face's cells and levels tell its partners apart, so no row is met twice.
+    best = wanted.join(spare.hint("merge"), ["group_id", "level", "cx", "cy"]).filter(fits).groupBy("group_id", "box").agg(F.min(F.struct(d.alias("distance"), "donor")).alias("x"))
+    return needed.join(best, ["group_id", "box"]).groupBy("group_id", "face").agg(F.min("x").alias("x")).select("group_id", "face", "x.donor", "x.distance")

@@ -1,7 +1,9 @@
 """Invariants of the catalogue operators on hand-made and random tables."""
 
 import itertools
+import math
 import random
+import threading
 from collections import Counter, defaultdict
 from datetime import datetime
 
@@ -312,3 +314,36 @@ def test_edges_broadcast_nothing_that_grows(spark, small_broadcasts):
 
 def test_groups_broadcast_nothing_that_grows(spark, small_broadcasts):
     assert similar.groups(close_couples(spark)).count() == 3000
+
+
+NEED, OFFER = "group_id int, face int, box array<double>", "group_id int, donor int, box array<double>"
+
+
+def test_donors_are_the_nearest_that_fit(spark):
+    r = random.Random(6)
+    box = lambda: (lambda x, y, w: [x, y, x + w, y + r.choice([w, 5.0])])(r.choice([0.0, r.uniform(-90, 90)]), r.choice([0.0, -0.0, r.uniform(-30, 30)]), r.choice([8.0, 16.0, 2 ** r.uniform(-2, 6)]))
+    odd = [None, [1.0, 1.0, 1.0, 9.0], [9.0, 0.0, 1.0, 5.0], [float("nan"), 0.0, 8.0, 5.0], [0.0, 0.0, float("inf"), 5.0], [1e300, 0.0, 2e300, 5.0], [1.2e300, 0.0, 2.2e300, 5.0]]
+    need = [(k % 3, k // 2, b) for k, b in enumerate([*odd, *(box() for _ in range(300))])]
+    offer = [(k % 3, k, b) for k, b in enumerate([*odd, *(box() for _ in range(300))])] + [(0, None, need[30][2])]
+    want = {}
+    for g, face, a in need:
+        for h, donor, b in offer:
+            if g == h and a and b and a[2] > a[0] and a[2] < float("inf") and 0.7 < (b[2] - b[0]) / (a[2] - a[0]) < 1.4:
+                d = math.hypot((a[0] + a[2] - b[0] - b[2]) / 2, (a[1] + a[3] - b[1] - b[3]) / 2)
+                if d < 0.6 * (a[2] - a[0]):
+                    want[g, face] = min(want.get((g, face), (math.inf, 0)), (d, -1 if donor is None else donor))
+    got = vision.donors(spark.createDataFrame(need, NEED), spark.createDataFrame(offer, OFFER)).collect()
+    assert len(want) > 40 and {(x.group_id, x.face): -1 if x.donor is None else x.donor for x in got} == {k: v[1] for k, v in want.items()}
+    assert len(got) == len(want) and all(abs(x.distance - want[x.group_id, x.face][0]) < 1e-9 for x in got)
+
+
+def test_donors_of_a_group_of_many_faces(spark):
+    """Every face with every donor of its group would be 40 billion pairs."""
+    rows = spark.range(200_000).selectExpr("1 AS group_id", "cast(id AS int) AS face", "array(double(id % 900), 0D, id % 900 + 20D, 10D) AS box")
+    late = threading.Timer(90, spark.sparkContext.cancelAllJobs)
+    late.start()
+    try:
+        got = vision.donors(rows, rows.withColumnRenamed("face", "donor"))
+        assert got.filter("distance = 0 and donor = face % 900").count() == 200_000
+    finally:
+        late.cancel()
