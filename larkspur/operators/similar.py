@@ -274,8 +274,9 @@ def groups(hashes: DataFrame, threshold: int = 5, slack: int = 3) -> DataFrame:
     found = staged(links(one.select("key", "hash"), threshold), "edges")
     code = F.xxhash64
     roots = components(found.select(code("a").alias("a"), code("b").alias("b")))
-    wide = found.join(one.select(F.col("key").alias("a"), F.col("hash").alias("ha")), "a").join(one.select(F.col("key").alias("b"), F.col("hash").alias("hb")), "b")
-    wide = staged(wide.withColumn("c", code("a")).join(roots.withColumnRenamed("key", "c"), "c").select("root", "a", "b", "ha", "hb", "d"), "wide")
+    of = lambda c: one.select(F.col("key").alias(c), F.col("hash").alias(f"h{c}")).hint("merge")
+    wide = found.join(of("a"), "a").join(of("b"), "b")
+    wide = staged(wide.withColumn("c", code("a")).join(roots.withColumnRenamed("key", "c").hint("merge"), "c").select("root", "a", "b", "ha", "hb", "d"), "wide")
     kind = one.schema["key"].dataType.simpleString()
     large = staged(wide.groupBy("root").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > LARGE).select("root"), "large")
     alone = large.isEmpty()
@@ -286,8 +287,8 @@ def groups(hashes: DataFrame, threshold: int = 5, slack: int = 3) -> DataFrame:
     merged = small.mapInArrow(_merge(threshold + slack), f"group_id {kind}, key {kind}")
     if not alone:
         merged = merged.unionByName(_rounds(wide.join(large, "root", "left_semi").drop("root"), threshold + slack))
-    named = one.join(merged, "key", "left").filter(F.col("group_id").isNotNull() | F.col("again")).select("hash", F.coalesce("group_id", "key").alias("group_id"))
-    return hashes.join(named, "hash").select("group_id", "key")
+    named = one.join(merged.hint("merge"), "key", "left").filter(F.col("group_id").isNotNull() | F.col("again")).select("hash", F.coalesce("group_id", "key").alias("group_id"))
+    return hashes.join(named.hint("merge"), "hash").select("group_id", "key")
 
 
 def without_copies(grouped: DataFrame, files: DataFrame) -> DataFrame:
