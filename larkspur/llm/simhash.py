@@ -5,9 +5,8 @@ a pair that differs in at most `distance` bits agrees in the bits of one such ch
 compared, but only one link per fingerprint is emitted, to the smallest it hangs together with there.  Buckets that sampling shows
 to be crowded are split into chunks, and every pair of chunks is a bucket of its own; the result is the same.
 
-`alike` finds classes of texts by the similarity of their shingles: a distance of so many bits has no choice of blocks that
-all close pairs share, so the blocks are masks of a wide fingerprint, as many as leave few pairs out, and the shingles
-themselves are compared where the Hamming distance leaves it open.
+`alike` finds classes of texts by the similarity of their shingles, exactly: sets that are similar enough share one of their first
+shingles, in any order that all texts keep, so pairs are looked for below these and confirmed by the sets themselves.
 """
 
 from __future__ import annotations
@@ -183,15 +182,10 @@ def near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4, seed: in
     return rows.join(known, "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")
 
 
-#: Fingerprints of the texts' similarity: four words of bits, of which two go along to the buckets.
-WIDE, NEAR = 4, 2
-#: Masks are as many as let a pair at FAR of all bits miss all of them with a chance of MISSED at most; they have as many bits as let a
-#: bucket hold FEW by chance.
-FAR, MISSED, FEW = 45 / 256, 0.01, 32
-#: Of the bits that go along: up to SURE apart texts count as alike, beyond UNLIKE as different, between them their shingles are compared.
-SURE, UNLIKE = 7, 32
-#: The bitmap of texts whose shingles are compared has 2 ** BITS bits.
-BITS = 24
+#: Words of a set's parities that go along to the buckets: two sets differ in as many shingles at least as in parities.
+NEAR = 2
+#: Shingles in OFTEN of the texts of a sample, one of EVERY, come last in the order; the bitmap of them has 2 ** BITS bits.
+EVERY, OFTEN, BITS = 16, 4, 24
 
 
 def shingles(text: str | None, words: int, seed: int = 42) -> np.ndarray:
@@ -206,61 +200,76 @@ def shingles(text: str | None, words: int, seed: int = 42) -> np.ndarray:
     return np.unique(np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts, ends[k - 1 :].tolist(), strict=True)), np.uint64, len(starts)))
 
 
-def wide_print(hashes: np.ndarray) -> np.ndarray:
-    """WIDE words: the majority of each bit over the hashes and numbers made of them."""
-    if not len(hashes):
-        return np.zeros(WIDE, np.uint64)
-    ones = np.zeros(64 * WIDE, np.int64)
-    for at in range(0, len(hashes), 1 << 13):
-        part = hashes[at : at + (1 << 13), None] * (np.arange(WIDE, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C16) + np.uint64(1))
-        part = (part ^ (part >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-        part ^= part >> np.uint64(32)
-        ones += np.unpackbits(part.view(np.uint8).reshape(len(part), -1), axis=1, bitorder="little").sum(axis=0, dtype=np.uint16)
-    return np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """NEAR words: of each bit whether an odd number of the hashes falls to it."""
+    counts = np.bincount((hashes & np.uint64(64 * NEAR - 1)).astype(np.int64), minlength=64 * NEAR)
+    return np.packbits((counts & 1).astype(np.uint8), bitorder="little").view(np.uint64)
 
 
-def _wide(words: int):
+def _shingles(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = np.array([wide_print(shingles(t.as_py(), words)) for t in batch.column(2)], np.uint64).reshape(-1, WIDE)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array(np.ascontiguousarray(prints[:, k]).view(np.int64)) for k in range(WIDE))], names=["doc_id", "t", *(f"p{k}" for k in range(WIDE))])
+            for t in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(shingles(t.as_py(), words).view(np.int64))], names=["h"])
 
     return run
 
 
-def tables(count: int) -> tuple[int, int]:
-    """(how many masks, how many bits each) for this many fingerprints."""
-    width = max(8, int(np.ceil(np.log2(max(1, count) / FEW))))
-    return int(np.ceil(np.log(MISSED) / np.log(1 - (1 - FAR) ** width))), width
+def _firsts(words: int, least: float, often):
+    """(doc_id, t, s0, s1, n, p0, ..., f): a digest of the set, its size, its parities and its first shingles.
 
+    The order is by the hash, shingles of the bitmap last.  Sets of a similarity of `least` share so many shingles that their first
+    common one is among these of both.
+    """
 
-def wide_masks(number: int, width: int) -> np.ndarray:
-    """That many rows of WIDE words with `width` bits set, the same every time; each is a block of the fingerprint."""
-    rng = np.random.default_rng(17)
-    bits = np.zeros((number, 64 * WIDE), np.uint8)
-    for row in bits:
-        row[rng.choice(64 * WIDE, width, replace=False)] = 1
-    return np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            digests, sizes, prints, firsts = [], [], [], []
+            for t in batch.column(2):
+                h = shingles(t.as_py(), words)
+                late = in_bitmap(often.value, h)
+                digests.append(np.frombuffer(xxhash.xxh3_128_digest(h.tobytes()), np.int64))
+                sizes.append(len(h))
+                prints.append(parities(h))
+                firsts.append(np.concatenate([h[~late], h[late]])[: len(h) - int(np.ceil(least * len(h) - 1e-6)) + 1].view(np.int64))
+            columns = [np.array(digests, np.int64).reshape(-1, 2), np.array(prints, np.uint64).view(np.int64).reshape(-1, NEAR)]
+            flat = pa.array(np.concatenate(firsts) if firsts else np.empty(0, np.int64))
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, firsts)]), pa.int32()), flat)
+            numbers = [pa.array(np.ascontiguousarray(c[:, k])) for c in columns for k in range(c.shape[1])]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *numbers[:2], pa.array(sizes, pa.int64()), *numbers[2:], lists], names=["doc_id", "t", "s0", "s1", "n", *(f"p{k}" for k in range(NEAR)), "f"])
+
+    return run
 
 
-def _dealt(number: int, width: int):
-    """(bucket, k, p0, p1): every fingerprint (k, p0, ...) in the bucket of its bits under each mask."""
+def _by_bucket(place: int, f):
+    """`f` of batches sorted by their first `place` columns; the last bucket of a batch is held until it is whole."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spread = wide_masks(number, width)
+        held = None
         for batch in batches:
-            k, *words = (np.asarray(c) for c in batch.columns)
-            prints = np.stack([w.view(np.uint64) for w in words], 1)
-            for n, mask in enumerate(spread):
-                value = np.full(len(k), n + 1, np.uint64)
-                for x, m in zip(prints.T, mask, strict=True):
-                    value = (value ^ (x & m)) * np.uint64(0xD6E8FEB86659FD93)
-                    value ^= value >> np.uint64(29)
-                yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), batch.column(0), *batch.columns[1 : 1 + NEAR]], names=["bucket", "k", *(f"p{i}" for i in range(NEAR))])
+            if not batch.num_rows:
+                continue
+            rows = pa.concat_batches([held, batch]) if held is not None else batch
+            same = np.all([(x := np.asarray(rows.column(c))) == x[-1] for c in range(place)], axis=0)
+            cut = rows.num_rows - int(np.argmin(same[::-1])) if not same.all() else 0
+            if cut:
+                yield f(rows.slice(0, cut), _numbered(rows.slice(0, cut), place))
+            held = rows.slice(cut)
+        if held is not None:
+            yield f(held, _numbered(held, place))
 
     return run
 
 
+def _numbered(rows: pa.RecordBatch, place: int) -> np.ndarray:
+    return np.cumsum(np.concatenate([[0], np.any([np.diff(np.asarray(rows.column(c))) != 0 for c in range(place)], axis=0)]))
+
+
+def _again(rows: pa.RecordBatch, bucket: np.ndarray) -> pa.RecordBatch:
+    """The rows of buckets that hold more than one."""
+    return rows.filter(pa.array(np.bincount(bucket)[bucket] > 1))
+
+
 def apart(prints: np.ndarray, i, j) -> np.ndarray:
     return np.bitwise_count(prints[i] ^ prints[j]).sum(axis=-1, dtype=np.int64)
 
@@ -305,65 +314,92 @@ def forest(bucket: np.ndarray, prints: np.ndarray, most: int) -> tuple[np.ndarra
         label = local_labels(n, np.concatenate([np.arange(n), i[first]]), np.concatenate([label, j[first]]))
 
 
-def _forests(most: int):
-    """Links (a, b, d) of batches sorted by bucket; the last bucket of a batch is held until it is whole."""
-
-    def links(rows: pa.RecordBatch) -> pa.RecordBatch:
-        place = range(rows.num_columns - 1 - NEAR)
-        bucket = np.cumsum(np.concatenate([[0], np.any([np.diff(np.asarray(rows.column(c))) != 0 for c in place], axis=0)]))
-        k = np.asarray(rows.column("k"))
-        prints = np.stack([np.asarray(rows.column(f"p{n}")).view(np.uint64) for n in range(NEAR)], 1)
-        i, j, d = forest(bucket, prints, most)
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(k[i], k[j])), pa.array(np.maximum(k[i], k[j])), pa.array(d)], names=["a", "b", "d"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows = pa.concat_batches([held, batch]) if held is not None else batch
-            same = np.all([(x := np.asarray(rows.column(c))) == x[-1] for c in range(rows.num_columns - 1 - NEAR)], axis=0)
-            cut = rows.num_rows - int(np.argmin(same[::-1])) if not same.all() else 0
-            if cut:
-                yield links(rows.slice(0, cut))
-            held = rows.slice(cut)
-        if held is not None:
-            yield links(held)
-
-    return run
+def fitting(bucket: np.ndarray, n: np.ndarray, at: np.ndarray, prints: np.ndarray, least: float, label: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j): pairs in equal, adjacent buckets that may be of a similarity of `least`, of sets of sizes n with this shingle at their places `at`.
 
+    Without labels each one's closest, by parities and size; with labels all pairs of different labels.  Pairs whose first common
+    shingle this is and that are similar enough are never left out.
+    """
 
-def close_prints(unique: DataFrame) -> DataFrame:
-    """(a, b, d): of fingerprints `unique` (k, p0, ...) that share a bucket and are at most UNLIKE apart, each bucket's closest links.
+    def fits(i, j):
+        far, both = apart(prints, i, j), n[i] + n[j]
+        most = np.minimum((both - far) // 2, np.minimum(n[i] - at[i], n[j] - at[j]))
+        return most >= least * (both - most) - 1e-6, np.maximum(far, np.abs(n[i] - n[j]))
 
-    Buckets that sampling shows to be crowded are split into chunks, and every pair of chunks is a bucket of its own.
+    starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))[: len(bucket)]
+    sizes = np.diff(np.append(starts, len(bucket)))
+    small = np.repeat(sizes <= 64, sizes)
+    out = [(np.empty(0, np.int64),) * 3]
+    for step in range(1, int(sizes[sizes <= 64].max(initial=0))):
+        i = np.flatnonzero((bucket[step:] == bucket[:-step]) & small[:-step])
+        if label is not None:
+            i = i[label[i] != label[i + step]]
+        ok, d = fits(i, i + step)
+        out.append((i[ok], i[ok] + step, d[ok]))
+    for a, z in zip(starts[sizes > 64].tolist(), sizes[sizes > 64].tolist(), strict=True):
+        j = np.arange(a, a + z)[None, :]
+        if label is not None and (label[a : a + z] == label[a]).all():
+            continue
+        for b in range(a, a + z, rows := max(1, (1 << 20) // z)):
+            i = np.arange(b, min(a + z, b + rows))[:, None]
+            ok, d = fits(i, j)
+            if label is None:
+                d = np.where(ok & (i != j), d, 1 << 40)
+                best = d.argmin(axis=1)
+                d = d[np.arange(len(i)), best]
+                some = d < 1 << 40
+                out.append((i[some, 0], best[some] + a, d[some]))
+            else:
+                x, y = np.nonzero(ok & (i < j) & (label[i] != label[j]))
+                out.append((x + b, y + a, d[x, y]))
+    i, j, d = (np.concatenate(x) for x in zip(*out, strict=True))
+    if label is None:
+        i, j, d = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([d, d])
+        order = np.lexsort((j, d, i))
+        first = order[np.flatnonzero(np.diff(i[order], prepend=-1))]
+        i, j = i[first], j[first]
+    return i, j
+
+
+def _candidates(place: int, least: float, labelled: bool):
+    """(a, b) of rows (..., k, n, at, p0, ...) and perhaps c, the label."""
+
+    def pairs(rows: pa.RecordBatch, bucket: np.ndarray) -> pa.RecordBatch:
+        k, n, at, c = (np.asarray(rows.column(x)) if x != "c" or labelled else None for x in ("k", "n", "at", "c"))
+        prints = np.stack([np.asarray(rows.column(f"p{x}")).view(np.uint64) for x in range(NEAR)], 1)
+        i, j = fitting(bucket, n, at, prints, least, c)
+        both = np.unique(np.stack([np.minimum(k[i], k[j]), np.maximum(k[i], k[j])], 1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[:, x])) for x in range(2)], names=["a", "b"])
+
+    return _by_bucket(place, pairs)
+
+
+def candidates(rows: DataFrame, least: float, labelled: bool = False) -> DataFrame:
+    """(a, b), a < b: what `fitting` gives of rows (h, k, n, at, p0, ...) by shingle h.
+
+    Crowded buckets are split into chunks, and every pair of chunks is a bucket of its own.
     """
-    deal = _dealt(*tables(unique.count()))
-    columns = ["k", *(f"p{n}" for n in range(WIDE))]
-    schema = "bucket long, k long, " + ", ".join(f"p{n} long" for n in range(NEAR))
-    rows = unique.select(*columns).mapInArrow(deal, schema)
-    sampled = unique.filter(F.pmod(F.xxhash64("k"), F.lit(SAMPLE)) == 0).select(*columns).mapInArrow(deal, schema)
-    hot = sampled.groupBy("bucket").count().filter(F.col("count") > CROWDED // SAMPLE)
-    hot = staged(hot.select("bucket", F.ceil(F.col("count") * SAMPLE * 2 / CROWDED).cast("int").alias("chunks")), "crowded")
-    place = ["bucket"]
+    hot = rows.groupBy("h").count().filter(F.col("count") > CROWDED)
+    hot = staged(hot.select("h", F.ceil(F.col("count") * 2 / CROWDED).cast("int").alias("chunks")), "crowded")
+    place, columns = ["h"], ["k", "n", "at", *(f"p{n}" for n in range(NEAR)), *(["c"] if labelled else [])]
     if not hot.isEmpty():
-        place = ["bucket", "lo", "hi"]
+        place = ["h", "lo", "hi"]
         own = F.pmod(F.xxhash64(F.col("k"), F.lit(3)), F.col("chunks")).cast("int")
         pairs = F.when(F.col("chunks").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("chunks") - 1))
-        rows = rows.join(hot, "bucket", "left").withColumn("own", F.coalesce(own, F.lit(0))).withColumn("other", F.explode(pairs))
+        rows = rows.join(hot, "h", "left").withColumn("own", F.coalesce(own, F.lit(0))).withColumn("other", F.explode(pairs))
         rows = rows.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")})
-    sorted_ = rows.select(*place, "k", *(f"p{n}" for n in range(NEAR))).repartition(*place).sortWithinPartitions(*place)
-    return sorted_.mapInArrow(_forests(UNLIKE), "a long, b long, d long").groupBy("a", "b").agg(F.min("d").alias("d"))
+    sorted_ = rows.select(*place, *columns).repartition(*place).sortWithinPartitions(*place, "k")
+    return sorted_.mapInArrow(_candidates(len(place), least, labelled), "a long, b long").distinct()
 
 
 def _sets(words: int, wanted):
-    """(doc_id, t, s): the different shingles, 32 bits of each, of texts (doc_id, t, text) that the bitmap may have."""
+    """(doc_id, t, s): the different shingles of texts (doc_id, t, text) that the bitmap may have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             batch = batch.filter(pa.array(in_bitmap(wanted.value, batch.column(1).to_numpy().view(np.uint64))))
-            s = [np.unique((shingles(t.as_py(), words) >> np.uint64(32)).astype(np.uint32).view(np.int32)) for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(s, pa.list_(pa.int32()))], names=["doc_id", "t", "s"])
+            s = [shingles(t.as_py(), words).view(np.int64) for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(s, pa.list_(pa.int64()))], names=["doc_id", "t", "s"])
 
     return run
 
@@ -372,50 +408,53 @@ def alike(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
     """(doc_id, t, component_id, class_id) of every row of `docs` (doc_id, text): classes of texts linked by similarity.
 
     Similarity is the Jaccard coefficient of the texts' sets of `words`-word shingles, linked from `least` on; component_id
-    is the smallest doc_id reachable, class_id a number of the class, t a hash of the text.  Candidates share a block of a wide fingerprint and pass its Hamming
-    distance; those SURE bits apart at most are linked (at a coefficient of 0.8 three of 10,000 pairs are), the others by
-    their shingles: first each one's closest, then those that would still link different classes.  A pair at 0.8
-    shares a block with a chance of about 1 - MISSED, closer ones nearly always.  Texts without words are one class.
+    is the smallest doc_id reachable, class_id a number of the class, t a hash of the text.  No link between classes is left out: first
+    each one's closest below a shingle are compared by their sets, then all that may be similar and are of different classes still.
+    Texts without words are one class.
     Repeated rows stay repeated; a null doc_id is never a component_id unless its class has no other.  No rows: no rows.
     """
     keyed = docs.select("doc_id", F.xxhash64("text").alias("t"), "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    wide = [f"p{k}" for k in range(WIDE)]
-    rows = staged(keyed.mapInArrow(_wide(words), f"doc_id {kind}, t long, " + ", ".join(f"{p} long" for p in wide)), "prints")
-    # Fingerprints equal in the bits that go along are one; of its texts one stands for it.
-    unique = rows.groupBy(*wide[:NEAR]).agg(*[F.min(p).alias(p) for p in wide[NEAR:]], F.min("doc_id").alias("first"), F.min(F.struct("doc_id", "t")).alias("one"))
+    context, prints = docs.sparkSession.sparkContext, [f"p{k}" for k in range(NEAR)]
+    # The order of shingles decides only how many are compared, so a sample tells which are frequent.
+    sampled = keyed.filter(F.pmod(F.xxhash64("t"), F.lit(EVERY)) == 0).dropDuplicates(["t"]).select("text")
+    often = sampled.mapInArrow(_shingles(words), "h long").groupBy("h").count().filter(F.col("count") >= OFTEN)
+    often = context.broadcast(bitmap(often, BITS))
+    numbers = "".join(f"{p} long, " for p in prints)
+    rows = staged(keyed.mapInArrow(_firsts(words, least, often), f"doc_id {kind}, t long, s0 long, s1 long, n long, {numbers}f array<long>"), "prints")
+    # Texts of one set are one; of them one stands for it.
+    unique = rows.groupBy("s0", "s1").agg(F.min("doc_id").alias("first"), F.min(F.struct("doc_id", "t")).alias("one"), F.any_value("n").alias("n"), *[F.any_value(p).alias(p) for p in prints], F.any_value("f").alias("f"))
     unique = staged(unique.withColumn("k", F.monotonically_increasing_id()), "unique")
-    found = staged(close_prints(unique), "close")
-    sure, open_ = found.filter(F.col("d") <= SURE).select("a", "b"), found.filter(F.col("d") > SURE)
-    ends = open_.select(F.col("a").alias("k")).union(open_.select(F.col("b").alias("k"))).distinct()
-    wanted = staged(unique.join(ends, "k").select("k", F.col("one.doc_id").alias("_id"), F.col("one.t").alias("_t")), "wanted")
-    sent = docs.sparkSession.sparkContext.broadcast(bitmap(wanted.select(F.col("_t").alias("h")), BITS))
-    sets = keyed.mapInArrow(_sets(words, sent), f"doc_id {kind}, t long, s array<int>").join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("t") == F.col("_t")))
+    below = unique.filter("n > 0").select(F.posexplode("f").alias("at", "h"), "k", "n").select("h", "k", "n", F.col("at").cast("long").alias("at"))
+    shared = below.repartition("h").sortWithinPartitions("h").mapInArrow(_by_bucket(1, _again), "h long, k long, n long, at long")
+    shared = staged(shared.join(unique.select("k", *prints).hint("merge"), "k").select("h", "k", "n", "at", *prints), "shared")
+    closest = staged(candidates(shared, least), "closest")
+    ends = closest.select(F.col("a").alias("k")).union(closest.select(F.col("b").alias("k"))).distinct()
+    wanted = staged(unique.join(ends.hint("merge"), "k").select("k", F.col("one.doc_id").alias("_id"), F.col("one.t").alias("_t")), "wanted")
+    sent = context.broadcast(bitmap(wanted.select(F.col("_t").alias("h")), BITS))
+    sets = keyed.mapInArrow(_sets(words, sent), f"doc_id {kind}, t long, s array<long>").join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("t") == F.col("_t")))
     sets = staged(sets.groupBy("k").agg(F.any_value("s").alias("s")), "sets")
 
     def linked(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(sets.select(F.col("k").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("k").alias("b"), F.col("s").alias("sb")), "b")
+        both = pairs.join(sets.select(F.col("k").alias("a"), F.col("s").alias("sa")).hint("merge"), "a").join(sets.select(F.col("k").alias("b"), F.col("s").alias("sb")).hint("merge"), "b")
         shared = F.size(F.array_intersect("sa", "sb"))
         return both.filter(shared >= least * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
 
     def classes(links: DataFrame) -> DataFrame:
         return components(links).select(F.col("key").alias("k"), "root")
 
-    both_ways = open_.select(F.col("a").alias("x"), "d", "a", "b").union(open_.select(F.col("b").alias("x"), "d", "a", "b"))
-    closest = staged(both_ways.groupBy("x").agg(F.min(F.struct("d", "a", "b")).alias("m")).select("m.a", "m.b").distinct(), "closest")
-    links = staged(sure.union(linked(closest)), "links")
+    links = staged(linked(closest), "links")
     roots = staged(classes(links), "roots")
-    side = lambda c: roots.select(F.col("k").alias(c), F.col("root").alias(f"r{c}"))
-    left = open_.join(closest, ["a", "b"], "left_anti").join(side("a"), "a", "left").join(side("b"), "b", "left")
-    left = staged(left.filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b"), "left")
+    labelled = shared.join(roots.hint("merge"), "k", "left").withColumn("c", F.coalesce("root", "k")).drop("root")
+    left = candidates(labelled, least, labelled=True).join(closest.hint("merge"), ["a", "b"], "left_anti")
     more = staged(linked(left), "more")
     if not more.isEmpty():
         roots = classes(links.union(more))
     rooted = unique.join(roots, "k", "left").withColumn("root", F.coalesce("root", "k"))
     # Staged, so that the join has nothing but its shuffles below it, which adaptive execution splits where a class is large.
     least_id = staged(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "least")
-    known = rooted.join(least_id, "root").select(*wide[:NEAR], "component_id", F.col("root").alias("class_id"))
-    return rows.join(known, wide[:NEAR]).select("doc_id", "t", "component_id", "class_id")
+    known = rooted.join(least_id, "root").select("s0", "s1", "component_id", F.col("root").alias("class_id"))
+    return rows.join(known.hint("merge"), ["s0", "s1"]).select("doc_id", "t", "component_id", "class_id")
 
 
 def keep_one(docs: DataFrame, **settings) -> DataFrame:

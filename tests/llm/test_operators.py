@@ -902,3 +902,18 @@ def test_components_of_a_long_chain(spark, monkeypatch, at_once):
     got = {r.key: r.root for r in graph.components(links).collect()}
     assert got == {i: 0 for i in range(301)} | {1000: 1000, 1001: 1000}
     assert graph.components(links.limit(0)).count() == 0
+
+
+def test_alike_finds_all_links(spark):
+    """Pairs at and just above the threshold, of which one of a hundred was left out by masks of bits, and pairs just below it."""
+    r = random.Random(9)
+    rows = []
+    for k in range(700):  # 10 * m shingles each, 8 * m of 10 * m in common (4/5) or one fewer
+        m = r.randint(3, 14)
+        own = lambda n: [f"{r.getrandbits(40):x}" for _ in range(n)]
+        both, more = own(8 * m + 4 - k % 2), own(m + k % 2)
+        rows += [" ".join(both + more), " ".join(own(m + k % 2) + both)]
+    sets = [plain_sets(t) for t in rows]
+    near = {x for x in range(0, len(rows), 2) if len(sets[x] & sets[x + 1]) >= 0.8 * len(sets[x] | sets[x + 1])}
+    label = {x.doc_id: x.class_id for x in simhash.alike(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    assert len(near) == 350 and {x for x in range(0, len(rows), 2) if label[x] == label[x + 1]} == near and len(set(label.values())) == len(rows) - 350
