@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from larkspur.operators.graph import components, local_labels
 
-from .common import ASCII_LOWER, fresh_name, staged
+from .common import ASCII_LOWER, fresh_name, staged, unstage
 from .wording import bitmap, in_bitmap
 
 #: Buckets expected to hold more than CROWDED fingerprints are split into chunks of about CROWDED / 2.
@@ -106,7 +106,7 @@ def bucket_links(bucket: np.ndarray, prints: np.ndarray, distance: int) -> tuple
     return moved, label[moved]
 
 
-def _linked(distance: int):
+def _bucketed(distance: int):
     """Links from batches sorted by bucket; the last bucket of a batch is held until it is whole."""
 
     def links(columns: list[np.ndarray]) -> pa.RecordBatch:
@@ -159,7 +159,7 @@ def links(prints: DataFrame, distance: int = 4) -> DataFrame:
         dealt = dealt.join(hot, ["pick", "bits"], "left").withColumn("own", F.coalesce(own, F.lit(0))).withColumn("other", F.explode(pairs))
         dealt = dealt.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")})
     sorted_ = dealt.select("pick", "bits", "lo", "hi", "fp").repartition("pick", "bits", "lo", "hi").sortWithinPartitions("pick", "bits", "lo", "hi")
-    return sorted_.mapInArrow(_linked(distance), "a long, b long")
+    return sorted_.mapInArrow(_bucketed(distance), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4, seed: int = 42) -> DataFrame:
@@ -184,6 +184,8 @@ def near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4, seed: in
 
 #: Words of a set's parities that go along to the buckets: two sets differ in as many shingles at least as in parities.
 NEAR = 2
+#: Links are made one by one in buckets of up to WIDE; chunks of crowded ones have up to MOST shingles in a pair.
+WIDE, MOST = 64, 1 << 22
 #: Shingles in OFTEN of the texts of a sample, one of EVERY, come last in the order; the bitmap of them has 2 ** BITS bits.
 EVERY, OFTEN, BITS = 16, 4, 24
 
@@ -206,6 +208,19 @@ def parities(hashes: np.ndarray) -> np.ndarray:
     return np.packbits((counts & 1).astype(np.uint8), bitorder="little").view(np.uint64)
 
 
+def sketch(hashes: np.ndarray) -> bytes:
+    """Parities as `parities` has them, of two to four bits a hash; those of fewer bits are the longer ones folded."""
+    bits = max(64 * NEAR, 2 << max(0, len(hashes) - 1).bit_length())
+    counts = np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
+    return np.packbits((counts & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def differing(a: bytes, b: bytes) -> int:
+    """In how many parities two sketches differ, the longer one folded to the length of the other."""
+    a, b = sorted((np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)), key=len)
+    return int(np.bitwise_count(a ^ np.bitwise_xor.reduce(b.reshape(-1, len(a)), axis=0)).sum())
+
+
 def _shingles(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -216,7 +231,7 @@ def _shingles(words: int):
 
 
 def _firsts(words: int, least: float, often):
-    """(doc_id, t, s0, s1, n, p0, ..., f): a digest of the set, its size, its parities and its first shingles.
+    """(doc_id, t, s0, s1, n, p0, ..., w, f): a digest of the set, its size, its parities, its sketch and its first shingles.
 
     The order is by the hash, shingles of the bitmap last.  Sets of a similarity of `least` share so many shingles that their first
     common one is among these of both.
@@ -224,19 +239,20 @@ def _firsts(words: int, least: float, often):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            digests, sizes, prints, firsts = [], [], [], []
+            digests, sizes, prints, sketches, firsts = [], [], [], [], []
             for t in batch.column(2):
                 h = shingles(t.as_py(), words)
                 late = in_bitmap(often.value, h)
                 digests.append(np.frombuffer(xxhash.xxh3_128_digest(h.tobytes()), np.int64))
                 sizes.append(len(h))
                 prints.append(parities(h))
+                sketches.append(sketch(h))
                 firsts.append(np.concatenate([h[~late], h[late]])[: len(h) - int(np.ceil(least * len(h) - 1e-6)) + 1].view(np.int64))
             columns = [np.array(digests, np.int64).reshape(-1, 2), np.array(prints, np.uint64).view(np.int64).reshape(-1, NEAR)]
             flat = pa.array(np.concatenate(firsts) if firsts else np.empty(0, np.int64))
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, firsts)]), pa.int32()), flat)
             numbers = [pa.array(np.ascontiguousarray(c[:, k])) for c in columns for k in range(c.shape[1])]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *numbers[:2], pa.array(sizes, pa.int64()), *numbers[2:], lists], names=["doc_id", "t", "s0", "s1", "n", *(f"p{k}" for k in range(NEAR)), "f"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *numbers[:2], pa.array(sizes, pa.int64()), *numbers[2:], pa.array(sketches, pa.binary()), lists], names=["doc_id", "t", "s0", "s1", "n", *(f"p{k}" for k in range(NEAR)), "w", "f"])
 
     return run
 
@@ -271,39 +287,65 @@ def _again(rows: pa.RecordBatch, bucket: np.ndarray) -> pa.RecordBatch:
 
 
 def apart(prints: np.ndarray, i, j) -> np.ndarray:
-    return np.bitwise_count(prints[i] ^ prints[j]).sum(axis=-1, dtype=np.int64)
+    return sum(np.bitwise_count(p[i] ^ p[j]).astype(np.int64) for p in np.ascontiguousarray(prints.T))
 
 
 def forest(bucket: np.ndarray, prints: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(i, j, bits apart): of all pairs up to `most` apart in equal, adjacent buckets a spanning forest of the closest.
+    """(i, j, bits apart): of all pairs up to `most` apart in equal, adjacent buckets a spanning forest of the closest."""
+
+    def near(i, j):
+        d = apart(prints, i, j)
+        return d <= most, d
+
+    return spanning(bucket, near)
+
+
+def starts_sizes(bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))[: len(bucket)]
+    return starts, np.diff(np.append(starts, len(bucket)))
+
+
+def small_pairs(bucket: np.ndarray, near, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, d): all pairs that are near in equal, adjacent buckets of up to `most` rows."""
+    sizes = starts_sizes(bucket)[1]
+    small, out = np.repeat(sizes <= most, sizes), [(np.empty(0, np.int64),) * 3]
+    for step in range(1, int(sizes[sizes <= most].max(initial=0))):
+        i = np.flatnonzero((bucket[step:] == bucket[:-step]) & small[:-step])
+        ok, d = near(i, i + step)
+        out.append((i[ok], i[ok] + step, d[ok]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def spanning(bucket: np.ndarray, near) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, d): a spanning forest of the closest of all pairs in equal, adjacent buckets that are near; near(i, j) is (whether, d).
 
     In turns, each tree takes the closest link to another one (of equals that with the smallest places).
     """
     n = len(bucket)
-    starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))[:n]
-    sizes = np.diff(np.append(starts, n))
-    near = [(np.empty(0, np.int64),) * 3]
-    small = np.repeat(sizes <= 64, sizes)
-    for step in range(1, int(sizes[sizes <= 64].max(initial=0))):
-        i = np.flatnonzero((bucket[step:] == bucket[:-step]) & small[:-step])
-        d = apart(prints, i, i + step)
-        near.append((i[d <= most], i[d <= most] + step, d[d <= most]))
-    left, right, d = (np.concatenate(x) for x in zip(*near, strict=True))
-    wide = [(int(s), int(s + z)) for s, z in zip(starts[sizes > 64], sizes[sizes > 64], strict=True)]
+    starts, sizes = starts_sizes(bucket)
+    left, right, d = small_pairs(bucket, near, 64)
+    wide = [(int(s), int(s + z), np.arange(s, s + z)) for s, z in zip(starts[sizes > 64], sizes[sizes > 64], strict=True)]
     label, out = np.arange(n), [(np.empty(0, np.int64),) * 3]
     while True:
         open_ = label[left] != label[right]
         left, right, d = left[open_], right[open_], d[open_]
-        links = [(left, right, d)]
-        for a, b in wide:  # the closest of another tree for each, as all pairs are too many to be kept
-            for at in range(a, b, rows := max(1, (1 << 20) // (b - a))):
-                i = np.arange(at, min(b, at + rows))
-                far = np.bitwise_count(prints[i, None] ^ prints[None, a:b]).sum(axis=2, dtype=np.int64)
-                far[label[i, None] == label[None, a:b]] = 1 << 20
-                j = far.argmin(axis=1)
-                some = far[np.arange(len(i)), j] <= most
-                x, y = i[some], j[some] + a
-                links.append((np.minimum(x, y), np.maximum(x, y), far[np.arange(len(i)), j][some]))
+        links, still = [(left, right, d)], []
+        for a, b, rows in wide:  # the closest of another tree for each, as all pairs are too many to be kept
+            trees, count = np.unique(label[a:b], return_counts=True)
+            largest = label[rows] == trees[count.argmax()]  # the other trees link to it; a row that finds none never will
+            left_out, rows, j, found = rows[largest], rows[~largest], np.arange(a, b), []
+            for i in np.split(rows, range(step := max(1, (1 << 20) // (b - a)), len(rows), step)):
+                ok, far = near(i[:, None], j[None, :])
+                far = np.where(ok & (label[i, None] != label[None, a:b]), far, 1 << 40)
+                best = far.argmin(axis=1)
+                nearest = far[np.arange(len(i)), best]
+                some = nearest < 1 << 40
+                x, y = i[some], best[some] + a
+                links.append((np.minimum(x, y), np.maximum(x, y), nearest[some]))
+                found.append(x)
+            if sum(map(len, found)):
+                still.append((a, b, np.concatenate([left_out, *found])))
+        wide = still
         i, j, e = (np.concatenate(x) for x in zip(*links, strict=True))
         if not len(i):
             return tuple(np.concatenate(x) for x in zip(*out, strict=True))
@@ -314,103 +356,157 @@ def forest(bucket: np.ndarray, prints: np.ndarray, most: int) -> tuple[np.ndarra
         label = local_labels(n, np.concatenate([np.arange(n), i[first]]), np.concatenate([label, j[first]]))
 
 
-def fitting(bucket: np.ndarray, n: np.ndarray, at: np.ndarray, prints: np.ndarray, least: float, label: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(i, j): pairs in equal, adjacent buckets that may be of a similarity of `least`, of sets of sizes n with this shingle at their places `at`.
+def fitting(n: np.ndarray, at: np.ndarray, prints: np.ndarray, least: float, label: np.ndarray | None = None):
+    """near(i, j) of sets of sizes n with a bucket's shingle at their places `at`: whether they may be of a similarity of `least`.
 
-    Without labels each one's closest, by parities and size; with labels all pairs of different labels.  Pairs whose first common
-    shingle this is and that are similar enough are never left out.
+    Pairs whose first common shingle this is and that are similar enough always may.  With labels, pairs of one label are left out.
     """
 
-    def fits(i, j):
+    def near(i, j):
         far, both = apart(prints, i, j), n[i] + n[j]
         most = np.minimum((both - far) // 2, np.minimum(n[i] - at[i], n[j] - at[j]))
-        return most >= least * (both - most) - 1e-6, np.maximum(far, np.abs(n[i] - n[j]))
+        ok = most >= least * (both - most) - 1e-6
+        return ok if label is None else ok & (label[i] != label[j]), np.maximum(far, np.abs(n[i] - n[j]))
+
+    return near
 
-    starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))[: len(bucket)]
-    sizes = np.diff(np.append(starts, len(bucket)))
-    small = np.repeat(sizes <= 64, sizes)
-    out = [(np.empty(0, np.int64),) * 3]
-    for step in range(1, int(sizes[sizes <= 64].max(initial=0))):
-        i = np.flatnonzero((bucket[step:] == bucket[:-step]) & small[:-step])
-        if label is not None:
-            i = i[label[i] != label[i + step]]
-        ok, d = fits(i, i + step)
-        out.append((i[ok], i[ok] + step, d[ok]))
-    for a, z in zip(starts[sizes > 64].tolist(), sizes[sizes > 64].tolist(), strict=True):
-        j = np.arange(a, a + z)[None, :]
-        if label is not None and (label[a : a + z] == label[a]).all():
-            continue
-        for b in range(a, a + z, rows := max(1, (1 << 20) // z)):
-            i = np.arange(b, min(a + z, b + rows))[:, None]
-            ok, d = fits(i, j)
-            if label is None:
-                d = np.where(ok & (i != j), d, 1 << 40)
-                best = d.argmin(axis=1)
-                d = d[np.arange(len(i)), best]
-                some = d < 1 << 40
-                out.append((i[some, 0], best[some] + a, d[some]))
-            else:
-                x, y = np.nonzero(ok & (i < j) & (label[i] != label[j]))
-                out.append((x + b, y + a, d[x, y]))
-    i, j, d = (np.concatenate(x) for x in zip(*out, strict=True))
-    if label is None:
-        i, j, d = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([d, d])
-        order = np.lexsort((j, d, i))
-        first = order[np.flatnonzero(np.diff(i[order], prepend=-1))]
-        i, j = i[first], j[first]
-    return i, j
+
+def _columns(rows: pa.RecordBatch, least: float, labelled: bool):
+    k, n, at, c = (np.asarray(rows.column(x)) if x != "c" or labelled else None for x in ("k", "n", "at", "c"))
+    prints = np.stack([np.asarray(rows.column(f"p{x}")).view(np.uint64) for x in range(NEAR)], 1)
+    return k, fitting(n, at, prints, least, c)
 
 
 def _candidates(place: int, least: float, labelled: bool):
-    """(a, b) of rows (..., k, n, at, p0, ...) and perhaps c, the label."""
+    """(a, b) of rows (..., k, n, at, p0, ...): a spanning forest of what may be similar, or with labels c all such pairs of small buckets."""
 
     def pairs(rows: pa.RecordBatch, bucket: np.ndarray) -> pa.RecordBatch:
-        k, n, at, c = (np.asarray(rows.column(x)) if x != "c" or labelled else None for x in ("k", "n", "at", "c"))
-        prints = np.stack([np.asarray(rows.column(f"p{x}")).view(np.uint64) for x in range(NEAR)], 1)
-        i, j = fitting(bucket, n, at, prints, least, c)
+        k, near = _columns(rows, least, labelled)
+        i, j, _ = small_pairs(bucket, near, WIDE) if labelled else spanning(bucket, near)
         both = np.unique(np.stack([np.minimum(k[i], k[j]), np.maximum(k[i], k[j])], 1), axis=0)
         return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[:, x])) for x in range(2)], names=["a", "b"])
 
     return _by_bucket(place, pairs)
 
 
-def candidates(rows: DataFrame, least: float, labelled: bool = False) -> DataFrame:
-    """(a, b), a < b: what `fitting` gives of rows (h, k, n, at, p0, ...) by shingle h.
+def _crowds(place: int, least: float):
+    """Of larger buckets the rows (..., k, c) that may be similar to one of another label."""
+
+    def crowds(rows: pa.RecordBatch, bucket: np.ndarray) -> pa.RecordBatch:
+        k, near = _columns(rows, least, True)
+        c, taken = np.asarray(rows.column("c")), np.zeros(len(k), bool)
+        for a, z in zip(*(x.tolist() for x in starts_sizes(bucket)), strict=True):
+            if z <= WIDE or (c[a : a + z] == c[a]).all():
+                continue
+            for b in range(a, a + z, step := max(1, (1 << 20) // z)):
+                i = np.arange(b, min(a + z, b + step))
+                taken[i] = near(i[:, None], np.arange(a, a + z)[None, :])[0].any(axis=1)
+        return rows.select([*rows.schema.names[:place], "k", "c"]).filter(pa.array(taken))
+
+    return _by_bucket(place, crowds)
+
+
+def dealt(rows: DataFrame) -> tuple[DataFrame, list[str]]:
+    """`rows` (h, k, n, at, p0, ...) with the columns that name their bucket: those of one shingle h.
 
     Crowded buckets are split into chunks, and every pair of chunks is a bucket of its own.
     """
-    hot = rows.groupBy("h").count().filter(F.col("count") > CROWDED)
-    hot = staged(hot.select("h", F.ceil(F.col("count") * 2 / CROWDED).cast("int").alias("chunks")), "crowded")
-    place, columns = ["h"], ["k", "n", "at", *(f"p{n}" for n in range(NEAR)), *(["c"] if labelled else [])]
-    if not hot.isEmpty():
-        place = ["h", "lo", "hi"]
-        own = F.pmod(F.xxhash64(F.col("k"), F.lit(3)), F.col("chunks")).cast("int")
-        pairs = F.when(F.col("chunks").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("chunks") - 1))
-        rows = rows.join(hot, "h", "left").withColumn("own", F.coalesce(own, F.lit(0))).withColumn("other", F.explode(pairs))
-        rows = rows.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")})
-    sorted_ = rows.select(*place, *columns).repartition(*place).sortWithinPartitions(*place, "k")
-    return sorted_.mapInArrow(_candidates(len(place), least, labelled), "a long, b long").distinct()
+    hot = rows.groupBy("h").agg(F.greatest(F.count(F.lit(1)) / CROWDED, F.sum("n") / MOST).alias("over")).filter("over > 1")
+    hot = staged(hot.select("h", F.ceil(F.col("over") * 2).cast("int").alias("chunks")), "crowded")
+    if hot.isEmpty():
+        return rows, ["h"]
+    own = F.pmod(F.xxhash64(F.col("k"), F.lit(3)), F.col("chunks")).cast("int")
+    pairs = F.when(F.col("chunks").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("chunks") - 1))
+    rows = rows.join(hot, "h", "left").withColumn("own", F.coalesce(own, F.lit(0))).withColumn("other", F.explode(pairs))
+    return rows.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")}).drop("chunks", "own", "other"), ["h", "lo", "hi"]
+
+
+def candidates(rows: DataFrame, place: list[str], least: float, labelled: bool = False) -> DataFrame:
+    """(a, b), a < b: what `_candidates` gives of the buckets."""
+    return rows.repartition(*place).sortWithinPartitions(*place, "k").select(*place, *(c for c in rows.columns if c not in place)).mapInArrow(_candidates(len(place), least, labelled), "a long, b long").distinct()
+
+
+def _close(least: float):
+    """(a, b) of pairs (a, b, na, nb, wa, wb) whose sketches leave a similarity of `least` open."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = np.asarray(batch.column(2)) + np.asarray(batch.column(3))
+            far = np.array([differing(a.as_py(), b.as_py()) for a, b in zip(batch.column(4), batch.column(5), strict=True)], np.int64)
+            most = (both - far) // 2
+            yield batch.select([0, 1]).filter(pa.array(most >= least * (both - most) - 1e-6))
+
+    return run
+
+
+def _wanted(wanted):
+    """The texts (doc_id, t, text) that the bitmap may have."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(in_bitmap(wanted.value, batch.column(1).to_numpy().view(np.uint64))))
+
+    return run
 
 
-def _sets(words: int, wanted):
-    """(doc_id, t, s): the different shingles of texts (doc_id, t, text) that the bitmap may have."""
+def _linked(words: int, least: float):
+    """(a, b) of pairs of texts (a, b, ta, tb) with a similarity of `least`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, own = None, None
         for batch in batches:
-            batch = batch.filter(pa.array(in_bitmap(wanted.value, batch.column(1).to_numpy().view(np.uint64))))
-            s = [shingles(t.as_py(), words).view(np.int64) for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(s, pa.list_(pa.int64()))], names=["doc_id", "t", "s"])
+            similar = []
+            for b, x, y in zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
+                if b != last:
+                    last, own = b, shingles(y.as_py(), words)
+                other = shingles(x.as_py(), words)
+                shared = len(np.intersect1d(own, other, assume_unique=True))
+                similar.append(shared >= least * (len(own) + len(other) - shared))
+            yield batch.select([0, 1]).filter(pa.array(similar, pa.bool_()))
 
     return run
 
 
+def confirmed(sets: list[np.ndarray], label: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """Links (i, j) of a similarity of `least` that join labels as all such links do; no more than there are labels."""
+    n, label, out = np.array([len(s) for s in sets], np.int64), label.copy(), []
+    names, ids, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner, again = np.repeat(np.arange(len(n)), n), count[ids] > 1
+    owner, ids = owner[again], ids[again]
+    values, times = np.unique(label, return_counts=True)
+    begin, known = np.searchsorted(owner, np.arange(len(n) + 1)), np.zeros(len(names), bool)
+    for i in np.flatnonzero(label != values[times.argmax()]).tolist():  # one of the two is not of the commonest label
+        own = ids[begin[i] : begin[i + 1]]
+        known[own] = True
+        shared = np.bincount(owner[known[ids]], minlength=len(n))
+        known[own] = False
+        for j in np.flatnonzero((label != label[i]) & (shared >= least * (n + n[i] - shared))).tolist():
+            if label[i] != label[j]:
+                out.append((i, j))
+                label[label == label[j]] = label[i]
+    return out
+
+
+def _confirmed(place: int, words: int, least: float):
+    """(a, b) of rows (..., k, c, text): links that join the labels of a bucket."""
+
+    def links(rows: pa.RecordBatch, bucket: np.ndarray) -> pa.RecordBatch:
+        k, c, text, out = np.asarray(rows.column("k")), np.asarray(rows.column("c")), rows.column("text"), []
+        for a, z in zip(*(x.tolist() for x in starts_sizes(bucket)), strict=True):
+            out += [(k[a + i], k[a + j]) for i, j in confirmed([shingles(t.as_py(), words) for t in text.slice(a, z)], c[a : a + z], least)]
+        both = np.array(out, np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(both.min(axis=1)), pa.array(both.max(axis=1))], names=["a", "b"])
+
+    return _by_bucket(place, links)
+
+
 def alike(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
     """(doc_id, t, component_id, class_id) of every row of `docs` (doc_id, text): classes of texts linked by similarity.
 
     Similarity is the Jaccard coefficient of the texts' sets of `words`-word shingles, linked from `least` on; component_id
     is the smallest doc_id reachable, class_id a number of the class, t a hash of the text.  No link between classes is left out: first
-    each one's closest below a shingle are compared by their sets, then all that may be similar and are of different classes still.
-    Texts without words are one class.
+    the closest below a shingle, as a forest, are compared by their texts, then all that may be similar and are of different classes
+    still, in large buckets without naming the pairs.  Texts without words are one class.
     Repeated rows stay repeated; a null doc_id is never a component_id unless its class has no other.  No rows: no rows.
     """
     keyed = docs.select("doc_id", F.xxhash64("text").alias("t"), "text")
@@ -421,35 +517,61 @@ def alike(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
     often = sampled.mapInArrow(_shingles(words), "h long").groupBy("h").count().filter(F.col("count") >= OFTEN)
     often = context.broadcast(bitmap(often, BITS))
     numbers = "".join(f"{p} long, " for p in prints)
-    rows = staged(keyed.mapInArrow(_firsts(words, least, often), f"doc_id {kind}, t long, s0 long, s1 long, n long, {numbers}f array<long>"), "prints")
-    # Texts of one set are one; of them one stands for it.
-    unique = rows.groupBy("s0", "s1").agg(F.min("doc_id").alias("first"), F.min(F.struct("doc_id", "t")).alias("one"), F.any_value("n").alias("n"), *[F.any_value(p).alias(p) for p in prints], F.any_value("f").alias("f"))
-    unique = staged(unique.withColumn("k", F.monotonically_increasing_id()), "unique")
-    below = unique.filter("n > 0").select(F.posexplode("f").alias("at", "h"), "k", "n").select("h", "k", "n", F.col("at").cast("long").alias("at"))
+    read = staged(keyed.mapInArrow(_firsts(words, least, often), f"doc_id {kind}, t long, s0 long, s1 long, n long, {numbers}w binary, f array<long>"), "prints")
+    # Texts of one set are one; of them one stands for it.  What is long goes once it has been read for the last time.
+    whole = read.groupBy("s0", "s1").agg(F.min("doc_id").alias("first"), F.min(F.struct("doc_id", "t")).alias("one"), *[F.any_value(c).alias(c) for c in ("n", *prints, "w", "f")])
+    whole = staged(whole.withColumn("k", F.monotonically_increasing_id()), "whole")
+    rows = staged(read.select("doc_id", "t", "s0", "s1"), "rows")
+    unstage(read)
+    unique = staged(whole.drop("f"), "unique")
+    below = whole.filter("n > 0").select(F.posexplode("f").alias("at", "h"), "k", "n").select("h", "k", "n", F.col("at").cast("long").alias("at"))
     shared = below.repartition("h").sortWithinPartitions("h").mapInArrow(_by_bucket(1, _again), "h long, k long, n long, at long")
     shared = staged(shared.join(unique.select("k", *prints).hint("merge"), "k").select("h", "k", "n", "at", *prints), "shared")
-    closest = staged(candidates(shared, least), "closest")
-    ends = closest.select(F.col("a").alias("k")).union(closest.select(F.col("b").alias("k"))).distinct()
-    wanted = staged(unique.join(ends.hint("merge"), "k").select("k", F.col("one.doc_id").alias("_id"), F.col("one.t").alias("_t")), "wanted")
-    sent = context.broadcast(bitmap(wanted.select(F.col("_t").alias("h")), BITS))
-    sets = keyed.mapInArrow(_sets(words, sent), f"doc_id {kind}, t long, s array<long>").join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("t") == F.col("_t")))
-    sets = staged(sets.groupBy("k").agg(F.any_value("s").alias("s")), "sets")
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(sets.select(F.col("k").alias("a"), F.col("s").alias("sa")).hint("merge"), "a").join(sets.select(F.col("k").alias("b"), F.col("s").alias("sb")).hint("merge"), "b")
-        shared = F.size(F.array_intersect("sa", "sb"))
-        return both.filter(shared >= least * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
+    unstage(whole)
+
+    def ends(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.col("a").alias("k")).union(pairs.select(F.col("b").alias("k")))
+
+    def texts(keys: DataFrame) -> DataFrame:
+        wanted = staged(unique.join(keys.distinct().hint("merge"), "k").select("k", F.col("one.doc_id").alias("_id"), F.col("one.t").alias("_t")), "wanted")
+        sent = context.broadcast(bitmap(wanted.select(F.col("_t").alias("h")), BITS))
+        found = keyed.mapInArrow(_wanted(sent), f"doc_id {kind}, t long, text string").join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("t") == F.col("_t")))
+        return staged(found.groupBy("k").agg(F.any_value("text").alias("text")), "texts")
+
+    def close(pairs: DataFrame) -> DataFrame:
+        side = lambda c: unique.select(F.col("k").alias(c), F.col("n").alias(f"n{c}"), F.col("w").alias(f"w{c}")).hint("merge")
+        both = pairs.join(side("a"), "a").join(side("b"), "b")
+        return both.select("a", "b", "na", "nb", "wa", "wb").mapInArrow(_close(least), "a long, b long")
+
+    def linked(pairs: DataFrame, known: DataFrame) -> DataFrame:
+        side = lambda c: known.select(F.col("k").alias(c), F.col("text").alias(f"t{c}")).hint("merge")
+        both = pairs.join(side("a"), "a").join(side("b"), "b")
+        return both.select("a", "b", "ta", "tb").mapInArrow(_linked(words, least), "a long, b long")
 
     def classes(links: DataFrame) -> DataFrame:
         return components(links).select(F.col("key").alias("k"), "root")
 
-    links = staged(linked(closest), "links")
+    buckets, place = dealt(shared)
+    closest = staged(close(candidates(buckets, place, least)), "closest")
+    known = texts(ends(closest))
+    links = staged(linked(closest, known), "links")
+    unstage(known)
     roots = staged(classes(links), "roots")
-    labelled = shared.join(roots.hint("merge"), "k", "left").withColumn("c", F.coalesce("root", "k")).drop("root")
-    left = candidates(labelled, least, labelled=True).join(closest.hint("merge"), ["a", "b"], "left_anti")
-    more = staged(linked(left), "more")
-    if not more.isEmpty():
-        roots = classes(links.union(more))
+    labelled, place = dealt(shared.join(roots.hint("merge"), "k", "left").withColumn("c", F.coalesce("root", "k")).drop("root"))
+    left = staged(close(candidates(labelled, place, least, labelled=True).join(closest.hint("merge"), ["a", "b"], "left_anti")), "left")
+    spot = ", ".join(f"{p} {labelled.schema[p].dataType.simpleString()}" for p in place)
+    sorted_ = labelled.repartition(*place).sortWithinPartitions(*place, "k").select(*place, *(c for c in labelled.columns if c not in place))
+    crowds = staged(sorted_.mapInArrow(_crowds(len(place), least), f"{spot}, k long, c long"), "crowds")
+    if not (left.isEmpty() and crowds.isEmpty()):
+        known = texts(ends(left).union(crowds.select("k")))
+        more = linked(left, known)
+        if not crowds.isEmpty():
+            there = crowds.join(known.hint("merge"), "k").select(*place, "k", "c", "text").repartition(*place).sortWithinPartitions(*place, "k")
+            more = more.union(there.mapInArrow(_confirmed(len(place), words, least), "a long, b long"))
+        more = staged(more, "more")
+        unstage(known)
+        if not more.isEmpty():
+            roots = classes(links.union(more))
     rooted = unique.join(roots, "k", "left").withColumn("root", F.coalesce("root", "k"))
     # Staged, so that the join has nothing but its shuffles below it, which adaptive execution splits where a class is large.
     least_id = staged(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "least")

@@ -917,3 +917,46 @@ def test_alike_finds_all_links(spark):
     near = {x for x in range(0, len(rows), 2) if len(sets[x] & sets[x + 1]) >= 0.8 * len(sets[x] | sets[x + 1])}
     label = {x.doc_id: x.class_id for x in simhash.alike(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
     assert len(near) == 350 and {x for x in range(0, len(rows), 2) if label[x] == label[x + 1]} == near and len(set(label.values())) == len(rows) - 350
+
+
+def test_forest_of_near_copies_has_as_many_links_as_copies():
+    """A bucket of near copies: no more rows than members, in a turn after the first none; sets tell which links join classes."""
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 1 << 63, 150).astype(np.uint64)
+    sets = [np.unique(np.concatenate([rng.choice(base, 142, replace=False), rng.integers(0, 1 << 63, 8).astype(np.uint64)])) for _ in range(300)]
+    n, at, bucket = np.array([len(s) for s in sets]), np.zeros(300, np.int64), np.zeros(300, np.int64)
+    rows = {"h": bucket, "k": np.arange(300), "n": n, "at": at} | {f"p{x}": np.array([simhash.parities(s)[x] for s in sets]).view(np.int64) for x in range(2)}
+    batch = lambda **more: pa.RecordBatch.from_arrays([pa.array(v) for v in (rows | more).values()], names=list(rows | more))
+    similar = {(i, j) for i in range(300) for j in range(i) if len(both := np.intersect1d(sets[i], sets[j])) >= 0.8 * (n[i] + n[j] - len(both))}
+    assert len(similar) > 20_000
+    links = [p for b in simhash._candidates(1, 0.8, False)(iter([batch()])) for p in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    assert len(links) == 299
+    verified = [(a, b) for a, b in links if (b, a) in similar]
+    label = graph.local_labels(300, *(np.array([p[x] for p in verified], np.int64) for x in (0, 1)))
+    whole = graph.local_labels(300, *(np.array([p[x] for p in similar], np.int64) for x in (0, 1)))
+    split = np.where(np.arange(300) % 7 == 0, np.arange(300), 1)  # as if many were single still
+    pairs_ = [b for b in simhash._candidates(1, 0.8, True)(iter([batch(c=split)]))]
+    crowd = [k for b in simhash._crowds(1, 0.8)(iter([batch(c=split)])) for k in b.column("k").to_pylist()]
+    assert sum(b.num_rows for b in pairs_) == 0 and len(crowd) <= 300
+    more = simhash.confirmed(sets, split, 0.8)
+    assert len(more) < len(set(split.tolist())) and all((max(p), min(p)) in similar for p in more)
+    joined = graph.local_labels(300, *(np.concatenate([np.array([p[x] for p in more], np.int64), np.array([[i, 1][x] for i in range(300) if i % 7], np.int64)]) for x in (0, 1)))
+    assert len(set(joined.tolist())) == len(set(whole.tolist())) == len(set(label.tolist())) == 1
+
+
+@pytest.mark.parametrize("crowded", [4096, 12])
+def test_alike_confirms_large_buckets_by_the_sets(spark, some, monkeypatch, crowded):
+    """Buckets of any size are wide here, and the closest are found without a forest, so that classes are joined in the second turn."""
+    monkeypatch.setattr(simhash, "WIDE", 1)
+    monkeypatch.setattr(simhash, "CROWDED", crowded)
+    monkeypatch.setattr(simhash, "spanning", lambda bucket, near: tuple(x[:1] for x in simhash.small_pairs(bucket, near, 1000)))
+    texts = dict((r.t, r.text) for r in some.select(F.xxhash64("text").alias("t"), "text").collect())
+    assert Counter((r.doc_id, texts[r.t], r.component_id) for r in simhash.alike(some).collect()) == plain_alike(pairs(some))
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 2**64 - 1), unique=True, max_size=400), st.lists(st.integers(0, 2**64 - 1), unique=True, max_size=90))
+def test_sketches_differ_no_more_than_sets(a, b):
+    one, other = (np.array(sorted(set(x)), np.uint64) for x in (a, a[: len(a) // 3] + b))
+    assert simhash.differing(simhash.sketch(one), simhash.sketch(one)) == 0
+    assert simhash.differing(simhash.sketch(one), simhash.sketch(other)) <= len(set(one.tolist()) ^ set(other.tolist()))
